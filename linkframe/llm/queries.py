@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
+import public_tokenizers as TOKENIZERS
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint
-from .common import table
+from . import fingerprint, flac, sentencepiece_bpe, warc
+from .common import table, written
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.digests(flac.with_media(table(spark, sf_dir, "documents")))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = written(warc.archives(warc.deduplicated(table(spark, sf_dir, "pages"))), "warc")
+    return warc.page_records(warc.records(archives, blocks=False))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), TOKENIZERS.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
