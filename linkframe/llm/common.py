@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -47,3 +48,8 @@ def pieces(batches, rows: int = 512):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def longer(schema: T.StructType, added: str) -> T.StructType:
+    """A schema with the columns of a DDL string added."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(added).fields])

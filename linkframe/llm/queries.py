@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as TOKENIZERS
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, flac, sentencepiece_bpe, warc
+from . import fingerprint, flac, mixing, quality, sentencepiece_bpe, spans, token_counts, warc
 from .common import table, written
 
 
@@ -26,6 +26,25 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), TOKENIZERS.path("piece_bpe_32k.model"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spans.without_repeats(docs)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier accepts, with their votes and score."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.accepted(docs).select("doc_id", "votes", "posterior", "score")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"), TOKENIZERS.path("byte_bpe_50k.tiktoken"), TOKENIZERS.PATTERN)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
