@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as TOKENIZERS
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, flac, mixing, quality, sentencepiece_bpe, spans, token_counts, warc
+from . import fingerprint, flac, mixing, ngram_join, quality, sentencepiece_bpe, spans, token_counts, warc
 from .common import table, written
 
 
@@ -17,6 +17,10 @@ def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(flac.with_media(table(spark, sf_dir, "documents")))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = written(warc.archives(warc.deduplicated(table(spark, sf_dir, "pages"))), "warc")
     return warc.page_records(warc.records(archives, blocks=False))
