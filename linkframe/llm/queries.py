@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as TOKENIZERS
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, flac, mixing, ngram_join, quality, sentencepiece_bpe, spans, token_counts, warc
+from . import fingerprint, flac, mixing, ngram_join, quality, sentencepiece_bpe, spans, suffix_dedup, token_counts, warc
 from .common import table, written
 
 
@@ -49,8 +49,18 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"), TOKENIZERS.path("byte_bpe_50k.tiktoken"), TOKENIZERS.PATTERN)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.cut_out(table(spark, sf_dir, "documents")))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith("op") or name == "pipeline"}
 
 
 def oracle_sql() -> dict[str, str]:
