@@ -115,12 +115,6 @@ def _words(c: str) -> Column:
     return F.array_remove(F.split(c, r"\s+"), "")
 
 
-def _nth(c: Column) -> Column:
-    """Words with their occurrence numbers: a multiset as a set."""
-    sorted_ = F.array_sort(c)
-    return F.transform(sorted_, lambda x, i: F.struct(x.alias("w"), (i - F.array_position(sorted_, x) + 1).alias("n")))
-
-
 def diff_text(old: DataFrame, new: DataFrame) -> DataFrame:
     """(id, op, old, new): text blocks kept, added, removed or changed.
 
@@ -137,8 +131,12 @@ def diff_text(old: DataFrame, new: DataFrame) -> DataFrame:
     kept = got.where("a_n is not null and b_n is not null").select("id", F.lit("kept").alias("op"), F.col("key").alias("old"), F.col("key").alias("new"))
     gone = got.where("b_n is null").select("id", F.col("a_n").alias("an"), F.col("key").alias("old"), (F.col("a_kind") == "code").alias("ac"))
     come = got.where("a_n is null").select("id", F.col("b_n").alias("bn"), F.col("key").alias("new"), (F.col("b_kind") == "code").alias("bc"))
-    words = lambda t, key, at, code: t.where(~F.col(code)).select("id", at, F.size(_words(key)).alias(f"{at}_size"), F.explode(_nth(_words(key))).alias("w"))
-    shared = words(gone, "old", "an", "ac").join(words(come, "new", "bn", "bc"), ["id", "w"]).groupBy("id", "an", "bn", "an_size", "bn_size").agg(F.count("*").alias("common"))
+    def words(t: DataFrame, key: str, at: str, code: str) -> DataFrame:
+        one = t.where(~F.col(code)).select("id", at, F.size(_words(key)).alias(f"{at}_size"), F.explode(_words(key)).alias("w"))
+        return one.groupBy("id", at, f"{at}_size", "w").agg(F.count("*").alias(f"{at}_times"))
+
+    shared = words(gone, "old", "an", "ac").join(words(come, "new", "bn", "bc"), ["id", "w"])
+    shared = shared.groupBy("id", "an", "bn", "an_size", "bn_size").agg(F.sum(F.least("an_times", "bn_times")).alias("common"))
     pairs = shared.where(F.col("common") * 2 >= F.greatest("an_size", "bn_size")).select("id", "an", "bn", (F.col("common") / F.greatest("an_size", "bn_size")).alias("share"))
     code = gone.where("ac").join(come.where("bc"), "id").select("id", "an", "bn", (F.lit(0.5) / (1 + F.abs(F.col("an") - F.col("bn")))).alias("share"))
     pairs = pairs.union(code)
@@ -153,6 +151,11 @@ def diff_text(old: DataFrame, new: DataFrame) -> DataFrame:
 def diff_words(changed: DataFrame) -> DataFrame:
     """Of changed blocks (columns old, new): words kept, removed and added, as multisets in order of word; fences by line."""
     part = lambda c: F.when(F.col(c).rlike(r"^\s{0,3}(```|~~~)"), F.split(c, "\n")).otherwise(_words(c))
-    got = changed.withColumn("__a", _nth(part("old"))).withColumn("__b", _nth(part("new")))
-    word = lambda c: F.transform(c, lambda x: x["w"])
-    return got.select("id", "old", "new", word(F.array_intersect("__a", "__b")).alias("kept"), word(F.array_except("__a", "__b")).alias("removed"), word(F.array_except("__b", "__a")).alias("added"))
+    keyed = changed.select("id", "old", "new", F.xxhash64("id", "old", "new").alias("__k"))
+    one = lambda c, a, b: keyed.select("__k", F.explode(part(c)).alias("w"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    times = one("old", 1, 0).union(one("new", 0, 1)).groupBy("__k", "w").agg(F.sum("a").cast("int").alias("a"), F.sum("b").cast("int").alias("b"))
+    several = lambda n: F.array_sort(F.flatten(F.collect_list(F.array_repeat(F.col("w"), n))))
+    got = times.groupBy("__k").agg(several(F.least("a", "b")).alias("kept"), several(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("removed"), several(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("added"))
+    empty = F.array().cast("array<string>")
+    wide = keyed.join(got, "__k", "left")
+    return wide.select("id", "old", "new", *[F.coalesce(c, empty).alias(c) for c in ("kept", "removed", "added")])

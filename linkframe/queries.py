@@ -223,11 +223,11 @@ def q06(spark, sf_dir):
 # -- calculated columns -----------------------------------------------------------------------------------------------
 
 
-@query("c01_arithmetic", "lin ord", "SELECT id, CAST(round(sum(price*(1-discount))*100) AS BIGINT) AS cents, count(*) AS n FROM lin WHERE id IN (SELECT id FROM ord) GROUP BY id")
+@query("c01_arithmetic", "lin ord", "SELECT id, CAST(sum(round(price*100)*(100-round(discount*100))) AS BIGINT) AS cents, count(*) AS n FROM lin WHERE id IN (SELECT id FROM ord) GROUP BY id")
 def c01(spark, sf_dir):
     orders = Retail(spark, sf_dir).table("Order").where("lines is not null")
-    net = calc.row_values(F.col("lines"), lambda x: calc.mul(x["price"], calc.sub(F.lit(1.0), x["discount"])))
-    return orders.select("id", F.round(calc.sum_(net) * 100).cast("long").alias("cents"), F.size("lines").cast("long").alias("n"))
+    net = calc.row_values(F.col("lines"), lambda x: calc.mul(F.round(x["price"] * 100), calc.sub(F.lit(100.0), F.round(x["discount"] * 100))))
+    return orders.select("id", calc.sum_(net).cast("long").alias("cents"), F.size("lines").cast("long").alias("n"))
 
 
 @query("c02_divide", "prt", "SELECT id, CASE WHEN n%5=0 THEN NULL ELSE CAST(round(price/(n%5)*100) AS BIGINT) END AS cents FROM prt")
@@ -289,7 +289,7 @@ def c18(spark, sf_dir):
     return calc.single_value(Retail(spark, sf_dir).table("Part"), "name", "brand")
 
 
-@query("c19_title_case", "prt", "SELECT id, array_to_string(list_transform(string_split(name,' '), x -> upper(x[1])||x[2:]), ' ') AS title FROM prt")
+@query("c19_title_case", "prt", "SELECT id, array_to_string(list_transform(string_split(name,' '), lambda x: upper(x[1])||x[2:]), ' ') AS title FROM prt")
 def c19(spark, sf_dir):
     return Retail(spark, sf_dir).table("Part").select("id", calc.title_case(F.regexp_replace("name", " ", "_")).alias("title"))
 
