@@ -56,12 +56,12 @@ def ids(df: DataFrame) -> DataFrame:
 # -- the flagship: own fields, facets at two hops, a negated facet ---------------------------------------------------
 
 
-@query("flagship", "cus ord lin", "SELECT c.id, c.name, CAST(round(c.balance*100) AS BIGINT) AS cents FROM cus c WHERE c.segment='BUILDING' AND EXISTS (SELECT 1 FROM ord o WHERE o.customer=c.id AND o.status='O' AND o.total>100000) AND NOT EXISTS (SELECT 1 FROM ord o JOIN lin l ON l.id=o.id WHERE o.customer=c.id AND l.flag='R')")
+@query("flagship", "cus ord lin", "SELECT c.id, c.name, CAST(round(c.balance*100) AS BIGINT) AS cents FROM cus c WHERE c.segment='BUILDING' AND EXISTS (SELECT 1 FROM ord o WHERE o.customer=c.id AND o.status='O' AND o.total>100000) AND NOT EXISTS (SELECT 1 FROM ord o JOIN lin l ON l.id=o.id WHERE o.customer=c.id AND l.flag='R' AND l.quantity>45)")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers of a segment with a large open order and no returned line on any order."""
+    """Customers of a segment with a large open order and no large returned line on any order."""
     r = Retail(spark, sf_dir)
     found = select(r.slim, "Customer", all_of(field("segment").equals("BUILDING"), some_linking("orders", field("status").equals("O"), field("total").greater_than(100000))))
-    returned = r.read("lineitem").where("l_returnflag = 'R'").select(r.key("ORD", "l_orderkey").alias("id"))  # a nested row test, before the rows are nested
+    returned = r.read("lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(r.key("ORD", "l_orderkey").alias("id"))  # a nested row test, before the rows are nested
     bad = r.slim_orders.join(returned, "id", "left_semi").select(F.col("customer").alias("id"))
     found = found.join(bad, "id", "left_anti")
     return cond.order_entities(found.select("id", "name", F.round(F.col("balance") * 100).cast("long").alias("cents")), "name")
