@@ -210,7 +210,7 @@ def shown(c: Column, kind: T.DataType) -> Column:
     from linkframe.operators.model import as_text
 
     if isinstance(kind, T.ArrayType):
-        return F.array_join(F.transform(c, lambda x: shown(x, kind.elementType)), ", ")
+        return F.coalesce(F.array_join(F.transform(c, lambda x: shown(x, kind.elementType)), ", "), F.lit(""))
     return F.coalesce(as_text(c, kind), F.lit(""))
 
 

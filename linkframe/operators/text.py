@@ -216,4 +216,4 @@ def shift_headings(parts: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("page").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     host = F.last(F.when(~F.col("embedded"), F.col("level")), ignorenulls=True).over(w)
-    return parts.withColumn("shown_level", F.when(F.col("embedded"), F.least(F.col("level") + F.coalesce(host, F.lit(0)), F.lit(6))).otherwise(F.col("level")))
+    return parts.withColumn("shown_level", F.when(F.col("embedded") & F.col("level").isNotNull(), F.least(F.col("level") + F.coalesce(host, F.lit(0)), F.lit(6))).otherwise(F.col("level")))
