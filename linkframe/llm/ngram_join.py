@@ -11,7 +11,8 @@ are very frequent (found by a pass before, at most ``MAX_HOT``) are left out of
 so that no part of it holds a token of a large share of the rows.
 
 Only components are wanted, so pairs within one component aren't tested: classes are first held against one leader
-per token, and then all pairs that are left between different components are compared.
+per token, that with the fewest rarer tokens, and then all pairs that are left between different components are compared. A pair is
+dropped early where the places of a common token leave too little behind it for the overlap that both sizes need.
 """
 
 from __future__ import annotations
@@ -205,7 +206,8 @@ def candidates(tokens: DataFrame, classes: DataFrame) -> DataFrame:
         named = F.transform("all", lambda x: F.struct(magnitude(x).alias("m"), F.xxhash64(x["token"], F.lit(seed)).alias("h"), x["token"].alias("token")))
         return F.transform(F.slice(F.array_sort(named), 1, F.col("left")), lambda x: x["token"])
 
-    return per.select("class", "n", F.transform("all", lambda x: x["token"]).alias("tokens"), F.transform(F.slice("all", 1, F.col("left")), lambda x: x["token"]).alias("first"), prefix(1).alias("second"), prefix(2).alias("third"))
+    alone = (F.col("n") - F.size("all")).alias("alone")
+    return per.select("class", "n", alone, F.transform("all", lambda x: x["token"]).alias("tokens"), F.transform(F.slice("all", 1, F.col("left")), lambda x: x["token"]).alias("first"), prefix(1).alias("second"), prefix(2).alias("third"))
 
 
 def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -218,9 +220,19 @@ def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return both.where(F.col("common") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("common")) * LEAST).select("a", "b")
 
 
+def enough(n: Column, at: Column, m: Column, to: Column) -> Column:
+    """Whether sets of n and m elements whose first common token is at these places can be alike enough.
+
+    What follows the token in the smaller rest bounds the overlap, which must be t / (1 + t) of both sizes.
+    """
+    rest = F.least(n - at, m - to)
+    return (rest * (100 + LEAST) >= (n + m) * LEAST) & (F.least(n, m) * 100 >= F.greatest(n, m) * LEAST)
+
+
 def linked(found: DataFrame) -> DataFrame:
     """(class, comp): the component of each class, by the least class in it."""
-    rows = written(found.select("class", F.explode("first").alias("token")), "prefixes")
+    rows = found.select("class", "n", "alone", F.posexplode("first").alias("i", "token"))
+    rows = written(rows.select("class", "n", (F.col("alone") + F.col("i")).alias("at"), "token"), "prefixes")
     labels = found.select("class", F.col("class").alias("comp"))
     tested = None
 
@@ -232,8 +244,9 @@ def linked(found: DataFrame) -> DataFrame:
 
     for _ in range(LEADER_ROUNDS):
         known = rows.join(labels, "class")
-        lead = known.groupBy("token").agg(F.min(F.struct("comp", "class")).alias("lead"), F.max("comp").alias("other")).where("lead.comp <> other").select("token", "lead")
-        pairs = known.join(lead, "token").where(F.col("comp") != F.col("lead.comp"))
+        middle = F.min(F.struct((F.col("at") / F.col("n")).alias("share"), "class", "comp", "n", "at"))  # the one with the fewest rarer tokens
+        lead = known.groupBy("token").agg(middle.alias("lead"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token", "lead")
+        pairs = known.join(lead, "token").where((F.col("comp") != F.col("lead.comp")) & enough(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
         pairs = pairs.groupBy(F.col("lead.class").alias("a"), F.col("class").alias("b")).agg(F.count("*").alias("times"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -246,8 +259,10 @@ def linked(found: DataFrame) -> DataFrame:
     known = rows.join(labels, "class")
     spread = known.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
     known = known.join(spread, "token")
-    other = known.select("token", F.col("class").alias("b"), F.col("comp").alias("b_comp"))
-    pairs = known.select("token", F.col("class").alias("a"), "comp").join(other, "token").where("a < b and comp <> b_comp").select("a", "b").distinct()
+    side = lambda p: known.select("token", *[F.col(c).alias(f"{p}_{c}") for c in ("class", "comp", "n", "at")])
+    fit = (F.col("a_class") < F.col("b_class")) & (F.col("a_comp") != F.col("b_comp")) & enough(F.col("a_n"), F.col("a_at"), F.col("b_n"), F.col("b_at"))
+    a, b = side("a"), side("b").withColumnRenamed("token", "__token")
+    pairs = a.join(b, (F.col("token") == F.col("__token")) & fit).select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
     if tested is not None:
         pairs = pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     links = written(verified(pairs, found), "links")
