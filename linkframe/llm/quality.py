@@ -74,10 +74,12 @@ def expectation(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[str,
     keys = sorted(patterns)
     count = np.array([patterns[k] for k in keys], float)
     hot = np.array([[[c == v for v in (BAD, GOOD, NONE)] for c in k] for k in keys], float)  # patterns, labellers, votes
+    if not keys:
+        return {}, np.full((2, LABELLERS, 3), 1 / 3), 0.5
     hot[:, ~np.array(ONE_SIDED), 2] = 0
     post = np.array([0.02 if any(c == BAD and x for c, x in zip(k, ONE_SIDED, strict=True)) else 0.3 if BAD in k else 0.97 for k in keys])
     table, prior = np.zeros((2, *hot.shape[1:])), 0.5
-    for _ in range(rounds if keys else 0):
+    for _ in range(rounds):
         for c, p in ((0, 1 - post), (1, post)):
             w = np.einsum("p,plv->lv", p * count, hot) + BELIEF_WEIGHT * count.sum() * np.array([BELIEF[x][c] for x in ONE_SIDED]) + 1e-6
             table[c] = w / w.sum(1, keepdims=True)

@@ -64,4 +64,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """op3 alone is expressible; the others rest on hashes, tokens, training or components, and tests hold them against plain Python."""
+    return {
+        "op3_warc": """
+            WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+            s AS (SELECT payload_digest, max(page_id) AS latest FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+            SELECT page_id, payload_bytes, payload_digest, CASE WHEN latest <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN latest <> page_id THEN latest END AS refers_to
+            FROM p LEFT JOIN s USING (payload_digest)"""
+    }

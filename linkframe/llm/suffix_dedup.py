@@ -14,7 +14,6 @@ An anchor with more than ``HOT`` occurrences isn't brought together: hashes of i
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -295,21 +294,3 @@ def digests(cut: DataFrame) -> DataFrame:
     """Numbers and a digest of what ``cut_out`` returns."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda x, s: x + s["to"] - s["at"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def brute(texts: list[str | None], width: int = WIDTH) -> list[tuple[int, list[tuple[int, int]]]]:
-    """For tests: byte count and removed spans of each text by counting every window."""
-    raw = [(t or "").encode("utf-8") for t in texts]
-    seen: dict[bytes, int] = {}
-    for r in raw:
-        for i in range(len(r) - width + 1):
-            seen[r[i : i + width]] = seen.get(r[i : i + width], 0) + 1
-    return [(len(r), spans_of(np.array([i for i in range(len(r) - width + 1) if seen[r[i : i + width]] > 1], np.int64), width)) for r in raw]
-
-
-def digest_of(text: str | None, spans: list[tuple[int, int]]) -> str:
-    raw, at, kept = (text or "").encode("utf-8"), 0, []
-    for a, b in spans:
-        kept.append(raw[at:a])
-        at = b
-    return hashlib.sha256(b"".join([*kept, raw[at:]])).hexdigest()

@@ -56,7 +56,10 @@ def frame_size(data: memoryview, at: int) -> int:
         if end > len(data):
             raise ValueError("a Zstandard frame runs past the end of its archive")
         if head & 1:
-            return end + 4 * (flags >> 2 & 1) - at
+            end += 4 * (flags >> 2 & 1)
+            if end > len(data):
+                raise ValueError("a Zstandard frame runs past the end of its archive")
+            return end - at
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
