@@ -1,14 +1,16 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of ``RUN`` consecutive sentences is hashed; of runs that are equal anywhere in the table, all
-but the first (by doc_id, then text, then place) are marked, and the sentences that a marked run covers go.
-Sentences end at ``.``, ``!`` or ``?`` before white space, and at line ends; a sentence of over ``LONG``
-words also ends at its commas, so that a long one can be found in part.
+Every run of consecutive sentences is hashed: from each sentence on ``RUN`` of them, or as many as it takes for ``LEAST_WORDS``
+words. Of runs that are equal anywhere in the table, all but the first (by doc_id, then text, then place) are
+marked, and the sentences that a marked run covers go. Sentences end at ``.``, ``!`` or ``?`` before white space, and at line
+ends; a sentence of over ``LONG`` words also ends at its commas, and what is longer still after words that its own
+hash picks, one in eight, so that a long one can be found in part.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import pyarrow as pa
 import xxhash
@@ -18,18 +20,35 @@ from pyspark.sql import functions as F
 from .common import longer, pieces
 
 RUN = 2
-#: Runs of fewer words than this are too short to tell a copy from chance.
+#: Fewer words than this are too few to tell a copy from chance.
 LEAST_WORDS = 8
 LONG = 24
 END = re.compile(r"(?<=[.!?])(?=\s)|(?<=\n)")
 CLAUSE = re.compile(r"(?<=,)(?=\s)")
+WORD = re.compile(r"\s*\S+")
+
+
+def cut_long(s: str) -> list[str]:
+    """A sentence of over LONG words cut at commas, then after picked words."""
+    out = []
+    for part in CLAUSE.split(s):
+        if part.count(" ") < LONG:
+            out.append(part)
+            continue
+        at = 0
+        for m in WORD.finditer(part):
+            if zlib.crc32(m.group().strip().encode()) % 8 == 0:
+                out.append(part[at : m.end()])
+                at = m.end()
+        out.append(part[at:])
+    return out
 
 
 def sentences(text: str) -> list[str]:
     """A text cut into sentences, white space included; joined they are the text. Blank ones join the one before."""
     out: list[str] = []
     for s in END.split(text):
-        for part in CLAUSE.split(s) if s.count(" ") >= LONG else (s,):
+        for part in cut_long(s) if s.count(" ") >= LONG else (s,):
             if part.strip() or not out:
                 out.append(part)
             else:
@@ -37,15 +56,25 @@ def sentences(text: str) -> list[str]:
     return out if text else []
 
 
+def runs(found: list[str], run: int, least: int) -> list[tuple[int, int]]:
+    """Start and end of each run. Where too few words follow there is none."""
+    size = [len(s.split()) for s in found]
+    out, end, total = [], 0, 0
+    for i in range(len(found)):
+        while end < len(found) and (end - i < run or total < least):
+            total += size[end]
+            end += 1
+        if end - i < run or total < least:
+            break
+        out.append((i, end))
+        total -= size[i]
+    return out
+
+
 def run_keys(found: list[str], run: int, least: int) -> list[tuple[int, int]]:
-    """Place and 64-bit hash of each run of at least ``least`` words."""
+    """Start and 64-bit hash of each run; white space inside doesn't matter."""
     bare = [" ".join(s.split()) for s in found]
-    size = [s.count(" ") + bool(s) for s in bare]
-    out = []
-    for i in range(len(bare) - run + 1):
-        if sum(size[i : i + run]) >= least:
-            out.append((i, xxhash.xxh3_64_intdigest("\n".join(bare[i : i + run])) - (1 << 63)))
-    return out
+    return [(i, xxhash.xxh3_64_intdigest("\n".join(bare[i:j])) - (1 << 63)) for i, j in runs(found, run, least)]
 
 
 def with_rid(docs: DataFrame) -> DataFrame:
@@ -66,10 +95,10 @@ def repeated(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataF
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["run", "doc", "rid", "at"])
 
-    runs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "__rid", "text").mapInArrow(keys, "run long, doc long, rid long, at int")
+    every = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "__rid", "text").mapInArrow(keys, "run long, doc long, rid long, at int")
     place = F.struct("doc", "rid", "at")
-    twice = runs.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("run", "first")
-    return runs.join(twice, "run").where(place != F.col("first")).select(F.col("rid").alias("__rid"), "at")
+    twice = every.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("run", "first")
+    return every.join(twice, "run").where(place != F.col("first")).select(F.col("rid").alias("__rid"), "at")
 
 
 def without_repeats(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
@@ -91,7 +120,8 @@ def without_repeats(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -
             n, gone = [], []
             for i, (t, at) in enumerate(zip(texts, marked, strict=True)):
                 found = sentences(t or "")
-                out = {a + j for a in at or () for j in range(run)}
+                ends = dict(runs(found, run, least)) if at else {}
+                out = {j for a in at or () for j in range(a, ends[a])}
                 n.append(len(found))
                 gone.append(len(out))
                 if out:
