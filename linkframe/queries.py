@@ -473,6 +473,14 @@ def v23(spark, sf_dir):
     return rules.totals(_all_checks(spark, sf_dir)).withColumn("passed", F.col("errors") == 0)
 
 
+@query("k01_json", "prt", f"SELECT rule, severity, count(*) AS n FROM {CHECKS_SQL} GROUP BY rule, severity")
+def k01(spark, sf_dir):
+    """The JSON report, written and read again."""
+    path = _folder(spark, "report")
+    sinks.write_json(_all_checks(spark, sf_dir), path)
+    return spark.read.schema("rule string, severity string").json(f"{path}/violations").groupBy("rule", "severity").agg(F.count("*").alias("n"))
+
+
 @query("k02_text", "prt", "SELECT ': error [links/unresolved] parent links to '||parent||', which doesn''t exist ('||id||')' AS value FROM prt WHERE parent NOT IN (SELECT id FROM prt)")
 def k02(spark, sf_dir):
     m = Retail(spark, sf_dir).slim
