@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import longer, pieces
 
-#: Documents that the scorer is trained on, drawn by a hash of doc_id and text; everything else covers all rows.
+#: Documents that the scorer is trained on: about so many (twice as many at most), drawn by a hash of doc_id and text. Everything else covers all rows.
 TRAIN_ROWS = 6000
 DIMS = 1 << 15
 SCALE = 30.0
@@ -163,8 +163,10 @@ def scored(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     with_votes = voted(docs)
     patterns = {r["__votes"]: r["n"] for r in with_votes.groupBy("__votes").agg(F.count("*").alias("n")).collect()}
     posterior, _, _ = expectation(patterns)
-    drawn = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(train_rows)
-    w = train(sample_features(voted(drawn.select("text"))).collect(), posterior)
+    share = min(1.0, train_rows / max(1, sum(patterns.values())))
+    lot = F.xxhash64("doc_id", "text").cast("double") + 2.0**63
+    drawn = docs.where(lot <= share * 2.0**64).select("text").limit(2 * train_rows)
+    w = train(sample_features(voted(drawn)).collect(), posterior)
     trained, extra = w[:DIMS].astype(np.float32), w[DIMS:]
     schema = longer(docs.schema, "votes string, posterior double, score double")
 
