@@ -56,50 +56,61 @@ def anchors(raw: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.n
     return h[place[first]].view(np.int64), first, last
 
 
-def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of 9-bit symbols, by prefix doubling. Zeros end segments and are all different, in order of place."""
+def packed_symbols(text: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The next PACK symbols of each place as one number, zeros from the end of its segment on."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(PACK, text.dtype)])
-    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # symbols before the next zero
     key = np.zeros(n, np.int64)
     for i in range(PACK):
         key = key << 9 | np.where(left >= i, padded[i : n + i], 0)
-    short = np.where(left < PACK, np.arange(1, n + 1), 0)
-    order = np.lexsort((short, key))
+    return key
+
+
+def suffix_array(key: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Order of all suffixes by prefix doubling from packed symbols. Zeros end segments and are all different, in order of place.
+
+    ``left``: symbols before the next zero. A suffix that meets a zero within its pack equals no other one.
+    """
+    n = len(key)
+    order = np.argsort(key, kind="stable")
     rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.r_[0, (key[order][1:] != key[order][:-1]) | (short[order][1:] != short[order][:-1])])
+    sorted_ = key[order]
+    rank[order] = np.maximum.accumulate(np.where(np.r_[True, (sorted_[1:] != sorted_[:-1]) | (left[order[1:]] < PACK)], np.arange(n), 0))
     size = PACK
-    while (same := np.r_[False, rank[order][1:] == rank[order][:-1]]).any():
+    while True:
+        ranks = rank[order]
+        same = np.r_[False, ranks[1:] == ranks[:-1]]
         todo = np.flatnonzero(same | np.r_[same[1:], False])  # places in the order that aren't settled
+        if not len(todo):
+            return order
         items = order[todo]
-        after = rank[np.minimum(items + size, n - 1)]
-        sub = np.lexsort((after, rank[items]))
+        group, after = rank[items], rank[np.minimum(items + size, n - 1)]
+        sub = np.argsort(group * n + after, kind="stable")
         items, after = items[sub], after[sub]
         order[todo] = items
-        group, old = rank[items], np.r_[0, np.flatnonzero(np.diff(rank[items])) + 1]
-        head = np.zeros(len(items), bool)
-        head[old] = True
-        new = np.r_[True, after[1:] != after[:-1]] | head
-        rank[items] = np.maximum.accumulate(np.where(new, todo, 0)) if len(items) else group
+        new = np.r_[True, (group[1:] != group[:-1]) | (after[1:] != after[:-1])]
+        rank[items] = np.maximum.accumulate(np.where(new, todo, 0))
         size *= 2
-        if size == 2 * PACK:  # ranks are places from here on, so that settled ones need no change
-            fixed = np.setdiff1d(np.arange(n), todo, assume_unique=True)
-            rank[order[fixed]] = fixed
-    return order
 
 
-def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of suffixes a and b, no longer than ``room``."""
-    out, live = np.zeros(len(a), np.int64), np.arange(len(a))
+def common_prefix(text: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of suffixes a and b, no longer than ``room``: pack by pack, then symbol by symbol."""
     n = len(text)
-    at = 0
+    out, live, at = np.zeros(len(a), np.int64), np.arange(len(a)), 0
     while len(live):
         x, y = a[live] + at, b[live] + at
-        same = (at < room[live]) & (x < n) & (y < n)
-        same[same] = text[x[same]] == text[y[same]]
+        same = (at + PACK <= room[live]) & (np.maximum(x, y) < n)
+        same[same] = key[x[same]] == key[y[same]]
         out[live[~same]] = at
         live = live[same]
-        at += 1
+        at += PACK
+    live = np.flatnonzero(out < room)
+    for _ in range(PACK):
+        x, y = a[live] + out[live], b[live] + out[live]
+        same = (out[live] < room[live]) & (np.maximum(x, y) < n)
+        same[same] = text[x[same]] == text[y[same]]
+        live = live[same]
+        out[live] += 1
     return out
 
 
@@ -113,7 +124,9 @@ class RunIndex:
         self.starts = self.ends - size
         raw[self.ends] = 0
         self.text = raw
-        order = suffix_array(raw, self.ends)
+        left = np.repeat(self.ends, size + 1) - np.arange(len(raw))
+        key = packed_symbols(raw, left)
+        order = suffix_array(key, left)
         bwt = raw[order - 1]
         new = np.r_[True, (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)]
         self.heads = np.flatnonzero(new)
@@ -121,10 +134,9 @@ class RunIndex:
         tails = np.r_[self.heads[1:], len(order)] - 1
         self.first, self.last = order[self.heads], order[tails]  # suffix-array samples
         before, after = order[self.heads[1:] - 1], order[tails[:-1] + 1]
-        left = self.ends[np.searchsorted(self.ends, np.arange(len(raw)))] - np.arange(len(raw))
         self.left = left
-        self.above = np.r_[0, common_prefix(raw, before, self.first[1:], left[self.first[1:]])]
-        self.below = np.r_[common_prefix(raw, self.last[:-1], after, left[self.last[:-1]]), 0]
+        self.above = np.r_[0, common_prefix(raw, key, before, self.first[1:], left[self.first[1:]])]
+        self.below = np.r_[common_prefix(raw, key, self.last[:-1], after, left[self.last[:-1]]), 0]
 
     def matches(self) -> np.ndarray:
         """Of every place the length of the longest match with any other place, within its segment."""
