@@ -31,7 +31,7 @@ from .components import components
 LEAST = 75  # per cent
 #: A token that HOT_IN of CHUNK documents have in one task is reported; the MAX_HOT most frequent of those are hot.
 CHUNK, HOT_IN, MAX_HOT = 4096, 64, 100_000
-PART_CHARS = 16_000_000
+PART_CHARS = 8_000_000
 LOW = (1 << 48) - 1
 LEADER_ROUNDS = 4
 HOT_DF = 1 << 30
