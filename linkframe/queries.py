@@ -579,7 +579,7 @@ def d09(spark, sf_dir):
 
 @query("d10_text", "")
 def d10(spark, sf_dir):
-    """Blocks by what happened to them; pairing by shared words has no SQL, a test holds it against plain Python."""
+    """Blocks by what happened to them; pairing by shared words has no SQL; a test holds fixed cases."""
     return diff.diff_text(*_doc_sides(spark, sf_dir)).groupBy("id", "op").agg(F.count("*").alias("n"))
 
 
