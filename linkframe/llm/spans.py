@@ -1,58 +1,78 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of consecutive sentences is hashed: from each sentence on ``RUN`` of them, or as many as it takes for ``LEAST_WORDS``
+Every run of consecutive units is hashed: from each unit on ``RUN`` of them, or as many as it takes for ``LEAST_WORDS``
 words. Of runs that are equal anywhere in the table, all but the first (by doc_id, then text, then place) are
-marked, and the sentences that a marked run covers go. Sentences end at ``.``, ``!`` or ``?`` before white space, and at line
-ends; a sentence of over ``LONG`` words also ends at its commas, and what is longer still after words that its own
-hash picks, one in eight, so that a long one can be found in part.
+marked, and the units that a marked run covers go. Units are sentences, which end at ``.``, ``!`` or ``?`` before white space
+and at line ends; a sentence of over ``LONG`` words is also cut after the word with the least hash of each ``WINDOW``.
+
+Where a passage lies in its sentence doesn't matter: whole windows inside it choose the same words in every copy, so
+only its first and last eight words can be cut differently. From the 17th word on, at the latest, copies are cut alike, two
+units have at most 20 words, so each passage of 50 words has a run that all its copies share.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import longer, pieces
+from .common import longer, pieces, written
 
 RUN = 2
 #: Fewer words than this are too few to tell a copy from chance.
 LEAST_WORDS = 8
-LONG = 24
+#: Sentences of more words are cut by content; no unit has more words than this.
+LONG, WINDOW = 10, 9
 END = re.compile(r"(?<=[.!?])(?=\s)|(?<=\n)")
-CLAUSE = re.compile(r"(?<=,)(?=\s)")
 WORD = re.compile(r"\s*\S+")
 
 
-def cut_long(s: str) -> list[str]:
-    """A sentence of over LONG words cut at commas, then after picked words."""
-    out = []
-    for part in CLAUSE.split(s):
-        if part.count(" ") < LONG:
-            out.append(part)
-            continue
-        at = 0
-        for m in WORD.finditer(part):
-            if zlib.crc32(m.group().strip().encode()) % 8 == 0:
-                out.append(part[at : m.end()])
-                at = m.end()
-        out.append(part[at:])
+def picked(words: list[str]) -> list[int]:
+    """Numbers of the words that have the least hash of some window; fewer words than a window have none."""
+    if len(words) < WINDOW:
+        return []
+    h = np.fromiter(map(zlib.crc32, " ".join(words).encode().split(b" ")), np.uint32, len(words))
+    least = np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1)
+    return np.unique(np.arange(len(least)) + least).tolist()
+
+
+def cut_behind(s: str, words: list[str], cut: list[int]) -> list[str]:
+    """A sentence cut behind words of these numbers."""
+    lead = s[: len(s) - len(s.lstrip())]
+    tail = s[len(s.rstrip()) :]
+    if lead + " ".join(words) + tail != s:  # other white space than single blanks
+        ends = [m.end() for m in WORD.finditer(s)]
+        words, lead, tail, gap = [s[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], "", s[ends[-1] :], ""
+    else:
+        gap = " "
+    out = [gap + gap.join(words[a + 1 : b + 1]) for a, b in zip([-1, *cut], [*cut, len(words) - 1], strict=True)]
+    out[0] = lead + out[0][len(gap) :]
+    out[-1] += tail
     return out
 
 
 def sentences(text: str) -> list[str]:
-    """A text cut into sentences, white space included; joined they are the text. Blank ones join the one before."""
+    """A text cut into units, white space included; joined they are the text. Blank ones join the one before."""
     out: list[str] = []
+    every = text.split()
+    picks, first = picked(every), 0
     for s in END.split(text):
-        for part in cut_long(s) if s.count(" ") >= LONG else (s,):
-            if part.strip() or not out:
-                out.append(part)
-            else:
-                out[-1] += part
+        words = s.split()
+        n = len(words)
+        if n > LONG:
+            cut = picks[bisect_left(picks, first) : bisect_left(picks, first + n - 1)]
+            out += cut_behind(s, words, [i - first for i in cut])
+        elif n or not out:
+            out.append(s)
+        else:
+            out[-1] += s
+        first += n
     return out if text else []
 
 
@@ -74,7 +94,7 @@ def runs(found: list[str], run: int, least: int) -> list[tuple[int, int]]:
 def run_keys(found: list[str], run: int, least: int) -> list[tuple[int, int]]:
     """Start and 64-bit hash of each run; white space inside doesn't matter."""
     bare = [" ".join(s.split()) for s in found]
-    return [(i, xxhash.xxh3_64_intdigest("\n".join(bare[i:j])) - (1 << 63)) for i, j in runs(found, run, least)]
+    return [(i, xxhash.xxh3_64_intdigest("\n".join(bare[i:j])) - (1 << 63)) for i, j in runs(bare, run, least)]
 
 
 def with_rid(docs: DataFrame) -> DataFrame:
@@ -95,10 +115,13 @@ def repeated(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataF
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["run", "doc", "rid", "at"])
 
-    every = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "__rid", "text").mapInArrow(keys, "run long, doc long, rid long, at int")
+    every = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.col("__rid").alias("rid"), "text").mapInArrow(keys, "run long, doc long, rid long, at int")
+    tag = F.hash("rid", "at")  # a number for a place, as the places themselves would shuffle far more
+    twice = every.groupBy("run").agg(F.min(tag).alias("x"), F.max(tag).alias("y")).where("x <> y").select("run")
+    some = written(every.join(twice, "run", "left_semi"), "runs")
     place = F.struct("doc", "rid", "at")
-    twice = every.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("run", "first")
-    return every.join(twice, "run").where(place != F.col("first")).select(F.col("rid").alias("__rid"), "at")
+    first = some.groupBy("run").agg(F.min(place).alias("first"))
+    return some.join(first, "run").where(place != F.col("first")).select(F.col("rid").alias("__rid"), "at")
 
 
 def without_repeats(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:

@@ -335,3 +335,25 @@ def test_run_index():
                     best = max(best, n)
             assert m[index.starts[i] + j] == best
         assert len(index.heads) <= len(index.text)
+
+
+@pytest.mark.parametrize("marks", [" ,.", " "])
+def test_passages_inside_sentences(marks):
+    """A passage in the midst of sentences is always found, and of a long one no 50 words in a row are left."""
+    r = random.Random(13)
+    some = lambda n: "".join("".join(r.choice("abcdefg") for _ in range(r.randrange(1, 7))) + r.choice(r.choice([" ", " ", marks])).strip() + " " for _ in range(n)).split()
+    for n in [50] * 300 + [120] * 100:
+        p, before = some(n), r.randrange(100)
+        found = set(k for _, k in spans.run_keys(spans.sentences(" ".join(some(60) + p + some(60))), 2, 8))
+        cut = spans.sentences(" ".join(some(before) + p + some(60)))
+        ends, at = dict(spans.runs(cut, 2, 8)), np.cumsum([0, *(len(s.split()) for s in cut)])
+        gone = "".join("-" for _ in range(at[-1]))
+        for i, k in spans.run_keys(cut, 2, 8):
+            if k in found:
+                gone = gone[: at[i]] + "x" * (at[ends[i]] - at[i]) + gone[at[ends[i]] :]
+        left = [len(x) for x in gone[before : before + n].split("x")]
+        assert "x" in gone[before : before + n] and max(left) < 50
+
+
+def test_units_are_short():
+    assert max(len(s.split()) for s in spans.sentences("\t".join(f"w{i}" for i in range(500)))) <= spans.LONG
