@@ -22,10 +22,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id; of rows with one doc_id one."""
-    first = ngram_join.joined(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(first.withColumnRenamed("doc_id", "__first"), F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """Of each group of near duplicates the row with the smallest doc_id (null last), then one by its text; blank texts are in no group and stay."""
+    rows = docs.withColumn("__rid", ngram_join.row_hash()).withColumn("__blank", F.size(words(F.col("text"))) == 0)
+    first = ngram_join.first_rows(docs).withColumnRenamed("rid", "__rid")
+    kept = rows.where("not __blank").join(first, "__rid", "left_semi").dropDuplicates(["__rid"])
+    return kept.select(docs.columns).union(rows.where("__blank").select(docs.columns))
 
 
 def drop_repeated_sentences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +36,9 @@ def drop_repeated_sentences(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    slim = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("n"))
-    mixed = mixing.mix(slim, F.array("source"), F.col("n"), mixing.by_turns(3, 1, 2)).where("copies > 0").select(F.col("doc_id").alias("__id"), "copies")
-    taken = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(docs.columns)
+    whole = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("n"), F.struct(*docs.columns).alias("__row"))
+    taken = mixing.mix(whole, F.array("source"), F.col("n"), mixing.by_turns(3, 1, 2)).where("copies > 0")
+    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("__row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

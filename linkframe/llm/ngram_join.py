@@ -65,9 +65,14 @@ def class_of(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
+def row_hash() -> Column:
+    """Tells rows apart: those with equal doc_id and text are one document."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 def surveyed(docs: DataFrame) -> DataFrame:
-    """Rows kind 'd': doc_id, n (size of the set), class. Rows kind 't': a token frequent in one chunk, and how many classes there have it."""
-    schema = pa.schema([("kind", pa.string()), ("id", pa.int64()), ("n", pa.int64()), ("class", pa.int64())])
+    """Rows kind 'd': doc_id, n (size of the set), class, rid. Rows kind 't': a token frequent in one chunk, and how many classes there have it."""
+    schema = pa.schema([("kind", pa.string()), ("id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("rid", pa.int64())])
 
     def run(batches):
         held, seen = [], set()
@@ -75,12 +80,12 @@ def surveyed(docs: DataFrame) -> DataFrame:
         def frequent():
             tokens, count = np.unique(np.concatenate(held), return_counts=True)
             take = count >= HOT_IN
-            return pa.RecordBatch.from_arrays([pa.array(["t"] * int(take.sum()), pa.string()), pa.array(tokens[take].view(np.int64)), pa.array(count[take].astype(np.int64)), pa.nulls(int(take.sum()), pa.int64())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(["t"] * int(take.sum()), pa.string()), pa.array(tokens[take].view(np.int64)), pa.array(count[take].astype(np.int64)), pa.nulls(int(take.sum()), pa.int64()), pa.nulls(int(take.sum()), pa.int64())], schema=schema)
 
         for part in pieces(batches):
             sets = [token_set(t) for t in part.column("text").to_pylist()]
             classes = [class_of(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(["d"] * len(sets), pa.string()), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(["d"] * len(sets), pa.string()), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), part.column("rid")], schema=schema)
             for c, s in zip(classes, sets, strict=True):
                 if c is not None and c not in seen:
                     seen.add(c)
@@ -91,7 +96,7 @@ def surveyed(docs: DataFrame) -> DataFrame:
         if held:
             yield frequent()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind string, id long, n long, class long")
+    return docs.select(F.col("doc_id").cast("long"), "text", row_hash().alias("rid")).mapInArrow(run, "kind string, id long, n long, class long, rid long")
 
 
 def packed(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
@@ -269,12 +274,8 @@ def linked(found: DataFrame) -> DataFrame:
     return labels if links.isEmpty() else fold(labels, links)
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document.
-
-    Null, empty and blank texts have no shingles and are linked with nothing, not even each other. Rows that repeat are all
-    returned. A null doc_id counts in no minimum; a component of nothing else has null. Extra columns are ignored.
-    """
+def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every row (doc_id, n_shingles, class, rid), and each class of rows with shingles (class, least, comp)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = written(surveyed(docs), "survey")
     top = survey.where("kind = 't'").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(MAX_HOT).select("id").collect()
@@ -284,11 +285,28 @@ def joined(docs: DataFrame) -> DataFrame:
     tokens = shared(packed(docs, parts, hot))
     if len(hot):
         tokens = tokens.union(hot_tokens(docs, hot))
-    one = survey.where("kind = 'd'").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "class")
+    one = survey.where("kind = 'd'").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "class", "rid")
     classes = one.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
     found = written(candidates(tokens, classes), "candidates")
     labels = linked(found)
-    comp = classes.join(labels, "class", "left").select("class", "least", F.coalesce("comp", "class").alias("comp"))
+    return one, classes.join(labels, "class", "left").select("class", "least", F.coalesce("comp", "class").alias("comp"))
+
+
+def first_rows(docs: DataFrame) -> DataFrame:
+    """(rid): by row_hash(), the first row of each component, by doc_id (null last), then a hash of the text. Rows without shingles are in none."""
+    one, comp = labelled(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    first = one.where("n_shingles > 0").groupBy("class").agg(F.min(place).alias("first"))
+    return first.join(comp, "class").groupBy("comp").agg(F.min("first").alias("first")).select("first.rid")
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document.
+
+    Null, empty and blank texts have no shingles and are linked with nothing, not even each other. Rows that repeat are all
+    returned. A null doc_id counts in no minimum; a component of nothing else has null. Extra columns are ignored.
+    """
+    one, comp = labelled(docs)
     least = comp.groupBy("comp").agg(F.min("least").alias("component_id"))
     ids = comp.join(least, "comp").select("class", "component_id")
     out = one.join(ids, "class", "left")

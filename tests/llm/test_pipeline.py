@@ -49,3 +49,18 @@ def test_entry():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_rows_of_one_id(spark):
+    """Texts that share a doc_id, or have none, are documents of their own; the mix takes no row more than twice."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d")), (5, text("d") + " more"), (9, text("c")), (7, text("c")), (None, ""), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    near = p.drop_near_duplicates(spark, docs, DIR)
+    assert near.columns == docs.columns
+    want = [(None, text("a")), (None, text("b")), (7, text("c")), (5, text("d") + " more"), (None, ""), (3, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in near.collect()), key=str) == sorted(want, key=str)
+    mix = p.mix_sources(spark, docs, DIR).groupBy("doc_id", "text").count().collect()
+    times = {x: rows.count(x) for x in rows}
+    assert mix and all(r["count"] <= 2 * times[r["doc_id"], r["text"]] for r in mix)
+    assert sum(r["count"] * len(r["text"].split()) for r in mix) <= 1.5 * sum(len((t or "").split()) for _, t in rows) + 31
