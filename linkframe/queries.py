@@ -577,6 +577,12 @@ def d09(spark, sf_dir):
     return text.blocks(plain).groupBy("id").agg(F.max("n").alias("n"))
 
 
+@query("d09_all_blocks", "")
+def d09_all(spark, sf_dir):
+    """Blocks of every document by kind; their rules have no SQL, a test holds them against plain Python."""
+    return text.blocks(_doc_sides(spark, sf_dir)[1]).groupBy("id", "kind").agg(F.count("*").alias("n"))
+
+
 @query("d10_text", "")
 def d10(spark, sf_dir):
     """Blocks by what happened to them; pairing by shared words has no SQL; a test holds fixed cases."""
@@ -585,9 +591,12 @@ def d10(spark, sf_dir):
 
 @query("d11_words", "", "SELECT 'DOC-'||doc_id AS id, 2 AS added, 0 AS removed FROM documents WHERE doc_id%5=0 AND text<>''")
 def d11(spark, sf_dir):
-    docs = Retail(spark, sf_dir).read("documents").where("doc_id % 5 = 0 and text <> ''")
-    pair = docs.select(F.concat(F.lit("DOC-"), "doc_id").alias("id"), F.regexp_replace("text", "`|~", "").alias("old"), F.concat(F.regexp_replace("text", "`|~", ""), F.lit(" two words")).alias("new"))
-    return diff.diff_words(pair).select("id", F.size("added").alias("added"), F.size("removed").alias("removed"))
+    """Every document before and after: every fifth gets two lines of a word more, so two words, or two lines of a fence. Unchanged ones give no row."""
+    docs = Retail(spark, sf_dir).read("documents")
+    more = F.when((F.col("doc_id") % 5 == 0) & (F.col("text") != ""), "\ntwo\nwords").otherwise("")
+    pair = docs.select(F.concat(F.lit("DOC-"), "doc_id").alias("id"), F.col("text").alias("old"), F.concat("text", more).alias("new"))
+    got = diff.diff_words(pair).select("id", F.size("added").alias("added"), F.size("removed").alias("removed"))
+    return got.where("added + removed > 0")
 
 
 @query("k05_report", "new", f"SELECT what, count(*) AS n FROM (SELECT 'entity' AS what FROM ({DIFF_SQL}) UNION ALL SELECT 'field' FROM prt a JOIN new b ON a.id=b.id WHERE a.name<>b.name UNION ALL SELECT 'field' FROM prt a JOIN new b ON a.id=b.id WHERE a.price<>b.price) GROUP BY what")
@@ -663,19 +672,39 @@ def h07b(spark, sf_dir):
 @query("h08_dependencies", "prt", "SELECT root, how, count(*) AS n FROM (SELECT DISTINCT root, node, 'full' AS how FROM w UNION ALL SELECT DISTINCT w.root, p.brand, 'read' FROM w JOIN prt p ON p.id=w.node) GROUP BY root, how")
 def h08(spark, sf_dir):
     parts = Retail(spark, sf_dir).table("Part")
-    roots = parts.where(F.substring("id", 6, 20).cast("long") % 100 == 1).select("id")
-    got = history.dependencies(roots, parts.select(F.col("id").alias("src"), F.col("parent").alias("dst")), parts.select(F.col("id").alias("src"), F.col("brand").alias("dst")))
+    return _dependencies(parts, parts.where(F.substring("id", 6, 20).cast("long") % 100 == 1))
+
+
+def _dependencies(parts: DataFrame, roots: DataFrame) -> DataFrame:
+    got = history.dependencies(roots.select("id"), parts.select(F.col("id").alias("src"), F.col("parent").alias("dst")), parts.select(F.col("id").alias("src"), F.col("brand").alias("dst")))
     return got.groupBy("root", "how").agg(F.count("*").alias("n"))
 
 
+@query("h08_all_dependencies", "")
+def h08_all(spark, sf_dir):
+    """Every part as a root; a test holds it against plain Python."""
+    parts = Retail(spark, sf_dir).table("Part")
+    return _dependencies(parts, parts)
+
+
 SQL["h08_dependencies"] = SQL["h08_dependencies"].replace(" SELECT root, how", ", w AS (SELECT id AS root, id AS node FROM prt WHERE n%100=1 UNION SELECT w.root, p.parent FROM w JOIN prt p ON p.id=w.node) SELECT root, how", 1)
 
 
 @query("h09_formula_inputs", "ord cus nat", "SELECT o.id AS root, count(*) AS n FROM (SELECT id, customer AS d FROM ord UNION ALL SELECT o.id, c.nation FROM ord o JOIN cus c ON c.id=o.customer) o WHERE o.id IN (SELECT id FROM ord WHERE total>490000) GROUP BY o.id")
 def h09(spark, sf_dir):
     m = Retail(spark, sf_dir).slim
-    roots = m.table("Order").where("total > 490000").select("id")
-    return history.formula_inputs(roots, [m.edges("Order", "customer"), m.edges("Customer", "nation")]).groupBy("root").agg(F.count("*").alias("n"))
+    return _inputs(m, m.table("Order").where("total > 490000"))
+
+
+def _inputs(m, roots: DataFrame) -> DataFrame:
+    return history.formula_inputs(roots.select("id"), [m.edges("Order", "customer"), m.edges("Customer", "nation")]).groupBy("root").agg(F.count("*").alias("n"))
+
+
+@query("h09_all_inputs", "")
+def h09_all(spark, sf_dir):
+    """Every order as a root; a test holds it against plain Python."""
+    m = Retail(spark, sf_dir).slim
+    return _inputs(m, m.table("Order"))
 
 
 @query("h11_scope", "ord cus", "SELECT id, status FROM ord WHERE customer IN (SELECT id FROM cus WHERE segment='BUILDING' AND balance>9000)")
