@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .closure import saved
 from .model import as_text, to_facts
 from .text import blocks
 
@@ -119,7 +120,8 @@ def diff_text(old: DataFrame, new: DataFrame) -> DataFrame:
     """(id, op, old, new): text blocks kept, added, removed or changed.
 
     Blocks match by content and occurrence, so a moved block is kept. Of the others a removed and an added one are one
-    changed block if both are fences, or share at least half the words of the longer one; each block joins its best partner.
+    changed block if both are fences, or share at least half the words of the longer one; each block joins its best partner,
+    and those left over join the best of what is left, until no two that could be a pair are left.
     Only texts on both sides; candidates of a pair are one text's leftover blocks that share a word.
     """
     def side(t: DataFrame, key: str) -> DataFrame:
@@ -139,9 +141,12 @@ def diff_text(old: DataFrame, new: DataFrame) -> DataFrame:
     shared = shared.groupBy("id", "an", "bn", "an_size", "bn_size").agg(F.sum(F.least("an_times", "bn_times")).alias("common"))
     pairs = shared.where(F.col("common") * 2 >= F.greatest("an_size", "bn_size")).select("id", "an", "bn", (F.col("common") / F.greatest("an_size", "bn_size")).alias("share"))
     code = gone.where("ac").join(come.where("bc"), "id").select("id", "an", "bn", (F.lit(0.5) / (1 + F.abs(F.col("an") - F.col("bn")))).alias("share"))
-    pairs = pairs.union(code)
     best = lambda k: F.row_number().over(Window.partitionBy("id", k).orderBy(F.desc("share"), "an", "bn"))
-    pairs = pairs.withColumn("ra", best("an")).where("ra = 1").withColumn("rb", best("bn")).where("rb = 1").select("id", "an", "bn")
+    left, rounds = saved(pairs.union(code)), []
+    while not rounds or not left.isEmpty():
+        rounds.append(saved(left.withColumn("ra", best("an")).where("ra = 1").withColumn("rb", best("bn")).where("rb = 1").select("id", "an", "bn")))
+        left = saved(left.join(rounds[-1], ["id", "an"], "left_anti").join(rounds[-1], ["id", "bn"], "left_anti"))
+    pairs = reduce(lambda a, b: a.union(b), rounds)
     changed = pairs.join(gone, ["id", "an"]).join(come, ["id", "bn"])
     rest_a = gone.join(pairs, ["id", "an"], "left_anti").select("id", F.lit("removed").alias("op"), "old", F.lit(None).cast("string").alias("new"))
     rest_b = come.join(pairs, ["id", "bn"], "left_anti").select("id", F.lit("added").alias("op"), F.lit(None).cast("string").alias("old"), "new")

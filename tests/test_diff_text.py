@@ -93,6 +93,15 @@ def test_text_diff(spark):
     assert [(r["kept"], r["removed"], r["added"]) for r in words] == [(["One", "three", "two"], ["four."], ["five."]), (["```", "```", "a"], ["b"], ["c"])]
 
 
+def test_blocks_with_one_best_partner(spark):
+    """Two edited fences behind two new paragraphs, and two paragraphs alike: both of each are changed."""
+    fence = lambda x: f"```\n{x}\n```"
+    old = docs(spark, "\n\n".join([fence("a"), fence("b")]), "one two three four five six\n\none two three four five nine")
+    new = docs(spark, "\n\n".join(["P q.", "R s.", "T u.", "V w.", fence("c"), fence("d")]), "one two three four five seven\n\none two three ten eleven twelve")
+    got = [(r["id"], r["op"]) for r in d.diff_text(old, new).collect()]
+    assert sorted(got) == [("0", "added")] * 4 + [("0", "changed")] * 2 + [("1", "changed")] * 2
+
+
 SCHEMA = "id string, type string, title string, weight double, uses array<string>, steps array<struct<action:string,check:string>>"
 
 
