@@ -31,7 +31,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete what ``written`` wrote for these tables. Only for tables that nothing reads any more, not even a plan to be run again; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "written_at", None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,11 +54,28 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def pieces(batches, rows: int = 512):
-    """Arrow batches cut into slices, so that a task's working set stays small beside long texts."""
+def pieces(batches, rows: int = 512, size: int = 8 << 20):
+    """Arrow batches cut into slices of at most so many rows and, but for single rows, bytes: a task's working set stays small beside long texts."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        todo = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > size:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``docs`` has: the given ones, with as many underscores behind them as it takes."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def longer(schema: T.StructType, added: str) -> T.StructType:

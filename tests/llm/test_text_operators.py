@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,11 +73,68 @@ def test_ngram_join_nulls_and_repeats(spark):
 
 def test_blobs():
     r = np.random.default_rng(1)
-    low = np.sort(r.integers(0, 1 << 48, 500, dtype=np.uint64))
-    owner = r.integers(0, 40, 500).astype(np.uint16)
-    classes = r.integers(-(1 << 62), 1 << 62, 40)
-    a, b = ngram_join.unblob(ngram_join.blob(low, owner, classes))
-    assert (a == low).all() and (b == classes[owner]).all()
+    for n, m in ((500, 40), (1, 1), (70_000, 66_000)):
+        token = np.sort(r.integers(0, 1 << 56, n, dtype=np.uint64))
+        owner = r.permutation(np.resize(r.integers(-(1 << 62), 1 << 62, m), n))
+        a, b = ngram_join.unblob(ngram_join.blob(token, owner))
+        assert (a == token).all() and (b == owner).all()
+
+
+def test_token_sets():
+    """Equal shingles have equal hashes and others don't, whatever lies around them; long texts go span by span."""
+    r = random.Random(3)
+    texts = corpus(3) + [" ".join(r.choice("abc") * r.randrange(1, 5) for _ in range(3000)), "x" * 3_000_000 + " a b c d e f", "\u00a0A \u2003b", "a\x0bb\x0cc d e f"]
+    array = pa.array(["skipped", *texts])[1:]
+    tokens, at = ngram_join.token_sets(array)
+    names: dict = {}
+    for i, t in enumerate(texts):
+        s, alone = tokens[at[i] : at[i + 1]], ngram_join.token_sets(pa.array([t], pa.string()))[0]
+        assert len(s) == len(shingles(t)) and (np.diff(s.astype(np.int64)) > 0).all() and (s == alone).all()
+        names.setdefault(frozenset(shingles(t)), set()).add(tuple(s.tolist()))
+    assert all(len(x) == 1 for x in names.values()) and len(set.union(*names.values())) == len(names)
+    assert len({h for x in names.values() for s in x for h in s}) == len(set.union(*(shingles(t) for t in texts)))
+
+
+def test_dealing_in_two_steps(spark, monkeypatch):
+    """Many parts are dealt coarse, then fine, and hold the same; a token that one in a hundred documents has is in none of them."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    texts = [" ".join(word() for _ in range(30)) + (" the very same five words here" if i % 100 == 0 else "") for i in range(6000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    hot = [x["id"] for x in ngram_join.surveyed(docs).where("kind = 't'").select("id").distinct().collect()]
+    assert len(hot) == 2  # its two shingles
+    none, all_ = np.zeros(0, np.uint64), np.sort(np.array(hot, np.uint64))
+
+    def content(rows):
+        out = {}
+        for x in rows:
+            t, c = ngram_join.unblob(bytes(x["blob"]))
+            out.setdefault(x["part"], set()).update(zip(t.tolist(), c.tolist(), strict=True))
+        return out
+
+    whole = content(ngram_join.packed(docs, 40, none).collect())
+    few = content(ngram_join.packed(docs, 40, all_).collect())
+    monkeypatch.setattr(ngram_join, "DEAL", 7)
+    assert content(ngram_join.packed(docs, 40, none).collect()) == whole
+    assert max(len(v) for v in few.values()) < 1.3 * sum(map(len, whole.values())) / 40
+    assert not {t for k, v in few.items() if k >= 0 for t, _ in v} & set(hot)
+    # a class's hot tokens leave as one row
+    got = ngram_join.shared(ngram_join.packed(docs, 40, all_)).where(F.col("found")[0]["df"] == ngram_join.HOT_DF)
+    assert got.count() == got.select("class").distinct().count() == 60
+
+
+def test_meeting_by_two_tokens(spark):
+    """Splitting a frequent token by those of the second order loses no pair that shares both, and links() counts what joined() joins."""
+    texts = corpus(5, 60)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    pairs, per = ngram_join.links(docs)
+    sets = [shingles(t) for t in texts]
+    want = [sum(i != j and bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    assert [r["n_links"] for r in per.orderBy("doc_id").collect()] == want
+    _, _, found = ngram_join.gathered(docs)
+    rows = ngram_join.prefixes(found).withColumn("comp", F.col("class"))
+    split = ngram_join.verified(ngram_join.meeting(rows, found, split=1), found)
+    assert {tuple(x) for x in split.collect()} == {tuple(x) for x in pairs.collect()}
 
 
 def test_components(spark):
