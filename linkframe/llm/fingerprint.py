@@ -56,11 +56,11 @@ def as_text(a: Column) -> Column:
 
 
 def merged(df: DataFrame, key: str, sketch: str, k: int = K, fan: int = 32) -> DataFrame:
-    """One sketch per key. Rows merge in rounds of at most ``fan`` sketches, so a hot key never meets in one group.
+    """One sketch per key. Equal sketches of a key are one; the others merge in rounds of about ``fan``, so a hot key never meets in one group.
 
     Null keys form one group; null sketches count as empty.
     """
-    step = df.select(F.col(key).alias("key"), F.coalesce(F.col(sketch), F.array().cast("array<bigint>")).alias("sketch"))
+    step = df.select(F.col(key).alias("key"), F.coalesce(F.col(sketch), F.array().cast("array<bigint>")).alias("sketch")).distinct().checkpoint()
     rows, keys = step.count(), step.select("key").distinct().count()
     salts = 1
     while rows > keys * salts * fan:

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import pieces
 
+#: Bytes of a seek point, and the most bytes that a metadata block can have. Fixed values of the format.
+POINT, MOST = 18, (1 << 24) - 1
 BLOCK = 576
 LPC_ORDER = 4
 PRECISION = 10
@@ -207,7 +209,7 @@ def encode(payloads: list[bytes], block: int = BLOCK, at_once: int = 4096) -> li
         for j, f in enumerate(fs):
             points.append((j * block).to_bytes(8, "big") + at.to_bytes(8, "big") + min(block, len(p) - j * block).to_bytes(2, "big"))
             at += len(f)
-        seek = b"".join(points)
+        seek = b"".join(points[:: -(-len(points) * POINT // MOST) or 1])  # a very long stream has fewer points than frames
         out.append(b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + b"".join(fs))
     return out
 
@@ -410,6 +412,15 @@ def decode(streams: list[bytes], first: list[int] | None = None, at_once: int =
     return [sorted(x.items()) for x in out]
 
 
+#: Text bytes by about how frequent they are, with the padding among them; all others follow by value. The first is the sample nearest to zero.
+FREQUENT = b" e\xfftaoinsrhldcumfpgwybvkxjqz.,\n0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+RANKED = np.array(list(dict.fromkeys([*FREQUENT, *range(256)])), np.uint8)
+#: The stored unsigned form of each byte's sample (sample plus 128), and back: ranks 0, 1, 2, ... are samples 0, -1, 1, -2, ...
+TO_STORED, FROM_STORED = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
+TO_STORED[RANKED] = (np.arange(256) >> 1 ^ -(np.arange(256) & 1)) + 128
+FROM_STORED[TO_STORED] = np.arange(256)
+
+
 def padded(text: str | None, block: int = BLOCK) -> tuple[bytes, int]:
     raw = (text or "").encode("utf-8", "surrogatepass")
     size = max(1, -(-len(raw) // block)) * block
@@ -419,14 +430,15 @@ def padded(text: str | None, block: int = BLOCK) -> tuple[bytes, int]:
 def with_media(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes and media: each text's UTF-8, padded with bytes 255 to a positive multiple of ``block``, as FLAC.
 
+    A byte is stored as the sample of its rank among text bytes (``TO_STORED``), so that frequent ones are small samples with short Rice codes.
     Null text counts as empty. Repeated rows stay. Other columns are left out.
     """
 
     def run(batches):
-        for b in batches:
-            for part in pieces([b], 256):
-                both = [padded(t, block) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([n for _, n in both], pa.int64()), pa.array(encode([p for p, _ in both], block), pa.binary())], ["doc_id", "n_bytes", "media"])
+        for part in pieces(batches, 256, 4 << 20):
+            both = [padded(t, block) for t in part.column("text").to_pylist()]
+            stored = encode([TO_STORED[np.frombuffer(p, np.uint8)].tobytes() for p, _ in both], block)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([n for _, n in both], pa.int64()), pa.array(stored, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
@@ -435,7 +447,7 @@ def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media") ->
     """A row per block: key, sample_offset, n_samples, pcm (signed 8-bit samples). Null media gives no rows."""
 
     def run(batches):
-        for part in pieces(batches, 256):
+        for part in pieces(batches, 256, 4 << 20):
             for k, blocks in zip(part.column(0).to_pylist(), decode([x or SILENCE for x in part.column(1).to_pylist()]), strict=True):
                 if blocks:
                     yield pa.RecordBatch.from_pylist([{"key": k, "sample_offset": s, "n_samples": len(x), "pcm": x.astype(np.int8).tobytes()} for s, x in blocks], pa.schema([("key", pa.int64()), ("sample_offset", pa.int64()), ("n_samples", pa.int32()), ("pcm", pa.binary())]))
@@ -459,20 +471,23 @@ def feature(x: np.ndarray) -> str:
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """Read stored media back: digests of payload and stored form, the CRC-32 of the last 32 payload bytes, a feature."""
+    """Read stored media back: digests of payload and stored form, the CRC-32 of the last 32 payload bytes, a feature.
+
+    Input: what ``with_media`` returns; repeated rows stay, other columns are left out. A null or damaged stream raises ValueError.
+    """
 
     def run(batches):
-        for part in pieces(batches, 256):
-            streams = [x.as_py() for x in part.column("media")]
+        for part in pieces(batches, 256, 4 << 20):
+            streams = [x.as_py() or b"" for x in part.column("media")]
             rows = []
             for k, n, s, blocks in zip(part.column("doc_id").to_pylist(), part.column("n_bytes").to_pylist(), streams, decode(streams), strict=True):
                 x = np.concatenate([y for _, y in blocks]) if blocks else np.zeros(0, np.int64)
-                raw = (x + 128).astype(np.uint8).tobytes()
+                raw = FROM_STORED[(x + 128).astype(np.uint8)].tobytes()
                 rows.append((k, n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(s), hashlib.sha256(s).hexdigest(), feature(x), len(blocks)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), DIGEST.types, strict=True)], schema=DIGEST)
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long"
-    return media.mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_blocks", pa.int64())])

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bytewords import FOLDED, bytes_of, mix64, word_hashes, words_of
 from .common import SHINGLE, pieces, removed, written
 from .components import components
 
@@ -40,44 +41,9 @@ LEADER_ROUNDS = 4
 SPLIT = 2000
 HOT_DF = 1 << 30
 BITS = 56  # of a token
-#: Sum-of-powers hash of words: its base, that base's inverse, and a value per byte; A-Z count as a-z.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-SPAN = 1 << 20
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(31)) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ x >> np.uint64(33)
-
-
-LOWER = np.arange(256, dtype=np.uint64)
-LOWER[65:91] += np.uint64(32)
-VALUE = mix64(LOWER + np.uint64(1))
-BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 TURN = mix64(np.arange(1, 1 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
-POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0, 1, ... modulo 2 ** 64, at least ``n`` of them."""
-    if len(POWERS.get(base, ())) < n:
-        POWERS[base] = np.cumprod(np.r_[np.uint64(1), np.full(max(n, SPAN), base, np.uint64)], dtype=np.uint64)
-    return POWERS[base]
-
-
-def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each word, in spans of bounded size: differences of running sums over bytes."""
-    out = np.empty(len(start), np.uint64)
-    cuts = np.unique(np.searchsorted(start, np.r_[np.arange(0, len(raw), SPAN), len(raw)]))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        lo, hi = int(start[a]), int(end[b - 1])
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(VALUE[raw[lo:hi]] * powers(BASE, hi - lo)[: hi - lo], out=sums[1:])
-        x, y = start[a:b] - lo, end[a:b] - lo
-        out[a:b] = (sums[y] - sums[x]) * powers(INVERSE, hi - lo)[x] + (y - x).astype(np.uint64)
-    return mix64(out)
 
 
 def token_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -85,18 +51,9 @@ def token_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.nd
 
     A-Z are lower-cased, words cut at ASCII white space. Fewer words than a shingle are one shingle; null, empty and blank texts have none.
     """
-    texts = texts.cast(pa.large_string()).fill_null("")
-    _, offsets, data = texts.buffers()
-    edge = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(data, np.uint8)[edge[0] : edge[-1]] if data is not None and edge[-1] > edge[0] else np.zeros(0, np.uint8)
-    edge = edge - edge[0]
-    word = ~BLANK[raw]
-    first = np.zeros(len(raw) + 1, bool)
-    first[edge] = True
-    start = np.flatnonzero(word & (first[:-1] | ~np.r_[False, word[:-1]]))
-    end = np.flatnonzero(word & (first[1:] | ~np.r_[word[1:], False])) + 1
-    h = word_hashes(raw, start, end)
-    words = np.searchsorted(start, edge)  # the number of each text's first word
+    raw, edge = bytes_of(texts)
+    start, end, words = words_of(raw, edge)
+    h = word_hashes(raw, start, end, FOLDED)
     count = np.diff(words)
     held = np.maximum(count - width + 1, 0)
     whole = np.zeros(max(0, len(h) - width + 1), np.uint64)

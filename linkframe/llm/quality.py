@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import longer, pieces
 
-#: Documents that the scorer is trained on: about so many (twice as many at most), drawn by a hash of doc_id and text. Everything else covers all rows.
+#: Documents that the scorer is trained on: about so many, drawn by a hash of doc_id and text, equal rows once. Everything else covers all rows.
 TRAIN_ROWS = 6000
 DIMS = 1 << 15
 SCALE = 30.0
@@ -27,6 +27,12 @@ def vote(good: bool, bad: bool) -> str:
     return BAD if bad else GOOD if good else NONE
 
 
+def distinctness(tokens: list[str], block: int = 500) -> float:
+    """The share of distinct words, as the mean over blocks of one size (the last one ends with the text), so that it doesn't fall with length."""
+    cuts = [*range(0, len(tokens) - block, block), max(0, len(tokens) - block)]
+    return sum(len(set(tokens[a : a + block])) / max(1, len(tokens[a : a + block])) for a in cuts) / len(cuts)
+
+
 def votes(text: str) -> str:
     """One letter per labeller. A text without words gets bad votes from length and prose alone."""
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
@@ -37,7 +43,7 @@ def votes(text: str) -> str:
     letters = max(1, upper + lower)
     lines = [x for x in text.split("\n") if x.strip()]
     copies = 1 - len(set(lines)) / max(1, len(lines))
-    distinct = len(set(tokens)) / n
+    distinct = distinctness(tokens)
     ends = int(seen[[33, 46, 63]].sum()) / n
     symbols = int(seen[SYMBOL].sum()) / size
     bars = int(seen[124]) / n
@@ -49,7 +55,7 @@ def votes(text: str) -> str:
         vote(False, bars > 0.15),  # table bars
         vote(False, shout > 0.25 and len(tokens) > 3),  # shouting
         vote(len(lines) > 3 and copies < 0.1, len(lines) > 3 and copies > 0.4),  # repeated lines
-        vote(n > 30 and distinct > 0.5, n > 50 and distinct < 0.25 and n < 3000),  # repeated words
+        vote(n > 30 and distinct > 0.5, n > 50 and distinct < 0.25),  # repeated words
         vote(0.03 < ends < 0.25, ends < 0.01 or ends > 0.6),  # prose: sentences end now and then
         vote(len(tokens) >= 20, len(tokens) < 4),  # length
         vote(False, digits > 0.3),  # digits
@@ -109,30 +115,29 @@ def vote_features(v: str) -> list[int]:
 
 
 def voted(docs: DataFrame) -> DataFrame:
-    """Add __votes; null text counts as empty."""
-    schema = longer(docs.schema, "__votes string")
+    """(text, votes); null text counts as empty."""
 
     def run(batches):
         for part in pieces(batches):
             got = [votes(t or "") for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.string())], [*part.schema.names, "__votes"])
+            yield pa.RecordBatch.from_arrays([part.column("text"), pa.array(got, pa.string())], ["text", "votes"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select("text").mapInArrow(run, "text string, votes string")
 
 
 def sample_features(docs: DataFrame) -> DataFrame:
-    """__votes, places and values of each text's features."""
+    """votes (v), places and values of each text's features. Input: what ``voted`` returns."""
 
     def run(batches):
         for part in pieces(batches):
             rows = []
-            for t, v in zip(part.column("text").to_pylist(), part.column("__votes").to_pylist(), strict=True):
+            for t, v in zip(part.column("text").to_pylist(), part.column("votes").to_pylist(), strict=True):
                 raw = np.frombuffer((t or "").encode("utf-8", "replace"), np.uint8)
                 at, n = np.unique(trigrams(raw), return_counts=True) if len(raw) > 2 else (np.zeros(0), np.zeros(0))
                 rows.append({"v": v, "at": at.astype(np.int32).tobytes(), "n": (n * SCALE / max(1, len(raw) - 2)).astype(np.float32).tobytes()})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("v", pa.string()), ("at", pa.binary()), ("n", pa.binary())]))
 
-    return docs.select("text", "__votes").mapInArrow(run, "v string, at binary, n binary")
+    return docs.select("text", "votes").mapInArrow(run, "v string, at binary, n binary")
 
 
 def train(rows: list, posterior: dict[str, float], rounds: int = 80, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
@@ -160,12 +165,11 @@ def scored(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     give way. An empty table stays empty. What reaches the driver is bounded: vote patterns and ``train_rows`` feature lists.
     """
     docs = docs.drop("votes", "posterior", "score")
-    with_votes = voted(docs)
-    patterns = {r["__votes"]: r["n"] for r in with_votes.groupBy("__votes").agg(F.count("*").alias("n")).collect()}
+    patterns = {r["votes"]: r["n"] for r in voted(docs).groupBy("votes").agg(F.count("*").alias("n")).collect()}
     posterior, _, _ = expectation(patterns)
     share = min(1.0, train_rows / max(1, sum(patterns.values())))
-    lot = F.xxhash64("doc_id", "text").cast("double") + 2.0**63
-    drawn = docs.where(lot <= share * 2.0**64).select("text").limit(2 * train_rows)
+    lots = docs.select("text", F.xxhash64("doc_id", "text").alias("lot")).where((F.col("lot").cast("double") + 2.0**63) <= share * 2.0**64)
+    drawn = lots.groupBy("lot").agg(F.first("text").alias("text")).select("text")  # rows of one lot are equal
     w = train(sample_features(voted(drawn)).collect(), posterior)
     trained, extra = w[:DIMS].astype(np.float32), w[DIMS:]
     schema = longer(docs.schema, "votes string, posterior double, score double")
@@ -187,5 +191,5 @@ def scored(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The documents whose score reaches ``least``."""
+    """The documents whose score reaches ``least``, as ``scored`` returns them."""
     return scored(docs, train_rows).where(F.col("score") >= least)

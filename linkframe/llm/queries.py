@@ -14,7 +14,7 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.digests(flac.with_media(table(spark, sf_dir, "documents")))
+    return flac.digests(written(flac.with_media(table(spark, sf_dir, "documents")), "media"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def mix_of_sources_and_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping sources: a document belongs to its source and to its language. What each of them was to give, and what it gives."""
+    return mixing.quotas(mixing.overlapping(table(spark, sf_dir, "documents")))
+
+
 def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return spans.without_repeats(docs)
@@ -60,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") or name == "pipeline"}
+    return {name: f for name, f in globals().items() if name.startswith(("op", "mix_of_")) or name == "pipeline"}
 
 
 def oracle_sql() -> dict[str, str]:

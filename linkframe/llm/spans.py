@@ -1,156 +1,171 @@
 """Substring dedup by sliding sentence spans.
 
 Every run of consecutive units is hashed: from each unit on ``RUN`` of them, or as many as it takes for ``LEAST_WORDS``
-words. Of runs that are equal anywhere in the table, all but the first (by doc_id, then text, then place) are
+words. Of runs that are equal anywhere in the table, all but the first (by doc_id, then a hash of doc_id and text, then place) are
 marked, and the units that a marked run covers go. Units are sentences, which end at ``.``, ``!`` or ``?`` before white space
-and at line ends; a sentence of over ``LONG`` words is also cut after the word with the least hash of each ``WINDOW``.
+and at line ends; a sentence of over ``LONG`` words is also cut after the word with the least hash of each ``WINDOW``. Words are
+what ASCII white space parts; it doesn't matter how much of it there is, but for line ends.
 
 Where a passage lies in its sentence doesn't matter: whole windows inside it choose the same words in every copy, so
-only its first and last eight words can be cut differently. From the 17th word on, at the latest, copies are cut alike, two
-units have at most 20 words, so each passage of 50 words has a run that all its copies share.
+only its first and last eight words can be cut differently. From the 17th word on, at the latest, copies are cut alike, and a run
+is over 24 words later, at the latest: each passage of 50 words has a run that all its copies share. Passages of under
+``LEAST_WORDS`` words are left alone, as texts share so many by chance.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from bisect import bisect_left
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import longer, pieces, written
+from .bytewords import bytes_of, sequence_hashes, word_hashes, words_of
+from .common import free, longer, pieces, removed, written
 
 RUN = 2
 #: Fewer words than this are too few to tell a copy from chance.
-LEAST_WORDS = 8
+LEAST_WORDS = 16
 #: Sentences of more words are cut by content; no unit has more words than this.
 LONG, WINDOW = 10, 9
-END = re.compile(r"(?<=[.!?])(?=\s)|(?<=\n)")
-WORD = re.compile(r"\s*\S+")
-
-
-def picked(words: list[str]) -> list[int]:
-    """Numbers of the words that have the least hash of some window; fewer words than a window have none."""
-    if len(words) < WINDOW:
-        return []
-    h = np.fromiter(map(zlib.crc32, " ".join(words).encode().split(b" ")), np.uint32, len(words))
-    least = np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1)
-    return np.unique(np.arange(len(least)) + least).tolist()
-
-
-def cut_behind(s: str, words: list[str], cut: list[int]) -> list[str]:
-    """A sentence cut behind words of these numbers."""
-    lead = s[: len(s) - len(s.lstrip())]
-    tail = s[len(s.rstrip()) :]
-    if lead + " ".join(words) + tail != s:  # other white space than single blanks
-        ends = [m.end() for m in WORD.finditer(s)]
-        words, lead, tail, gap = [s[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], "", s[ends[-1] :], ""
-    else:
-        gap = " "
-    out = [gap + gap.join(words[a + 1 : b + 1]) for a, b in zip([-1, *cut], [*cut, len(words) - 1], strict=True)]
-    out[0] = lead + out[0][len(gap) :]
-    out[-1] += tail
-    return out
+STOP = np.isin(np.arange(256), list(b".!?"))
+#: A run that more than this, and more than one in a thousand, of all runs equal is hot; so there are under a thousand hot ones.
+HOT = 5000
+
+
+class Units:
+    """The units of a batch of texts. ``end``: where each ends in the bytes (white space behind it is the next one's, or the text's
+    last one's); ``first``: the number of each text's first unit; ``words``: the number of each unit's first word."""
+
+    def __init__(self, texts: pa.Array):
+        self.raw, self.edge = bytes_of(texts)
+        start, stop, first_word = words_of(self.raw, self.edge)
+        n = len(start)
+        self.hashes = word_hashes(self.raw, start, stop)
+        lines = np.concatenate([[0], np.cumsum(self.raw == 10)])
+        last = np.zeros(n, bool)  # the last word of its text
+        last[first_word[1:][np.diff(first_word) > 0] - 1] = True
+        ends = last | STOP[self.raw[stop - 1]] if n else last
+        if n > 1:
+            ends[:-1] |= lines[start[1:]] > lines[stop[:-1]]
+        close = np.flatnonzero(ends)
+        size = np.diff(np.r_[-1, close])
+        if n >= WINDOW:
+            windows = np.lib.stride_tricks.sliding_window_view(self.hashes, WINDOW)
+            text = np.repeat(np.arange(len(first_word) - 1), np.diff(first_word))
+            whole = np.flatnonzero(text[WINDOW - 1 :] == text[: n - WINDOW + 1])
+            for a in range(0, len(whole), 1 << 16):
+                at = whole[a : a + (1 << 16)]
+                picked = at + windows[at].argmin(axis=1)
+                ends[picked[np.repeat(size, size)[picked] > LONG]] = True
+        close = np.flatnonzero(ends)
+        self.words = np.r_[0, close + 1]
+        self.first = np.searchsorted(close, first_word)
+        self.end = stop[close].copy()
+        self.end[self.first[1:][np.diff(self.first) > 0] - 1] = self.edge[1:][np.diff(self.first) > 0]
+
+    def runs(self, run: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First unit, the unit behind the last one, and place in its text of each run, by first unit. Where too few words follow a unit
+        it begins none; for that, a text's last run ends with it, and if it is not one of the others its place is counted from -1 down."""
+        k = np.arange(len(self.end))
+        to = np.maximum(k + run, np.searchsorted(self.words, self.words[:-1] + least))
+        begin, limit = (np.repeat(x, np.diff(self.first)) for x in (self.first[:-1], self.first[1:]))
+        fits = to <= limit
+        first, to, at = k[fits], to[fits], (k - begin)[fits]
+        lo, hi = self.first[:-1], self.first[1:]
+        tail = np.minimum(hi - run, np.searchsorted(self.words, self.words[hi] - least, side="right") - 1)
+        lo, hi, tail = lo[tail >= lo], hi[tail >= lo], tail[tail >= lo]
+        new = to[np.searchsorted(first, tail)] < hi if len(tail) else np.zeros(0, bool)
+        first, to, at = np.r_[first, tail[new]], np.r_[to, hi[new]], np.r_[at, -1 - (tail - lo)[new]]
+        order = np.lexsort((to, first))
+        return first[order], to[order], at[order]
+
+    def run_hashes(self, first: np.ndarray, to: np.ndarray) -> np.ndarray:
+        return sequence_hashes(self.hashes, self.words[first], self.words[to]).view(np.int64)
+
+    def text_of(self, units: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, units, side="right") - 1
 
 
 def sentences(text: str) -> list[str]:
-    """A text cut into units, white space included; joined they are the text. Blank ones join the one before."""
-    out: list[str] = []
-    every = text.split()
-    picks, first = picked(every), 0
-    for s in END.split(text):
-        words = s.split()
-        n = len(words)
-        if n > LONG:
-            cut = picks[bisect_left(picks, first) : bisect_left(picks, first + n - 1)]
-            out += cut_behind(s, words, [i - first for i in cut])
-        elif n or not out:
-            out.append(s)
-        else:
-            out[-1] += s
-        first += n
-    return out if text else []
-
-
-def runs(found: list[str], run: int, least: int) -> list[tuple[int, int]]:
-    """Start and end of each run. Where too few words follow there is none."""
-    size = [len(s.split()) for s in found]
-    out, end, total = [], 0, 0
-    for i in range(len(found)):
-        while end < len(found) and (end - i < run or total < least):
-            total += size[end]
-            end += 1
-        if end - i < run or total < least:
-            break
-        out.append((i, end))
-        total -= size[i]
-    return out
+    """A text's units; joined they are the text, if it has words."""
+    u = Units(pa.array([text]))
+    return [bytes(u.raw[a:b]).decode() for a, b in zip([0, *u.end[:-1]], u.end, strict=False)]
 
 
-def run_keys(found: list[str], run: int, least: int) -> list[tuple[int, int]]:
-    """Start and 64-bit hash of each run; white space inside doesn't matter."""
-    bare = [" ".join(s.split()) for s in found]
-    return [(i, xxhash.xxh3_64_intdigest("\n".join(bare[i:j])) - (1 << 63)) for i, j in runs(bare, run, least)]
-
-
-def with_rid(docs: DataFrame) -> DataFrame:
-    """Add __rid, which tells documents apart: rows with equal doc_id and text are one document."""
-    return docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
+def with_rid(docs: DataFrame, name: str) -> DataFrame:
+    """Add a column that tells documents apart: rows with equal doc_id and text are one document."""
+    return docs.withColumn(name, F.xxhash64("doc_id", "text"))
 
 
 def repeated(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
-    """(__rid, at): places of runs that are not the first of their kind. Input: rows with __rid."""
+    """(rid, at): places of runs that are not the first of their kind. Input: doc_id, text, rid."""
 
     def keys(batches):
         for part in pieces(batches):
-            ids, rids, texts = (part.column(i).to_pylist() for i in range(3))
-            cols: list[list] = [[], [], [], []]
-            for d, r, t in zip(ids, rids, texts, strict=True):
-                for at, key in run_keys(sentences(t), run, least) if t else ():
-                    for col, x in zip(cols, (key, d, r, at), strict=True):
-                        col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["run", "doc", "rid", "at"])
-
-    every = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.col("__rid").alias("rid"), "text").mapInArrow(keys, "run long, doc long, rid long, at int")
+            u = Units(part.column("text"))
+            first, to, at = u.runs(run, least)
+            text = u.text_of(first)
+            doc, rid = (part.column(c).to_numpy(zero_copy_only=False)[text] for c in ("doc", "rid"))
+            yield pa.RecordBatch.from_arrays([pa.array(u.run_hashes(first, to)), pa.array(doc), pa.array(rid), pa.array(at.astype(np.int32))], ["run", "doc", "rid", "at"])
+
+    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), "rid", "text")
+    every = written(slim.mapInArrow(keys, "run long, doc long, rid long, at int"), "every")
     tag = F.hash("rid", "at")  # a number for a place, as the places themselves would shuffle far more
-    twice = every.groupBy("run").agg(F.min(tag).alias("x"), F.max(tag).alias("y")).where("x <> y").select("run")
-    some = written(every.join(twice, "run", "left_semi"), "runs")
+    twice = every.groupBy("run").agg(F.min(tag).alias("x"), F.max(tag).alias("y"), F.count("*").alias("n")).where("x <> y").select("run", "n")
+    twice = written(twice, "twice")
+    most = max(HOT, every.count() // 1000)
+    hot = twice.where(F.col("n") > most).select("run")
     place = F.struct("doc", "rid", "at")
+    if hot.isEmpty():
+        some = every.join(twice, "run", "left_semi")
+    else:  # hot runs never meet: their first places combine before they shuffle, and come back by broadcast (under a thousand rows)
+        first = every.join(F.broadcast(hot), "run", "left_semi").groupBy("run").agg(F.min(place).alias("first"))
+        marks = written(every.join(F.broadcast(first), "run").where(place != F.col("first")).select("rid", "at"), "hot")
+        some = every.join(F.broadcast(hot), "run", "left_anti").join(twice, "run", "left_semi")
+    some = written(some, "runs")
     first = some.groupBy("run").agg(F.min(place).alias("first"))
-    return some.join(first, "run").where(place != F.col("first")).select(F.col("rid").alias("__rid"), "at")
+    rest = some.join(first, "run").where(place != F.col("first")).select("rid", "at")
+    out = written(rest if hot.isEmpty() else rest.union(marks), "marks")
+    removed(every, twice, some, *([] if hot.isEmpty() else [marks]))
+    return out
 
 
 def without_repeats(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
     """The documents with ``text`` shortened, and n_sentences and n_removed added.
 
-    Every row stays, with its other columns; a null text stays null, an empty one empty; rows with equal doc_id
+    Every row stays, with its other columns; a null text stays null, one without words as it is; rows with equal doc_id
     and text count as one document and stay as they are to each other. A document of which all is
-    repeated keeps an empty text.
+    repeated keeps an empty text. Columns named n_sentences or n_removed give way, others keep their names, whatever these are.
     """
-    docs = with_rid(docs.drop("n_sentences", "n_removed"))
-    marks = repeated(docs, run, least).groupBy("__rid").agg(F.collect_set("at").alias("__at"))
-    both = docs.join(marks, "__rid", "left").drop("__rid")
-    schema = longer(docs.drop("__rid").schema, "n_sentences int, n_removed int")
+    docs = docs.drop("n_sentences", "n_removed")
+    rid, marked = free(docs, "rid", "marked")
+    keyed = with_rid(docs, rid)
+    marks = repeated(keyed.select("doc_id", "text", F.col(rid).alias("rid")), run, least)
+    marks = marks.groupBy(F.col("rid").alias(rid)).agg(F.collect_set("at").alias(marked))
+    both = keyed.join(marks, rid, "left").select(*[F.col(f"`{c}`") for c in docs.columns], marked)
+    schema = longer(docs.schema, "n_sentences int, n_removed int")
     where = schema.fieldNames().index("text")
 
     def cut(batches):
         for part in pieces(batches):
-            texts, marked = part.column("text").to_pylist(), part.column("__at").to_pylist()
-            n, gone = [], []
-            for i, (t, at) in enumerate(zip(texts, marked, strict=True)):
-                found = sentences(t or "")
-                ends = dict(runs(found, run, least)) if at else {}
-                out = {j for a in at or () for j in range(a, ends[a])}
-                n.append(len(found))
-                gone.append(len(out))
-                if out:
-                    texts[i] = "".join(s for j, s in enumerate(found) if j not in out)
+            column = part.column(where)
+            u = Units(column)
+            marks = part.column(part.num_columns - 1).to_pylist()
+            gone, texts = np.zeros(part.num_rows, np.int32), None
+            first, to, at = u.runs(run, least)
+            cut = np.searchsorted(first, u.first)
+            for i in (i for i, m in enumerate(marks) if m):
+                base, out, here = int(u.first[i]), set(), set(marks[i])
+                for j in range(cut[i], cut[i + 1]):
+                    if int(at[j]) in here:
+                        out |= set(range(int(first[j]), int(to[j])))
+                gone[i] = len(out)
+                begin = np.r_[u.edge[i], u.end[base : u.first[i + 1] - 1]]
+                texts = column.to_pylist() if texts is None else texts
+                texts[i] = b"".join(u.raw[a:b].tobytes() for j, (a, b) in enumerate(zip(begin, u.end[base : u.first[i + 1]], strict=True), base) if j not in out).decode()
             cols = [part.column(c) for c in range(part.num_columns - 1)]
-            cols[where] = pa.array(texts, part.schema.field(where).type)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int32()), pa.array(gone, pa.int32())], [*part.schema.names[:-1], "n_sentences", "n_removed"])
+            if texts is not None:
+                cols[where] = pa.array(texts, column.type)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(u.first), pa.int32()), pa.array(gone)], [*part.schema.names[:-1], "n_sentences", "n_removed"])
 
     return both.mapInArrow(cut, schema)

@@ -98,6 +98,8 @@ def read(content: bytes):
         words = zstandard.ZstdCompressionDict(words)
     unpack = zstandard.ZstdDecompressor(dict_data=words) if words else zstandard.ZstdDecompressor()
     while at < len(data):
+        if len(data) - at < 8:
+            raise ValueError("bytes that are no frame at the end of an archive")
         if 0x184D2A50 <= struct.unpack_from("<I", data, at)[0] <= 0x184D2A5F:
             at += 8 + struct.unpack_from("<I", data, at + 4)[0]
             continue
@@ -111,7 +113,7 @@ def deduplicated(pages: DataFrame, least: int = REVISIT_LEAST) -> DataFrame:
     """Add payload (null html: empty), digest and refers_to: of equal payloads of at least ``least`` bytes all but the
     largest page_id refer to that one.
 
-    Rows with null page_id count as smallest. A repeated page_id is a revisit of itself, but for one of its rows.
+    Rows with null page_id count as smallest. Rows that share the largest page_id are responses each.
     Counts per digest combine before they shuffle, and only digests that recur are joined back.
     """
     pages = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
@@ -121,7 +123,8 @@ def deduplicated(pages: DataFrame, least: int = REVISIT_LEAST) -> DataFrame:
 
 
 def archives(pages: DataFrame, size: int = ARCHIVE_BYTES) -> DataFrame:
-    """Archives of about ``size`` bytes of payload, as (archive_id, content). Input: what ``deduplicated`` returns."""
+    """Archives of about ``size`` bytes of payload, as (archive_id, content). Input: what ``deduplicated`` returns; repeated rows are
+    records each, a null url is empty, an empty table has no archive."""
 
     def run(batches):
         held, total = [], 0
@@ -149,7 +152,8 @@ RECORD = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("
 
 
 def records(table: DataFrame, content: str = "content", blocks: bool = True) -> DataFrame:
-    """A row per record of a table of archives, each response's digest and length checked against its block."""
+    """A row per record of a table of archives, each response's digest and length checked against its block. Null or empty content has
+    no records; a damaged archive raises ValueError."""
 
     def run(batches):
         for part in pieces(batches, 1):

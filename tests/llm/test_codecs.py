@@ -92,6 +92,19 @@ def test_flac_without_seek_points():
     assert [joined(b) for b in flac.decode(bare)] == PAYLOADS
 
 
+def test_flac_long_stream(monkeypatch):
+    """Where a point per frame would not fit in the seek table, there are fewer, and the stream still reads."""
+    monkeypatch.setattr(flac, "MOST", 40)
+    s = flac.encode([PAYLOADS[5]])[0]
+    assert len(flac.layout(s)[1]) == 2 and joined(flac.decode([s])[0]) == PAYLOADS[5]
+
+
+def test_bytes_as_samples():
+    every = np.arange(256, dtype=np.uint8)
+    assert (flac.FROM_STORED[flac.TO_STORED[every]] == every).all() and len(set(flac.TO_STORED.tolist())) == 256
+    assert flac.TO_STORED[32] == 128 and flac.TO_STORED[255] in (127, 129)
+
+
 def test_flac_seek():
     s = flac.encode([PAYLOADS[5]])
     blocks = flac.decode(s, first=[2000])[0]
@@ -142,6 +155,13 @@ def test_warc(spark):
     assert warc.records(warc.archives(warc.deduplicated(pages.limit(0)))).isEmpty()
 
 
+def test_warc_repeated_rows(spark):
+    big = "<p>" + "x" * 2000
+    pages = spark.createDataFrame([(1, "u", big), (1, "u", big), (9, "u", big), (9, "v", big), (None, None, big)], "page_id long, url string, html string")
+    rows = warc.page_records(warc.records(warc.archives(warc.deduplicated(pages)))).collect()
+    assert sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in rows) == [("1", "revisit", 9), ("1", "revisit", 9), ("9", "response", None), ("9", "response", None), ("None", "revisit", 9)]
+
+
 def test_warc_damage():
     good = warc.record("response", "u", "urn:page:1", b"abc", hashlib.sha1(b"abc").hexdigest(), 3, None)
     assert warc.parse(good)[1] == b"abc"
@@ -150,9 +170,11 @@ def test_warc_damage():
             warc.parse(bad)
     data = warc.archive([good, good])
     assert len(list(warc.read(data))) == 2
-    for cut in (data[:-3], data[:9], data + b"junkjunk"):
-        with pytest.raises(Exception):
+    for cut in (data[:-3], data + b"junkjunk", data + b"j", data + b"jun"):
+        with pytest.raises(ValueError):
             list(warc.read(cut))
+    with pytest.raises((ValueError, zstandard.ZstdError)):
+        list(warc.read(data[:9]))
 
 
 def test_sentencepiece_exact(spark):

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from linkframe.llm import components, fingerprint, mixing, ngram_join, quality, spans, suffix_dedup, token_counts
+from linkframe.llm import bytewords, components, fingerprint, mixing, ngram_join, quality, spans, suffix_dedup, token_counts
 
 DIR = "/root/testdata/sf0.001"
 
@@ -149,23 +149,58 @@ def test_components(spark):
     assert got == {k: v for k, v in label.items() if any(k in e and e[0] != e[1] and None not in e for e in edges)}
 
 
-def plain_spans(docs, run=2, least=8):
-    cut = [spans.sentences(t or "") for _, t in docs]
-    seen, gone = {}, [set() for _ in docs]
+def plain_hash(word):
+    whole = 1 << 64
+    x = (sum(int(bytewords.EXACT[b]) * pow(bytewords.BASE, k, whole) for k, b in enumerate(word)) + len(word)) % whole
+    x = (x ^ x >> 31) * 0x7FB5D329728EA185 % whole
+    x = (x ^ x >> 27) * 0x81DADEF4BC2DD44D % whole
+    return x ^ x >> 33
+
+
+def plain_units(text):
+    """(words, characters) of each unit, word by word from the definition."""
+    found = list(re.finditer(r"[^\x20\x09-\x0D]+", text))
+    words = [m.group() for m in found]
+    ends = {i for i, m in enumerate(found) if i + 1 == len(found) or m.group()[-1] in ".!?" or "\n" in text[m.end() : found[i + 1].start()]}
+    h, sentence, begin = [plain_hash(w.encode()) for w in words], {}, 0
+    for e in sorted(ends):
+        sentence.update(dict.fromkeys(range(begin, e + 1), e + 1 - begin))
+        begin = e + 1
+    for i in range(len(words) - 8):
+        k = min(range(i, i + 9), key=lambda j: (h[j], j))
+        if sentence[k] > 10:
+            ends.add(k)
+    out, begin, at = [], 0, 0
+    for e in sorted(ends):
+        to = len(text) if e + 1 == len(words) else found[e].end()
+        out.append((words[begin : e + 1], text[at:to]))
+        begin, at = e + 1, to
+    return out
+
+
+def plain_runs(units, run=2, least=16):
+    for i in range(len(units)):
+        for j in range(i + run, len(units) + 1):
+            if sum(len(w) for w, _ in units[i:j]) >= least:
+                yield i, j, tuple(x for w, _ in units[i:j] for x in w)
+                break
+    for i in range(len(units) - run, -1, -1):  # the last run ends with the text
+        if sum(len(w) for w, _ in units[i:]) >= least:
+            yield i, len(units), tuple(x for w, _ in units[i:] for x in w)
+            break
+
+
+def plain_spans(docs):
+    """Texts without what repeats; docs: (doc_id, text) of different ids or equal rows."""
+    cut, first, gone = [plain_units(t or "") for _, t in docs], {}, [set() for _ in docs]
     for i in sorted(range(len(docs)), key=lambda i: docs[i][0]):
-        for at, key in spans.run_keys(cut[i], run, least):
-            if key in seen:
-                n, words = 0, 0
-                while n < run or words < least:
-                    words += len(cut[i][at + n].split())
-                    n += 1
-                gone[i] |= set(range(at, at + n))
-            else:
-                seen[key] = 1
-    return ["".join(s for j, s in enumerate(c) if j not in g) for c, g in zip(cut, gone, strict=True)]
-
-
-def test_sentence_spans(spark):
+        for a, b, key in plain_runs(cut[i]):
+            if first.setdefault(key, (docs[i], a, b)) != (docs[i], a, b):
+                gone[i] |= set(range(a, b))
+    return ["".join(s for j, (_, s) in enumerate(c) if j not in g) if g else t or "" for (_, t), c, g in zip(docs, cut, gone, strict=True)]
+
+
+def test_sentence_spans(spark, monkeypatch):
     r = random.Random(5)
     sentence = lambda: " ".join("".join(r.choice("abcde") for _ in range(4)) for _ in range(r.randrange(2, 12))).capitalize() + r.choice(".!?")
     shared = [sentence() for _ in range(10)]
@@ -175,15 +210,19 @@ def test_sentence_spans(spark):
         a = r.randrange(len(shared))
         s[len(s) // 2 : len(s) // 2] = shared[a : a + r.randrange(0, 6)]
         texts.append(r.choice([" ", "\n"]).join(s))
-    texts += ["", None, "One. " * 30, ("w, " * 40 + "end. ") * 2, " ".join(f"w{i}" for i in range(300)), "x " + " ".join(f"w{i}" for i in range(300)), texts[0]]
+    texts += ["", None, " \n\t ", "a b. c\u00a0d " * 9, "One. " * 30, "\t".join(f"w{i % 90}" for i in range(260)), "  ".join(f"w{i % 90}" for i in range(5, 200)), ("w, " * 40 + "end. ") * 2, " ".join(f"w{i}" for i in range(300)), "x " + " ".join(f"w{i}" for i in range(300)), texts[0]]
     docs = list(enumerate(texts))
     df = spark.createDataFrame([(i, t, "n") for i, t in docs], "doc_id long, text string, n_removed string")
     got = {x["doc_id"]: x for x in spans.without_repeats(df).collect()}
     want = plain_spans(docs)
+    assert sum(len(w) < len(t or "") for w, t in zip(want, texts, strict=True)) > 20
+    monkeypatch.setattr(spans, "HOT", 3)  # most runs are hot
+    assert {x["doc_id"]: x["text"] for x in spans.without_repeats(df).collect()} == {i: x["text"] for i, x in got.items()}
     for i, t in docs:
         assert (got[i]["text"] or "") == want[i] and (got[i]["text"] is None) == (t is None), i
     assert got[len(texts) - 1]["text"] == ""  # a whole copy has nothing left
-    assert all("".join(spans.sentences(t or "")) == (t or "") for t in texts)
+    assert all("".join(spans.sentences(t or "")) == (t or "") or not (t or "").split() for t in texts)
+    assert [spans.sentences(t or "") for t in texts] == [[x for _, x in plain_units(t or "")] for t in texts]
     assert spans.without_repeats(df.limit(0)).isEmpty()
 
 
@@ -244,6 +283,27 @@ def test_overlapping_sources(spark):
     assert all(x["taken"] == 0 for x in got if not x["s"])
 
 
+def test_quotas_of_overlapping_sources(spark):
+    """Every source of three that overlap is given its target, but for what one document at each end of a share can miss."""
+    r = random.Random(15)
+    rows = [(i, r.choice(["a", "b", None]), r.choice(["en", "de"]), " ".join(["w"] * r.randrange(1, 40))) for i in range(3000)]
+    docs = spark.createDataFrame([(*x, "clash", "clash") for x in rows], "doc_id long, source string, lang string, text string, pattern string, lot string")
+    mixed = mixing.overlapping(docs)
+    found = {x["source"]: x for x in mixing.quotas(mixed).collect()}
+    size = {i: len(t.split()) for i, _, _, t in rows}
+    sources = sorted({x for _, s, g, _ in rows for x in ([f"source={s}"] if s else []) + [f"lang={g}"]})
+    total = {x: sum(size[i] for i, s, g, _ in rows if x in (f"source={s}", f"lang={g}")) for x in sources}
+    want = mixing.shares([total[x] for x in sources], [(3, 1, 2)[k % 3] for k in range(len(sources))], 1.5 * sum(size.values()), 2)
+    for x, w in zip(sources, want, strict=True):
+        assert found[x]["target"] == pytest.approx(w) and abs(found[x]["given"] - w) < 6 * 40, (x, w, found[x])
+    member = {i: {f"source={s}", f"lang={g}"} for i, s, g, _ in rows}
+    for x in mixed.collect():
+        assert len(x["dealt"]) == x["copies"] <= 2 and {d["source"] for d in x["dealt"]} <= member[x["doc_id"]]
+    assert mixed.columns == ["doc_id", "source", "lang", "n", "size", "source_size", "target", "copies", "taken", "dealt"]
+    kept = mixing.mix(docs, F.array("source"), F.lit(1), mixing.by_turns(1))
+    assert {"pattern", "lot"} <= set(kept.columns) and kept.where("pattern <> 'clash' or lot <> 'clash'").isEmpty()
+
+
 def test_quality(spark):
     path = f"{DIR}/documents.parquet"
     docs, labels = spark.read.parquet(path), spark.read.parquet(f"{DIR}/labels.parquet")
@@ -258,6 +318,38 @@ def test_quality(spark):
     assert quality.scored(odd.limit(0)).isEmpty()
 
 
+def test_quality_details(spark):
+    """Long and short repetition count alike; rows that repeat weigh once in training; clashing names stay apart."""
+    for n in (120, 1499, 1500, 40_000):
+        assert quality.votes("spam ham " * n)[5] == quality.BAD
+    assert quality.votes(" ".join(f"w{i}" for i in range(60_000)))[5] == quality.GOOD
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").withColumn("__votes", F.lit("mine"))
+    many = docs.union(docs.where("doc_id = 3").crossJoin(spark.range(3000)).select("doc_id", "text", "__votes"))
+    a = {r["doc_id"]: r["score"] >= 0.5 for r in quality.scored(docs).collect()}
+    got = quality.scored(many, train_rows=10_000)
+    assert got.where("__votes <> 'mine'").isEmpty() and got.where("doc_id = 3").select("score").distinct().count() == 1
+    b = {r["doc_id"]: r["score"] >= 0.5 for r in got.collect()}
+    assert sum(a[k] == b[k] for k in a) > 0.95 * len(a)
+
+
+def test_plain_scorer(spark):
+    """Scores against a plain version: votes, counted trigrams, weights of the same training."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    counts: dict = {}
+    for t in texts.values():
+        counts[quality.votes(t)] = counts.get(quality.votes(t), 0) + 1
+    posterior = quality.expectation(counts)[0]
+    rows = quality.sample_features(quality.voted(docs)).collect()
+    w = quality.train(sorted(rows, key=lambda r: (r["v"], bytes(r["at"]), bytes(r["n"]))), posterior)
+    got = {r["doc_id"]: r for r in quality.scored(docs).collect()}
+    for i, t in texts.items():
+        raw, v = t.encode(), quality.votes(t)
+        places = [((raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]) * 2654435761 % 2**32) >> 17 for k in range(len(raw) - 2)]
+        z = sum(w[p] for p in places) / max(1, len(places)) * quality.SCALE + w[-1] + sum(0.5 * w[quality.DIMS + 3 * k + "01-".index(c)] for k, c in enumerate(v))
+        assert got[i]["posterior"] == pytest.approx(posterior[v]) and got[i]["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=2e-3), i
+
+
 def test_expectation():
     """Labels drawn from known accuracies: posteriors find the classes again."""
     r = random.Random(8)
@@ -310,6 +402,12 @@ def test_merged_sketches(spark):
     assert got == {k: sorted(v)[:16] for k, v in every.items()}
 
 
+def test_equal_sketches_merge_as_one(spark):
+    df = spark.range(4000).select(F.lit("k").alias("k"), F.array(F.lit(5).cast("long"), F.lit(9).cast("long")).alias("s"))
+    more = df.union(spark.createDataFrame([("k", [1, 9]), (None, None)], "k string, s array<long>"))
+    assert {r["k"]: r["s"] for r in fingerprint.merged(more, "k", "s", k=3, fan=4).collect()} == {"k": [1, 5, 9], None: []}
+
+
 @pytest.fixture(scope="module")
 def counter():
     tokenizers = pytest.importorskip("public_tokenizers")
@@ -395,6 +493,18 @@ def test_run_index():
         assert len(index.heads) <= len(index.text)
 
 
+def test_sentence_spans_rows(spark):
+    """Repeated rows, null ids and columns named as the operator's own; very long texts."""
+    t, long = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i * i}" for i in range(60_000))
+    rows = [(None, t), (1, t), (1, t), (None, "a " + t), (3, long), (4, "x " + long), (5, None)]
+    df = spark.createDataFrame([(i, x, 7, 8, "k") for i, x in rows], "doc_id long, text string, rid int, marked int, __at string").repartition(3)
+    got = spans.without_repeats(df)
+    assert got.columns == ["doc_id", "text", "rid", "marked", "__at", "n_sentences", "n_removed"] and got.where("rid <> 7 or marked <> 8 or __at <> 'k'").isEmpty()
+    found = {(x["doc_id"], len(x["text"] or "")) for x in got.collect()}
+    assert got.count() == len(rows) and (1, len(t)) in found and (3, len(long)) in found and (5, 0) in found
+    assert max(n for i, n in found if i == 4) < 100 and max(n for i, n in found if i is None) < 40
+
+
 @pytest.mark.parametrize("marks", [" ,.", " "])
 def test_passages_inside_sentences(marks):
     """A passage in the midst of sentences is always found, and of a long one no 50 words in a row are left."""
@@ -402,16 +512,17 @@ def test_passages_inside_sentences(marks):
     some = lambda n: "".join("".join(r.choice("abcdefg") for _ in range(r.randrange(1, 7))) + r.choice(r.choice([" ", " ", marks])).strip() + " " for _ in range(n)).split()
     for n in [50] * 300 + [120] * 100:
         p, before = some(n), r.randrange(100)
-        found = set(k for _, k in spans.run_keys(spans.sentences(" ".join(some(60) + p + some(60))), 2, 8))
-        cut = spans.sentences(" ".join(some(before) + p + some(60)))
-        ends, at = dict(spans.runs(cut, 2, 8)), np.cumsum([0, *(len(s.split()) for s in cut)])
-        gone = "".join("-" for _ in range(at[-1]))
-        for i, k in spans.run_keys(cut, 2, 8):
+        a, b = (spans.Units(pa.array([" ".join(some(k) + p + some(60))])) for k in (60, before))
+        found = set(a.run_hashes(*a.runs(2, spans.LEAST_WORDS)[:2]).tolist())
+        gone = np.zeros(before + n + 60, bool)
+        first, to, _ = b.runs(2, spans.LEAST_WORDS)
+        for i, j, k in zip(first, to, b.run_hashes(first, to).tolist(), strict=True):
             if k in found:
-                gone = gone[: at[i]] + "x" * (at[ends[i]] - at[i]) + gone[at[ends[i]] :]
-        left = [len(x) for x in gone[before : before + n].split("x")]
-        assert "x" in gone[before : before + n] and max(left) < 50
+                gone[b.words[i] : b.words[j]] = True
+        inside = "".join("x" if x else "-" for x in gone[before : before + n])
+        assert "x" in inside and max(map(len, inside.split("x"))) < 50
 
 
 def test_units_are_short():
-    assert max(len(s.split()) for s in spans.sentences("\t".join(f"w{i}" for i in range(500)))) <= spans.LONG
+    for gap in " \t":
+        assert max(len(s.split()) for s in spans.sentences(gap.join(f"w{i}" for i in range(500)))) <= spans.LONG
