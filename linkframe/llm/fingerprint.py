@@ -9,12 +9,17 @@ sketch and 0 to any other.
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SHINGLE, words
 
 K = 256
+#: Bytes of text in a range of documents.
+RANGE_BYTES = 8 << 20
 
 
 def with_sketch(df: DataFrame, text: str, out: str, k: int = K, width: int = SHINGLE) -> DataFrame:
@@ -77,51 +82,78 @@ def merged(df: DataFrame, key: str, sketch: str, k: int = K, fan: int = 32) -> D
         salts = max(1, salts // fan)
 
 
-def with_next(df: DataFrame, order: str, carry: str, out: str, parts: int) -> DataFrame:
-    """Add ``out``, column ``carry`` of the next row by descending ``order``; the last row gets the first row's.
+def below(cuts: list[int], at: Column) -> Column:
+    """How many of the sorted cuts are below a value: first among blocks of cuts, then in one block, so a row meets some 2 sqrt(n) of n cuts."""
+    if not cuts:
+        return F.lit(0)
+    wide = math.isqrt(len(cuts)) + 1
+    blocks = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
+    array = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
+    block = F.greatest(F.lit(0), F.size(F.filter(array([b[0] for b in blocks], "array<bigint>"), lambda c: c < at)) - 1)
+    return block * wide + F.size(F.filter(F.get(array(blocks, "array<array<bigint>>"), block), lambda c: c < at))
+
+
+def in_ranges(df: DataFrame, order: str, carry: str, parts: int) -> DataFrame:
+    """The rows dealt into ranges by descending ``order``, for ``following``. Adds __part, __at, __h, __copies and __guest.
 
-    Rows are dealt into ranges of ``order`` and each range's neighbours are found by a window, so no task
-    orders the whole table. A range also gets a guest: the first row of the range after it. Equal values
-    of ``order`` follow by ``carry`` ascending; null comes last. All rows of one value share a range.
+    Each range also gets a guest: the first row of the range after it (of the last one, the first of all). Equal values
+    of ``order`` follow by a hash of ``carry``; null comes last. A value that many rows have is dealt on by that hash, and of its equal
+    rows, which follow each other, one stands for all: __copies says how many more there are.
     """
-    lowest = -(2**63)
-    df = df.withColumn("__at", F.coalesce(F.col(order).cast("long"), F.lit(lowest)))
+    columns = df.columns
+    df = df.withColumn("__at", F.coalesce(F.col(order).cast("long"), F.lit(-(2**63)))).withColumn("__copies", F.lit(0).cast("long"))
+    most = max(1000, df.count() // parts)
+    many = {r["__at"]: r["n"] for r in df.groupBy("__at").agg(F.count("*").alias("n")).where(F.col("n") > most).collect()}  # fewer than ``parts``
+    if many:
+        hot = F.col("__at").isin(*many)
+        one = df.where(hot).groupBy(*columns, "__at").agg((F.count("*") - 1).alias("__copies"))
+        df = df.where(~hot).unionByName(one)
     cuts = df.agg(F.percentile_approx("__at", [i / parts for i in range(1, parts)], 100_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    where = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("__at"))) if cuts else F.lit(0)
-    df = df.withColumn("__part", where)
-    tops = sorted((r["__part"], r["top"]) for r in df.groupBy("__part").agg(F.max("__at").alias("top")).collect())  # one per range
-    above = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}
-    homes = F.array(F.struct(F.col("__part").alias("part"), F.lit(0).alias("guest")))
-    if above:
-        pairs = [F.lit(x) for pair in above.items() for x in pair]
-        host = F.try_element_at(F.create_map(*pairs), F.col("__at"))
-        guest = F.array(F.struct(host.alias("part"), F.lit(1).alias("guest")))
-        homes = F.when(host.isNotNull(), F.concat(homes, guest)).otherwise(homes)
-    df = df.withColumn("__home", F.explode(homes))
-    df = df.withColumn("__part", F.col("__home.part")).withColumn("__guest", F.col("__home.guest")).drop("__home")
-    return df.withColumn(out, F.lead(carry).over(ranges(carry)))
-
-
-def ranges(carry: str):
-    return Window.partitionBy("__part").orderBy("__guest", F.col("__at").desc(), carry)
+    df = df.withColumn("__h", F.xxhash64(carry))
+    fine = F.lit(0)
+    for v, n in many.items():  # as many equal ranges of the hash; lower ones come first, so they have higher numbers
+        m = min(1 << 20, 1 + n // most)
+        fine = F.when(F.col("__at") == v, m - 1 - F.least(F.lit(m - 1), F.floor((F.col("__h").cast("double") + 2.0**63) * m / 2.0**64).cast("int"))).otherwise(fine)
+    alone = {x for v in many for x in (v - 1, v) if x >= -(2**63)}
+    df = df.withColumn("__part", below(sorted({*cuts, *alone}), F.col("__at")).cast("long") * (1 << 20) + fine)
+    tops = [(r["__part"], *r["top"]) for r in df.groupBy("__part").agg(F.max(F.struct("__at", F.bitwise_not("__h").alias("x"))).alias("top")).collect()]
+    tops.sort()
+    hosts = [(at, x, tops[(i + 1) % len(tops)][0]) for i, (_, at, x) in enumerate(tops)]
+    hosts = df.sparkSession.createDataFrame(hosts, "__at long, __x long, __host long")  # one row per range
+    df = df.withColumn("__x", F.bitwise_not("__h")).join(F.broadcast(hosts), ["__at", "__x"], "left")
+    home = F.struct(F.col("__part").alias("part"), F.lit(0).alias("guest"))
+    guest = F.struct(F.col("__host").alias("part"), F.lit(1).alias("guest"))
+    df = df.withColumn("__home", F.explode(F.when(F.col("__host").isNull(), F.array(home)).otherwise(F.array(home, guest))))
+    return df.select(*columns, "__at", "__h", "__copies", F.col("__home.part").alias("__part"), F.col("__home.guest").alias("__guest"))
+
+
+def following(carry: str) -> Column:
+    """Of the next row column ``carry``; null for guests."""
+    return F.lead(carry).over(Window.partitionBy("__part").orderBy("__guest", F.col("__at").desc(), "__h"))
 
 
 def fingerprints(docs: DataFrame, k: int = K, parts: int | None = None) -> DataFrame:
     """Fingerprint every text and its edited text (the last third replaced by the start of the next document).
 
-    Null text counts as empty. Repeated doc_ids are rows of their own, in the order of their texts.
-    Extra columns are ignored. An empty table gives an empty result.
+    Null text counts as empty. Repeated doc_ids are rows of their own, in the order of a hash of their texts.
+    Extra columns are ignored. An empty table gives an empty result. ``parts``: ranges that the documents are dealt into, by default as many as
+    their bytes need.
     """
-    parts = parts or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(rows, "doc_id", "text", "next_text", parts)
-    rows = rows.withColumn("n_chars", F.length("text").cast("long"))
+    if parts is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / RANGE_BYTES))
+    rows = in_ranges(rows, "doc_id", "text", parts).withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("next_text", F.lit(1), cut)))
+    edit = lambda by: F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring(by, F.lit(1), cut))
+    rows = rows.withColumn("next_text", following("text")).withColumn("edited", edit("next_text"))
     rows = with_sketch(rows.drop("next_text"), "text", "sketch", k)
-    rows = rows.withColumn("next_sketch", F.lead("sketch").over(ranges("text"))).where("__guest = 0")
-    rows = with_sketch(rows, "edited", "edited_sketch", k)
+    rows = rows.withColumn("next_sketch", following("sketch")).where("__guest = 0")
+    itself = F.struct(edit("text").alias("edited"), F.col("sketch").alias("next_sketch"), F.col("__copies").alias("n"))
+    other = F.struct("edited", "next_sketch", F.lit(1).cast("long").alias("n"))
+    ways = F.when(F.col("__copies") > 0, F.array(other, itself)).otherwise(F.array(other))
+    rows = rows.withColumn("v", F.explode(ways)).select("doc_id", "n_chars", "sketch", "v.edited", "v.next_sketch", "v.n")
+    rows = with_sketch(rows, "edited", "edited_sketch", k).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))))
     a, b, c = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),

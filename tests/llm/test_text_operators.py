@@ -391,6 +391,27 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprints(df.limit(0)).isEmpty()
 
 
+def test_fingerprints_of_one_id(spark):
+    """An id that a third of all rows have, most of them equal, beside null ids: each row's next one is that of the whole order; no range holds the id's rows."""
+    hot = [(50, f"same {i % 7} text of the id number fifty") for i in range(2100)] + [(50, "a rare text of that id, once only")]
+    rows = [(i, f"text {i} of some words that follow") for i in range(4000) if i != 50] + hot + [(None, "null one"), (None, "null two"), (50, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    dealt = fingerprint.in_ranges(df.fillna("", "text"), "doc_id", "text", 64)
+    assert max(r["count"] for r in dealt.groupBy("__part").count().collect()) < 300
+    got = fingerprint.fingerprints(df, parts=64)
+    h = {r["text"]: r["h"] for r in df.select(F.coalesce("text", F.lit("")).alias("text")).distinct().select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), h[x[1]]))
+    edited = lambda t, n: hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest()
+    want = sorted((str(i), len(t), edited(t, order[(k + 1) % len(order)][1])) for k, (i, t) in enumerate(order))
+    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got.select("doc_id", "n_chars", "edited_sha256").collect()) == want
+
+
+def test_below(spark):
+    cuts = sorted({(i * 7919) % 5003 for i in range(300)} | {-(2**63), 2**63 - 1})
+    df = spark.range(-5, 5100, 3).select("id", fingerprint.below(cuts, F.col("id")).alias("n"))
+    assert all(r["n"] == sum(c < r["id"] for c in cuts) for r in df.collect())
+
+
 def test_merged_sketches(spark):
     """Sketches of parts merge to the sketch of the whole, for a hot key too."""
     df = spark.range(3000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 3).otherwise(9).alias("k"), F.concat_ws(" ", *[F.col("id") + j for j in range(7)]).alias("t"))
