@@ -9,25 +9,33 @@ the matches with the neighbour beyond each end. All other matches follow from th
 shrinks by one with each step until a run's end gives a longer one. Windows whose longest match reaches
 ``WIDTH`` are repeated. A window belongs to one segment only, so it never matches itself.
 
-An anchor with more than ``HOT`` occurrences isn't brought together: hashes of its windows are counted instead.
+An anchor with more than ``HOT`` occurrences isn't brought together: equal segments combine first, and if more than ``HOT`` different
+ones are left, longer anchors take its place. A window has half of the bytes that it is longer than its anchor on one side
+of it or the other, so it goes to the anchor made longer by these, to the left or to the right; such anchors serve as the first ones do, and are made longer in
+their turn, up to the whole window.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, written
+from .bytewords import bytes_of, mix64, range_hashes
+from .common import pieces, removed, written
 
 WIDTH = 200
 GRAM = 32
 HOT = 50_000
 PART_SEGMENTS = 20_000
+BLOCK = 1 << 20
+#: Of keys that more than this, and more than one in a thousand, of all rows have there are under a thousand; they join by broadcast.
+HEAVY = 5000
 PACK = 7  # symbols of 9 bits in 63
 
 
@@ -40,20 +48,35 @@ def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-def anchors(raw: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a text in order: hash, first and last window that chose it. Of equal hashes a window takes the leftmost."""
-    if len(raw) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = gram_hashes(raw, gram)
-    least, span, have = (h & np.uint64(0xFFFFFFFF)) << np.uint64(32) | np.arange(len(h), dtype=np.uint64), width - gram + 1, 1
-    while have < span:
-        step = min(have, span - have)
-        least = np.minimum(least[:-step], least[step:])
-        have += step
-    place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    last = np.r_[first[1:], len(place)] - 1
-    return h[place[first]].view(np.int64), first, last
+def anchors(raw: np.ndarray, edge: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of texts (bytes from ``edge`` to ``edge``) in order: hash, place, text, start of the first window that chose it, end of the last.
+
+    Of equal hashes a window takes the leftmost. Blocks of bounded size, whose windows overlap nowhere.
+    """
+    hashes, places, firsts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, len(raw) - width + 1, BLOCK):
+        h = gram_hashes(raw[a : a + BLOCK + width - 1], gram)
+        least, span, have = (h & np.uint64(0xFFFFFFFF)) << np.uint64(32) | np.arange(len(h), dtype=np.uint64), width - gram + 1, 1
+        while have < span:
+            step = min(have, span - have)
+            least = np.minimum(least[:-step], least[step:])
+            have += step
+        start = np.arange(a, a + len(least))
+        text = np.searchsorted(edge, start, side="right") - 1
+        start = start[start + width <= edge[text + 1]]  # windows inside one text
+        place = (least[start - a] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]][: len(place)])
+        hashes.append(h[place[new]])
+        places.append(place[new] + a)
+        firsts.append(start[new])
+    key, place, first = np.concatenate(hashes), np.concatenate(places), np.concatenate(firsts)
+    new = np.r_[True, place[1:] != place[:-1]][: len(place)]  # an anchor of two blocks is one
+    key, place, first = key[new], place[new], first[new]
+    text = np.searchsorted(edge, first, side="right") - 1
+    to = np.r_[first[1:] - 1, 0][: len(first)]
+    last = np.r_[text[1:] != text[:-1], True][: len(first)]
+    to[last] = edge[text[last] + 1] - width
+    return key.view(np.int64), place, text, first, to + width
 
 
 def packed_symbols(text: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -175,90 +198,137 @@ def repeated_in(anchor: list[int], segments: list[bytes], width: int = WIDTH) ->
     return out
 
 
-ANCHOR = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("to", pa.int64())])
+ANCHOR = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("doc", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("to", pa.int64())])
 
 
 def anchor_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(anchor, segment (a hash of its bytes), rid, at, to): one row per anchor, ``at`` and ``to`` bound its segment."""
+    """(anchor, segment (a hash of its bytes), doc, rid, at, to): one row per anchor, ``at`` and ``to`` bound its segment."""
 
     def run(batches):
-        for part in pieces(batches):
-            cols: list[list] = [[], [], [], [], []]
-            for rid, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                data = (text or "").encode("utf-8")
-                key, first, last = anchors(np.frombuffer(data, np.uint8), width)
-                if len(key):
-                    first, to = first.tolist(), (last + width).tolist()
-                    cols[0].append(key)
-                    cols[1].append(np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first, to, strict=True)], np.uint64).view(np.int64))
-                    cols[2].append(np.full(len(key), rid))
-                    cols[3].append(first)
-                    cols[4].append(to)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], schema=ANCHOR)
+        for part in pieces(batches, 512, 4 << 20):
+            raw, edge = bytes_of(part.column(2))
+            key, _, text, first, to = anchors(raw, edge, width)
+            if len(key):
+                doc, rid = (part.column(i).to_numpy(zero_copy_only=False)[text] for i in range(2))
+                segment = range_hashes(lambda a, b: mix64(raw[a:b].astype(np.uint64) + np.uint64(1)), len(raw), first, to).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, segment, doc, rid, first - edge[text], to - edge[text])], schema=ANCHOR)
 
-    return docs.select("rid", "text").mapInArrow(run, "anchor long, segment long, rid long, at long, to long")
+    return docs.select("doc", "rid", "text").mapInArrow(run, "anchor long, segment long, doc long, rid long, at long, to long")
 
 
-SEGMENT = pa.schema([("part", pa.int64()), ("anchor", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("bytes", pa.binary())])
+#: A segment and its anchor's place and length within; level says how often the anchor was made longer.
+SEGMENT = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("core", pa.int32()), ("size", pa.int32()), ("bytes", pa.binary())])
+SEGMENTS = "anchor long, doc long, rid long, at long, core int, size int, bytes binary"
 
 
-def segments(docs: DataFrame, places: DataFrame, parts: int) -> DataFrame:
-    """The segments at ``places``, with the part that each belongs to."""
-    lists = places.groupBy("rid").agg(F.collect_set(F.struct("anchor", "at", "to")).alias("__places"))
-    both = docs.join(lists, "rid")
+def segments(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """The segments at ``places`` (doc, rid, anchor, at, to)."""
+    lists = places.groupBy("doc", "rid").agg(F.collect_set(F.struct("anchor", "at", "to")).alias("places"))
+    both = docs.join(lists, ["doc", "rid"])
 
     def run(batches):
         for part in pieces(batches):
-            rows = []
-            for rid, text, places in zip(part.column("rid").to_pylist(), part.column("text").to_pylist(), part.column("__places").to_pylist(), strict=True):
+            cols: list[list] = [[] for _ in SEGMENT]
+            for doc, rid, text, places in zip(*(part.column(c).to_pylist() for c in ("doc", "rid", "text", "places")), strict=True):
                 data = text.encode("utf-8")
-                rows += [{"part": (p["anchor"] >> 20) % parts, "anchor": p["anchor"], "rid": rid, "at": p["at"], "bytes": data[p["at"] : p["to"]]} for p in places]
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_pylist(rows, SEGMENT)
-                    rows = []
+                for p in places:
+                    a, b = p["at"], p["to"]
+                    for col, x in zip(cols, (p["anchor"], doc, rid, a, 0, 0, data[a:b]), strict=True):
+                        col.append(x)
+                if len(cols[0]) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SEGMENT, strict=True)], schema=SEGMENT)
+                    cols = [[] for _ in SEGMENT]
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SEGMENT, strict=True)], schema=SEGMENT)
+
+    return both.select("doc", "rid", "text", "places").mapInArrow(run, SEGMENTS)
+
+
+def longer_anchors(found: DataFrame, width: int) -> DataFrame:
+    """Each segment dealt to two longer anchors: windows that hold half of what is missing to the left of the anchor, and the others, which hold
+    the rest to its right. A segment without a known anchor place (size 0) has it found first."""
+
+    def run(batches):
+        for part in pieces(batches, 4096):
+            rows = []
+            for r in part.to_pylist():
+                data, core, size = r["bytes"], r["core"], r["size"]
+                if not size:
+                    raw = np.frombuffer(data, np.uint8)
+                    core, size = int(anchors(raw, np.array([0, len(raw)]), width)[1][0]), GRAM
+                last, more = len(data) - width, width - size  # windows start at 0 to last
+                left = (more + 1) // 2
+                right = more - left + 1
+                for side, a, b, c, n in ((0, 0, min(last, core - left), core - left, size + left), (1, max(0, core - left + 1), last, core, size + right)):
+                    if a <= b:
+                        key = data[c : c + n]
+                        rows.append((hashed(key, r["anchor"], side), r["doc"], r["rid"], r["at"] + a, c - a, n, data[a : b + width]))
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, SEGMENT)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SEGMENT, strict=True)], schema=SEGMENT)
+
+    return found.mapInArrow(run, SEGMENTS)
 
-    return both.mapInArrow(run, "part long, anchor long, rid long, at long, bytes binary")
 
+def hashed(data: bytes, *names: int) -> int:
+    """A signed 64-bit number for bytes under names."""
+    return int.from_bytes(hashlib.blake2b(data + b"".join((n & (1 << 64) - 1).to_bytes(8, "little") for n in names), digest_size=8).digest(), "little", signed=True)
 
-MARK = pa.schema([("rid", pa.int64()), ("at", pa.int64()), ("to", pa.int64())])
 
+MARK = pa.schema([("doc", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("to", pa.int64())])
 
-def indexed(found: DataFrame, width: int) -> DataFrame:
-    """Repeated spans (rid, at, to) of segments, a run-compressed index per part."""
+
+def indexed(found: DataFrame, width: int, parts: int) -> DataFrame:
+    """Repeated spans (doc, rid, at, to) of segments, a run-compressed index per part; an anchor is in one part."""
 
     def run(table: pa.Table) -> pa.Table:
         at = table.column("at").to_pylist()
         spans = repeated_in(table.column("anchor").to_pylist(), table.column("bytes").to_pylist(), width)
-        rows = [(r, a + x, a + y) for r, a, s in zip(table.column("rid").to_pylist(), at, spans, strict=True) for x, y in s]
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], schema=MARK)
+        rows = [(d, r, a + x, a + y) for d, r, a, s in zip(table.column("doc").to_pylist(), table.column("rid").to_pylist(), at, spans, strict=True) for x, y in s]
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], schema=MARK)
 
-    return found.groupBy("part").applyInArrow(run, "rid long, at long, to long")
+    slim = found.select(F.pmod(F.shiftright("anchor", 20), F.lit(parts)).alias("part"), "anchor", "doc", "rid", "at", "bytes")
+    return slim.groupBy("part").applyInArrow(run, "doc long, rid long, at long, to long")
 
 
-def counted(found: DataFrame, width: int) -> DataFrame:
-    """Repeated spans of hot anchors' segments by counting window hashes: equal segments first, the rest window by window."""
-    schema = pa.schema([("window", pa.int64()), ("rid", pa.int64()), ("at", pa.int64())])
+def kinds_of(rows: DataFrame, hot: int) -> DataFrame:
+    """(anchor, n, kind) of anchors that occur again: 0 where all segments are equal, 1 for the index, 2 if too many for one part of it."""
+    found = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("segment").alias("a"), F.max("segment").alias("b")).where("n > 1")
+    return found.select("anchor", "n", F.when(F.col("a") == F.col("b"), F.lit(0)).when(F.col("n") <= hot, F.lit(1)).otherwise(F.lit(2)).alias("kind"))
 
-    def run(batches):
-        for part in pieces(batches):
-            for anchor, rid, at, data in zip(*(part.column(c).to_pylist() for c in ("anchor", "rid", "at", "bytes")), strict=True):
-                n = len(data) - width + 1
-                keys = np.array([xxhash.xxh3_64_intdigest(data[i : i + width], seed=anchor & 0xFFFFFFFF) for i in range(n)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(n, rid)), pa.array(np.arange(at, at + n))], schema=schema)
-
-    whole = found.withColumn("segment", F.xxhash64("bytes"))
-    times = whole.groupBy("anchor", "segment").agg(F.count("*").alias("n"))
-    whole = whole.join(times, ["anchor", "segment"])
-    equal = whole.where("n > 1").select("rid", "at", (F.col("at") + F.length("bytes")).alias("to"))
-    # one of each kind of equal segments stands for them among the windows of the others
-    one = whole.where("n > 1").groupBy("anchor", "segment").agg(F.min(F.struct("rid", "at", "bytes")).alias("x")).select("anchor", "x.*")
-    alone = whole.where("n = 1").select("anchor", "rid", "at", "bytes").union(one)
-    windows = alone.mapInArrow(run, "window long, rid long, at long")
-    twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    return equal.union(windows.join(twice, "window").select("rid", "at", (F.col("at") + width).alias("to")))
+
+def by_anchor(rows: DataFrame, kinds: DataFrame, total: int) -> DataFrame:
+    """Rows with their anchor's kind. Anchors of a large share of the rows meet no shuffle: they are few."""
+    heavy = kinds.where(F.col("n") > max(HEAVY, total // 1000)).select("anchor", "kind")
+    light = kinds.where(F.col("n") <= max(HEAVY, total // 1000)).select("anchor", "kind")
+    if heavy.isEmpty():
+        return rows.join(light, "anchor")
+    return rows.join(F.broadcast(heavy), "anchor", "left_anti").join(light, "anchor").unionByName(rows.join(F.broadcast(heavy), "anchor"))
+
+
+def split(found: DataFrame, hot: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Of hot anchors' segments: spans (doc, rid, at, to) that are repeated for sure, and segments under longer anchors for the index."""
+    marks, ready = [], []
+    while True:
+        # equal segments are repeated whole, and one of each kind stands for them
+        found = written(found.withColumn("segment", F.xxhash64("bytes")), "segments")
+        times = found.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("doc", "rid", "at")).alias("one"))
+        again = times.where("n > 1").select("anchor", "segment", "one", "n")
+        total = found.count()
+        heavy = again.where(F.col("n") > max(HEAVY, total // 1000)).select("anchor", "segment")
+        light = again.select("anchor", "segment")
+        whole = found.join(light, ["anchor", "segment"], "left_semi") if heavy.isEmpty() else found.join(F.broadcast(heavy), ["anchor", "segment"], "left_anti").join(light, ["anchor", "segment"], "left_semi").unionByName(found.join(F.broadcast(heavy), ["anchor", "segment"], "left_semi"))
+        marks.append(written(whole.select("doc", "rid", "at", (F.col("at") + F.length("bytes")).alias("to")), "marks"))
+        ones = times.select("anchor", "one.*").distinct()
+        left = written(found.drop("segment").join(ones, ["anchor", "doc", "rid", "at"], "left_semi").dropDuplicates(["anchor", "doc", "rid", "at"]).withColumn("segment", F.xxhash64("bytes")), "different")
+        kinds = written(kinds_of(left, hot), "kinds")
+        ready.append(left.join(kinds.where("kind = 1"), "anchor", "left_semi").drop("segment"))
+        more = left.join(kinds.where("kind = 2"), "anchor", "left_semi").drop("segment")
+        removed(found)
+        if kinds.where("kind = 2").isEmpty():
+            break
+        found = longer_anchors(more, width)
+    union = lambda x: reduce(lambda a, b: a.unionByName(b), x)
+    return union(marks), union(ready)
 
 
 def cut_out(docs: DataFrame, width: int = WIDTH, hot: int = HOT, part_segments: int = PART_SEGMENTS) -> DataFrame:
@@ -267,19 +337,24 @@ def cut_out(docs: DataFrame, width: int = WIDTH, hot: int = HOT, part_segments:
     Null text counts as empty. Equal rows are documents of their own, so each removes what the other has. Texts
     under ``width`` bytes lose nothing. Extra columns are left out.
     """
-    docs = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = anchor_rows(docs, width)
-    kinds = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("segment").alias("a"), F.max("segment").alias("b")).where("n > 1")
-    kinds = kinds.select("anchor", F.when(F.col("a") == F.col("b"), F.lit(0)).when(F.col("n") <= hot, F.lit(1)).otherwise(F.lit(2)).alias("kind"))
-    places = written(rows.drop("segment").join(kinds, "anchor"), "anchors")
-    many = {r["kind"]: r["count"] for r in places.groupBy("kind").count().collect()}
-    marks = places.where("kind = 0").select("rid", "at", "to")
-    if many.get(1):
-        marks = marks.union(indexed(segments(docs, places.where("kind = 1"), math.ceil(many[1] / part_segments)), width))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    docs = docs.select(doc.alias("doc"), F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = written(anchor_rows(docs, width), "anchors")
+    kinds = written(kinds_of(rows, hot), "kinds")
+    places = written(by_anchor(rows.drop("segment"), kinds, rows.count()), "places")
+    removed(rows)
+    many = {r["kind"]: r["n"] for r in kinds.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    marks = places.where("kind = 0").select("doc", "rid", "at", "to")
+    found = segments(docs, places.where("kind = 1")) if many.get(1) else None
     if many.get(2):
-        marks = marks.union(counted(segments(docs, places.where("kind = 2"), 1), width))
-    marks = marks.groupBy("rid").agg(F.collect_set(F.struct("at", "to")).alias("__marks"))
-    both = docs.join(marks, "rid", "left")
+        more, ready = split(segments(docs, places.where("kind = 2")), hot, width)
+        marks = marks.union(more)
+        found = ready if found is None else found.unionByName(ready)
+    if found is not None:
+        parts = math.ceil((many.get(1, 0) + many.get(2, 0)) / part_segments)
+        marks = marks.union(indexed(found, width, parts))
+    marks = marks.groupBy("doc", "rid").agg(F.collect_set(F.struct("at", "to")).alias("__marks"))
+    both = docs.join(marks, ["doc", "rid"], "left")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("at", pa.int64()), ("to", pa.int64())]))), ("kept", pa.binary())])
 
     def run(batches):
