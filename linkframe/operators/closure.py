@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges that one round of a search follows.
+HOPS = 3
+
 
 def saved(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, in the folder the cluster names or, on a local master, one of our own."""
@@ -22,28 +26,75 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _clean(edges: DataFrame) -> DataFrame:
+    return saved(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.union(b), parts)
+
+
+def _steps(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(src, dst) of a step of the first kind and one of the second after it."""
+    return first.select("src", F.col("dst").alias("via")).join(second.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
+
+
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst) of every path of one edge or more; a node on a cycle reaches itself. Each round extends only new pairs."""
-    known = saved(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    step, new = known, known
+    """(src, dst) of every path of one edge or more; a node on a cycle reaches itself.
+
+    By doubling: pairs at up to 2n steps are those at up to n, and n steps exactly before those. So the number of rounds follows the
+    logarithm of the longest path, and no pair is written twice.
+    """
+    exact = _clean(edges)
+    known = [exact]
+    while True:
+        new = saved(_steps(exact, _union(known)).join(_union(known), ["src", "dst"], "left_anti"))
+        if new.isEmpty():
+            return _union(known)
+        known.append(new)
+        exact = saved(_steps(exact, exact))
+
+
+def reaching(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(id): the nodes from which an edge or more lead to some target; a search backwards, which never builds pairs.
+
+    Where no node has two edges out, steps double in each round; else a round goes ``HOPS`` edges back.
+    """
+    edges = _clean(edges)
+    n = edges.agg(F.count("*").alias("n"), F.count_distinct("src").alias("nodes")).first()
+    back = lambda found, by: by.join(found.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+    known = [saved(back(targets, edges))]
+    jump, new = edges, known[0]
     while True:
-        far = new.select("src", F.col("dst").alias("via")).join(step.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
-        new = saved(far.join(known, ["src", "dst"], "left_anti"))
+        if n["n"] == n["nodes"]:
+            far = back(_union(known), jump)
+        else:
+            far = hop = new
+            for _ in range(HOPS):
+                hop = back(hop, edges)
+                far = far.union(hop)
+        new = saved(far.distinct().join(_union(known), "id", "left_anti"))
         if new.isEmpty():
-            return known
-        known = saved(known.union(new))
+            return _union(known)
+        known.append(new)
+        if n["n"] == n["nodes"]:
+            jump = saved(_steps(jump, jump))
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, node): what each root reaches, by the edges, itself included."""
-    edges = saved(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    known = new = saved(roots.select(F.col("id").alias("root"), F.col("id").alias("node")).distinct())
+    """(root, node): what each root reaches, by the edges, itself included. A round goes ``HOPS`` edges on; no pair is written twice."""
+    edges = _clean(edges)
+    new = saved(roots.select(F.col("id").alias("root"), F.col("id").alias("node")).distinct())
+    known = [new]
     while True:
-        far = new.join(edges, new["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        new = saved(far.join(known, ["root", "node"], "left_anti"))
+        far = hop = new
+        for _ in range(HOPS):
+            hop = hop.join(edges, hop["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
+            far = far.union(hop)
+        new = saved(far.distinct().join(_union(known), ["root", "node"], "left_anti"))
         if new.isEmpty():
-            return known
-        known = saved(known.union(new))
+            return _union(known)
+        known.append(new)
 
 
 def on_cycle(edges: DataFrame) -> DataFrame:

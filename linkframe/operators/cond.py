@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .closure import closure
+from .closure import closure, reaching
 from .model import Model
 
 COMPARE: dict[str, Callable[[Any, Any], Column]] = {
@@ -319,8 +319,8 @@ def _named(df: DataFrame, depth: int) -> DataFrame:
     return df.select(*[F.col(c).alias(f"l{depth}__{c}") for c in df.columns])
 
 
-def _pairs(model: Model, level: Level, s: Sub) -> tuple[DataFrame, tuple[str, ...]]:
-    """(src, dst) that a link or facet gives for entities of the level, and the types of dst."""
+def _pairs(model: Model, level: Level, s: Sub, closed: bool = True) -> tuple[DataFrame, tuple[str, ...]]:
+    """(src, dst) that a link or facet gives for entities of the level, and the types of dst. A transitive one is closed, unless told otherwise."""
     reg = model.registry
     if s.how == "link":
         found = [(t, f) for t in reg.concrete(*level.entity) if (f := reg.field(t, s.name)) is not None and f.kind == "link"]
@@ -335,7 +335,7 @@ def _pairs(model: Model, level: Level, s: Sub) -> tuple[DataFrame, tuple[str, ..
     else:
         pairs = model.facet(s.name).select(F.col("id").alias("src"), F.col("src").alias("dst"))
         target = tuple(dict.fromkeys(t for t, _, _ in reg.facet(s.name)))
-    return (closure(pairs) if s.transitive else pairs), target
+    return (closure(pairs) if s.transitive and closed else pairs), target
 
 
 def _keys(depth: int) -> list[str]:
@@ -358,6 +358,10 @@ def _matching(df: DataFrame, c: Cond | None, levels: list[Level], model: Model)
     if isinstance(c, Test):  # exists or missing on a facet
         return _matching(df, Sub("facet", c.name, negate=c.op == "missing"), levels, model)
     assert isinstance(c, Sub)
+    if not c.agg and (c.how == "of" or c.transitive and not _reads_outside(c.where)):
+        found = _unrelated(df, c, levels, model) if c.how == "of" else _reaching(df, c, levels, model)
+        if found is not None:
+            return found
     items, own, inner_levels = _items(df, c, levels, model, keys)
     if c.agg:
         return _aggregated(df, items, c, levels, inner_levels, model, own)
@@ -371,6 +375,71 @@ def _semi(df: DataFrame, hits: DataFrame, keys: list[str], how: str = "left_semi
     return df.join(named, reduce(lambda a, b: a & b, on) if on else F.lit(True), how)
 
 
+def _alone(depth: int, inner: Level) -> list[Level]:
+    """Levels for a condition that reads nothing of the enclosing items."""
+    return [*([Level(lambda n: F.lit(None), {})] * depth), inner]
+
+
+def _reaching(df: DataFrame, c: Sub, levels: list[Level], model: Model) -> DataFrame:
+    """Entities from which some matching one can be reached: a search backwards from those that match."""
+    level, depth = levels[-1], len(levels)
+    pairs, types = _pairs(model, level, Sub(c.how, c.name, c.where, transitive=True), closed=False)
+    target = _named(model.table(*types), depth)
+    found = _matching(target, c.where, _alone(depth, _entity_level(target, depth, types)), model)
+    hits = reaching(pairs, found.select(F.col(f"l{depth}__id").alias("id")))
+    return _semi(df, hits.select(F.col("id").alias(f"{level.prefix}id")), [f"{level.prefix}id"], "left_anti" if c.negate else "left_semi")
+
+
+def _unrelated(df: DataFrame, c: Sub, levels: list[Level], model: Model) -> DataFrame | None:
+    """A sub-query over unrelated entities without pairing them, or None where its tests don't allow that.
+
+    One that reads nothing outside is one value. Else its tests may be on the item alone, equalities with an enclosing item (the key), and
+    one order test or inequality with it, which holds for some item if it does for the least or the greatest of its key.
+    """
+    depth = len(levels)
+    target = _named(model.table(*c.name), depth)
+    inner = _entity_level(target, depth, c.name)
+    if not _reads_outside(c.where):
+        hit = _matching(target, c.where, _alone(depth, inner), model).exists()
+        return df.where(~hit if c.negate else hit)
+    parts = c.where.parts if isinstance(c.where, Group) and c.where.every else (c.where,)
+    own, same, other = [], [], []
+    for t in parts:
+        if not _reads_outside(t):
+            own.append(t)
+            continue
+        if not isinstance(t, Test) or t.name not in inner.types or t.value.up > depth:
+            return None
+        far = levels[-t.value.up]
+        if t.value.name not in far.types or isinstance(inner.types[t.name], T.ArrayType) or isinstance(far.types[t.value.name], T.ArrayType):
+            return None
+        _test(t, [*levels, inner], model)  # for what it says of mistakes
+        (same if t.op == "equals" else other).append((inner.get(t.name), far.get(t.value.name), t.op))
+    if len(other) > 1:
+        return None
+    found = _matching(target, all_of(*own), _alone(depth, inner), model)
+    keys = [f"__k{i}" for i in range(len(same))]
+    found = found.select(*[x.alias(k) for k, (x, _, _) in zip(keys, same, strict=True)], *[x.alias("__x") for x, _, _ in other]).dropna(subset=keys) if keys or other else found
+    on = [F.col(k) == y for k, (_, y, _) in zip(keys, same, strict=True)]
+    how = "left_anti" if c.negate else "left_semi"
+    if not other:
+        return df.join(found.distinct(), reduce(lambda a, b: a & b, on), how)
+    _, y, op = other[0]
+    ends = [F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.bool_or(F.col("__x").isNull()).alias("__none")]
+    lo, hi, none = F.col("__lo"), F.col("__hi"), F.col("__none")
+    if not keys:
+        one = found.agg(*ends)
+        lo, hi, none = (one.select(x).scalar() for x in ("__lo", "__hi", "__none"))
+    if op == "not_equals":  # blank is unequal to everything, itself too
+        hit = none | (none.isNotNull() & y.isNull()) | (lo != y) | (hi != y)
+    else:
+        hit = COMPARE[op](hi if op.startswith("greater") else lo, y)
+    hit = F.coalesce(hit, F.lit(False))
+    if not keys:
+        return df.where(~hit if c.negate else hit)
+    return df.join(found.groupBy(*keys).agg(*ends), reduce(lambda a, b: a & b, [*on, hit]), how)
+
+
 def _items(df: DataFrame, c: Sub, levels: list[Level], model: Model, keys: list[str]) -> tuple[DataFrame, list[str], list[Level]]:
     """The items of a sub-query beside the keys (and, where read, the columns) of the rows they belong to."""
     level, depth = levels[-1], len(levels)
@@ -387,7 +456,9 @@ def _items(df: DataFrame, c: Sub, levels: list[Level], model: Model, keys: list[
     if c.how == "of":
         target = _named(model.table(*c.name), depth)
         inner = _entity_level(target, depth, c.name)
-        return df.crossJoin(target) if not outside else _correlated(df, target, c, levels, inner, model), keys, [*levels, inner]
+        if not outside:
+            raise ValueError("a sub-query that reads no enclosing item has no items of its own for each")
+        return _correlated(df, target, c, levels, inner, model), keys, [*levels, inner]
     if level.links and c.how == "link":  # a link on a list row
         types, many = level.links(c.name)
         src = df.select(*(df.columns if outside else keys), (F.explode(level.get(c.name)) if many else level.get(c.name)).alias("__dst"))
@@ -401,7 +472,7 @@ def _items(df: DataFrame, c: Sub, levels: list[Level], model: Model, keys: list[
         wide = df.join(pairs, df[me] == pairs["src"]).join(target, F.col("dst") == F.col(f"l{depth}__id")).drop("src", "dst")
         return wide, keys, [*levels, inner]
     if c.where is not None:  # innermost first: filter the targets before they meet the edges
-        target = _matching(target, c.where, [inner] if depth == 0 else [*([Level(lambda n: F.lit(None), {})] * depth), inner], model)
+        target = _matching(target, c.where, _alone(depth, inner), model)
     wide = pairs.join(target, pairs["dst"] == target[f"l{depth}__id"]).withColumnRenamed("src", me).drop("dst")
     return wide, [me], [*levels, inner]
 
@@ -415,7 +486,7 @@ def _correlated(df: DataFrame, target: DataFrame, c: Sub, levels: list[Level], i
             far = levels[-t.value.up]
             if t.value.name in far.types and not isinstance(far.types[t.value.name], T.ArrayType) and not isinstance(inner.types[t.name], T.ArrayType):
                 on.append(inner.get(t.name) == far.get(t.value.name))
-    if not on:  # order tests only: a nested loop, bounded by what the tests let through
+    if not on:  # several order tests, or tests inside sub-queries: a nested loop, bounded by what the tests let through
         tests = [x for t in parts if (x := _local(t, [*levels, inner], model)) is not None]
         return df.join(target, reduce(lambda a, b: a & b, tests) if tests else F.lit(True))
     return df.join(target, reduce(lambda a, b: a & b, on))
@@ -440,6 +511,12 @@ def _aggregated(df: DataFrame, items: DataFrame, c: Sub, levels: list[Level], in
     return wide.where(_number_test(F.col("__n"), c, levels, model)).select(*df.columns)
 
 
+def unrelated_items(model: Model, sub: Sub) -> DataFrame:
+    """(item): the entities that an unrelated sub-query which reads nothing outside finds; they are the same for every entity."""
+    target = _named(model.table(*sub.name), 1)
+    return _matching(target, sub.where, _alone(1, _entity_level(target, 1, sub.name)), model).select(F.col("l1__id").alias("item"))
+
+
 def select(model: Model, types: str | list[str], where: Cond | None = None) -> DataFrame:
     """The entities of the types on which the condition holds, with their columns."""
     names = (types,) if isinstance(types, str) else tuple(types)
@@ -491,8 +568,9 @@ def collect(model: Model, df: DataFrame, name: str, *links: str) -> DataFrame:
         if facet := model.registry.facet(link):
             pairs, to = model.facet(link).select(F.col("id").alias("src"), F.col("src").alias("dst")), tuple(t for t, _, _ in facet)
         else:
-            f = next(x for t in model.registry.concrete(*at) if (x := model.registry.field(t, link)))
-            pairs, to = model.edges(at[0], link).select("src", "dst"), f.target
+            found = [(t, f) for t in model.registry.concrete(*at) if t in model.tables and (f := model.registry.field(t, link)) is not None]
+            pairs = reduce(lambda a, b: a.union(b), [model.edges(t, link).select("src", "dst") for t, _ in found])
+            to = tuple(dict.fromkeys(x for _, f in found for x in f.target))
         ids = ids.join(pairs, ids["id"] == pairs["src"]).select(F.col("dst").alias("id")).distinct()
         at = to
     return ids.join(model.table(*at), "id").dropDuplicates(["id"]).orderBy("id")

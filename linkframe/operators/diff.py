@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .closure import saved
-from .model import as_text, to_facts
+from .model import as_text
 from .text import blocks
 
 
-
 def blank(c: Column, kind: T.DataType) -> Column:
     """Absent, white space alone, or an empty list."""
     if isinstance(kind, T.ArrayType):
@@ -23,18 +23,30 @@ def blank(c: Column, kind: T.DataType) -> Column:
     return c.isNull()
 
 
-def scalars(table: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """(id, field, value) of scalar fields that aren't blank."""
-    facts = to_facts(table.drop("type") if "type" in table.columns else table, fields)
-    return facts.where(F.trim(F.regexp_replace("value", r"\s", " ")) != "")
+def _filled(c: Column) -> Column:
+    """A text, or null where it is white space alone."""
+    return F.when(F.trim(F.regexp_replace(c, r"\s", " ")) != "", c)
+
+
+def _differing(cells: list[Column]) -> Column:
+    """Of structs with old and new those that differ."""
+    return F.filter(F.array(*cells), lambda x: ~x["old"].eqNullSafe(x["new"]))
 
 
 def diff_fields(old: DataFrame, new: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """(id, field, old, new) of scalar fields that differ, in entities on both sides; blank equals absent."""
-    both = old.select("id").join(new.select("id"), "id")
-    a, b = scalars(old, fields).withColumnRenamed("value", "old"), scalars(new, fields).withColumnRenamed("value", "new")
-    got = a.join(b, ["id", "field"], "full").where(~F.col("old").eqNullSafe(F.col("new")))
-    return got.join(both, "id", "left_semi")
+    """(id, field, old, new) of scalar fields that differ, in entities on both sides; blank equals absent.
+
+    The sides meet once, by id; only fields that differ become rows.
+    """
+    flat = lambda t: {f.name: f.dataType for f in t.schema.fields if f.name not in ("id", "type") and not isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) and (fields is None or f.name in fields)}
+    a, b = flat(old), flat(new)
+    names = list(dict.fromkeys([*a, *b]))
+    if not names:
+        return old.sparkSession.createDataFrame([], "id string, field string, old string, new string")
+    side = lambda t, kinds, name: t.select("id", F.struct(*[(_filled(as_text(F.col(n), kinds[n])) if n in kinds else F.lit(None).cast("string")).alias(n) for n in names]).alias(name))
+    both = side(old, a, "a").join(side(new, b, "b"), "id").where(~F.col("a").eqNullSafe(F.col("b")))
+    cells = [F.struct(F.lit(n).alias("field"), F.col(f"a.{n}").alias("old"), F.col(f"b.{n}").alias("new")) for n in names]
+    return both.select("id", F.explode(_differing(cells)).alias("x")).select("id", "x.*")
 
 
 def diff_list(old: DataFrame, new: DataFrame, field: str) -> DataFrame:
@@ -51,18 +63,18 @@ def diff_list(old: DataFrame, new: DataFrame, field: str) -> DataFrame:
 
 
 def diff_rows(old: DataFrame, new: DataFrame, field: str) -> DataFrame:
-    """(id, list, pos, cell, old, new): list rows by position, cell by cell. Entities on both sides."""
-    kind = old.schema[field].dataType.elementType
-
-    def cells(t: DataFrame, name: str) -> DataFrame:
-        rows = t.select("id", F.posexplode(field).alias("pos", "r"))
-        named = [as_text(F.col(f"r.{f.name}"), f.dataType).alias(f.name) for f in kind.fields if not isinstance(f.dataType, T.ArrayType)]
-        flat = rows.select("id", "pos", *named).unpivot(["id", "pos"], [f.name for f in kind.fields if not isinstance(f.dataType, T.ArrayType)], "cell", name)
-        return flat.where(F.trim(F.coalesce(name, F.lit(""))) != "")
+    """(id, list, pos, cell, old, new): list rows by position, cell by cell. Entities on both sides.
 
-    got = cells(old, "old").join(cells(new, "new"), ["id", "pos", "cell"], "full").where(~F.col("old").eqNullSafe(F.col("new")))
-    both = old.select("id").join(new.select("id"), "id")
-    return got.join(both, "id", "left_semi").select("id", F.lit(field).alias("list"), "pos", "cell", "old", "new")
+    The sides meet once, by id; equal lists go at once, and of the others only cells that differ become rows.
+    """
+    kind = old.schema[field].dataType.elementType
+    cells = [f for f in kind.fields if not isinstance(f.dataType, T.ArrayType)]
+    both = old.select("id", F.col(field).alias("a")).join(new.select("id", F.col(field).alias("b")), "id").where(~F.col("a").eqNullSafe(F.col("b")))
+    text = lambda c, i, f: _filled(as_text(F.get(F.col(c), i)[f.name], f.dataType))
+    row = lambda i: _differing([F.struct(i.cast("int").alias("pos"), F.lit(f.name).alias("cell"), text("a", i, f).alias("old"), text("b", i, f).alias("new")) for f in cells])
+    size = F.greatest(F.coalesce(F.size("a"), F.lit(0)), F.coalesce(F.size("b"), F.lit(0)))
+    found = F.flatten(F.transform(F.when(size > 0, F.sequence(F.lit(0), size - 1)), row))
+    return both.select("id", F.explode(found).alias("x")).select("id", F.lit(field).alias("list"), "x.*")
 
 
 def changed_fields(old: DataFrame, new: DataFrame, derived: tuple[str, ...] = ()) -> DataFrame:
@@ -116,41 +128,79 @@ def _words(c: str) -> Column:
     return F.array_remove(F.split(c, r"\s+"), "")
 
 
+#: A run of so many times so many blocks pairs by place alone. Fixed value.
+MOST_PAIRS = 40_000
+
+
+def alike(a: str, b: str) -> bool:
+    """Whether a removed and an added block are one changed block: both fences, or in order they share at least half the words of the longer one."""
+    fences = [x.lstrip().startswith(("```", "~~~")) for x in (a, b)]
+    if any(fences):
+        return all(fences)
+    x, y = a.split(), b.split()
+    most = max(len(x), len(y))
+    if 2 * sum((Counter(x) & Counter(y)).values()) < most:  # too few in any order
+        return False
+    return 2 * in_order(len(x), len(y), lambda i, j: x[i] == y[j])[0] >= most
+
+
+def in_order(n: int, m: int, fits) -> tuple[int, list[tuple[int, int]]]:
+    """The most pairs (i, j) that fit and don't cross, and which they are: of equal choices the earliest."""
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    ok = [[bool(fits(i, j)) for j in range(m)] for i in range(n)]
+    for i in reversed(range(n)):
+        row, below = best[i], best[i + 1]
+        for j in reversed(range(m)):
+            row[j] = max(below[j], row[j + 1], below[j + 1] + ok[i][j])
+    pairs, i, j = [], 0, 0
+    while i < n and j < m:
+        if ok[i][j] and best[i][j] == best[i + 1][j + 1] + 1:
+            pairs.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return best[0][0], pairs
+
+
+def paired(old: list[str], new: list[str]) -> list[tuple[str, str | None, str | None]]:
+    """(op, old, new) of a run's removed and added blocks."""
+    if len(old) * len(new) > MOST_PAIRS:
+        pairs = [(i, i) for i in range(min(len(old), len(new))) if alike(old[i], new[i])]
+    else:
+        pairs = in_order(len(old), len(new), lambda i, j: alike(old[i], new[j]))[1]
+    a, b = {i for i, _ in pairs}, {j for _, j in pairs}
+    return [("changed", old[i], new[j]) for i, j in pairs] + [("removed", x, None) for i, x in enumerate(old) if i not in a] + [("added", None, x) for j, x in enumerate(new) if j not in b]
+
+
 def diff_text(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(id, op, old, new): text blocks kept, added, removed or changed.
+    """(id, op, old, new): text blocks kept, added, removed or changed. Only texts on both sides.
 
-    Blocks match by content and occurrence, so a moved block is kept. Of the others a removed and an added one are one
-    changed block if both are fences, or share at least half the words of the longer one; each block joins its best partner,
-    and those left over join the best of what is left, until no two that could be a pair are left.
-    Only texts on both sides; candidates of a pair are one text's leftover blocks that share a word.
+    Blocks match by content and occurrence, so a moved block is kept. What lies between two kept blocks is a run, and
+    inside it removed and added blocks pair in order, as many as can (``alike``).
     """
-    def side(t: DataFrame, key: str) -> DataFrame:
-        b = blocks(t)
-        return b.withColumn("nth", F.row_number().over(Window.partitionBy("id", "key").orderBy("n"))).select("id", "key", "nth", F.col("n").alias(f"{key}_n"), F.col("kind").alias(f"{key}_kind"))
-
     both = old.select("id").join(new.select("id"), "id")
+
+    def side(t: DataFrame, n: str) -> DataFrame:
+        return blocks(t).withColumn("nth", F.row_number().over(Window.partitionBy("id", "key").orderBy("n"))).select("id", "key", "nth", F.col("n").alias(n))
+
     got = side(old, "a").join(side(new, "b"), ["id", "key", "nth"], "full").join(both, "id", "left_semi")
-    kept = got.where("a_n is not null and b_n is not null").select("id", F.lit("kept").alias("op"), F.col("key").alias("old"), F.col("key").alias("new"))
-    gone = got.where("b_n is null").select("id", F.col("a_n").alias("an"), F.col("key").alias("old"), (F.col("a_kind") == "code").alias("ac"))
-    come = got.where("a_n is null").select("id", F.col("b_n").alias("bn"), F.col("key").alias("new"), (F.col("b_kind") == "code").alias("bc"))
-    def words(t: DataFrame, key: str, at: str, code: str) -> DataFrame:
-        one = t.where(~F.col(code)).select("id", at, F.size(_words(key)).alias(f"{at}_size"), F.explode(_words(key)).alias("w"))
-        return one.groupBy("id", at, f"{at}_size", "w").agg(F.count("*").alias(f"{at}_times"))
-
-    shared = words(gone, "old", "an", "ac").join(words(come, "new", "bn", "bc"), ["id", "w"])
-    shared = shared.groupBy("id", "an", "bn", "an_size", "bn_size").agg(F.sum(F.least("an_times", "bn_times")).alias("common"))
-    pairs = shared.where(F.col("common") * 2 >= F.greatest("an_size", "bn_size")).select("id", "an", "bn", (F.col("common") / F.greatest("an_size", "bn_size")).alias("share"))
-    code = gone.where("ac").join(come.where("bc"), "id").select("id", "an", "bn", (F.lit(0.5) / (1 + F.abs(F.col("an") - F.col("bn")))).alias("share"))
-    best = lambda k: F.row_number().over(Window.partitionBy("id", k).orderBy(F.desc("share"), "an", "bn"))
-    left, rounds = saved(pairs.union(code)), []
-    while not rounds or not left.isEmpty():
-        rounds.append(saved(left.withColumn("ra", best("an")).where("ra = 1").withColumn("rb", best("bn")).where("rb = 1").select("id", "an", "bn")))
-        left = saved(left.join(rounds[-1], ["id", "an"], "left_anti").join(rounds[-1], ["id", "bn"], "left_anti"))
-    pairs = reduce(lambda a, b: a.union(b), rounds)
-    changed = pairs.join(gone, ["id", "an"]).join(come, ["id", "bn"])
-    rest_a = gone.join(pairs, ["id", "an"], "left_anti").select("id", F.lit("removed").alias("op"), "old", F.lit(None).cast("string").alias("new"))
-    rest_b = come.join(pairs, ["id", "bn"], "left_anti").select("id", F.lit("added").alias("op"), F.lit(None).cast("string").alias("old"), "new")
-    return kept.union(changed.select("id", F.lit("changed").alias("op"), "old", "new")).union(rest_a).union(rest_b)
+    kept = F.col("a").isNotNull() & F.col("b").isNotNull()
+    before = lambda n: F.sum(kept.cast("int")).over(Window.partitionBy("id").orderBy(F.asc_nulls_last(n)))
+    got = got.withColumn("run", F.when(F.col("a").isNotNull(), before("a"))).withColumn("run", F.when(F.col("a").isNull(), before("b")).otherwise(F.col("run")))
+    block = lambda n: F.array_sort(F.collect_list(F.when(F.col(n).isNotNull(), F.struct(n, "key"))))
+    runs = got.where(~kept).groupBy("id", "run").agg(block("a").alias("x"), block("b").alias("y"))
+    runs = runs.select("id", *[F.transform(c, lambda z: z["key"]).alias(c) for c in ("x", "y")])
+    schema = pa.schema([("id", pa.string()), ("op", pa.string()), ("old", pa.string()), ("new", pa.string())])
+
+    def pair(batches):
+        for batch in batches:
+            rows = [(i, *z) for i, x, y in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) for z in paired(x, y)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(4)], schema=schema)
+
+    same = got.where(kept).select(F.col("id").cast("string").alias("id"), F.lit("kept").alias("op"), F.col("key").alias("old"), F.col("key").alias("new"))
+    return same.union(runs.select(F.col("id").cast("string"), "x", "y").mapInArrow(pair, "id string, op string, old string, new string"))
 
 
 def diff_words(changed: DataFrame) -> DataFrame:

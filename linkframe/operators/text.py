@@ -14,6 +14,7 @@ ITEM = r"^\s*([-*+]|\d+[.)])\s"
 ORDERED = r"^\s*(\d+)[.)]\s"
 ROW = r"^\s*\|"
 LINK = r"(!?)\[\[([^\[\]\n]*)\]\]"
+#: A tag at the end of a line, and what its name may be. They define the format.
 TAG = r"[ \t]*\{#([^{}\s]*)\}[ \t]*$"
 TAG_NAME = "^[a-z0-9][a-z0-9-]*$"
 IMAGE = r"!\[[^\]]*\]\(([^()\s]+)[^()]*\)"
@@ -158,14 +159,11 @@ def number_headings(found: DataFrame, key: str = "id", pos: str = "line") -> Dat
 
 
 def letters(n: Column) -> Column:
-    """a, b, ..., z, aa, ...: up to three letters."""
-    one = lambda x: F.char(F.lit(97) + F.pmod(x, F.lit(26)))
-    m = n - 1
-    return (
-        F.when(n <= 26, one(m))
-        .when(n <= 702, F.concat(one(F.floor(m / 26) - 1), one(m)))
-        .otherwise(F.concat(one(F.floor((F.floor(m / 26) - 1) / 26) - 1), one(F.floor(m / 26) - 1), one(m)))
-    )
+    """a, b, ..., z, aa, ..., for as many letters as it takes (14 at most for 64 bits): 26 values a place, without a zero."""
+    start = F.struct(n.cast("long").alias("left"), F.lit("").alias("s"))
+    digit = lambda a: F.pmod(a["left"] - 1, F.lit(26).cast("long"))
+    more = lambda a: F.struct(F.call_function("div", a["left"] - 1 - digit(a), F.lit(26).cast("long")).alias("left"), F.concat(F.char(F.lit(97) + digit(a)), a["s"]).alias("s"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, lambda a, _: F.when(a["left"] > 0, more(a)).otherwise(a), lambda a: a["s"])
 
 
 #: Roman digits by place. Fixed values.

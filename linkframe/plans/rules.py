@@ -56,7 +56,9 @@ def run_rule(rule: Rule, model: Model) -> DataFrame:
     found = cond.select(model, list(rule.types), rule.where)
     subs = [c for c in parts_of(rule.where) if isinstance(c, cond.Sub) and c.how == "of" and not c.negate and not c.agg]
     message = F.lit(rule.message)
-    if subs:
+    if subs and not cond._reads_outside(subs[0].where):  # the same for all: one list
+        message = F.concat(message, F.lit(": "), cond.unrelated_items(model, subs[0]).agg(F.array_join(F.array_sort(F.collect_set("item")), ", ")).scalar())
+    elif subs:
         items = cond.match_items(model, list(rule.types), subs[0]).groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("__found"))
         found = found.join(items, "id", "left")
         message = F.concat(message, F.lit(": "), F.array_join("__found", ", "))
@@ -89,14 +91,19 @@ def place(rule: Rule, model: Model) -> DataFrame:
     return got.dropDuplicates(["id", "at"]).select(*rest, F.col("id").alias("entity"), "at")
 
 
+#: The names and severities of the built-in checks are fixed values: reports are compared by them.
+
 # -- built-in checks ------------------------------------------------------------------------------------------------
 
 
 def duplicate_ids(rows: DataFrame) -> DataFrame:
-    """Every copy of an id, naming the others. Input: id, path."""
-    twice = rows.groupBy("id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("path")).alias("paths")).where("n > 1")
-    other = F.array_join(F.array_remove(F.col("paths"), F.col("path")), ", ")
-    return violations(rows.join(twice, "id"), "content/duplicate-id", F.concat(F.lit("id "), "id", F.lit(" is also in "), other))
+    """Every copy of an id, naming the paths of the others, its own too where it is there twice. Only ids that recur are gathered. Input: id, path."""
+    twice = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    again = rows.join(twice, "id", "left_semi")
+    paths = again.groupBy("id").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    at = F.array_position("paths", F.col("path")).cast("int")
+    other = F.array_join(F.when(at > 0, F.concat(F.slice("paths", F.lit(1), at - 1), F.slice("paths", at + 1, F.size("paths")))).otherwise(F.col("paths")), ", ")
+    return violations(again.join(paths, "id"), "content/duplicate-id", F.concat(F.lit("id "), "id", F.lit(" is also in "), other))
 
 
 def unresolved(edges: DataFrame, entities: DataFrame) -> DataFrame:
@@ -185,13 +192,22 @@ def unknown_row_keys(rows: DataFrame, within: str, fields: tuple[Field, ...]) ->
 
 
 def unused(registry: Registry, entities: DataFrame) -> DataFrame:
-    """Types (ancestors of used ones count as used) that no entity has and no link targets."""
+    """Types that no entity has (ancestors of used ones count as used), that no link targets and that link to nothing; declared
+    enums that no field has, and declared records that no list has."""
     spark = entities.sparkSession
     up = spark.createDataFrame([(t, a) for t in registry.types for a in registry.ancestors(t)], "type string, up string")
-    targets = {x for t in registry.types for _, f in registry.links(t) for x in f.target}
+    linked = {x for t in registry.types for _, f in registry.links(t) for x in (t, *f.target)}
     used = entities.select("type").distinct().join(F.broadcast(up), "type").select(F.col("up").alias("name")).distinct()
-    declared = spark.createDataFrame([(t,) for t in registry.types if t not in targets] or [], "name string")
-    return violations(declared.join(used, "name", "left_anti"), "schema/unused-type", F.concat(F.lit("type "), "name", F.lit(" is not used")), "warning", entity=None)
+    declared = spark.createDataFrame([(t,) for t in registry.types if t not in linked] or [], "name string")
+    types = violations(declared.join(used, "name", "left_anti"), "schema/unused-type", F.concat(F.lit("type "), "name", F.lit(" is not used")), "warning", entity=None)
+    fields = [f for t in registry.types for f in registry.fields(t)]
+    enums = {g.values for f in fields for g in (f, *f.fields) if g.kind == "enum"}
+    lists = {f.fields for f in fields if f.kind == "list"}
+    rest = [("schema/unused-enum", f"enum {n} is not used") for n, v in sorted(registry.enums.items()) if tuple(v) not in enums]
+    rest += [("schema/unused-record", f"record {n} is not used") for n, v in sorted(registry.records.items()) if tuple(v) not in lists]
+    rest_ = spark.createDataFrame(rest, "rule string, message string")
+    none = lambda kind: F.lit(None).cast(kind)
+    return union(types, rest_.select("rule", F.lit("warning").alias("severity"), "message", none("string").alias("entity"), none("string").alias("path"), none("int").alias("line"))) if rest else types
 
 
 def unused_enum_values(table: DataFrame, f: Field) -> DataFrame:
@@ -224,7 +240,7 @@ def duplicate_tags(tags: DataFrame, fields: DataFrame) -> DataFrame:
     """Tags used twice in an entity, and tags named like a field. tags: id, type, tag, line; fields: type, name."""
     w = Window.partitionBy("id", "tag").orderBy("line")
     again = tags.withColumn("nth", F.row_number().over(w)).where("nth > 1")
-    like = tags.join(F.broadcast(fields.select("type", F.col("name").alias("tag"))), ["type", "tag"], "left_semi")
+    like = tags.join(fields.select("type", F.col("name").alias("tag")).distinct(), ["type", "tag"], "left_semi")
     return union(
         violations(again, "content/tag", F.concat(F.lit("#"), "tag", F.lit(" is used twice"))),
         violations(like, "content/tag", F.concat(F.lit("{#"), "tag", F.lit("} is named like a field"))),

@@ -62,10 +62,12 @@ class EntityType:
 
 @dataclass
 class Registry:
+    """Entity types by name; ``enums`` (values) and ``records`` (fields of list rows) may be declared by name for fields to share."""
+
     types: dict[str, EntityType] = field(default_factory=dict)
 
-    def __init__(self, *types: EntityType):
-        self.types = {}
+    def __init__(self, *types: EntityType, enums: dict[str, tuple[str, ...]] | None = None, records: dict[str, tuple[Field, ...]] | None = None):
+        self.types, self.enums, self.records = {}, enums or {}, records or {}
         for t in types:
             self.add(t)
 

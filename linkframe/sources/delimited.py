@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from functools import reduce
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 
 from linkframe.registry import Field, Registry
 
+#: A file's first row: up to the first line end outside of quotes.
+FIRST_ROW = r'(?s)^((?:[^"\r\n]|"(?:[^"]|"")*+")*+)'
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 PROBLEMS = "path string, id string, severity string, message string"
 
@@ -50,10 +53,25 @@ def typed(c: Column, f: Field, separator: str) -> tuple[Column, Column]:
     return type_cell(c, f.kind)
 
 
-def header_of(spark: SparkSession, path: str, delimiter: str = ",") -> list[str]:
-    """The names of the first line of the first file, without a byte order mark."""
-    first = spark.read.option("lineSep", "\n").text(path).limit(1).collect()
-    return next(csv.reader([first[0][0].lstrip("﻿").rstrip("\r")], delimiter=delimiter)) if first else []
+def headers_of(spark: SparkSession, path: str, delimiter: str = ",") -> list[tuple[list[str], list[str]]]:
+    """(names, paths of the files that begin with them): each file's first row, without a byte order mark; no names for empty files. Different headers are few.
+
+    The first line is the first row, but for files with a line end inside a quoted name; these alone are read whole.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("at"))
+    first = lines.groupBy("path").agg(F.min_by("value", "at").alias("head"))
+    even = F.length(F.regexp_replace("head", '[^"]', "")) % 2 == 0
+    heads = [(r["head"], r["paths"]) for r in first.where(even).groupBy("head").agg(F.collect_list("path").alias("paths")).collect()]
+    if odd := [r["path"] for r in first.where(~even).select("path").collect()]:
+        whole = spark.read.text(odd, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("value", FIRST_ROW, 1).alias("head"))
+        heads += [(r["head"], r["paths"]) for r in whole.groupBy("head").agg(F.collect_list("path").alias("paths")).collect()]
+    seen = {urlsplit(p) for _, paths in heads for p in paths}
+    empty = [p for p in spark.read.text(path).inputFiles() if urlsplit(p) not in seen]  # no row comes from them
+    names = lambda head: next(csv.reader(head.lstrip("\ufeff").rstrip("\r").splitlines(keepends=True), delimiter=delimiter), [])
+    found: dict[tuple[str, ...], list[str]] = {(): empty} if empty else {}
+    for head, paths in heads:
+        found.setdefault(tuple(names(head)), []).extend(paths)
+    return sorted(((list(k), sorted(v)) for k, v in found.items()), key=lambda x: x[1])
 
 
 def audit_header(spark: SparkSession, header: list[str], fields: tuple[Field, ...], id_col: str) -> DataFrame:
@@ -77,23 +95,32 @@ def check_encoding(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_entities(spark: SparkSession, path: str, registry: Registry, etype: str, id_col: str = "id", delimiter: str = ",", separator: str = ";") -> tuple[DataFrame, DataFrame]:
-    """(rows, problems) of RFC 4180 files with a header.
+    """(rows, problems) of RFC 4180 files, each with a header of its own.
 
     rows: id, the type's fields, ``f__raw`` of invalid cells, and path. A row with the wrong number of cells, or without an id, is
-    dropped and reported. Quoted cells may hold delimiters, doubled quotes and line ends.
+    dropped and reported. Quoted cells may hold delimiters, doubled quotes and line ends. A file's columns are found by the names in its own
+    header, in whatever order; a file whose header has a name twice, lacks the id column or isn't there gives problems and no rows.
     """
-    header = header_of(spark, path, delimiter)
     fields = [f for f in registry.fields(etype) if not f.calculated]
+    parts = [_read_alike(spark, header, paths, fields, id_col, delimiter, separator) for header, paths in headers_of(spark, path, delimiter)]
+    columns = [x for f in fields for x in (T.StructField(f.name, f.spark()), T.StructField(f"{f.name}__raw", T.StringType()))]
+    rows = [spark.createDataFrame([], T.StructType([T.StructField("id", T.StringType()), *columns, T.StructField("path", T.StringType())]))]
+    return reduce(lambda a, b: a.unionByName(b), rows + [r for r, _ in parts if r is not None]), reduce(lambda a, b: a.union(b), [spark.createDataFrame([], PROBLEMS), *[p for _, p in parts]])
+
+
+def _read_alike(spark: SparkSession, header: list[str], paths: list[str], fields: list[Field], id_col: str, delimiter: str, separator: str) -> tuple[DataFrame | None, DataFrame]:
+    """Rows (none where the header has an error) and problems of files with one header."""
+    if not header:
+        return None, spark.createDataFrame([(p, None, "error", "the file has no header") for p in paths], PROBLEMS)
     audit = audit_header(spark, header, tuple(fields), id_col)
-    problems = [audit.select(F.lit(path).alias("path"), F.lit(None).cast("string").alias("id"), "severity", "message")]
+    problems = [spark.createDataFrame([(p,) for p in paths], "path string").crossJoin(audit).select("path", F.lit(None).cast("string").alias("id"), "severity", "message")]
+    if id_col not in header or len(set(header)) < len(header):
+        return None, problems[0]
     safe = [f"c{i}" for i in range(len(header))]
     schema = T.StructType([*[T.StructField(n, T.StringType()) for n in safe], T.StructField("__corrupt", T.StringType())])
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').option("sep", delimiter).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__corrupt").option("nullValue", "\u0000").option("emptyValue", "").csv(path)
+    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').option("sep", delimiter).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__corrupt").option("nullValue", "\u0000").option("emptyValue", "").csv(paths)
     raw = raw.withColumn("path", F.input_file_name())
-    at = {h: safe[i] for i, h in reversed(list(enumerate(header)))}
-    if id_col not in at:
-        empty = spark.createDataFrame([], registry.struct(etype))
-        return empty, reduce(lambda a, b: a.union(b), problems)
+    at = dict(zip(header, safe, strict=True))
     key = F.trim(F.col(at[id_col]))
     # Spark reads the column of corrupt rows only beside others, so the test names them too
     wrong = raw.where(F.col("__corrupt").isNotNull() & (F.length(F.concat_ws("", *safe)) >= 0))
@@ -105,10 +132,10 @@ def read_entities(spark: SparkSession, path: str, registry: Registry, etype: str
     for f in fields:
         name = f.column or f.name
         if name not in at:
-            columns += [F.lit(None).cast(f.spark()).alias(f.name)]
+            columns += [F.lit(None).cast(f.spark()).alias(f.name), F.lit(None).cast("string").alias(f"{f.name}__raw")]
             continue
         value, bad = typed(F.col(at[name]), f, separator)
-        columns += [value.alias(f.name), F.when(bad, F.col(at[name])).alias(f"{f.name}__raw")]
+        columns += [value.cast(f.spark()).alias(f.name), F.when(bad, F.col(at[name])).alias(f"{f.name}__raw")]
     return right.where(~nameless).select(*columns, "path"), reduce(lambda a, b: a.union(b), problems)
 
 

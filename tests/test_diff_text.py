@@ -72,6 +72,11 @@ def test_item_labels(spark):
     rows = [("p", "1", None, "L", 1, 4, 1), ("p", "2", None, "L", 2, 4, 1), ("p", "a", "2", "M", 3, 1, 2), ("p", "b", "2", "M", 4, 1, 2), ("p", "i", "b", "N", 5, 1, 3), ("p", "ii", "b", "N", 6, 1, 3)]
     df = spark.createDataFrame(rows, "page string, item string, parent string, list string, pos int, start int, depth int")
     assert {r["item"]: r["label"] for r in t.number_items(df).collect()} == {"1": "4", "2": "5", "a": "5(a)", "b": "5(b)", "i": "5(b)(i)", "ii": "5(b)(ii)"}
+    def plain(n):
+        return "" if n == 0 else plain((n - 1) // 26) + chr(97 + (n - 1) % 26)
+
+    big = [1, 26, 27, 702, 703, 18278, 18279, 475254, 475255, 10**12, 2**62]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in big], "n long").select(t.letters(F.col("n"))).collect()] == list(map(plain, big))
     n = spark.range(1, 800).select("id", t.letters(F.col("id")).alias("a"), t.roman(F.col("id")).alias("r"))
     got = {r["id"]: (r["a"], r["r"]) for r in n.collect()}
     assert got[1] == ("a", "i") and got[26][0] == "z" and got[27][0] == "aa" and got[702][0] == "zz" and got[703][0] == "aaa" and got[494][1] == "cdxciv" and got[799][1] == "dccxcix"
@@ -102,6 +107,28 @@ def test_blocks_with_one_best_partner(spark):
     assert sorted(got) == [("0", "added")] * 4 + [("0", "changed")] * 2 + [("1", "changed")] * 2
 
 
+def test_pairs_in_order():
+    """The most pairs that fit without crossing, against all ways; blocks pair inside their run only."""
+    import itertools
+
+    r = random.Random(2)
+    for _ in range(60):
+        n, m = r.randrange(5), r.randrange(5)
+        fit = {(i, j) for i in range(n) for j in range(m) if r.random() < 0.4}
+        k, pairs = d.in_order(n, m, lambda i, j: (i, j) in fit)
+        best = max((len(x) for z in range(min(n, m) + 1) for x in itertools.combinations(sorted(fit), z) if all(a < c and b < e for (a, b), (c, e) in zip(x, x[1:]))), default=0)
+        assert k == len(pairs) == best and set(pairs) <= fit and all(a < c and b < e for (a, b), (c, e) in zip(pairs, pairs[1:]))
+    assert d.alike("a b c d", "a b x y") and not d.alike("a b c d", "b a x y") and not d.alike("```\nx\n```", "x") and d.alike("", "")
+
+
+def test_pairs_stay_in_their_run(spark):
+    """An edited paragraph before a kept one doesn't pair with one after it."""
+    old = docs(spark, "one two three four\n\nkept words here\n\nfive six seven eight")
+    new = docs(spark, "kept words here\n\none two three five\n\nfive six seven nine")
+    got = sorted((r["op"], r["old"], r["new"]) for r in d.diff_text(old, new).where("op <> 'kept'").collect())
+    assert got == [("added", None, "one two three five"), ("changed", "five six seven eight", "five six seven nine"), ("removed", "one two three four", None)]
+
+
 SCHEMA = "id string, type string, title string, weight double, uses array<string>, steps array<struct<action:string,check:string>>"
 
 

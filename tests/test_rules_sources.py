@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkframe import sinks
 from linkframe.operators import history, selections
-from linkframe.operators.cond import all_of, any_of, field, some_linked, some_row
+from linkframe.operators.cond import all_of, any_of, field, some_linked, some_of, some_row
 from linkframe.operators.model import Model
 from linkframe.plans import rules
 from linkframe.registry import EntityType, Field, Registry
@@ -66,14 +66,23 @@ def test_check(spark, check):
 
 
 def test_rules(spark):
-    m = graphs.requirements(spark)
-    r = rules.Rule("no-deprecated", "error", "implements a deprecated need", ("Requirement",), some_linked("implements", field("status").equals("deprecated")))
-    assert [x[1] for x in messages(rules.run_rule(r, m))] == ["REQ-0002", "REQ-0003"]
-    assert sorted((x["entity"], x["at"]) for x in rules.place(r, m).collect()) == [("REQ-0002", "implements USR-0002"), ("REQ-0003", "implements USR-0002")]
-    row = rules.Rule("r", "warning", "m", ("Evidence",), some_row("equipment_used", field("serial").equals("B")))
-    assert [(x["entity"], x["at"]) for x in rules.place(row, m).collect()] == [("EVD-1", "equipment_used/1")]
-    either = rules.Rule("e", "warning", "m", ("Requirement",), any_of(field("order").equals(9), all_of(field("status").equals("in_review"))))
-    assert [(x["entity"], x["at"]) for x in rules.place(either, m).collect()] == [("REQ-0003", "status")]
+    rows = graphs.music(4)
+    m, plain = graphs.music_model(spark, rows), graphs.Plain(rows)
+    loud = some_linked("guests", field("genre").equals("noise"))
+    r = rules.Rule("no-noise", "error", "has a noisy guest", ("Album",), loud)
+    want = plain.select("Album", loud)
+    assert want and {x[1] for x in messages(rules.run_rule(r, m))} == want
+    places = {(x["id"], f"guests {y['id']}") for x in plain.of("Album") for y in plain.targets(x, "guests") if y["genre"] == "noise"}
+    assert {(x["entity"], x["at"]) for x in rules.place(r, m).collect()} == places
+    row = rules.Rule("r", "warning", "m", ("Album",), some_row("tracks", field("tone").equals("Z")))
+    places = {(x["id"], f"tracks/{i}") for x in plain.of("Album") for i, t in enumerate(x["tracks"] or []) if t["tone"] == "Z"}
+    assert places and {(x["entity"], x["at"]) for x in rules.place(row, m).collect()} == places
+    either = rules.Rule("e", "warning", "m", ("Album",), any_of(field("price").equals(3.0), all_of(field("live").equals(True))))
+    got = {x["entity"]: x["at"] for x in rules.place(either, m).collect()}
+    assert got == {x["id"]: "price" if x["price"] == 3 else "live" for x in plain.of("Album") if x["price"] == 3 or x["live"]}
+    same = rules.Rule("s", "error", "dear ones", ("Solo",), some_of(["Album"], field("price").equals(4.0)))
+    dear = ", ".join(sorted(x["id"] for x in plain.of("Album") if x["price"] == 4))
+    assert dear and {x[2] for x in messages(rules.run_rule(same, m))} == {f"dear ones: {dear}"}
     with pytest.raises(ValueError):
         rules.Rule("x", "fatal", "m", ("A",), field("a").exists())
 
@@ -104,6 +113,39 @@ def test_delimited(spark, tmp_path):
     assert found == ["column extra is not read", "field gone has no column", "the row has no id", "the row has the wrong number of cells", "the row has the wrong number of cells"]
 
 
+def test_header_per_file(spark, tmp_path):
+    """Columns by each file's own header; headers in error give no rows; a quoted line end belongs to its name."""
+    reg = Registry(EntityType("Item", (Field("title"), Field("size", "number"), Field("two\nlines", column="two\nlines"))))
+    files = {
+        "a.csv": "id,title,size\nP-1,one,3\n", "b.csv": "\ufeffid,size,title\r\nP-2,4,two\r\n", "c.csv": "title,title,id\nx,y,P-3\n", "d.csv": "title,size\nx,1\n",
+        "e.csv": 'id,"two\nlines","a ""b"""\nP-4,z,1\n', "f.csv": "", "g.csv": "id,title,size\nP-5,five,x\n",
+    }
+    for name, x in files.items():
+        (tmp_path / name).write_bytes(x.encode())
+    rows, problems = s.read_entities(spark, str(tmp_path), reg, "Item")
+    got = {r["id"]: (r["title"], r["size"], r["size__raw"], r["two\nlines"]) for r in rows.collect()}
+    assert got == {"P-1": ("one", 3.0, None, None), "P-2": ("two", 4.0, None, None), "P-4": (None, None, None, "z"), "P-5": ("five", None, "x", None)}
+    found = {(r["path"].rpartition("/")[2], r["message"]) for r in problems.where("severity = 'error'").collect()}
+    assert found == {("c.csv", "column title is there twice"), ("d.csv", "there is no column id for the id"), ("f.csv", "the file has no header")}
+    assert ("e.csv", 'column a "b" is not read') in {(r["path"].rpartition("/")[2], r["message"]) for r in problems.collect()}
+
+
+def test_duplicate_ids(spark):
+    df = spark.createDataFrame([("a", "p"), ("a", "p"), ("b", "p"), ("b", "q"), ("b", None), ("c", "r")], "id string, path string")
+    assert messages(rules.duplicate_ids(df)) == [("content/duplicate-id", "a", "id a is also in p")] * 2 + [("content/duplicate-id", "b", "id b is also in p"), ("content/duplicate-id", "b", "id b is also in p, q"), ("content/duplicate-id", "b", "id b is also in q")]
+
+
+def test_unused(spark):
+    """Types that link out, or are linked to, or have subtypes with entities, are used; named enums and records are if some field has them."""
+    row = (Field("n", "number"),)
+    reg = Registry(
+        EntityType("Top", abstract=True), EntityType("Has", extends="Top"), EntityType("Out", (Field("to", "link", ("Aim",)),)), EntityType("Aim"), EntityType("Idle", (Field("s", "enum", values=("x", "y")), Field("l", "list", fields=row))),
+        EntityType("RowOut", (Field("l", "list", fields=(Field("to", "link", ("Aim",)),)),)), enums={"Known": ("x", "y"), "Spare": ("z",)}, records={"Row": row, "Other": (Field("m"),)},
+    )
+    got = rules.unused(reg, spark.createDataFrame([("h", "Has")], "id string, type string"))
+    assert messages(got) == [("schema/unused-enum", None, "enum Spare is not used"), ("schema/unused-record", None, "record Other is not used"), ("schema/unused-type", None, "type Idle is not used")]
+
+
 def test_header_and_encoding(spark, tmp_path):
     got = s.audit_header(spark, ["x", "x", "title"], (Field("title"),), "id")
     assert sorted((r["severity"], r["name"]) for r in got.collect()) == [("error", "id"), ("error", "x"), ("warning", "x")]
