@@ -78,6 +78,16 @@ def content_hash(files: DataFrame, excluded: str = ".signatures") -> DataFrame:
     return each.groupBy("snapshot").agg(F.concat(F.lit("sha256:"), F.sha2(joined, 256)).alias("hash"))
 
 
+def content_hash_tree(files: DataFrame, excluded: str = ".signatures", digits: int = 3) -> DataFrame:
+    """(snapshot, hash) where no task or array holds a snapshot: files are digested by the first digits of their path's hash, and
+    these digests (16 ** ``digits`` at most) make the snapshot's."""
+    kept = files.where((F.col("path") != excluded) & ~F.col("path").startswith(excluded + "/"))
+    one = F.struct("path", F.sha2("content", 256).alias("sha")).alias("f")
+    lines = lambda c, a: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda f: F.concat_ws("\u0000", f[a], f["sha"])), "\n"), 256)
+    each = kept.select("snapshot", F.substring(F.sha2("path", 256), 1, digits).alias("part"), one).groupBy("snapshot", "part").agg(lines("f", "path").alias("sha"))
+    return each.groupBy("snapshot").agg(F.concat(F.lit("sha256:"), lines(F.struct("part", "sha"), "part")).alias("hash"))
+
+
 def content_hash_framed(files: DataFrame, first_line: str, excluded: str = ".signatures") -> DataFrame:
     """(snapshot, hash) in the byte-exact form: a first line, then kind, path, length and bytes of each file, framed by zero bytes.
 

@@ -917,8 +917,10 @@ def _read_parts(spark, sf_dir):
 
 @query("s02_s04_problems", "prt", "SELECT message, count(*) AS n FROM (SELECT CASE WHEN n%37<>0 THEN 'the row has the wrong number of cells' ELSE 'the row has no id' END AS message FROM prt WHERE n%37<>0 OR n%41=0 UNION ALL SELECT 'column spare is not read' UNION ALL SELECT 'field missing has no column') GROUP BY message")
 def s02(spark, sf_dir):
+    """Rows in error by message, and each warning about the headers, which are alike, once."""
     _, problems = _read_parts(spark, sf_dir)
-    return problems.groupBy("message").agg(F.count("*").alias("n"))
+    warnings = problems.where("severity = 'warning'").select("message").distinct().select("message", F.lit(1).cast("long").alias("n"))
+    return problems.where("severity = 'error'").groupBy("message").agg(F.count("*").alias("n")).union(warnings)
 
 
 @query("s08_corpus", "", "SELECT 'DOC-'||doc_id AS id, lang AS type, length(text) AS n FROM documents WHERE doc_id%9<>0 AND text NOT LIKE '%'||chr(13)||'%'")
