@@ -299,7 +299,7 @@ def kinds_of(rows: DataFrame, hot: int) -> DataFrame:
 def by_anchor(rows: DataFrame, kinds: DataFrame, total: int) -> DataFrame:
     """Rows with their anchor's kind. Anchors of a large share of the rows meet no shuffle: they are few."""
     heavy = kinds.where(F.col("n") > max(HEAVY, total // 1000)).select("anchor", "kind")
-    light = kinds.where(F.col("n") <= max(HEAVY, total // 1000)).select("anchor", "kind")
+    light = kinds.where(F.col("n") <= max(HEAVY, total // 1000)).select("anchor", "kind").hint("merge")  # it grows with the corpus: never broadcast
     if heavy.isEmpty():
         return rows.join(light, "anchor")
     return rows.join(F.broadcast(heavy), "anchor", "left_anti").join(light, "anchor").unionByName(rows.join(F.broadcast(heavy), "anchor"))

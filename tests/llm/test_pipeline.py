@@ -64,3 +64,36 @@ def test_rows_of_one_id(spark):
     times = {x: rows.count(x) for x in rows}
     assert mix and all(r["count"] <= 2 * times[r["doc_id"], r["text"]] for r in mix)
     assert sum(r["count"] * len(r["text"].split()) for r in mix) <= 1.5 * sum(len((t or "").split()) for _, t in rows) + 31
+
+
+ODD = [(1, None), (1, None), (2, ""), (None, " \n"), (3, "short"), (4, " ".join(f"word{i}" for i in range(80)) + "."), (4, " ".join(f"word{i}" for i in range(80)) + "."), (None, " ".join(f"word{i}" for i in range(80)) + "."), (6, "é" * 40_000), (7, " ".join(f"long{i}" for i in range(30_000)))]
+NAMES = ["__at", "__votes", "__size", "row", "rid", "marked", "votes", "score", "size", "pattern", "copies", "text_", "c0"]
+
+
+def odd(spark, rows):
+    """Documents with columns named as the stages' own."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in NAMES)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), *NAMES) for i, t in rows], schema).repartition(3)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in p.STAGES])
+def test_odd_rows(spark, name):
+    """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns go through each stage."""
+    stage = dict(p.STAGES)[name]
+    docs = odd(spark, ODD)
+    found = stage(spark, docs, DIR)
+    rows = found.collect()
+    assert stage(spark, odd(spark, []), DIR).isEmpty()
+    if name == "tokens":
+        assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(i) for i, _ in ODD) and all(len(r["ids"]) == 4 * r["n_tokens"] >= 8 for r in rows)
+        return
+    assert found.columns == docs.columns and all(r[n] == n for r in rows for n in NAMES)
+    texts = sorted((str(r["doc_id"]), r["text"]) for r in rows if r["text"])
+    if name == "quality":
+        assert all(sum(x == (str(i), t) for x in texts) in (0, sum(y == (i, t) for y in ODD)) for i, t in ODD if t)
+    if name == "near_duplicates":
+        assert sorted(texts) == sorted([("3", "short"), ("4", ODD[5][1]), ("6", ODD[8][1]), ("7", ODD[9][1]), ("None", " \n")]) and len(rows) == 8
+    if name == "repeated_sentences":
+        assert len(rows) == len(ODD) and [t for i, t in texts if i == "4"] == [ODD[5][1]] * 2 and ("None", ODD[5][1]) not in texts
+    if name == "mix":
+        assert all((r["text"] or "").split() for r in rows) and len(rows) <= 2 * 7
