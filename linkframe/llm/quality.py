@@ -115,29 +115,28 @@ def vote_features(v: str) -> list[int]:
 
 
 def voted(docs: DataFrame) -> DataFrame:
-    """(text, votes); null text counts as empty."""
+    """(votes) of each text; null counts as empty."""
 
     def run(batches):
         for part in pieces(batches):
-            got = [votes(t or "") for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("text"), pa.array(got, pa.string())], ["text", "votes"])
+            yield pa.RecordBatch.from_arrays([pa.array([votes(t or "") for t in part.column("text").to_pylist()], pa.string())], ["votes"])
 
-    return docs.select("text").mapInArrow(run, "text string, votes string")
+    return docs.select("text").mapInArrow(run, "votes string")
 
 
 def sample_features(docs: DataFrame) -> DataFrame:
-    """votes (v), places and values of each text's features. Input: what ``voted`` returns."""
+    """votes (v), places and values of each text's features."""
 
     def run(batches):
         for part in pieces(batches):
             rows = []
-            for t, v in zip(part.column("text").to_pylist(), part.column("votes").to_pylist(), strict=True):
+            for t in part.column("text").to_pylist():
                 raw = np.frombuffer((t or "").encode("utf-8", "replace"), np.uint8)
                 at, n = np.unique(trigrams(raw), return_counts=True) if len(raw) > 2 else (np.zeros(0), np.zeros(0))
-                rows.append({"v": v, "at": at.astype(np.int32).tobytes(), "n": (n * SCALE / max(1, len(raw) - 2)).astype(np.float32).tobytes()})
+                rows.append({"v": votes(t or ""), "at": at.astype(np.int32).tobytes(), "n": (n * SCALE / max(1, len(raw) - 2)).astype(np.float32).tobytes()})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("v", pa.string()), ("at", pa.binary()), ("n", pa.binary())]))
 
-    return docs.select("text", "votes").mapInArrow(run, "v string, at binary, n binary")
+    return docs.select("text").mapInArrow(run, "v string, at binary, n binary")
 
 
 def train(rows: list, posterior: dict[str, float], rounds: int = 80, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
@@ -170,7 +169,7 @@ def scored(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     share = min(1.0, train_rows / max(1, sum(patterns.values())))
     lots = docs.select("text", F.xxhash64("doc_id", "text").alias("lot")).where((F.col("lot").cast("double") + 2.0**63) <= share * 2.0**64)
     drawn = lots.groupBy("lot").agg(F.first("text").alias("text")).select("text")  # rows of one lot are equal
-    w = train(sample_features(voted(drawn)).collect(), posterior)
+    w = train(sample_features(drawn).collect(), posterior)
     trained, extra = w[:DIMS].astype(np.float32), w[DIMS:]
     schema = longer(docs.schema, "votes string, posterior double, score double")
 

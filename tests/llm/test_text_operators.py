@@ -340,7 +340,7 @@ def test_plain_scorer(spark):
     for t in texts.values():
         counts[quality.votes(t)] = counts.get(quality.votes(t), 0) + 1
     posterior = quality.expectation(counts)[0]
-    rows = quality.sample_features(quality.voted(docs)).collect()
+    rows = quality.sample_features(docs).collect()
     w = quality.train(sorted(rows, key=lambda r: (r["v"], bytes(r["at"]), bytes(r["n"]))), posterior)
     got = {r["doc_id"]: r for r in quality.scored(docs).collect()}
     for i, t in texts.items():
