@@ -33,8 +33,8 @@ from .components import components
 LEAST = 75  # per cent
 #: A token that one in HOT_IN of the CHUNK classes in a task has (four at least) is reported; the MAX_HOT most frequent of those are hot.
 CHUNK, HOT_IN, MAX_HOT = 4096, 256, 100_000
-CHUNK_TOKENS = 2_000_000
-PART_TOKENS = 1_200_000
+CHUNK_TOKENS = 1_200_000
+PART_TOKENS = 1_000_000
 #: Parts that a chunk is dealt into at once; more are dealt in two steps, so that rows don't grow as chunks times parts.
 DEAL = 4096
 LEADER_ROUNDS = 4
