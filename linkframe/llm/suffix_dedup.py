@@ -223,7 +223,7 @@ SEGMENTS = "anchor long, doc long, rid long, at long, core int, size int, bytes
 
 def segments(docs: DataFrame, places: DataFrame) -> DataFrame:
     """The segments at ``places`` (doc, rid, anchor, at, to)."""
-    lists = places.groupBy("doc", "rid").agg(F.collect_set(F.struct("anchor", "at", "to")).alias("places"))
+    lists = places.groupBy("doc", "rid").agg(F.collect_set(F.struct("anchor", "at", "to")).alias("places")).hint("merge")  # as many as there are documents
     both = docs.join(lists, ["doc", "rid"])
 
     def run(batches):
@@ -353,7 +353,7 @@ def cut_out(docs: DataFrame, width: int = WIDTH, hot: int = HOT, part_segments:
     if found is not None:
         parts = math.ceil((many.get(1, 0) + many.get(2, 0)) / part_segments)
         marks = marks.union(indexed(found, width, parts))
-    marks = marks.groupBy("doc", "rid").agg(F.collect_set(F.struct("at", "to")).alias("__marks"))
+    marks = marks.groupBy("doc", "rid").agg(F.collect_set(F.struct("at", "to")).alias("__marks")).hint("merge")
     both = docs.join(marks, ["doc", "rid"], "left")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("at", pa.int64()), ("to", pa.int64())]))), ("kept", pa.binary())])
 
