@@ -214,7 +214,8 @@ FOUND = pa.struct([("df", pa.int32()), ("token", pa.int64())])
 
 
 def shared(found: DataFrame) -> DataFrame:
-    """(class, found): of each part the tokens (df, token) of a class that other classes have too; hot ones as they come, with names below zero."""
+    """(class, found): of each part the tokens (df, token) of a class that other classes have too, a row each; a class's hot ones, with names
+    below zero, are one row."""
     schema = pa.schema([("class", pa.int64()), ("found", pa.list_(FOUND))])
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -242,7 +243,7 @@ def shared(found: DataFrame) -> DataFrame:
             name, owner, df = name[df > 1], owner[df > 1], df[df > 1]
         order = np.argsort(owner, kind="stable")
         name, owner, df = name[order], owner[order], df[order]
-        start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]][: len(owner)])
+        start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]][: len(owner)]) if key[0].as_py() < 0 else np.arange(len(owner))
         lists = pa.ListArray.from_arrays(pa.array(np.r_[start, len(owner)], pa.int32()), pa.StructArray.from_arrays([pa.array(df), pa.array(name)], fields=list(FOUND)))
         return pa.Table.from_arrays([pa.array(owner[start]), lists], schema=schema)
 
