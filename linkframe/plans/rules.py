@@ -243,7 +243,7 @@ def duplicate_tags(tags: DataFrame, fields: DataFrame) -> DataFrame:
     like = tags.join(fields.select("type", F.col("name").alias("tag")).distinct(), ["type", "tag"], "left_semi")
     return union(
         violations(again, "content/tag", F.concat(F.lit("#"), "tag", F.lit(" is used twice"))),
-        violations(like, "content/tag", F.concat(F.lit("{#"), "tag", F.lit("} is named like a field"))),
+        violations(like, "content/tag", F.concat(F.lit("{#"), "tag", F.lit("} has the name of a field"))),
     )
 
 

@@ -832,7 +832,7 @@ def v19(spark, sf_dir):
     return rules.text_references(docs, docs.select("id"), names).select("entity", "message")
 
 
-@query("v20_tags", "", "SELECT 'DOC-'||doc_id AS entity, '{#top} is named like a field' AS message FROM documents")
+@query("v20_tags", "", "SELECT 'DOC-'||doc_id AS entity, '{#top} has the name of a field' AS message FROM documents")
 def v20(spark, sf_dir):
     tags = text.tags(_markdown(spark, sf_dir)).withColumn("type", F.lit("Document"))
     fields = spark.createDataFrame([("Document", "top"), ("Other", "step")], "type string, name string")
