@@ -9,8 +9,8 @@ the matches with the neighbour beyond each end. All other matches follow from th
 shrinks by one with each step until a run's end gives a longer one. Windows whose longest match reaches
 ``WIDTH`` are repeated. A window belongs to one segment only, so it never matches itself.
 
-An anchor with more than ``HOT`` occurrences isn't brought together: equal segments combine first, and if more than ``HOT`` different
-ones are left, longer anchors take its place. A window has half of the bytes that it is longer than its anchor on one side
+Equal segments of an anchor combine before their bytes are fetched. An anchor with more than ``HOT`` different segments isn't brought together:
+longer anchors take its place. A window has half of the bytes that it is longer than its anchor on one side
 of it or the other, so it goes to the anchor made longer by these, to the left or to the right; such anchors serve as the first ones do, and are made longer in
 their turn, up to the whole window.
 """
@@ -31,8 +31,8 @@ from .common import pieces, removed, written
 
 WIDTH = 200
 GRAM = 32
-HOT = 50_000
-PART_SEGMENTS = 20_000
+HOT = 20_000
+PART_SEGMENTS = 5000
 BLOCK = 1 << 20
 #: Of keys that more than this, and more than one in a thousand, of all rows have there are under a thousand; they join by broadcast.
 HEAVY = 5000
@@ -291,18 +291,18 @@ def indexed(found: DataFrame, width: int, parts: int) -> DataFrame:
 
 
 def kinds_of(rows: DataFrame, hot: int) -> DataFrame:
-    """(anchor, n, kind) of anchors that occur again: 0 where all segments are equal, 1 for the index, 2 if too many for one part of it."""
+    """(anchor, n, kind) of anchors that occur again: 0 where all segments are equal, 1 for the index, 2 if perhaps too many for one part of it."""
     found = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("segment").alias("a"), F.max("segment").alias("b")).where("n > 1")
     return found.select("anchor", "n", F.when(F.col("a") == F.col("b"), F.lit(0)).when(F.col("n") <= hot, F.lit(1)).otherwise(F.lit(2)).alias("kind"))
 
 
-def by_anchor(rows: DataFrame, kinds: DataFrame, total: int) -> DataFrame:
-    """Rows with their anchor's kind. Anchors of a large share of the rows meet no shuffle: they are few."""
-    heavy = kinds.where(F.col("n") > max(HEAVY, total // 1000)).select("anchor", "kind")
-    light = kinds.where(F.col("n") <= max(HEAVY, total // 1000)).select("anchor", "kind").hint("merge")  # it grows with the corpus: never broadcast
+def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Rows with what ``groups`` (n: rows of a group) says of theirs; others go. Groups of a large share of all rows meet no shuffle: they are few."""
+    large = F.col("n") > max(HEAVY, total // 1000)
+    heavy, light = groups.where(large), groups.where(~large).hint("merge")  # light grows with the corpus: never broadcast
     if heavy.isEmpty():
-        return rows.join(light, "anchor")
-    return rows.join(F.broadcast(heavy), "anchor", "left_anti").join(light, "anchor").unionByName(rows.join(F.broadcast(heavy), "anchor"))
+        return rows.join(light, keys)
+    return rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys).unionByName(rows.join(F.broadcast(heavy), keys))
 
 
 def split(found: DataFrame, hot: int, width: int) -> tuple[DataFrame, DataFrame]:
@@ -341,18 +341,26 @@ def cut_out(docs: DataFrame, width: int = WIDTH, hot: int = HOT, part_segments:
     docs = docs.select(doc.alias("doc"), F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = written(anchor_rows(docs, width), "anchors")
     kinds = written(kinds_of(rows, hot), "kinds")
-    places = written(by_anchor(rows.drop("segment"), kinds, rows.count()), "places")
-    removed(rows)
-    many = {r["kind"]: r["n"] for r in kinds.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    total = rows.count()
+    places = written(with_group(rows, kinds, ["anchor"], total).drop("n"), "places")
+    removed(rows, kinds)
     marks = places.where("kind = 0").select("doc", "rid", "at", "to")
-    found = segments(docs, places.where("kind = 1")) if many.get(1) else None
-    if many.get(2):
-        more, ready = split(segments(docs, places.where("kind = 2")), hot, width)
-        marks = marks.union(more)
-        found = ready if found is None else found.unionByName(ready)
-    if found is not None:
-        parts = math.ceil((many.get(1, 0) + many.get(2, 0)) / part_segments)
-        marks = marks.union(indexed(found, width, parts))
+    # of equal segments all are repeated whole, and the one of the least lot stands for them in the index
+    mixed = places.where("kind > 0").withColumn("lot", F.xxhash64("doc", "rid", "at"))
+    times = written(mixed.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min("lot").alias("least"), F.max("kind").alias("kind")), "times")
+    different = times.count()
+    if different:
+        mixed = written(with_group(mixed.drop("kind"), times, ["anchor", "segment"], total).withColumn("stands", F.col("lot") == F.col("least")).drop("segment", "lot", "least", "kind"), "mixed")
+        marks = marks.union(mixed.where("n > 1").select("doc", "rid", "at", "to"))
+        ones = mixed.where("stands")
+        often = times.where("kind = 2").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor")
+        if often.isEmpty():
+            found = segments(docs, ones)
+        else:
+            more, ready = split(segments(docs, ones.join(often, "anchor", "left_semi")), hot, width)
+            marks = marks.union(more)
+            found = segments(docs, ones.join(often, "anchor", "left_anti")).unionByName(ready)
+        marks = marks.union(indexed(found, width, math.ceil(different / part_segments)))
     marks = marks.groupBy("doc", "rid").agg(F.collect_set(F.struct("at", "to")).alias("__marks")).hint("merge")
     both = docs.join(marks, ["doc", "rid"], "left")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("at", pa.int64()), ("to", pa.int64())]))), ("kept", pa.binary())])
