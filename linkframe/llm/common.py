@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +67,16 @@ def pieces(batches, rows: int = 512, size: int = 8 << 20):
                 todo += [part.slice(half), part.slice(0, half)]
             else:
                 yield part
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers for later tasks, and they would keep what the largest task took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
 
 
 def free(docs: DataFrame, *names: str) -> list[str]:
