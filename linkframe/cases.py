@@ -137,6 +137,36 @@ def d10(spark, sf_dir):
     return diff.diff_text(old, new).groupBy("id", "op").agg(F.count("*").alias("n"))
 
 
+@query("d10_moved", "prt", "SELECT id, op, sum(k)::BIGINT AS n FROM (SELECT id, unnest(['kept', 'removed', 'added', 'changed']) AS op, unnest([2 + CAST(n%2<>0 AS INT), CAST(n%2=0 AS INT), CAST(n%2=0 AS INT), 1]) AS k FROM prt) WHERE k>0 GROUP BY id, op")
+def d10_moved(spark, sf_dir):
+    """Four paragraphs per part; the last one has a word changed. In even parts the first has moved behind the third: it is removed and added, and its words don't make it a changed one."""
+    p = Retail(spark, sf_dir).table("Part")
+    first, second, third = (F.concat_ws(" ", F.lit(w), "id") for w in ("first words of", "then what follows", "last of all"))
+    edited = lambda w: F.concat_ws(" ", F.lit("part"), "id", F.lit("has"), F.lit(w), F.lit("words"))
+    old = p.select("id", F.concat_ws("\n\n", first, second, third, edited("old")).alias("text"))
+    new = p.select("id", F.concat_ws("\n\n", F.when(number() % 2 != 0, first), second, third, F.when(number() % 2 == 0, first), edited("new")).alias("text"))
+    return diff.diff_text(old, new).groupBy("id", "op").agg(F.count("*").alias("n"))
+
+
+@query("d10_long_runs", "cus", "SELECT nation AS id, 'changed' AS op, count(*) AS n FROM cus GROUP BY nation UNION ALL SELECT DISTINCT nation, 'added', 1 FROM cus WHERE CAST(substr(nation, 5) AS INT)%2=0")
+def d10_long_runs(spark, sf_dir):
+    """A text per nation with a paragraph per customer, all changed, so runs of hundreds by hundreds; in every second nation a new paragraph comes first."""
+    c = Retail(spark, sf_dir).table("Customer")
+    para = lambda w: F.concat_ws(" ", F.lit("Customer"), "id", F.lit("called"), "name", F.lit(w), F.lit("here"))
+    texts = lambda w: c.groupBy("nation").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", para(w).alias("s")))), lambda x: x["s"]), "\n\n").alias("text"))
+    head = F.when(F.substring("nation", 5, 10).cast("int") % 2 == 0, F.lit("Nothing like what was there")).alias("head")
+    new = texts("lives").select(F.col("nation").alias("id"), F.concat_ws("\n\n", head, "text").alias("text"))
+    return diff.diff_text(texts("lived").select(F.col("nation").alias("id"), "text"), new).groupBy("id", "op").agg(F.count("*").alias("n"))
+
+
+@query("d11_runs", "prt", "SELECT id, 'kept:'||name||'|removed:old stock|added:fresh|kept:'||brand||'|added:now' AS runs FROM prt")
+def d11_runs(spark, sf_dir):
+    """The runs of words of a line per part, in reading order."""
+    p = Retail(spark, sf_dir).table("Part")
+    pair = p.select("id", F.concat_ws(" ", "name", F.lit("old stock"), "brand").alias("old"), F.concat_ws("  ", "name", F.lit("fresh"), "brand", F.lit("now")).alias("new"))
+    return diff.diff_runs(pair).select("id", F.array_join(F.transform("runs", lambda x: F.concat_ws(":", x["op"], x["text"])), "|").alias("runs"))
+
+
 @query("h07_tree", "", "SELECT snapshot, 'sha256:'||sha256(string_agg(part||chr(0)||sha, chr(10) ORDER BY part)) AS hash FROM (SELECT source AS snapshot, substr(sha256('DOC-'||doc_id),1,3) AS part, sha256(string_agg(('DOC-'||doc_id)||chr(0)||sha256(text), chr(10) ORDER BY 'DOC-'||doc_id)) AS sha FROM documents GROUP BY ALL) GROUP BY snapshot")
 def h07(spark, sf_dir):
     r = Retail(spark, sf_dir)

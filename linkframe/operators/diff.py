@@ -6,10 +6,11 @@ from collections import Counter
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import alignment
 from .model import as_text
 from .text import blocks
 
@@ -49,16 +50,30 @@ def diff_fields(old: DataFrame, new: DataFrame, fields: list[str] | None = None)
     return both.select("id", F.explode(_differing(cells)).alias("x")).select("id", "x.*")
 
 
+def _multisets(pairs: DataFrame) -> DataFrame:
+    """Of each row's arrays of texts a and b: what both have, a alone and b alone, as multisets in order (null last), in place of a and b."""
+    keep = [f for f in pairs.schema.fields if f.name not in ("a", "b")]
+    kind = pa.list_(pa.string())
+
+    def run(batches):
+        for batch in batches:
+            parts = ([], [], [])
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = Counter(a), Counter(b)
+                for out, found in zip(parts, (x & y, x - y, y - x), strict=True):
+                    out.append(sorted(found.elements(), key=lambda v: (v is None, v or "")))
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in keep], *[pa.array(p, kind) for p in parts]], [*[f.name for f in keep], "both", "lost", "gained"])
+
+    schema = T.StructType([*keep, *T.StructType.fromDDL("both array<string>, lost array<string>, gained array<string>").fields])
+    return pairs.mapInArrow(run, schema)
+
+
 def diff_list(old: DataFrame, new: DataFrame, field: str) -> DataFrame:
     """(id, field, lost, gained, reordered): items as a multiset; a pure reorder is told apart. Entities on both sides."""
     pair = old.select("id", F.col(field).alias("a")).join(new.select("id", F.col(field).alias("b")), "id")
     text = lambda c: F.coalesce(F.transform(c, lambda x: x.cast("string")), F.array().cast("array<string>"))
     pair = pair.select("id", text(F.col("a")).alias("a"), text(F.col("b")).alias("b")).where("a <> b")
-    # each item with its occurrence number is a set
-    nth = lambda c: F.transform(c, lambda x, i: F.struct(x.alias("v"), F.size(F.filter(F.slice(c, 1, i + 1), lambda y: y.eqNullSafe(x))).alias("n")))
-    pair = pair.withColumn("an", nth(F.col("a"))).withColumn("bn", nth(F.col("b")))
-    values = lambda c: F.array_sort(F.transform(c, lambda x: x["v"]))
-    got = pair.select("id", F.lit(field).alias("field"), values(F.array_except("an", "bn")).alias("lost"), values(F.array_except("bn", "an")).alias("gained"))
+    got = _multisets(pair).select("id", F.lit(field).alias("field"), "lost", "gained")
     return got.withColumn("reordered", (F.size("lost") == 0) & (F.size("gained") == 0))
 
 
@@ -128,89 +143,46 @@ def _words(c: str) -> Column:
     return F.array_remove(F.split(c, r"\s+"), "")
 
 
-#: A run of so many times so many blocks pairs by place alone. Fixed value.
-MOST_PAIRS = 40_000
-
-
-def alike(a: str, b: str) -> bool:
-    """Whether a removed and an added block are one changed block: both fences, or in order they share at least half the words of the longer one."""
-    fences = [x.lstrip().startswith(("```", "~~~")) for x in (a, b)]
-    if any(fences):
-        return all(fences)
-    x, y = a.split(), b.split()
-    most = max(len(x), len(y))
-    if 2 * sum((Counter(x) & Counter(y)).values()) < most:  # too few in any order
-        return False
-    return 2 * in_order(len(x), len(y), lambda i, j: x[i] == y[j])[0] >= most
-
-
-def in_order(n: int, m: int, fits) -> tuple[int, list[tuple[int, int]]]:
-    """The most pairs (i, j) that fit and don't cross, and which they are: of equal choices the earliest."""
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    ok = [[bool(fits(i, j)) for j in range(m)] for i in range(n)]
-    for i in reversed(range(n)):
-        row, below = best[i], best[i + 1]
-        for j in reversed(range(m)):
-            row[j] = max(below[j], row[j + 1], below[j + 1] + ok[i][j])
-    pairs, i, j = [], 0, 0
-    while i < n and j < m:
-        if ok[i][j] and best[i][j] == best[i + 1][j + 1] + 1:
-            pairs.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return best[0][0], pairs
-
-
-def paired(old: list[str], new: list[str]) -> list[tuple[str, str | None, str | None]]:
-    """(op, old, new) of a run's removed and added blocks."""
-    if len(old) * len(new) > MOST_PAIRS:
-        pairs = [(i, i) for i in range(min(len(old), len(new))) if alike(old[i], new[i])]
-    else:
-        pairs = in_order(len(old), len(new), lambda i, j: alike(old[i], new[j]))[1]
-    a, b = {i for i, _ in pairs}, {j for _, j in pairs}
-    return [("changed", old[i], new[j]) for i, j in pairs] + [("removed", x, None) for i, x in enumerate(old) if i not in a] + [("added", None, x) for j, x in enumerate(new) if j not in b]
-
-
 def diff_text(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(id, op, old, new): text blocks kept, added, removed or changed. Only texts on both sides.
+    """(id, pos, op, old, new): text blocks kept, removed, added or changed, in reading order. Only texts on both sides.
 
-    Blocks match by content and occurrence, so a moved block is kept. What lies between two kept blocks is a run, and
-    inside it removed and added blocks pair in order, as many as can (``alike``).
+    The order of blocks counts: a block that has moved is removed at one place and added at the other. What lies between two kept blocks is a
+    run, and inside it removed and added blocks pair in order, as many as can (``alignment.alike``). Texts whose
+    blocks are all equal never leave the JVM; a null text has no blocks.
     """
-    both = old.select("id").join(new.select("id"), "id")
+    side = lambda t, n: blocks(t).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias(n)).select("id", F.transform(n, lambda x: x["key"]).alias(n))
+    both = old.select("id").join(new.select("id"), "id").distinct()
+    none = F.array().cast("array<string>")
+    got = both.join(side(old, "a"), "id", "left").join(side(new, "b"), "id", "left").select(F.col("id").cast("string").alias("id"), F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
+    same = got.where("a = b").select("id", F.posexplode("a").alias("pos", "old")).select("id", "pos", F.lit("kept").alias("op"), "old", F.col("old").alias("new"))
+    schema = pa.schema([("id", pa.string()), ("pos", pa.int32()), ("op", pa.string()), ("old", pa.string()), ("new", pa.string())])
+
+    def compare(batches):
+        for batch in batches:
+            for i, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                found = alignment.compared(a, b)
+                columns = [[i] * len(found), list(range(len(found))), *(list(x) for x in zip(*found, strict=True))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return same.union(got.where("a <> b").mapInArrow(compare, "id string, pos int, op string, old string, new string"))
 
-    def side(t: DataFrame, n: str) -> DataFrame:
-        return blocks(t).withColumn("nth", F.row_number().over(Window.partitionBy("id", "key").orderBy("n"))).select("id", "key", "nth", F.col("n").alias(n))
 
-    got = side(old, "a").join(side(new, "b"), ["id", "key", "nth"], "full").join(both, "id", "left_semi")
-    kept = F.col("a").isNotNull() & F.col("b").isNotNull()
-    before = lambda n: F.sum(kept.cast("int")).over(Window.partitionBy("id").orderBy(F.asc_nulls_last(n)))
-    got = got.withColumn("run", F.when(F.col("a").isNotNull(), before("a"))).withColumn("run", F.when(F.col("a").isNull(), before("b")).otherwise(F.col("run")))
-    block = lambda n: F.array_sort(F.collect_list(F.when(F.col(n).isNotNull(), F.struct(n, "key"))))
-    runs = got.where(~kept).groupBy("id", "run").agg(block("a").alias("x"), block("b").alias("y"))
-    runs = runs.select("id", *[F.transform(c, lambda z: z["key"]).alias(c) for c in ("x", "y")])
-    schema = pa.schema([("id", pa.string()), ("op", pa.string()), ("old", pa.string()), ("new", pa.string())])
+def diff_runs(changed: DataFrame) -> DataFrame:
+    """(id, old, new, runs): of changed blocks the runs of words (of fences: lines) kept, removed and added, in reading order. Null counts as empty."""
+    kind = pa.list_(pa.struct([("op", pa.string()), ("text", pa.string())]))
+    schema = pa.schema([("id", pa.string()), ("old", pa.string()), ("new", pa.string()), ("runs", kind)])
 
-    def pair(batches):
+    def run(batches):
         for batch in batches:
-            rows = [(i, *z) for i, x, y in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) for z in paired(x, y)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(4)], schema=schema)
+            rows = [[{"op": op, "text": t} for op, t in alignment.word_runs(a or "", b or "")] for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, kind)], schema=schema)
 
-    same = got.where(kept).select(F.col("id").cast("string").alias("id"), F.lit("kept").alias("op"), F.col("key").alias("old"), F.col("key").alias("new"))
-    return same.union(runs.select(F.col("id").cast("string"), "x", "y").mapInArrow(pair, "id string, op string, old string, new string"))
+    return changed.select(F.col("id").cast("string").alias("id"), "old", "new").mapInArrow(run, "id string, old string, new string, runs array<struct<op:string,text:string>>")
 
 
 def diff_words(changed: DataFrame) -> DataFrame:
-    """Of changed blocks (columns old, new): words kept, removed and added, as multisets in order of word; fences by line."""
+    """Of changed blocks (columns old, new): words kept, removed and added, as multisets in order of word; fences by line. ``diff_runs`` keeps their order."""
     part = lambda c: F.when(F.col(c).rlike(r"^\s{0,3}(```|~~~)"), F.split(c, "\n")).otherwise(_words(c))
-    keyed = changed.select("id", "old", "new", F.xxhash64("id", "old", "new").alias("__k"))
-    one = lambda c, a, b: keyed.select("__k", F.explode(part(c)).alias("w"), F.lit(a).alias("a"), F.lit(b).alias("b"))
-    times = one("old", 1, 0).union(one("new", 0, 1)).groupBy("__k", "w").agg(F.sum("a").cast("int").alias("a"), F.sum("b").cast("int").alias("b"))
-    several = lambda n: F.array_sort(F.flatten(F.collect_list(F.array_repeat(F.col("w"), n))))
-    got = times.groupBy("__k").agg(several(F.least("a", "b")).alias("kept"), several(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("removed"), several(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("added"))
-    empty = F.array().cast("array<string>")
-    wide = keyed.join(got, "__k", "left")
-    return wide.select("id", "old", "new", *[F.coalesce(c, empty).alias(c) for c in ("kept", "removed", "added")])
+    items = lambda c: F.coalesce(part(c), F.array().cast("array<string>"))
+    got = _multisets(changed.select("id", "old", "new", items("old").alias("a"), items("new").alias("b")))
+    return got.select("id", "old", "new", F.col("both").alias("kept"), F.col("lost").alias("removed"), F.col("gained").alias("added"))

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from linkframe.operators import alignment as al
 from linkframe.operators import diff as d
 from linkframe.operators import text as t
 
@@ -107,18 +108,52 @@ def test_blocks_with_one_best_partner(spark):
     assert sorted(got) == [("0", "added")] * 4 + [("0", "changed")] * 2 + [("1", "changed")] * 2
 
 
-def test_pairs_in_order():
-    """The most pairs that fit without crossing, against all ways; blocks pair inside their run only."""
+def test_rising():
+    """A longest chain, against all ways."""
     import itertools
 
     r = random.Random(2)
-    for _ in range(60):
+    for _ in range(80):
         n, m = r.randrange(5), r.randrange(5)
-        fit = {(i, j) for i in range(n) for j in range(m) if r.random() < 0.4}
-        k, pairs = d.in_order(n, m, lambda i, j: (i, j) in fit)
+        fit = [(i, j) for i in range(n) for j in range(m) if r.random() < 0.4]
+        got = al.rising(fit)
         best = max((len(x) for z in range(min(n, m) + 1) for x in itertools.combinations(sorted(fit), z) if all(a < c and b < e for (a, b), (c, e) in zip(x, x[1:]))), default=0)
-        assert k == len(pairs) == best and set(pairs) <= fit and all(a < c and b < e for (a, b), (c, e) in zip(pairs, pairs[1:]))
-    assert d.alike("a b c d", "a b x y") and not d.alike("a b c d", "b a x y") and not d.alike("```\nx\n```", "x") and d.alike("", "")
+        assert len(got) == best and set(got) <= set(fit) and all(a < c and b < e for (a, b), (c, e) in zip(got, got[1:]))
+
+
+def test_aligned():
+    """What is kept is equal and in order; whoever is once on both sides and in order is kept; runs pair as well as all pairs would."""
+    r = random.Random(3)
+    for _ in range(200):
+        a, b = ([r.choice("abcdefghij") for _ in range(r.randrange(12))] for _ in range(2))
+        got = al.aligned(a, b)
+        assert all(a[i] == b[j] for i, j in got) and all(x < u and y < v for (x, y), (u, v) in zip(got, got[1:]))
+        assert bool(got) == bool(set(a) & set(b))
+        words = [[" ".join(r.choice("pqrst") for _ in range(r.randrange(1, 6))) for _ in range(r.randrange(6))] for _ in range(2)]
+        every = [(i, j) for i, x in enumerate(words[0]) for j, y in enumerate(words[1]) if al.alike(x, y)]
+        assert len(al.paired(*words)) == len(al.rising(every))
+        ops = al.compared(a, b)
+        assert [x[1] for x in ops if x[1] is not None] == a and [x[2] for x in ops if x[2] is not None] == b
+    numbers = list(range(3000))
+    moved = [*numbers[:10], *numbers[20:], *numbers[10:20]]
+    assert len(al.aligned(numbers, moved)) == 2990
+    assert al.alike("a b c d", "a b x y") and not al.alike("a b c d", "b a x y") and not al.alike("```\nx\n```", "x") and al.alike("", "")
+
+
+def test_long_runs(spark):
+    """A run of 300 by 300 changed blocks, with one new one in front of 201 by 200, and a moved block."""
+    para = lambda i, w: f"paragraph {i} says {w}"
+    old = docs(spark, "\n\n".join(para(i, "this") for i in range(300)), "\n\n".join(para(i, "this") for i in range(200)), "x y\n\nfirst one here\n\nsecond two there")
+    new = docs(spark, "\n\n".join(para(i, "that") for i in range(300)), "\n\n".join(["entirely new", *(para(i, "that") for i in range(200))]), "first one here\n\nsecond two there\n\nx y")
+    got = {(r["id"], r["op"]): r["count"] for r in d.diff_text(old, new).groupBy("id", "op").count().collect()}
+    assert got == {("0", "changed"): 300, ("1", "changed"): 200, ("1", "added"): 1, ("2", "kept"): 2, ("2", "removed"): 1, ("2", "added"): 1}
+
+
+def test_runs_of_words(spark):
+    df = spark.createDataFrame([(1, "The ceiling is 8 mA under any fault.", "The ceiling is 6 mA under a fault."), (2, "```\na\nb\nc\n```", "```\na\nx\ny\nc\n```"), (3, None, "new"), (4, "same", "same")], "id long, old string, new string")
+    got = {r["id"]: [tuple(x) for x in r["runs"]] for r in d.diff_runs(df).collect()}
+    assert got["1"] == [("kept", "The ceiling is"), ("removed", "8"), ("added", "6"), ("kept", "mA under"), ("removed", "any"), ("added", "a"), ("kept", "fault.")]
+    assert got["2"] == [("kept", "```\na"), ("removed", "b"), ("added", "x\ny"), ("kept", "c\n```")] and got["3"] == [("added", "new")] and got["4"] == [("kept", "same")]
 
 
 def test_pairs_stay_in_their_run(spark):
