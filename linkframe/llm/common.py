@@ -28,11 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: a cut in the lineage that outlives executors."""
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder, in folders by the columns ``by``, and read again: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
@@ -42,9 +42,12 @@ def removed(*tables: DataFrame) -> None:
     """Delete what ``written`` wrote for these tables. Only for tables that nothing reads any more, not even a plan to be run again; others are left alone."""
     for df in tables:
         if path := getattr(df, "written_at", None):
-            spark = df.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            deleted(df.sparkSession, path)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import FOLDED, bytes_of, mix64, word_hashes, words_of
+from .bytewords import bytes_of, mix64, word_hashes, words_of
 from .common import SHINGLE, pieces, removed, written
 from .components import components
 
@@ -53,7 +53,7 @@ def token_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.nd
     """
     raw, edge = bytes_of(texts)
     start, end, words = words_of(raw, edge)
-    h = word_hashes(raw, start, end, FOLDED)
+    h = word_hashes(raw, start, end, fold=True)
     count = np.diff(words)
     held = np.maximum(count - width + 1, 0)
     whole = np.zeros(max(0, len(h) - width + 1), np.uint64)

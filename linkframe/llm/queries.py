@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers as TOKENIZERS
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, flac, mixing, ngram_join, quality, sentencepiece_bpe, spans, suffix_dedup, token_counts, warc
+from . import cascade, fingerprint, flac, merkle, mixing, ngram_join, oracles, phrases, quality, sentencepiece_bpe, spans, suffix_dedup, token_counts, warc
 from .common import table, written
 
 
@@ -58,6 +58,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.cut_out(table(spark, sf_dir, "documents")))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return cascade.judged(docs).drop("text")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,11 +82,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """op3 alone is expressible; the others rest on hashes, tokens, training or components, and tests hold them against plain Python."""
-    return {
-        "op3_warc": """
-            WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-            s AS (SELECT payload_digest, max(page_id) AS latest FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
-            SELECT page_id, payload_bytes, payload_digest, CASE WHEN latest <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN latest <> page_id THEN latest END AS refers_to
-            FROM p LEFT JOIN s USING (payload_digest)"""
-    }
+    """The others rest on tokens, hashes, training or components; tests hold them against plain Python."""
+    return {"op3_warc": oracles.WARC, "op11_merkle": oracles.MERKLE, "op12_phrases": oracles.PHRASES, "op13_cascade": oracles.CASCADE}

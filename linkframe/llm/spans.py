@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import bytes_of, sequence_hashes, word_hashes, words_of
@@ -27,6 +27,8 @@ RUN = 2
 LEAST_WORDS = 16
 #: Sentences of more words are cut by content; no unit has more words than this.
 LONG, WINDOW = 10, 9
+#: Stands for a null doc_id.
+NO_ID = 2**63 - 1
 STOP = np.isin(np.arange(256), list(b".!?"))
 #: A run that more than this, and more than one in a thousand, of all runs equal is hot; so there are under a thousand hot ones.
 HOT = 5000
@@ -92,13 +94,17 @@ def sentences(text: str) -> list[str]:
     return [bytes(u.raw[a:b]).decode() for a, b in zip([0, *u.end[:-1]], u.end, strict=False)]
 
 
+def doc_of(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
+
+
 def with_rid(docs: DataFrame, name: str) -> DataFrame:
     """Add a column that tells documents apart: rows with equal doc_id and text are one document."""
     return docs.withColumn(name, F.xxhash64("doc_id", "text"))
 
 
 def repeated(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
-    """(rid, at): places of runs that are not the first of their kind. Input: doc_id, text, rid."""
+    """(doc, rid, at): places of runs that are not the first of their kind; ``doc`` is the doc_id, or ``NO_ID``. Input: doc_id, text, rid."""
 
     def keys(batches):
         for part in pieces(batches):
@@ -108,9 +114,9 @@ def repeated(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataF
             doc, rid = (part.column(c).to_numpy(zero_copy_only=False)[text] for c in ("doc", "rid"))
             yield pa.RecordBatch.from_arrays([pa.array(u.run_hashes(first, to)), pa.array(doc), pa.array(rid), pa.array(at.astype(np.int32))], ["run", "doc", "rid", "at"])
 
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), "rid", "text")
+    slim = docs.select(doc_of("doc_id").alias("doc"), "rid", "text")
     every = written(slim.mapInArrow(keys, "run long, doc long, rid long, at int"), "every")
-    tag = F.hash("rid", "at")  # a number for a place, as the places themselves would shuffle far more
+    tag = F.xxhash64("doc", "rid", "at")  # a number for a place, as the places themselves would shuffle far more
     twice = every.groupBy("run").agg(F.min(tag).alias("x"), F.max(tag).alias("y"), F.count("*").alias("n")).where("x <> y").select("run", "n")
     twice = written(twice, "twice")
     most = max(HOT, every.count() // 1000)
@@ -120,11 +126,11 @@ def repeated(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataF
         some = every.join(twice, "run", "left_semi")
     else:  # hot runs never meet: their first places combine before they shuffle, and come back by broadcast (under a thousand rows)
         first = every.join(F.broadcast(hot), "run", "left_semi").groupBy("run").agg(F.min(place).alias("first"))
-        marks = written(every.join(F.broadcast(first), "run").where(place != F.col("first")).select("rid", "at"), "hot")
+        marks = written(every.join(F.broadcast(first), "run").where(place != F.col("first")).select("doc", "rid", "at"), "hot")
         some = every.join(F.broadcast(hot), "run", "left_anti").join(twice, "run", "left_semi")
     some = written(some, "runs")
     first = some.groupBy("run").agg(F.min(place).alias("first"))
-    rest = some.join(first, "run").where(place != F.col("first")).select("rid", "at")
+    rest = some.join(first, "run").where(place != F.col("first")).select("doc", "rid", "at")
     out = written(rest if hot.isEmpty() else rest.union(marks), "marks")
     removed(every, twice, some, *([] if hot.isEmpty() else [marks]))
     return out
@@ -138,11 +144,11 @@ def without_repeats(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -
     repeated keeps an empty text. Columns named n_sentences or n_removed give way, others keep their names, whatever these are.
     """
     docs = docs.drop("n_sentences", "n_removed")
-    rid, marked = free(docs, "rid", "marked")
+    rid, doc, marked = free(docs, "rid", "doc", "marked")
     keyed = with_rid(docs, rid)
     marks = repeated(keyed.select("doc_id", "text", F.col(rid).alias("rid")), run, least)
-    marks = marks.groupBy(F.col("rid").alias(rid)).agg(F.collect_set("at").alias(marked))
-    both = keyed.join(marks, rid, "left").select(*[F.col(f"`{c}`") for c in docs.columns], marked)
+    marks = marks.groupBy(F.col("doc").alias(doc), F.col("rid").alias(rid)).agg(F.collect_set("at").alias(marked))
+    both = keyed.withColumn(doc, doc_of("doc_id")).join(marks, [doc, rid], "left").select(*[F.col(f"`{c}`") for c in docs.columns], marked)
     schema = longer(docs.schema, "n_sentences int, n_removed int")
     where = schema.fieldNames().index("text")
 

@@ -149,14 +149,62 @@ def test_components(spark):
     assert got == {k: v for k, v in label.items() if any(k in e and e[0] != e[1] and None not in e for e in edges)}
 
 
-def plain_hash(word):
+def plain_mix(x):
     whole = 1 << 64
-    x = (sum(int(bytewords.EXACT[b]) * pow(bytewords.BASE, k, whole) for k, b in enumerate(word)) + len(word)) % whole
     x = (x ^ x >> 31) * 0x7FB5D329728EA185 % whole
     x = (x ^ x >> 27) * 0x81DADEF4BC2DD44D % whole
     return x ^ x >> 33
 
 
+def plain_sum(values, size):
+    whole = 1 << 64
+    return plain_mix((sum(plain_mix((v + (i + 1) * int(bytewords.PLACE)) % whole) for i, v in enumerate(values)) + int(size) * int(bytewords.LENGTH)) % whole)
+
+
+def plain_hash(word):
+    return plain_sum([int.from_bytes(word[i : i + 8], "little") for i in range(0, len(word), 8)], len(word))
+
+
+def test_word_hashes(monkeypatch):
+    """Words of all lengths, in one part or several, against the definition; runs of words too."""
+    r = random.Random(6)
+    words = [bytes(r.choice(b"abAB\xc3\xa9.") for _ in range(n)) for n in [*range(1, 40), 1, 1, 8, 16, 17, 3000]]
+    raw = np.frombuffer(b" ".join(words), np.uint8)
+    end = np.cumsum([len(w) + 1 for w in words]) - 1
+    start = end - [len(w) for w in words]
+    for lanes in (bytewords.LANES, 5):
+        monkeypatch.setattr(bytewords, "LANES", lanes)
+        h = bytewords.word_hashes(raw, start, end)
+        assert h.tolist() == [plain_hash(w) for w in words]
+        assert bytewords.word_hashes(raw, start, end, fold=True).tolist() == [plain_hash(bytes(c + 32 if 65 <= c < 91 else c for c in w)) for w in words]
+        a, b = np.array([0, 1, 1, 5, 44]), np.array([3, 1, 30, 6, 45])
+        assert bytewords.sequence_hashes(h, a, b).tolist() == [plain_sum(h[x:y].tolist(), y - x) for x, y in zip(a, b)]
+        assert bytewords.sequence_hashes(h, a, a + 1).tolist() == [plain_sum([int(h[x])], 1) for x in a]
+    assert len(bytewords.word_hashes(raw[:0], start[:0], end[:0])) == 0
+
+
+def thue_morse(a, b, n=10):
+    """Words of 2 ** n letters that sums of powers modulo 2 ** 64 can't tell apart, whatever the base."""
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_hashes_without_structure(spark):
+    """Words, and runs of words, of such a form stay apart."""
+    a, b = thue_morse("a", "b")
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"{a} {b} x y z"), (4, f"{b} {a} x y z")], "doc_id long, text string")
+    assert [r["component_id"] for r in ngram_join.joined(docs).orderBy("doc_id").collect()] == [1, 2, 3, 4]
+    x, y = thue_morse(["u"], ["v"])
+    h = [bytewords.sequence_hashes(bytewords.word_hashes(*ngram_words(w)), np.array([0]), np.array([len(w)]))[0] for w in (x, y)]
+    assert h[0] != h[1]
+
+
+def ngram_words(words):
+    raw, edge = bytewords.bytes_of(pa.array([" ".join(words)]))
+    return (raw, *bytewords.words_of(raw, edge)[:2])
+
+
 def plain_units(text):
     """(words, characters) of each unit, word by word from the definition."""
     found = list(re.finditer(r"[^\x20\x09-\x0D]+", text))
