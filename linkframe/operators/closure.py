@@ -43,7 +43,7 @@ def closure(edges: DataFrame) -> DataFrame:
     """(src, dst) of every path of one edge or more; a node on a cycle reaches itself.
 
     By doubling: pairs at up to 2n steps are those at up to n, and n steps exactly before those. So the number of rounds follows the
-    logarithm of the longest path, and no pair is written twice.
+    logarithm of the longest path. Known pairs aren't written again, those of exactly n steps are, each round.
     """
     exact = _clean(edges)
     known = [exact]
@@ -55,60 +55,185 @@ def closure(edges: DataFrame) -> DataFrame:
         exact = saved(_steps(exact, exact))
 
 
+def jumped(pointers: DataFrame) -> DataFrame:
+    """(id, to, low): where the pointers of ``pointers(id, to)`` lead in the end, by pointer jumping: log n rounds for a chain of n.
+
+    ``to`` is the first node on the way that has no pointer, or null for pointers that go round; ``low`` is the least node passed, of a ring the least
+    of all.
+    """
+    now = saved(pointers.select("id", "to", F.col("id").alias("low"), F.lit(True).alias("on")))
+    size, n = 1, None
+    while True:
+        far = now.select(F.col("id").alias("to"), F.col("to").alias("further"), F.col("low").alias("further_low"))
+        now = now.join(far, "to", "left").select("id", F.coalesce("further", "to").alias("to"), F.least("low", "further_low").alias("low"), F.col("further").isNotNull().alias("on"))
+        now = saved(now)
+        size *= 2
+        if now.where("on").isEmpty():
+            return now.drop("on")
+        n = n or now.count()
+        if size >= 2 * n:  # whoever still moves goes round
+            last = now.join(now.select(F.col("id").alias("to"), F.lit(True).alias("ring")), "to", "left")
+            return saved(last.select("id", F.when(F.col("ring").isNull(), F.col("to")).alias("to"), "low"))
+
+
+def _folded(edges: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Edges without the nodes that have but one way on and aren't ``ends``, and where these lead (id, to); None where there are none.
+
+    Edges to nodes without a way on go too, unless those are ends, and so does all that only goes round.
+    """
+    open_ = edges.select(F.col("src").alias("dst")).union(ends.select(F.col("id").alias("dst"))).distinct()
+    live = edges.join(open_, "dst", "left_semi").select("src", "dst")
+    single = live.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("to")).where("n = 1").select(F.col("src").alias("id"), "to").join(ends, "id", "left_anti")
+    single = saved(single)
+    if single.isEmpty():
+        return edges, None
+    lead = jumped(single)
+    rest = live.join(single.select(F.col("id").alias("src")), "src", "left_anti")
+    rest = rest.join(lead.select(F.col("id").alias("dst"), "to", F.lit(True).alias("led")), "dst", "left")
+    rest = rest.select("src", F.when(F.col("led"), F.col("to")).otherwise(F.col("dst")).alias("dst")).where("dst is not null").distinct()
+    return saved(rest), lead.select("id", "to").where("to is not null")
+
+
+def _back(found: DataFrame, edges: DataFrame) -> DataFrame:
+    return edges.join(found.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+
+
 def reaching(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """(id): the nodes from which an edge or more lead to some target; a search backwards, which never builds pairs.
 
-    Where no node has two edges out, steps double in each round; else a round goes ``HOPS`` edges back.
+    Chains are folded first, by pointer jumping, whatever joins them on the way: a node with one way on leads where that one leads. So rounds
+    follow the logarithm of a chain's length, and only nodes with several ways on are searched, ``HOPS`` edges a round.
     """
     edges = _clean(edges)
-    n = edges.agg(F.count("*").alias("n"), F.count_distinct("src").alias("nodes")).first()
-    back = lambda found, by: by.join(found.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
-    known = [saved(back(targets, edges))]
-    jump, new = edges, known[0]
+    ends = [saved(targets.select("id").where("id is not null").distinct())]
+    found, folds = [], []
     while True:
-        if n["n"] == n["nodes"]:
-            far = back(_union(known), jump)
-        else:
-            far = hop = new
-            for _ in range(HOPS):
-                hop = back(hop, edges)
-                far = far.union(hop)
-        new = saved(far.distinct().join(_union(known), "id", "left_anti"))
-        if new.isEmpty():
-            return _union(known)
-        known.append(new)
-        if n["n"] == n["nodes"]:
-            jump = saved(_steps(jump, jump))
+        edges, fold = _folded(edges, _union(ends))
+        if fold is not None:
+            folds.append(fold)
+        hit = hop = _back(_union(ends), edges)
+        for _ in range(HOPS - 1):
+            hop = _back(hop, edges)
+            hit = hit.union(hop)
+        hit = saved(hit.distinct())
+        if hit.isEmpty():
+            break
+        found.append(hit)
+        ends.append(hit)
+        edges = saved(edges.join(hit.select(F.col("id").alias("src")), "src", "left_anti"))
+    for fold in reversed(folds):  # what a later fold took away is known by now
+        more = saved(fold.join(_union(ends).select(F.col("id").alias("to")).distinct(), "to", "left_semi").select("id"))
+        found.append(more)
+        ends.append(more)
+    return _union(found) if found else ends[0].limit(0)
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, node): what each root reaches, by the edges, itself included. A round goes ``HOPS`` edges on; no pair is written twice."""
-    edges = _clean(edges)
-    new = saved(roots.select(F.col("id").alias("root"), F.col("id").alias("node")).distinct())
-    known = [new]
+    """(root, node): what each root reaches, by the edges, itself included.
+
+    Nodes that can be come to by one edge alone are folded into where that comes from (``reaching`` with edges turned round), so the search goes
+    from junction to junction; what was folded follows by a join. No pair is written twice.
+    """
+    turned = _clean(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    start = saved(roots.select("id").where("id is not null").distinct())
+    folds = []
     while True:
+        turned, fold = _folded(turned, start)
+        if fold is None:
+            break
+        folds.append(fold)
+    edges = turned.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    new = start.select(F.col("id").alias("root"), F.col("id").alias("node"))
+    known = [new]
+    while not edges.isEmpty():
         far = hop = new
         for _ in range(HOPS):
             hop = hop.join(edges, hop["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
             far = far.union(hop)
         new = saved(far.distinct().join(_union(known), ["root", "node"], "left_anti"))
         if new.isEmpty():
-            return _union(known)
+            break
         known.append(new)
+    for fold in reversed(folds):
+        known.append(saved(_union(known).join(fold.select("id", F.col("to").alias("node")), "node").select("root", F.col("id").alias("node"))))
+    return _union(known)
 
 
-def on_cycle(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves. Nodes without an edge in or out on what is left go first, so only cycles and what lies between them are closed."""
-    left = saved(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    size = left.count()
+def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, label): the greatest label that leads to each node. A label's own label leads on as well, so labels jump. Input: (id, label), (src, dst)."""
+    while True:
+        near = edges.join(labels.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("label").alias("near"))
+        step = labels.join(near, "id", "left").select("id", "label", F.greatest("label", "near").alias("to"))
+        jump = labels.select(F.col("id").alias("to"), F.col("label").alias("further"))
+        now = saved(step.join(jump, "to", "left").select("id", F.col("label").alias("old"), F.greatest("to", "further").alias("label")))
+        labels = now.select("id", "label")
+        if now.where("old <> label").isEmpty():
+            return labels
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(id, cycle): the nodes that reach themselves, with a node of their strongly connected component that names it.
+
+    First what can't be on a cycle goes (no edge in, or none out), and runs of nodes with one edge in and one out become one edge (pointer
+    jumping), as often as that leaves less. Then colours: the greatest node that leads to each node; inside each colour the greatest that it leads to.
+    Where both are the same node, that is the component. Others go on without edges between colours. No pairs of nodes are built.
+    """
+    edges = _clean(edges)
+    loops = [edges.where("src = dst").select(F.col("src").alias("id"))]
+    edges = edges.where("src <> dst")
+    runs, rings, size = [], [], None
     while True:
-        left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        left = saved(left)
-        now = left.count()
+        edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        edges = saved(edges.select("src", "dst"))
+        ways = edges.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select(F.col("dst"), F.lit(0), F.lit(1)))
+        plain = saved(ways.groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).where("o = 1 and i = 1").select("id"))
+        if not plain.isEmpty():
+            on = jumped(edges.join(plain.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("to")))
+            back = jumped(edges.join(plain.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("id"), F.col("src").alias("to")))
+            rings.append(on.where("to is null").select("id", F.col("low").alias("cycle")))
+            runs.append(on.where("to is not null").select("id", F.col("to").alias("b")).join(back.select("id", F.col("to").alias("a")), "id").select("id", "a", "b"))
+            rest = edges.join(plain.select(F.col("id").alias("src")), "src", "left_anti").join(on.select(F.col("id").alias("dst"), "to"), "dst", "left")
+            rest = saved(rest.select("src", F.coalesce("to", "dst").alias("dst")).distinct())
+            loops.append(rest.where("src = dst").select(F.col("src").alias("id")))
+            edges = rest.where("src <> dst")
+        now = edges.count()
         if now == size:
             break
         size = now
-    return closure(left).where("src = dst").select(F.col("src").alias("id"))
+    known = []
+    while not edges.isEmpty():
+        nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+        colour = _spread(saved(nodes.select("id", F.col("id").alias("label"))), edges)
+        of = lambda end, name: colour.select(F.col("id").alias(end), F.col("label").alias(name))
+        edges = saved(edges.join(of("src", "x"), "src").join(of("dst", "y"), "dst").where("x = y").select("src", "dst"))
+        turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        goal = _spread(saved(nodes.select("id", F.col("id").alias("label"))), turned)
+        done = saved(colour.join(goal.select("id", F.col("label").alias("goal")), "id").where("label = goal").select("id", F.col("label").alias("cycle")))
+        known.append(done)
+        edges = saved(edges.join(done.select(F.col("id").alias("src")), "src", "left_anti").join(done.select(F.col("id").alias("dst")), "dst", "left_anti"))
+    found = list(rings)
+    if known:
+        every = _union(known)
+        several = every.groupBy("cycle").agg(F.count("*").alias("n")).where("n > 1")
+        found.append(saved(every.join(several, "cycle", "left_semi").select("id", "cycle")))
+    loop = saved(_union(loops).distinct())
+    named = saved(_named(found, loop)) if found else loop.select("id", F.col("id").alias("cycle"))
+    for run in reversed(runs):  # a node inside a run is on a cycle with both its ends
+        of = lambda end: named.select(F.col("id").alias(end), F.col("cycle").alias(f"c{end}"))
+        inside = run.join(of("a"), "a").join(of("b"), "b").where("ca = cb").select("id", F.col("ca").alias("cycle"))
+        named = saved(inside.union(named.join(inside.select("id"), "id", "left_anti")))
+    return named
+
+
+def _named(found: list[DataFrame], loops: DataFrame) -> DataFrame:
+    """Nodes with their cycle; those that only have an edge to themselves are one each."""
+    every = _union([x.select("id", "cycle") for x in found])
+    return every.union(loops.join(every, "id", "left_anti").select("id", F.col("id").alias("cycle")))
+
+
+def on_cycle(edges: DataFrame) -> DataFrame:
+    """(id): nodes that reach themselves."""
+    return cycles(edges).select("id")
 
 
 def first_parent(commits: DataFrame, head: str) -> DataFrame:
@@ -117,14 +242,14 @@ def first_parent(commits: DataFrame, head: str) -> DataFrame:
     ``commits``: commit, parent (the first one, or null).
     """
     jump = commits.select("commit", F.col("parent").alias("to"))
-    found = commits.where(F.col("commit") == head).select("commit", F.lit(0).cast("long").alias("hops"))
+    found = [commits.where(F.col("commit") == head).select("commit", F.lit(0).cast("long").alias("hops"))]
     size = 1
     while True:
-        more = found.join(jump, "commit").where("to is not null").select(F.col("to").alias("commit"), (F.col("hops") + size).alias("hops"))
+        more = _union(found).join(jump, "commit").where("to is not null").select(F.col("to").alias("commit"), (F.col("hops") + size).alias("hops"))
         more = saved(more)
         if more.isEmpty():
-            return found.orderBy("hops")
-        found = saved(found.union(more))
+            return _union(found).orderBy("hops")
+        found.append(more)
         jump = saved(jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.commit")).select(F.col("a.commit").alias("commit"), F.col("b.to").alias("to")))
         size *= 2
 

@@ -43,3 +43,47 @@ def test_merge_base_and_history(spark):
     assert base("c", "d") == ["b"] and base("e", "f") == ["c"] and base("a", "a") == ["a"]
     commits = spark.createDataFrame([(x,) for x in "bcdef"], "commit string")
     assert [tuple(r) for r in c.check_history(commits, parents).collect()] == [("b", "a")]
+
+
+def strong(edges):
+    """Nodes that reach themselves, by the set of nodes on their cycles."""
+    paths = plain(edges)
+    return {frozenset(b for b in {x for e in edges for x in e} if (a, b) in paths and (b, a) in paths) for a, _ in paths if (a, a) in paths}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cycles_and_searches(spark, seed):
+    """Components, searches backwards and forwards on random graphs with chains, rings and loops."""
+    r = random.Random(seed)
+    nodes = 9 + 5 * seed
+    edges = {(r.randrange(nodes), r.randrange(nodes)) for _ in range(nodes + seed)} | {(i, i + 1) for i in range(50, 58)} | {(70, 71), (71, 72), (72, 70), (3, 50), (58, r.choice([3, 90]))}
+    df = spark.createDataFrame([*sorted(edges), (None, 1), (1, None), (2, 2)][: None if seed % 2 else -1], "src int, dst int")
+    edges |= {(2, 2)} if seed % 2 else set()
+    got = {}
+    for x in c.cycles(df).collect():
+        got.setdefault(x["cycle"], set()).add(x["id"])
+    assert set(map(frozenset, got.values())) == strong(edges) and all(k in v for k, v in got.items())
+    paths = plain(edges)
+    targets = r.sample(range(nodes), 3) + [72]
+    found = [x[0] for x in c.reaching(df, spark.createDataFrame([(t,) for t in targets], "id int")).collect()]
+    assert sorted(found) == sorted({a for a, b in paths if b in targets})
+    roots = r.sample(range(nodes), 2) + [50, 51, 99]
+    seen = [tuple(x) for x in c.reachable(df, spark.createDataFrame([(t,) for t in roots], "id int")).collect()]
+    assert sorted(seen) == sorted({(a, b) for a, b in paths if a in roots} | {(t, t) for t in roots})
+
+
+def test_rounds_follow_the_logarithm(spark, monkeypatch):
+    """A chain of 10,000 and a ring of 100,000: a few dozen checkpoints, not thousands, and no table of pairs."""
+    n, made, real = 10_000, [], c.saved
+    monkeypatch.setattr(c, "saved", lambda df: made.append(1) or real(df))
+    chain = spark.range(n).selectExpr("id AS src", "id + 1 AS dst")
+    assert c.reaching(chain, spark.createDataFrame([(n // 2,)], "id long")).count() == n // 2
+    assert len(made) < 40
+    made.clear()
+    assert c.reachable(chain, spark.createDataFrame([(5,)], "id long")).count() == n - 4 and len(made) < 60
+    made.clear()
+    assert c.on_cycle(chain).isEmpty() and len(made) < 60
+    made.clear()
+    ring = spark.range(10 * n).selectExpr("id AS src", f"(id * 1 + 1) % {10 * n} AS dst")
+    found = c.cycles(ring)
+    assert found.count() == 10 * n and [r[0] for r in found.select("cycle").distinct().collect()] == [0] and len(made) < 60
