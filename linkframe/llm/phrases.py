@@ -6,7 +6,7 @@ but the last, all but the first) reached the threshold, whatever the lengths tha
 so its count is that of the whole table; it ends when nothing is left to count. A subphrase is there at least as often as its
 phrase, so no phrase that reaches the threshold is missed.
 
-A scan reads words as hashes, written once with breaks between pieces. What has reached the threshold travels to its tasks as a bit array of fixed
+A scan reads words as hashes, written once with breaks between pieces. What has reached the threshold travels to its tasks as a bit array of bounded
 size: what it lets through by chance is counted in vain and dropped by the join with the table of what really has; the fuller it is the more that is,
 but never is a count wrong. Languages have their own words: a word's hash covers its language.
 
@@ -20,6 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +32,8 @@ LEAST, LONGEST = 30, 4
 INSIDE = 80  # per cent: a phrase goes if a longer one around it is there so often
 TOP = 2000
 SCALE = 2_000_000
-#: Bits of each of the two filters, and places that a phrase has in one.
-FILTER_BITS, PLACES = 1 << 26, 2
+#: A filter has so many bits for each phrase in it, but never more than ``FILTER_BITS``; a phrase has ``PLACES`` places in it.
+BITS_EACH, FILTER_BITS, PLACES = 16, 1 << 27, 2
 #: Words that a task looks at at once, and finds that it holds before it adds them up.
 STEP, HELD = 1 << 19, 1 << 20
 BREAK = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
@@ -107,7 +108,7 @@ def _bytes_of_names(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 class Bits:
-    """A set of hashes as a bit array of fixed size: it may hold others too, but lacks none."""
+    """A set of hashes as a bit array: it may hold others too, but lacks none."""
 
     def __init__(self, bits: int):
         self.words, self.bits = np.zeros(bits // 64, np.uint64), bits
@@ -117,16 +118,6 @@ class Bits:
         """Where an id's bits are, in Spark."""
         return F.array(*[F.pmod(F.shiftrightunsigned(ids, 7 + 29 * i), F.lit(bits)) for i in range(PLACES)])
 
-    def fill(self, ids: DataFrame) -> Bits:
-        """Add column ``id``. Places are set as 64-bit words, so what comes to the driver is bounded by the size of the array."""
-        at = ids.select(F.explode(self.places(F.col("id"), self.bits)).alias("at"))
-        words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("set")).toArrow()
-        self.words[words.column("word").to_numpy()] |= words.column("set").to_numpy().view(np.uint64)
-        return self
-
-    def union(self, other: Bits) -> None:
-        self.words |= other.words
-
     def has(self, ids: np.ndarray) -> np.ndarray:
         out = np.ones(len(ids), bool)
         for i in range(PLACES):
@@ -135,6 +126,21 @@ class Bits:
         return out
 
 
+def filters(reached: DataFrame, n: int, since: int) -> tuple[Bits, Bits]:
+    """What has reached the threshold, and what has since scan ``since``. Input: id, at (scan), ``n`` rows.
+
+    Places are set as 64-bit words, so what comes to the driver is bounded by the size of the arrays.
+    """
+    bits = min(FILTER_BITS, max(1 << 12, 1 << (BITS_EACH * n - 1).bit_length()))
+    both = Bits(bits), Bits(bits)
+    at = reached.select((F.col("at") >= since).alias("late"), F.explode(Bits.places(F.col("id"), bits)).alias("at"))
+    words = at.groupBy("late", F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("set")).toArrow()
+    late, word, found = (words.column(c).to_numpy() for c in ("late", "word", "set"))
+    for known, rows in zip(both, (np.ones(len(late), bool), late.astype(bool)), strict=True):
+        np.bitwise_or.at(known.words, word[rows], found[rows].view(np.uint64))
+    return both
+
+
 def _phrases(seq: np.ndarray, known: Bits, fresh: Bits, own: int):
     """(id, head, tail, size) arrays of the phrases to count that begin in the first ``own`` places of word hashes: both subphrases are known, and
     one of them is fresh."""
@@ -157,13 +163,11 @@ def _phrases(seq: np.ndarray, known: Bits, fresh: Bits, own: int):
             old, new = known.has(ids[at]), fresh.has(ids[at])
 
 
-def scanned(seqs: DataFrame, known: Bits, fresh: Bits) -> DataFrame:
-    """The phrases that the filters let through in ``seqs``, as ``PHRASE`` rows; a phrase may have several."""
-    filters = seqs.sparkSession.sparkContext.broadcast((known.words, fresh.words))
+def scanned(seqs: DataFrame, sent: Broadcast) -> DataFrame:
+    """The phrases that the filters let through in ``seqs``, as ``PHRASE`` rows; a phrase may have several. ``sent``: the two filters."""
 
     def run(batches):
-        a, b = Bits(64), Bits(64)
-        (a.words, b.words), a.bits, b.bits = filters.value, known_bits, fresh_bits
+        a, b = sent.value
         held, size = [], 0
 
         def summed():
@@ -188,7 +192,6 @@ def scanned(seqs: DataFrame, known: Bits, fresh: Bits) -> DataFrame:
                         held, size = [], 0
         yield from summed()
 
-    known_bits, fresh_bits = known.bits, fresh.bits
     return seqs.select("seq").mapInArrow(run, PHRASE)
 
 
@@ -199,19 +202,17 @@ def counted(docs: DataFrame, shards: int = SHARDS, least: int = LEAST) -> tuple[
     """
     every = sharded(docs, shards)
     none = F.lit(None).cast("long")
-    known, news, tables = Bits(FILTER_BITS), [], []  # news: what reached the threshold in each scan
+    tables, news = [], []  # news: how many reached the threshold in each scan
     step = 0
-    while step < shards or any(n for n, _ in news[-shards:]):
-        here, rows = every.where(F.col("shard") == step % shards), []
+    while step < shards or any(news[-shards:]):
+        here, rows, sent = every.where(F.col("shard") == step % shards), [], None
         if step < shards:
             words = here.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n"))
             rows.append(words.select("id", none.alias("head"), none.alias("tail"), F.lit(1).alias("size"), "n", F.lit(0).alias("start"), F.lit(False).alias("over")))
-        if any(n for n, _ in news[-shards:]):
-            fresh = Bits(FILTER_BITS)
-            for _, bits in news[-shards:]:
-                fresh.union(bits)
-            found = scanned(here.where("kind = 0"), known, fresh).groupBy("id", "head", "tail", "size").agg(F.sum("n").alias("n"))
-            when = reduce(DataFrame.union, [_reached(df, at).select("id", F.lit(at).alias("at")) for at, df in enumerate(tables)])
+        if any(news[-shards:]):
+            when = reduce(DataFrame.union, [_reached(df).select("id", F.lit(at).alias("at")) for at, df in enumerate(tables)])
+            sent = docs.sparkSession.sparkContext.broadcast(filters(when, sum(news), step - shards))
+            found = scanned(here.where("kind = 0"), sent).groupBy("id", "head", "tail", "size").agg(F.sum("n").alias("n"))
             for side, name in (("head", "x"), ("tail", "y")):
                 found = found.join(when.select(F.col("id").alias(side), F.col("at").alias(name)), side)
             start = F.greatest("x", "y") + 1
@@ -221,18 +222,17 @@ def counted(docs: DataFrame, shards: int = SHARDS, least: int = LEAST) -> tuple[
             rows.append(open_.select("id", "head", "tail", "size", "n", "start", F.col("often").alias("over")))
         summed = reduce(DataFrame.union, rows).groupBy("id", "head", "tail", "size", "start").agg(F.sum("n").alias("n"), F.bool_or("over").alias("over"))
         tables.append(written(summed.withColumn("often", F.col("n") >= least), "open", "often"))
+        if sent is not None:
+            sent.destroy()
         if step:
             deleted(docs.sparkSession, f"{tables[-2].written_at}/often=false")
-        bits = Bits(FILTER_BITS).fill(_reached(tables[-1], step))
-        news.append((bool(bits.words.any()), bits))
-        news[: -shards] = [(n, None) for n, _ in news[: -shards]]
-        known.union(bits)
+        news.append(_reached(tables[-1]).count())
         step += 1
     done = [df.where(F.col("often") & (F.col("start") + (shards - 1) == at)).select("id", "head", "tail", "size", "n") for at, df in enumerate(tables)]
     return reduce(DataFrame.union, done), every
 
 
-def _reached(table: DataFrame, step: int) -> DataFrame:
+def _reached(table: DataFrame) -> DataFrame:
     """What reached the threshold in the scan whose table this is, and can be part of a longer phrase."""
     return table.where(F.col("often") & ~F.col("over") & (F.col("size") < LONGEST))
 

@@ -53,7 +53,7 @@ def babble(seed, n):
 @pytest.mark.parametrize(("shards", "least"), [(1, 3), (3, 4), (4, 12)])
 def test_phrases(spark, shards, least, monkeypatch):
     """Full and tiny filters, several steps and sums, many copies of one row."""
-    monkeypatch.setattr(phrases, "FILTER_BITS", 64 if shards == 3 else 1 << 16)
+    monkeypatch.setattr(phrases, "FILTER_BITS", 64 if shards == 3 else 1 << 27)
     monkeypatch.setattr(phrases, "STEP", 7)
     monkeypatch.setattr(phrases, "HELD", 50)
     rows = babble(shards, 60)
