@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import bytes_of, mix64, word_hashes
-from .common import deleted, pieces, written
+from .common import deleted, give_back, pieces, removed, written
 
-SHARDS = 4
+SHARDS = 3
 LEAST, LONGEST = 30, 4
 INSIDE = 80  # per cent: a phrase goes if a longer one around it is there so often
 TOP = 2000
@@ -35,7 +35,7 @@ SCALE = 2_000_000
 #: A filter has so many bits for each phrase in it, but never more than ``FILTER_BITS``; a phrase has ``PLACES`` places in it.
 BITS_EACH, FILTER_BITS, PLACES = 16, 1 << 27, 2
 #: Words that a task looks at at once, and finds that it holds before it adds them up.
-STEP, HELD = 1 << 19, 1 << 20
+STEP, HELD = 1 << 17, 1 << 18
 BREAK = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
 GAP = np.isin(np.arange(256), list(b" \t")) | BREAK
 SALTS = 64
@@ -63,39 +63,60 @@ def words_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return raw, start, end, new, text
 
 
+def word_ids(part: pa.RecordBatch) -> tuple:
+    """Of columns text and lang: bytes, start and end of each word, whether a piece begins with it, its text, its id, and the languages' names by text."""
+    raw, start, end, new, text = words_in(part.column("text"))
+    langs = part.column("lang").dictionary_encode()
+    names = langs.dictionary.to_pylist()
+    lang = langs.indices.to_numpy()
+    ids = word_hashes(raw, start, end, fold=True)
+    ids = mix64(ids + word_hashes(*_bytes_of_names(names))[lang[text]]) | np.uint64(1)  # never zero
+    return raw, start, end, new, text, ids, [names[i] for i in lang]
+
+
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select(F.xxhash64("doc_id", "text").alias("lot"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
+
+
 def sharded(docs: DataFrame, shards: int) -> DataFrame:
-    """Written by kind and shard. Kind 0: ``seq``, the word hashes of many texts with a zero before each piece. Kind 1: words with their language, and how often some texts have them."""
-    slim = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
+    """Written by shard: ``seq``, the word hashes of some texts with a zero before each piece; and how many words of each language some texts have."""
 
     def run(batches):
-        for part in pieces(batches, rows=2048):
-            raw, start, end, new, text = words_in(part.column("text"))
-            ids = word_hashes(raw, start, end, fold=True)
-            langs = part.column("lang").dictionary_encode()
-            names = langs.dictionary.to_pylist()
-            tags = word_hashes(*_bytes_of_names(names))
-            lang = langs.indices.to_numpy()[text]
-            ids = mix64(ids + tags[lang]) | np.uint64(1)  # never zero
-            shard = part.column("shard").to_numpy()[text]
+        for part in pieces(batches):
+            _, _, _, new, text, ids, langs = word_ids(part)
+            shard = (part.column("lot").to_numpy() % shards)[text]
             for s in np.unique(shard).tolist():
                 here = np.flatnonzero(shard == s)
                 seq = np.zeros(len(here) + int(new[here].sum()), np.uint64)
                 seq[np.arange(len(here)) + np.cumsum(new[here])] = ids[here]
-                found, at, n = np.unique(ids[here], return_index=True, return_counts=True)
-                at = here[at]
-                spelled = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-                spelled = [w.translate(LOWER) for w in spelled]
-                k = len(found)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([0] + [1] * k, pa.int32()), pa.array([s] * (k + 1), pa.int32()), pa.array([seq.tobytes()] + [None] * k, pa.binary()),
-                        pa.array([None, *found.view(np.int64).tolist()], pa.int64()), pa.array([None, *(names[i] for i in lang[at].tolist())], pa.string()),
-                        pa.array([None, *spelled], pa.string()), pa.array([None, *n.tolist()], pa.int64()),
-                    ],
-                    ["kind", "shard", "seq", "id", "lang", "word", "n"],
-                )
-
-    return written(slim.mapInArrow(run, "kind int, shard int, seq binary, id long, lang string, word string, n long"), "shards", "kind", "shard")
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([seq.tobytes()], pa.binary()), pa.array([None], pa.string()), pa.array([None], pa.int64())], ["shard", "seq", "lang", "n"])
+            total: dict[str, int] = {}
+            for lang, n in zip(langs, np.bincount(text, minlength=part.num_rows).tolist(), strict=True):
+                total[lang] = total.get(lang, 0) + n
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(total), pa.int32()), pa.nulls(len(total), pa.binary()), pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["shard", "seq", "lang", "n"])
+
+    return written(_slim(docs).mapInArrow(run, "shard int, seq binary, lang string, n long"), "shards", "shard")
+
+
+def spelled(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, lang, word) of the words in ``found(id)``, by one more pass over the texts: each task gives each of them once."""
+    sent = docs.sparkSession.sparkContext.broadcast(filters(found.select("id", F.lit(0).alias("at")), found.count(), 0)[0])
+
+    def run(batches):
+        wanted, seen = sent.value, np.zeros(0, np.uint64)
+        for part in pieces(batches):
+            raw, start, end, _, text, ids, langs = word_ids(part)
+            some, at = np.unique(ids, return_index=True)
+            new = wanted.has(some) & ~np.isin(some, seen)
+            some, at = some[new], at[new]
+            seen = np.r_[seen, some]
+            words = [raw[a:b].tobytes().decode("utf-8", "replace").translate(LOWER) for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array([langs[i] for i in text[at].tolist()], pa.string()), pa.array(words, pa.string())], ["id", "lang", "word"])
+
+    rows = _slim(docs).mapInArrow(run, "id long, lang string, word string")
+    out = written(rows.join(found.select("id"), "id", "left_semi").groupBy("id").agg(F.min("lang").alias("lang"), F.min("word").alias("word")), "words")
+    sent.destroy()
+    return out
 
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -163,73 +184,77 @@ def _phrases(seq: np.ndarray, known: Bits, fresh: Bits, own: int):
             old, new = known.has(ids[at]), fresh.has(ids[at])
 
 
-def scanned(seqs: DataFrame, sent: Broadcast) -> DataFrame:
-    """The phrases that the filters let through in ``seqs``, as ``PHRASE`` rows; a phrase may have several. ``sent``: the two filters."""
+def scanned(seqs: DataFrame, sent: Broadcast | None, words: bool) -> DataFrame:
+    """What to count in ``seqs``, as ``PHRASE`` rows (one thing may have several): the words, if they still are, and the phrases that the two filters in
+    ``sent`` let through."""
 
     def run(batches):
-        a, b = sent.value
+        filters = sent.value if sent else None
         held, size = [], 0
 
         def summed():
-            for k in range(2, LONGEST + 1):
+            for k in range(1, LONGEST + 1):
                 parts = [x for x in held if x[3] == k]
                 if parts:
-                    ids, head, tail = (np.concatenate([x[i] for x in parts]) for i in range(3))
-                    found, at, n = np.unique(ids, return_index=True, return_counts=True)
-                    columns = [found.view(np.int64), head[at].view(np.int64), tail[at].view(np.int64), np.full(len(found), k, np.int32), n]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "head", "tail", "size", "n"])
+                    found, at, n = np.unique(np.concatenate([x[0] for x in parts]), return_index=True, return_counts=True)
+                    sides = [pa.array(np.concatenate([x[i] for x in parts])[at].view(np.int64)) if k > 1 else pa.nulls(len(found), pa.int64()) for i in (1, 2)]
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *sides, pa.array(np.full(len(found), k, np.int32)), pa.array(n)], ["id", "head", "tail", "size", "n"])
 
         for batch in batches:
             for value in batch.column("seq"):
                 seq = np.frombuffer(value.as_buffer(), np.uint64)
-                for at in range(0, len(seq), STEP):  # a step sees the few words behind it, but counts no phrase that begins there
+                for at in range(0, len(seq), STEP):  # a step sees the few words behind it, but counts nothing that begins there
                     step = seq[at : at + STEP + LONGEST - 1]
-                    for found in _phrases(step, a, b, STEP):
-                        held.append(found)
-                        size += len(found[0])
+                    found = [(own[own > 0], None, None, 1)] if words and len(own := step[:STEP]) else []
+                    for x in [*found, *(_phrases(step, *filters, STEP) if filters else ())]:
+                        held.append(x)
+                        size += len(x[0])
                     if size >= HELD:
                         yield from summed()
                         held, size = [], 0
         yield from summed()
+        give_back()
 
     return seqs.select("seq").mapInArrow(run, PHRASE)
 
 
 def counted(docs: DataFrame, shards: int = SHARDS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """All words and phrases that are there ``least`` times or more as (id, head, tail, size, n), and the table of ``sharded``.
+    """All words and phrases that are there ``least`` times or more as (id, head, tail, size, n), and the words of each language (lang, total).
 
     After each scan one table is written: what is still counted, and what ends with it. What isn't frequent yet goes with the next one.
     """
     every = sharded(docs, shards)
-    none = F.lit(None).cast("long")
     tables, news = [], []  # news: how many reached the threshold in each scan
     step = 0
     while step < shards or any(news[-shards:]):
-        here, rows, sent = every.where(F.col("shard") == step % shards), [], None
-        if step < shards:
-            words = here.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n"))
-            rows.append(words.select("id", none.alias("head"), none.alias("tail"), F.lit(1).alias("size"), "n", F.lit(0).alias("start"), F.lit(False).alias("over")))
+        here, sent = every.where(F.col("shard") == step % shards), None
+        when = reduce(DataFrame.union, [_reached(df).select("id", F.lit(at).alias("at")) for at, df in enumerate(tables)]) if tables else None
         if any(news[-shards:]):
-            when = reduce(DataFrame.union, [_reached(df).select("id", F.lit(at).alias("at")) for at, df in enumerate(tables)])
             sent = docs.sparkSession.sparkContext.broadcast(filters(when, sum(news), step - shards))
-            found = scanned(here.where("kind = 0"), sent).groupBy("id", "head", "tail", "size").agg(F.sum("n").alias("n"))
+        found = scanned(here, sent, step < shards).groupBy("id", "head", "tail", "size").agg(F.sum("n").alias("n"))
+        rows = [found.where("size = 1").withColumn("start", F.lit(0))] if step < shards else []
+        if sent:
+            longer = found.where("size > 1")
             for side, name in (("head", "x"), ("tail", "y")):
-                found = found.join(when.select(F.col("id").alias(side), F.col("at").alias(name)), side)
+                longer = longer.join(when.select(F.col("id").alias(side), F.col("at").alias(name)), side)
             start = F.greatest("x", "y") + 1
-            rows.append(found.select("id", "head", "tail", "size", "n", start.alias("start"), F.lit(False).alias("over")).where(start + shards > step))
+            rows.append(longer.select("id", "head", "tail", "size", "n", start.alias("start")).where(start + shards > step))
+        rows = [x.withColumn("over", F.lit(False)) for x in rows]
         if tables:
             open_ = tables[-1].where(F.col("start") + shards > step)
             rows.append(open_.select("id", "head", "tail", "size", "n", "start", F.col("often").alias("over")))
         summed = reduce(DataFrame.union, rows).groupBy("id", "head", "tail", "size", "start").agg(F.sum("n").alias("n"), F.bool_or("over").alias("over"))
         tables.append(written(summed.withColumn("often", F.col("n") >= least), "open", "often"))
-        if sent is not None:
+        if sent:
             sent.destroy()
         if step:
             deleted(docs.sparkSession, f"{tables[-2].written_at}/often=false")
         news.append(_reached(tables[-1]).count())
         step += 1
     done = [df.where(F.col("often") & (F.col("start") + (shards - 1) == at)).select("id", "head", "tail", "size", "n") for at, df in enumerate(tables)]
-    return reduce(DataFrame.union, done), every
+    total = written(every.where("shard = -1").groupBy("lang").agg(F.sum("n").alias("total")), "totals")
+    removed(every)
+    return reduce(DataFrame.union, done), total
 
 
 def _reached(table: DataFrame) -> DataFrame:
@@ -249,11 +274,10 @@ def _scores(size: int) -> Column:
 
 def collocations(docs: DataFrame, shards: int = SHARDS, least: int = LEAST, top: int = TOP) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases that no longer one takes up."""
-    found, every = counted(docs, shards, least)
+    found, total = counted(docs, shards, least)
     found = written(found, "frequent")
-    words = every.where("kind = 1").select("id", "lang", "word")
-    words = words.join(found.where("size = 1").select("id"), "id", "left_semi").groupBy("id").agg(F.min("lang").alias("lang"), F.min("word").alias("word"))
-    one = found.where("size = 1").join(words, "id").select("id", "n", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("n").alias("pre"), F.array("n").alias("suf"))
+    single = found.where("size = 1")
+    one = single.join(spelled(docs, single), "id").select("id", "n", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("n").alias("pre"), F.array("n").alias("suf"))
     below, levels = written(one, "words"), []
     for size in range(2, LONGEST + 1):
         head = below.select(F.col("id").alias("head"), "lang", F.col("phrase").alias("x"), F.col("pre").alias("p"))
@@ -264,7 +288,6 @@ def collocations(docs: DataFrame, shards: int = SHARDS, least: int = LEAST, top:
         levels.append(below.withColumn("best", _scores(size)).select("id", "lang", "phrase", "n", "best"))
     longer = found.where("size > 2")
     around = longer.select(F.col("head").alias("id"), "n").union(longer.select(F.col("tail").alias("id"), "n")).groupBy("id").agg(F.max("n").alias("around"))
-    total = every.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("total"))
     left = reduce(DataFrame.union, levels).join(around, "id", "left").where(f"around IS NULL OR CAST(around AS DECIMAL(20,0)) * 100 < CAST(n AS DECIMAL(20,0)) * {INSIDE}")
     left = left.select("id", "lang", "phrase", F.col("n").alias("a"), "best.l", "best.r", "best.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
