@@ -225,6 +225,21 @@ def _shuffled(spark, sf_dir):
     return delimited.read_entities(spark, f"{path}/*", Registry(EntityType("Item", (Field("title", title=True), Field("size", "number")))), "Item")
 
 
+@query("s02_lines", "prt", """SELECT CAST(line AS BIGINT) AS line, CASE WHEN n%37=0 THEN 'the row has the wrong number of cells' WHEN n%41=0 THEN 'the row has no id' ELSE 'a quote is out of place' END AS message
+FROM (SELECT n, 2 + coalesce(sum(1 + 2 * CAST(n%5=0 AS INT)) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM prt) WHERE n%37=0 OR n%41=0 OR n%43=0""")
+def s02_lines(spark, sf_dir):
+    """One file of all parts, in order; every fifth has a title of three lines. Each row in error with the line it begins with."""
+    p = Retail(spark, sf_dir).read("part")
+    n = F.col("p_partkey")
+    title = F.when(n % 5 == 0, F.concat(F.lit('"on\n""three""\nlines"'), F.when((n % 43 == 0) & (n % 37 != 0) & (n % 41 != 0), "x").otherwise(""))).otherwise(F.when((n % 43 == 0) & (n % 37 != 0) & (n % 41 != 0), '"quoted"x').otherwise(F.col("p_name")))
+    line = F.concat_ws(",", F.when(n % 41 == 0, " ").otherwise(F.concat(F.lit("PART-"), n)), title, F.when(n % 37 == 0, "more"))
+    path = _folder(spark, "onefile")
+    rows = p.select(n.alias("n"), line.alias("value")).union(spark.createDataFrame([(-1, "id,title")], "n long, value string"))
+    rows.repartitionByRange(1, "n").sortWithinPartitions("n").select("value").write.option("lineSep", "\n").text(path)
+    _, problems = delimited.read_entities(spark, path, Registry(EntityType("Item", (Field("title", title=True),))), "Item")
+    return problems.select("line", "message")
+
+
 @query("s05_encoding", "", "SELECT lang, min(k) AS line, 'not UTF-8' AS message FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents) WHERE doc_id%50=7 GROUP BY lang")
 def s05(spark, sf_dir):
     """A file of document ids per language, written as Latin-1; every fiftieth line has a letter that isn't UTF-8 then."""

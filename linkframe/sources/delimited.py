@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import csv
 from functools import reduce
-from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkframe.operators.closure import saved
 from linkframe.registry import Field, Registry
 
-#: A file's first row: up to the first line end outside of quotes.
-FIRST_ROW = r'(?s)^((?:[^"\r\n]|"(?:[^"]|"")*+")*+)'
+from .records import cells, records, sent
+
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 PROBLEMS = "path string, id string, severity string, message string"
 
@@ -53,27 +52,6 @@ def typed(c: Column, f: Field, separator: str) -> tuple[Column, Column]:
     return type_cell(c, f.kind)
 
 
-def headers_of(spark: SparkSession, path: str, delimiter: str = ",") -> list[tuple[list[str], list[str]]]:
-    """(names, paths of the files that begin with them): each file's first row, without a byte order mark; no names for empty files. Different headers are few.
-
-    The first line is the first row, but for files with a line end inside a quoted name; these alone are read whole.
-    """
-    lines = spark.read.option("lineSep", "\n").text(path).where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("at"))
-    first = lines.groupBy("path").agg(F.min_by("value", "at").alias("head"))
-    even = F.length(F.regexp_replace("head", '[^"]', "")) % 2 == 0
-    heads = [(r["head"], r["paths"]) for r in first.where(even).groupBy("head").agg(F.collect_list("path").alias("paths")).collect()]
-    if odd := [r["path"] for r in first.where(~even).select("path").collect()]:
-        whole = spark.read.text(odd, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("value", FIRST_ROW, 1).alias("head"))
-        heads += [(r["head"], r["paths"]) for r in whole.groupBy("head").agg(F.collect_list("path").alias("paths")).collect()]
-    seen = {urlsplit(p) for _, paths in heads for p in paths}
-    empty = [p for p in spark.read.text(path).inputFiles() if urlsplit(p) not in seen]  # no row comes from them
-    names = lambda head: next(csv.reader(head.lstrip("\ufeff").rstrip("\r").splitlines(keepends=True), delimiter=delimiter), [])
-    found: dict[tuple[str, ...], list[str]] = {(): empty} if empty else {}
-    for head, paths in heads:
-        found.setdefault(tuple(names(head)), []).extend(paths)
-    return sorted(((list(k), sorted(v)) for k, v in found.items()), key=lambda x: x[1])
-
-
 def audit_header(spark: SparkSession, header: list[str], fields: tuple[Field, ...], id_col: str) -> DataFrame:
     """Problems of a header: duplicates and a missing id column (errors), unread columns and fields without one (warnings)."""
     names = {f.column or f.name for f in fields if not f.calculated}
@@ -94,49 +72,57 @@ def check_encoding(spark: SparkSession, path: str) -> DataFrame:
     return wrong.groupBy("path").agg((F.min("pos") + 1).alias("line")).select("path", "line", F.lit("not UTF-8").alias("message"))
 
 
+def _header_problems(files: DataFrame, fields: list[Field], id_col: str) -> DataFrame:
+    """``audit_header`` for a table of files (path, header), a row per problem."""
+    names = sorted({f.column or f.name for f in fields if not f.calculated})
+    known = F.array(*[F.lit(x) for x in dict.fromkeys([id_col, *names])])
+    header = F.col("header")
+    say = lambda severity, names, before, after: F.transform(names, lambda h: F.struct(F.lit(severity).alias("severity"), F.concat(F.lit(before), h, F.lit(after)).alias("message")))
+    twice = F.array_distinct(F.filter(header, lambda h, i: F.array_position(header, h) != i + 1))
+    none = F.when(~F.array_contains(header, id_col), F.array(F.struct(F.lit("error").alias("severity"), F.lit(f"there is no column {id_col} for the id").alias("message")))).otherwise(F.array().cast("array<struct<severity:string,message:string>>"))
+    found = F.concat(say("error", twice, "column ", " is there twice"), none, say("warning", F.array_except(header, known), "column ", " is not read"))
+    if names:
+        found = F.concat(found, say("warning", F.array_except(F.array(*[F.lit(x) for x in names]), header), "field ", " has no column"))
+    return files.select("path", F.explode(found).alias("x")).select("path", F.lit(None).cast("string").alias("id"), "x.*", F.lit(1).cast("long").alias("line"))
+
+
 def read_entities(spark: SparkSession, path: str, registry: Registry, etype: str, id_col: str = "id", delimiter: str = ",", separator: str = ";") -> tuple[DataFrame, DataFrame]:
     """(rows, problems) of RFC 4180 files, each with a header of its own.
 
-    rows: id, the type's fields, ``f__raw`` of invalid cells, and path. A row with the wrong number of cells, or without an id, is
-    dropped and reported. Quoted cells may hold delimiters, doubled quotes and line ends. A file's columns are found by the names in its own
+    rows: id, the type's fields, ``f__raw`` of invalid cells, path, and line. A row with the wrong number of cells, or without an id, is
+    dropped and reported with its line, as is one with a quote out of place. Quoted cells may hold delimiters, doubled quotes and line ends; one that never ends is reported
+    and what follows it isn't read. A file's columns are found by the names in its own
     header, in whatever order; a file whose header has a name twice, lacks the id column or isn't there gives problems and no rows.
+    Files are cut in parallel (``records``), and headers are a table that is joined, so nothing that grows with files reaches the driver.
     """
     fields = [f for f in registry.fields(etype) if not f.calculated]
-    parts = [_read_alike(spark, header, paths, fields, id_col, delimiter, separator) for header, paths in headers_of(spark, path, delimiter)]
-    columns = [x for f in fields for x in (T.StructField(f.name, f.spark()), T.StructField(f"{f.name}__raw", T.StringType()))]
-    rows = [spark.createDataFrame([], T.StructType([T.StructField("id", T.StringType()), *columns, T.StructField("path", T.StringType())]))]
-    return reduce(lambda a, b: a.unionByName(b), rows + [r for r, _ in parts if r is not None]), reduce(lambda a, b: a.union(b), [spark.createDataFrame([], PROBLEMS), *[p for _, p in parts]])
-
-
-def _read_alike(spark: SparkSession, header: list[str], paths: list[str], fields: list[Field], id_col: str, delimiter: str, separator: str) -> tuple[DataFrame | None, DataFrame]:
-    """Rows (none where the header has an error) and problems of files with one header."""
-    if not header:
-        return None, spark.createDataFrame([(p, None, "error", "the file has no header") for p in paths], PROBLEMS)
-    audit = audit_header(spark, header, tuple(fields), id_col)
-    problems = [spark.createDataFrame([(p,) for p in paths], "path string").crossJoin(audit).select("path", F.lit(None).cast("string").alias("id"), "severity", "message")]
-    if id_col not in header or len(set(header)) < len(header):
-        return None, problems[0]
-    safe = [f"c{i}" for i in range(len(header))]
-    schema = T.StructType([*[T.StructField(n, T.StringType()) for n in safe], T.StructField("__corrupt", T.StringType())])
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').option("sep", delimiter).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__corrupt").option("nullValue", "\u0000").option("emptyValue", "").csv(paths)
-    raw = raw.withColumn("path", F.input_file_name())
-    at = dict(zip(header, safe, strict=True))
-    key = F.trim(F.col(at[id_col]))
-    # Spark reads the column of corrupt rows only beside others, so the test names them too
-    wrong = raw.where(F.col("__corrupt").isNotNull() & (F.length(F.concat_ws("", *safe)) >= 0))
-    problems.append(wrong.select("path", key.alias("id"), F.lit("error").alias("severity"), F.lit("the row has the wrong number of cells").alias("message")))
-    right = raw.where(F.col("__corrupt").isNull()).withColumn("id", key)
+    found, files = records(spark, path, delimiter)
+    files = saved(files)
+    note = lambda df, message, line="line", ident=None: df.select("path", (F.lit(None).cast("string") if ident is None else ident).alias("id"), F.lit("error").alias("severity"), F.lit(message).alias("message"), F.col(line).cast("long").alias("line"))
+    # no row comes from empty files; their names are in the listing that Spark's driver holds of any path
+    plain = F.regexp_replace("path", "^([A-Za-z0-9+.-]+):/+", "$1:/").alias("plain")
+    listed = spark.createDataFrame([(p,) for p in spark.read.text(path).inputFiles()], "path string")
+    empty = listed.select("path", plain).join(files.select(plain), "plain", "left_anti").select("path", F.lit(1).alias("line"))
+    headed = files.where(F.col("header").isNotNull())
+    problems = [note(empty, "the file has no header"), note(files.where(F.col("header").isNull()).withColumn("line", F.lit(1)), "the file has no header"), note(files.where(F.col("broken").isNotNull()), "a quoted cell doesn't end", "broken")]
+    problems.append(_header_problems(headed, fields, id_col))
+    right_head = F.array_contains("header", id_col) & (F.size(F.array_distinct("header")) == F.size("header"))
+    place = lambda name: (F.array_position("header", name) - 1).cast("int")
+    names = {f.column or f.name: f"__p{i}" for i, f in enumerate(fields)}
+    good = headed.where(right_head).select("file", "path", F.size("header").alias("__n"), place(id_col).alias("__id"), *[place(n).alias(p) for n, p in names.items()])
+    raw = found.join(sent(saved(good)), "file").withColumn("__cells", cells(F.col("text"), delimiter))
+    cell = lambda p: F.get("__cells", F.col(p))
+    key = F.trim(cell("__id"))
+    problems.append(note(raw.where(F.col("__cells").isNull()), "a quote is out of place"))
+    problems.append(note(raw.where(F.size("__cells") != F.col("__n")), "the row has the wrong number of cells", ident=key))
+    right = raw.where(F.size("__cells") == F.col("__n")).withColumn("id", key)
     nameless = F.coalesce(F.col("id"), F.lit("")) == ""
-    problems.append(right.where(nameless).select("path", F.lit(None).cast("string").alias("id"), F.lit("error").alias("severity"), F.lit("the row has no id").alias("message")))
+    problems.append(note(right.where(nameless), "the row has no id"))
     columns = [F.col("id")]
     for f in fields:
-        name = f.column or f.name
-        if name not in at:
-            columns += [F.lit(None).cast(f.spark()).alias(f.name), F.lit(None).cast("string").alias(f"{f.name}__raw")]
-            continue
-        value, bad = typed(F.col(at[name]), f, separator)
-        columns += [value.cast(f.spark()).alias(f.name), F.when(bad, F.col(at[name])).alias(f"{f.name}__raw")]
-    return right.where(~nameless).select(*columns, "path"), reduce(lambda a, b: a.union(b), problems)
+        value, bad = typed(cell(names[f.column or f.name]), f, separator)
+        columns += [value.cast(f.spark()).alias(f.name), F.when(bad, cell(names[f.column or f.name])).alias(f"{f.name}__raw")]
+    return right.where(~nameless).select(*columns, "path", "line"), reduce(lambda a, b: a.union(b), problems)
 
 
 def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 
 import graphs
 import pytest
@@ -12,6 +13,7 @@ from linkframe.operators.model import Model
 from linkframe.plans import rules
 from linkframe.registry import EntityType, Field, Registry
 from linkframe.sources import delimited as s
+from linkframe.sources import records
 
 
 def messages(df):
@@ -130,6 +132,65 @@ def test_header_per_file(spark, tmp_path):
     assert ("e.csv", 'column a "b" is not read') in {(r["path"].rpartition("/")[2], r["message"]) for r in problems.collect()}
 
 
+def plain_records(text):
+    """(line, record) of a delimited text, quote by quote; what begins with a quote that never ends is left out."""
+    out, begin, line, inside, now = [], 1, 1, False, ""
+    for ch in text:
+        if ch == "\n" and not inside:
+            out.append((begin, now.removesuffix("\r")))
+            begin, now = line + 1, ""
+        else:
+            now += ch
+        inside ^= ch == '"'
+        line += ch == "\n"
+    out += [(begin, now.removesuffix("\r"))] if not inside else []
+    return [(a, b) for a, b in out if b]
+
+
+def test_records_across_blocks(spark, tmp_path):
+    """Files cut into blocks of 64 bytes: quoted line ends across blocks, doubled quotes, a cell that never ends, all with the right lines, in many tasks."""
+    r = random.Random(4)
+    cell = lambda: r.choice(["a", "", "bcd", '"x,y"', '"l1\nl2"', '"say ""hi"""', '"' + "long\n" * r.randrange(1, 40) + '"', '""'])
+    for k in range(4):
+        body = "".join(",".join(cell() for _ in range(3)) + r.choice(["\n", "\r\n", "\n\n"]) for _ in range(120))
+        (tmp_path / f"f{k}.csv").write_bytes((("\ufeff" if k == 1 else "") + "\n" * (k == 2) + "id,title,size\n" + body + ('z,"open\nto the end,1\n2,3,4\n' if k == 3 else "")).encode())
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64b")
+    try:
+        found, files = records.records(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() > 8
+        names = {x["file"]: (x["path"].rpartition("/")[2], x["header"], x["broken"]) for x in files.collect()}
+        got = sorted((names[x["file"]][0], x["line"], x["text"]) for x in found.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    want = []
+    for k in range(4):
+        every = plain_records((tmp_path / f"f{k}.csv").read_bytes().decode())
+        want += [(f"f{k}.csv", a, b) for a, b in every[1:]]
+    assert got == sorted(want) and all(h == ["id", "title", "size"] for _, h, _ in names.values())
+    assert [n for n, _, broken in names.values() if broken] == ["f3.csv"]
+
+
+def test_lines_of_problems(spark, tmp_path):
+    reg = Registry(EntityType("Item", (Field("title"),)))
+    (tmp_path / "a.csv").write_text('id,title\nA,"x\ny"\nB\n,none\nC,"a"b\nD,d\nE,"never\nends\n')
+    rows, problems = s.read_entities(spark, str(tmp_path), reg, "Item")
+    assert sorted((r["id"], r["title"], r["line"]) for r in rows.collect()) == [("A", "x\ny", 2), ("D", "d", 7)]
+    assert sorted((r["line"], r["message"]) for r in problems.collect()) == [(4, "the row has the wrong number of cells"), (5, "the row has no id"), (6, "a quote is out of place"), (8, "a quoted cell doesn't end")]
+
+
+def test_many_headers(spark, tmp_path):
+    """A thousand files, each with columns in an order of its own: one scan, and a plan that doesn't grow with them."""
+    reg = Registry(EntityType("Item", (Field("title"), Field("size", "number"))))
+    for i in range(1000):
+        names = [f"extra{i}", "id", "size", "title"] if i % 2 else ["title", f"extra{i}", "size", "id"]
+        cells = {"id": f"P{i}", "title": f"t{i}", "size": str(i), f"extra{i}": "e"}
+        (tmp_path / f"f{i}.csv").write_text(",".join(names) + "\n" + ",".join(cells[n] for n in names) + "\n")
+    rows, problems = s.read_entities(spark, str(tmp_path), reg, "Item")
+    assert sorted((r["id"], r["title"], r["size"]) for r in rows.collect()) == sorted((f"P{i}", f"t{i}", float(i)) for i in range(1000))
+    assert problems.where("message LIKE 'column extra% is not read'").count() == 1000
+
+
 def test_duplicate_ids(spark):
     df = spark.createDataFrame([("a", "p"), ("a", "p"), ("b", "p"), ("b", "q"), ("b", None), ("c", "r")], "id string, path string")
     assert messages(rules.duplicate_ids(df)) == [("content/duplicate-id", "a", "id a is also in p")] * 2 + [("content/duplicate-id", "b", "id b is also in p"), ("content/duplicate-id", "b", "id b is also in p, q"), ("content/duplicate-id", "b", "id b is also in q")]
