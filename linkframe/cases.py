@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from linkframe import sinks
 from linkframe.functions import calc
-from linkframe.operators import closure, diff, history, text
-from linkframe.operators.cond import aggregate, all_of, field, none_linking, outer, select, some_linking, some_of, some_row
+from linkframe.operators import closure, diff, history, selections, text
+from linkframe.operators.cond import aggregate, all_of, field, none_linking, none_of, outer, select, some_linking, some_of, some_row
 from linkframe.operators.model import Model
 from linkframe.plans import rules
 from linkframe.plans.retail import Retail
@@ -45,6 +45,8 @@ def g01(spark, sf_dir):
 
 simple("j05_elsewhere", "Customer", some_of(["Supplier"], field("balance").less_than(-900)), "SELECT id FROM cus WHERE EXISTS (SELECT 1 FROM sup WHERE balance<-900)", "cus sup")
 simple("j06_anywhere", "Supplier", some_of(["Customer"], field("segment").equals("MACHINERY"), field("balance").less_than(value_of=outer("balance"))), "SELECT id FROM sup s WHERE EXISTS (SELECT 1 FROM cus c WHERE c.segment='MACHINERY' AND c.balance<s.balance)", "cus sup")
+simple("j06_two_orders", "Part", some_of(["Part"], field("size").greater_than(value_of=outer("size")), field("price").less_than(value_of=outer("price"))), "SELECT id FROM prt p WHERE EXISTS (SELECT 1 FROM prt q WHERE q.size>p.size AND q.price<p.price)", "prt")
+simple("j06_two_orders_by_key", "Order", none_of(["Order"], field("customer").equals(value_of=outer("customer")), field("day").less_or_equal(value_of=outer("day")), field("total").greater_than(value_of=outer("total"))), "SELECT id FROM ord o WHERE NOT EXISTS (SELECT 1 FROM ord p WHERE p.customer=o.customer AND p.day<=o.day AND p.total>o.total)", "ord")
 simple("j13_some_of", "Part", some_of(["Part"], *[field(f).equals(value_of=outer(f)) for f in ("name", "brand", "size")], field("id").not_equals(value_of=outer("id"))), "SELECT id FROM (SELECT *, count(*) OVER (PARTITION BY name, brand, size) AS k FROM prt) WHERE k>1", "prt")
 simple("j07_none_with_rows", "Customer", all_of(field("segment").equals("BUILDING"), some_linking("orders", field("status").equals("O"), field("total").greater_than(100000)), none_linking("orders", some_row("lines", field("flag").equals("R"), field("quantity").greater_than(45)))),
        "SELECT c.id FROM cus c WHERE c.segment='BUILDING' AND EXISTS (SELECT 1 FROM ord o WHERE o.customer=c.id AND o.status='O' AND o.total>100000) AND NOT EXISTS (SELECT 1 FROM ord o JOIN lin l ON l.id=o.id WHERE o.customer=c.id AND l.flag='R' AND l.quantity>45)", "cus ord lin", slim=False)
@@ -137,6 +139,26 @@ def d10(spark, sf_dir):
     return diff.diff_text(old, new).groupBy("id", "op").agg(F.count("*").alias("n"))
 
 
+@query("q01_many", "cus ord", "SELECT c.id AS holder, o.id AS result, row_number() OVER (PARTITION BY c.id ORDER BY o.total, o.id)-1 AS pos FROM cus c JOIN ord o ON o.customer=c.id AND o.priority=CASE WHEN c.segment='BUILDING' THEN '1-URGENT' ELSE '2-HIGH' END AND o.total>100000+c.balance*10")
+def q01_many(spark, sf_dir):
+    """A selection of its own for every customer: its orders of a priority, over a total. They are one plan."""
+    r = Retail(spark, sf_dir)
+    c, o = r.table("Customer"), r.table("Order")
+    specs = c.select(F.col("id").alias("spec"), F.when(F.col("segment") == "BUILDING", "1-URGENT").otherwise("2-HIGH").alias("p0"), (100000 + F.col("balance") * 10).alias("p1"))
+    shape = selections.Shape(links=(("customer", "customer"),), tests=(("priority", "equals"), ("total", "greater_than")), order=("total",))
+    got = selections.materialise_shape(c.select(F.col("id").alias("holder"), F.col("id").alias("spec"), F.col("id").alias("customer")), specs, o, shape)
+    return got.select("holder", "result", F.col("pos").cast("long").alias("pos"))
+
+
+@query("q01_thresholds", "sup prt", "SELECT s.id AS holder, count(*) AS n, min(p.id) AS first FROM sup s JOIN prt p ON p.price<900+s.balance/100 GROUP BY s.id")
+def q01_thresholds(spark, sf_dir):
+    """A selection per supplier with an order test and no key: the parts below a price of its own."""
+    r = Retail(spark, sf_dir)
+    s, p = r.table("Supplier"), r.table("Part")
+    got = selections.materialise_shape(s.select(F.col("id").alias("holder"), F.col("id").alias("spec")), s.select(F.col("id").alias("spec"), (900 + F.col("balance") / 100).alias("p0")), p, selections.Shape(tests=(("price", "less_than"),)))
+    return got.groupBy("holder").agg(F.count("*").alias("n"), F.min("result").alias("first"))
+
+
 @query("d10_moved", "prt", "SELECT id, op, sum(k)::BIGINT AS n FROM (SELECT id, unnest(['kept', 'removed', 'added', 'changed']) AS op, unnest([2 + CAST(n%2<>0 AS INT), CAST(n%2=0 AS INT), CAST(n%2=0 AS INT), 1]) AS k FROM prt) WHERE k>0 GROUP BY id, op")
 def d10_moved(spark, sf_dir):
     """Four paragraphs per part; the last one has a word changed. In even parts the first has moved behind the third: it is removed and added, and its words don't make it a changed one."""

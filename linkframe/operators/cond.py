@@ -12,11 +12,11 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .closure import closure, reaching
+from .closure import closure, reaching, saved
 from .model import Model
 
 COMPARE: dict[str, Callable[[Any, Any], Column]] = {
@@ -154,6 +154,10 @@ def none_linking(facet: str, *where: Cond) -> Sub:
     return Sub("facet", facet, all_of(*where) if where else None, negate=True)
 
 
+def none_of(types: list[str] | tuple[str, ...], *where: Cond) -> Sub:
+    return Sub("of", tuple(types), all_of(*where) if where else None, negate=True)
+
+
 def reaches(name: str, *where: Cond, facet: bool = False) -> Sub:
     return Sub("facet" if facet else "link", name, all_of(*where) if where else None, transitive=True)
 
@@ -394,7 +398,8 @@ def _unrelated(df: DataFrame, c: Sub, levels: list[Level], model: Model) -> Data
     """A sub-query over unrelated entities without pairing them, or None where its tests don't allow that.
 
     One that reads nothing outside is one value. Else its tests may be on the item alone, equalities with an enclosing item (the key), and
-    one order test or inequality with it, which holds for some item if it does for the least or the greatest of its key.
+    one order test or inequality with it, which holds for some item if it does for the least or the greatest of its key; or an order test and one more of
+    either kind (``_dominated``).
     """
     depth = len(levels)
     target = _named(model.table(*c.name), depth)
@@ -415,29 +420,72 @@ def _unrelated(df: DataFrame, c: Sub, levels: list[Level], model: Model) -> Data
             return None
         _test(t, [*levels, inner], model)  # for what it says of mistakes
         (same if t.op == "equals" else other).append((inner.get(t.name), far.get(t.value.name), t.op))
-    if len(other) > 1:
+    if len(other) > 2 or len(other) == 2 and all(op == "not_equals" for _, _, op in other):
         return None
     found = _matching(target, all_of(*own), _alone(depth, inner), model)
     keys = [f"__k{i}" for i in range(len(same))]
-    found = found.select(*[x.alias(k) for k, (x, _, _) in zip(keys, same, strict=True)], *[x.alias("__x") for x, _, _ in other]).dropna(subset=keys) if keys or other else found
+    found = found.select(*[x.alias(k) for k, (x, _, _) in zip(keys, same, strict=True)], *[x.alias(n) for (x, _, _), n in zip(other, ("__x", "__z"), strict=False)]).dropna(subset=keys) if keys or other else found
     on = [F.col(k) == y for k, (_, y, _) in zip(keys, same, strict=True)]
     how = "left_anti" if c.negate else "left_semi"
     if not other:
         return df.join(found.distinct(), reduce(lambda a, b: a & b, on), how)
+    if len(other) == 2:
+        hits = _dominated(df, found, keys, [y for _, y, _ in same], other)
+        return df.join(hits, reduce(lambda a, b: a & b, [y.eqNullSafe(F.col(n)) for y, n in zip([*[y for _, y, _ in same], *[y for _, y, _ in other]], hits.columns, strict=True)]), how)
     _, y, op = other[0]
     ends = [F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.bool_or(F.col("__x").isNull()).alias("__none")]
     lo, hi, none = F.col("__lo"), F.col("__hi"), F.col("__none")
     if not keys:
         one = found.agg(*ends)
         lo, hi, none = (one.select(x).scalar() for x in ("__lo", "__hi", "__none"))
+    hit = _by_ends(op, lo, hi, none, y)
+    if not keys:
+        return df.where(~hit if c.negate else hit)
+    return df.join(found.groupBy(*keys).agg(*ends), reduce(lambda a, b: a & b, [*on, hit]), how)
+
+
+def _by_ends(op: str, lo: Column, hi: Column, none: Column, y: Column) -> Column:
+    """Whether the test holds with y for some of the values whose least and greatest are these; ``none``: whether one is blank, null if there are no values."""
     if op == "not_equals":  # blank is unequal to everything, itself too
         hit = none | (none.isNotNull() & y.isNull()) | (lo != y) | (hi != y)
     else:
         hit = COMPARE[op](hi if op.startswith("greater") else lo, y)
-    hit = F.coalesce(hit, F.lit(False))
-    if not keys:
-        return df.where(~hit if c.negate else hit)
-    return df.join(found.groupBy(*keys).agg(*ends), reduce(lambda a, b: a & b, [*on, hit]), how)
+    return F.coalesce(hit, F.lit(False))
+
+
+def _dominated(df: DataFrame, found: DataFrame, keys: list[str], same: list[Column], other: list[tuple[Column, Column, str]]) -> DataFrame:
+    """The distinct (keys, y1, y2) of ``df`` for which some row of ``found`` (keys, __x, __z) passes both tests. The first of them that orders is swept.
+
+    Both sides are put in ranges of key and swept value, so that whatever passes the sweep's test lies before: then the least and greatest of the other value
+    up to each row answer the second test. They run inside a range, and are carried over ranges by a row for each range and key; no pairs are built.
+    """
+    sweep = 0 if other[0][2] != "not_equals" else 1
+    (_, y1, op1), (_, y2, op2) = other[sweep], other[1 - sweep]
+    v, w = ("__x", "__z") if sweep == 0 else ("__z", "__x")
+    asked = df.select(*[y.alias(k) for y, k in zip(same, keys, strict=True)], y1.alias("__v"), y2.alias("__w")).distinct().where(F.col("__v").isNotNull())
+    ends = [F.min(w).alias("__lo"), F.max(w).alias("__hi"), F.bool_or(F.col(w).isNull()).alias("__none")]
+    facts = found.where(F.col(v).isNotNull()).groupBy(*keys, F.col(v).alias("__v")).agg(*ends)
+    kinds = {n: asked.schema[n].dataType for n in ("__v", "__w")}
+    first, last = (0, 1) if op1.endswith("_or_equal") else (1, 0)  # of equal values those of facts count, or don't
+    facts = facts.select(*keys, F.col("__v").cast(kinds["__v"]).alias("__v"), F.lit(first).alias("__side"), F.lit(None).cast(kinds["__w"]).alias("__w"), "__lo", "__hi", "__none")
+    null = lambda n: F.lit(None).cast(facts.schema[n].dataType).alias(n)
+    rows = facts.union(asked.select(*keys, "__v", F.lit(last).alias("__side"), "__w", null("__lo"), null("__hi"), null("__none")))
+    by = [*[F.col(k).asc() for k in keys], F.desc("__v") if op1.startswith("greater") else F.asc("__v"), F.asc("__side")]
+    rows = saved(rows.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()))
+    running = [F.min("__lo"), F.max("__hi"), F.max("__none")]
+    here = Window.partitionBy("__part", *keys)
+    upto = here.orderBy(*by[len(keys) :]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    names = ("__lo", "__hi", "__none")
+    swept = rows.select("*", *[a.over(upto).alias(f"{n}1") for a, n in zip(running, names, strict=True)])
+    parts = rows.groupBy("__part", *keys).agg(*[a.alias(n) for a, n in zip(running, names, strict=True)])
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("__part").alias("__part2"), *[F.col(k).alias(f"{k}b") for k in keys], *[a.over(before).alias(f"{n}0") for a, n in zip(running, names, strict=True)])
+    on = reduce(lambda a, b: a & b, [F.col("__part") == F.col("__part2"), *[F.col(k).eqNullSafe(F.col(f"{k}b")) for k in keys]])
+    got = swept.where(F.col("__side") == last).join(parts, on)
+    lo, hi, none = F.least("__lo0", "__lo1"), F.greatest("__hi0", "__hi1"), F.greatest("__none0", "__none1")
+    got = got.where(_by_ends(op2, lo, hi, none, F.col("__w")))
+    out = [F.col("__v"), F.col("__w")] if sweep == 0 else [F.col("__w"), F.col("__v")]
+    return got.select(*[F.col(k).alias(f"__same{i}") for i, k in enumerate(keys)], *[c.alias(f"__y{i}") for i, c in enumerate(out)]).distinct()
 
 
 def _items(df: DataFrame, c: Sub, levels: list[Level], model: Model, keys: list[str]) -> tuple[DataFrame, list[str], list[Level]]:
@@ -486,9 +534,8 @@ def _correlated(df: DataFrame, target: DataFrame, c: Sub, levels: list[Level], i
             far = levels[-t.value.up]
             if t.value.name in far.types and not isinstance(far.types[t.value.name], T.ArrayType) and not isinstance(inner.types[t.name], T.ArrayType):
                 on.append(inner.get(t.name) == far.get(t.value.name))
-    if not on:  # several order tests, or tests inside sub-queries: a nested loop, bounded by what the tests let through
-        tests = [x for t in parts if (x := _local(t, [*levels, inner], model)) is not None]
-        return df.join(target, reduce(lambda a, b: a & b, tests) if tests else F.lit(True))
+    if not on:
+        raise ValueError("a sub-query over unrelated entities needs an equality with an enclosing item, or up to two tests with it of which one orders")
     return df.join(target, reduce(lambda a, b: a & b, on))
 
 

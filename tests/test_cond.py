@@ -53,6 +53,9 @@ CONDITIONS = {
     "a hotter one of the genre": ("Act", some_of(["Act"], field("genre").equals(value_of=outer("genre")), field("heat").greater_than(value_of=outer("heat")))),
     "a dearer one anywhere": ("Album", some_of(["Album"], field("price").greater_than(value_of=outer("price")), field("live").equals(True))),
     "none cheaper": ("Album", c.Sub("of", ("Album",), all_of(field("price").less_than(value_of=outer("price"))), negate=True)),
+    "two orders by key": ("Album", some_of(["Album"], field("live").equals(value_of=outer("live")), field("price").greater_or_equal(value_of=outer("price")), field("issued").less_than(value_of=outer("issued")))),
+    "an order and another": ("Album", some_of(["Album"], field("by").not_equals(value_of=outer("by")), field("price").less_or_equal(value_of=outer("price")))),
+    "no two orders": ("Album", c.none_of(["Album"], field("issued").greater_or_equal(value_of=outer("issued")), field("price").greater_than(value_of=outer("price")))),
     "two orders": ("Album", some_of(["Album"], field("price").greater_than(value_of=outer("price")), field("issued").less_than(value_of=outer("issued")))),
     "somewhere else": ("Solo", some_of(["Album"], field("price").equals(4.0))),
     "nowhere": ("Solo", c.Sub("of", ("Album",), all_of(field("price").equals(40.0)), negate=True)),
@@ -117,9 +120,12 @@ def test_random_conditions(worlds, seed):
 
 
 def test_no_products(worlds):
-    """Sub-queries over unrelated entities are aggregates and semi joins; what has no such form is told by two orders at once."""
+    """Sub-queries over unrelated entities are aggregates, sweeps and semi joins; what has no such form is refused."""
     model, _ = worlds[0]
-    for name in ("another of the same name", "another, blank or not", "a hotter one of the genre", "a dearer one anywhere", "none cheaper", "somewhere else", "nowhere", "reaches"):
+    three = [field(n).not_equals(value_of=outer(n)) for n in ("price", "issued", "by")]
+    with pytest.raises(ValueError, match="needs an equality"):
+        select(model, "Album", some_of(["Album"], *three))
+    for name in ("two orders", "two orders by key", "an order and another", "no two orders", "another of the same name", "another, blank or not", "a hotter one of the genre", "a dearer one anywhere", "none cheaper", "somewhere else", "nowhere", "reaches"):
         plan = select(model, *CONDITIONS[name])._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan, (name, plan)
 

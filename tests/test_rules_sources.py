@@ -255,6 +255,40 @@ def test_selections(spark):
     assert selections.refused({"a": {("b", False)}, "b": {("a", True)}, "c": {("a", True)}, "d": {("d", True)}}) == {"a", "b", "c"}
 
 
+def test_ten_thousand_selections(spark):
+    """Each holder has its own selection; a null parameter and an unknown spec select nothing; the plan is one join."""
+    n = 10_000
+    holders = spark.range(n).selectExpr("concat('H', id) AS holder", "concat('S', id) AS spec", "id % 50 AS k").union(spark.createDataFrame([("H-", "none", 1)], "holder string, spec string, k long"))
+    specs = spark.range(n).selectExpr("concat('S', id) AS spec", "CASE WHEN id % 10 = 3 THEN NULL ELSE CAST(id AS DOUBLE) / 100 END AS p0")
+    targets = spark.range(200).selectExpr("concat('T', id) AS id", "id % 50 AS k", "CAST(id AS DOUBLE) AS v").union(spark.createDataFrame([("T-", 1, None)], "id string, k long, v double"))
+    got = selections.materialise_shape(holders, specs, targets, selections.Shape(links=(("k", "k"),), tests=(("v", "greater_or_equal"),), order=("v",)))
+    want = {(f"H{i}", j, f"T{t}") for i in range(n) if i % 10 != 3 for j, t in enumerate(t for t in range(200) if t % 50 == i % 50 and t >= i / 100)}
+    assert {(r["holder"], r["pos"], r["result"]) for r in got.collect()} == want
+    some = specs.where("p0 > 98")
+    got = selections.materialise_shape(holders, some, targets, selections.Shape(tests=(("v", "greater_than"),)))
+    assert "Cartesian" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
+    assert {(r["holder"], r["result"]) for r in got.collect()} == {(f"H{i}", f"T{t}") for i in range(9801, n) if i % 10 != 3 for t in range(200) if t > i / 100}
+    with pytest.raises(ValueError, match="a shape needs"):
+        selections.materialise_shape(holders, specs, targets, selections.Shape(tests=(("v", "not_equals"),)))
+
+
+def test_rounds_take_what_is_new(spark, monkeypatch):
+    """Each round of a derivation gets the rows of the last one alone; large rounds go the way by a shuffle; nulls are equal."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(6, 3), (None, 0), (None, 0)], "src int, dst int")
+    for limit in (selections.SENT_ROWS, 0):
+        monkeypatch.setattr(selections, "SENT_ROWS", limit)
+        sizes = []
+
+        def again(t, new):
+            sizes.append(new.count())
+            return new.select("src", F.col("dst").alias("via")).join(t["edges"].select(F.col("src").alias("via"), "dst"), "via").select("src", "dst")
+
+        out, _ = selections.derive({"edges": edges}, {"path": ({"edges", "path"}, lambda t: t["edges"])}, {"path": again})
+        got = [tuple(r) for r in out["path"].collect()]
+        far = {(a, b) for a in range(7) for b in range(7) if b > a or (a >= 3 and b >= 3)} | {(None, b) for b in range(7)}
+        assert sorted(got, key=str) == sorted(far, key=str) and sum(sizes) == len(far)
+
+
 def test_registry():
     with pytest.raises(ValueError, match="declares again"):
         Registry(EntityType("A", (Field("x"),)), EntityType("B", (Field("x"),), extends="A"))
