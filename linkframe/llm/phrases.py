@@ -6,9 +6,10 @@ but the last, all but the first) reached the threshold, whatever the lengths tha
 so its count is that of the whole table; it ends when nothing is left to count. A subphrase is there at least as often as its
 phrase, so no phrase that reaches the threshold is missed.
 
-A scan reads words as hashes, written once with breaks between pieces. What has reached the threshold travels to its tasks as a bit array of bounded
-size: what it lets through by chance is counted in vain and dropped by the join with the table of what really has; the fuller it is the more that is,
-but never is a count wrong. Languages have their own words: a word's hash covers its language.
+What has reached the threshold travels to a scan's tasks as a bit array of one size, with that of a cycle before: a phrase is counted if the first lets all its
+subphrases through and the second doesn't. Bits are only ever set, so a phrase that chance lets through early is counted early, and for one cycle as
+well: the fuller the array, the more is counted in vain, but never is a count wrong. So counts are all that is shuffled; the words of what is frequent are found in the
+end. Languages have their own words: a word's hash covers its language.
 
 Defined cases: a null text is empty, a null language is ``und``; rows are counted as often as they are there; ids don't matter and other columns neither;
 an empty table gives no phrases.
@@ -25,21 +26,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import bytes_of, mix64, word_hashes
-from .common import deleted, give_back, pieces, removed, written
+from .common import deleted, give_back, pieces, written
 
-SHARDS = 3
+SHARDS = 2
 LEAST, LONGEST = 30, 4
 INSIDE = 80  # per cent: a phrase goes if a longer one around it is there so often
 TOP = 2000
 SCALE = 2_000_000
-#: A filter has so many bits for each phrase in it, but never more than ``FILTER_BITS``; a phrase has ``PLACES`` places in it.
-BITS_EACH, FILTER_BITS, PLACES = 16, 1 << 27, 2
+#: An array has a bit for so many words of the table, but never more than ``FILTER_BITS``; a phrase has ``PLACES`` places in it.
+WORDS_A_BIT, FILTER_BITS, PLACES = 8, 1 << 28, 2
 #: Words that a task looks at at once, and finds that it holds before it adds them up.
 STEP, HELD = 1 << 17, 1 << 18
+#: What is frequent is first looked for in one document in so many; only what isn't there in all others.
+FIRST_LOOK = 8
 BREAK = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
 GAP = np.isin(np.arange(256), list(b" \t")) | BREAK
 SALTS = 64
-PHRASE = "id long, head long, tail long, size int, n long"
 
 
 def _joined(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
@@ -78,45 +80,70 @@ def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "text").alias("lot"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
 
 
-def sharded(docs: DataFrame, shards: int) -> DataFrame:
-    """Written by shard: ``seq``, the word hashes of some texts with a zero before each piece; and how many words of each language some texts have."""
+def sequences(batches):
+    """Of each slice of a task's batches what ``word_ids`` gives, its words with a zero before each piece, and the place of each word in that."""
+    for part in pieces(batches):
+        found = word_ids(part)
+        new, ids = found[3], found[5]
+        place = np.arange(len(ids)) + np.cumsum(new)
+        seq = np.zeros(len(ids) + int(new.sum()), np.uint64)
+        seq[place] = ids
+        yield found, seq, place
+
+
+def totals(docs: DataFrame) -> DataFrame:
+    """(lang, total): how many words each language has."""
 
     def run(batches):
         for part in pieces(batches):
-            _, _, _, new, text, ids, langs = word_ids(part)
-            shard = (part.column("lot").to_numpy() % shards)[text]
-            for s in np.unique(shard).tolist():
-                here = np.flatnonzero(shard == s)
-                seq = np.zeros(len(here) + int(new[here].sum()), np.uint64)
-                seq[np.arange(len(here)) + np.cumsum(new[here])] = ids[here]
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([seq.tobytes()], pa.binary()), pa.array([None], pa.string()), pa.array([None], pa.int64())], ["shard", "seq", "lang", "n"])
+            *_, text, _, langs = word_ids(part)
             total: dict[str, int] = {}
             for lang, n in zip(langs, np.bincount(text, minlength=part.num_rows).tolist(), strict=True):
                 total[lang] = total.get(lang, 0) + n
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(total), pa.int32()), pa.nulls(len(total), pa.binary()), pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["shard", "seq", "lang", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["lang", "n"])
 
-    return written(_slim(docs).mapInArrow(run, "shard int, seq binary, lang string, n long"), "shards", "shard")
+    return written(_slim(docs).select("lang", "text").mapInArrow(run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("total")), "totals")
 
 
 def spelled(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, lang, word) of the words in ``found(id)``, by one more pass over the texts: each task gives each of them once."""
-    sent = docs.sparkSession.sparkContext.broadcast(filters(found.select("id", F.lit(0).alias("at")), found.count(), 0)[0])
+    """(id, size, n, head, tail, lang, word) of ``found(id, size, n)``: the two subphrases of each phrase, language and spelling of each word.
 
+    A task gives each thing once. First one document in ``FIRST_LOOK`` is read, then the others for what wasn't there.
+    """
+    parts, left = [], found
+    for look in (F.pmod("lot", F.lit(FIRST_LOOK)) == 0, F.pmod("lot", F.lit(FIRST_LOOK)) != 0):
+        bits = array_size(left.count())
+        sent = docs.sparkSession.sparkContext.broadcast((Bits(bits).fill(found), Bits(bits).fill(left)))
+        rows = _slim(docs).where(look).mapInArrow(_speller(sent), "id long, head long, tail long, lang string, word string")
+        there = rows.groupBy("id").agg(*[F.min(c).alias(c) for c in ("head", "tail", "lang", "word")])
+        parts.append(written(left.join(there, "id"), "spelled"))
+        sent.destroy()
+        left = written(found.join(parts[0].select("id"), "id", "left_anti"), "unspelled")
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.union, parts)
+
+
+def _speller(sent: Broadcast):
     def run(batches):
-        wanted, seen = sent.value, np.zeros(0, np.uint64)
-        for part in pieces(batches):
-            raw, start, end, _, text, ids, langs = word_ids(part)
+        frequent, wanted = sent.value
+        seen = np.zeros(0, np.uint64)
+        for (raw, start, end, _, text, ids, langs), seq, place in sequences(batches):
             some, at = np.unique(ids, return_index=True)
-            new = wanted.has(some) & ~np.isin(some, seen)
-            some, at = some[new], at[new]
-            seen = np.r_[seen, some]
-            words = [raw[a:b].tobytes().decode("utf-8", "replace").translate(LOWER) for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array([langs[i] for i in text[at].tolist()], pa.string()), pa.array(words, pa.string())], ["id", "lang", "word"])
+            for found, head, tail, size in [(some, None, None, 1), *_phrases(seq, frequent, None, len(seq))]:
+                first = at
+                if size > 1:
+                    found, first = np.unique(found, return_index=True)
+                new = wanted.has(found) & ~np.isin(found, seen)
+                found, first = found[new], first[new]
+                seen = np.r_[seen, found]
+                sides = [pa.array(x[first].view(np.int64)) if size > 1 else pa.nulls(len(found), pa.int64()) for x in (head, tail)]
+                words = [raw[a:b].tobytes().decode("utf-8", "replace").translate(LOWER) for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)] if size == 1 else [None] * len(found)
+                names = [langs[i] for i in text[first].tolist()] if size == 1 else words
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *sides, pa.array(names, pa.string()), pa.array(words, pa.string())], ["id", "head", "tail", "lang", "word"])
+        give_back()
 
-    rows = _slim(docs).mapInArrow(run, "id long, lang string, word string")
-    out = written(rows.join(found.select("id"), "id", "left_semi").groupBy("id").agg(F.min("lang").alias("lang"), F.min("word").alias("word")), "words")
-    sent.destroy()
-    return out
+    return run
 
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -131,14 +158,21 @@ def _bytes_of_names(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 class Bits:
     """A set of hashes as a bit array: it may hold others too, but lacks none."""
 
-    def __init__(self, bits: int):
-        self.words, self.bits = np.zeros(bits // 64, np.uint64), bits
+    def __init__(self, bits: int, like: Bits | None = None):
+        self.words, self.bits = like.words.copy() if like else np.zeros(bits // 64, np.uint64), bits
 
     @staticmethod
     def places(ids: Column, bits: int) -> Column:
         """Where an id's bits are, in Spark."""
         return F.array(*[F.pmod(F.shiftrightunsigned(ids, 7 + 29 * i), F.lit(bits)) for i in range(PLACES)])
 
+    def fill(self, ids: DataFrame) -> Bits:
+        """Add column ``id``. Places are set as 64-bit words, so what comes to the driver is bounded by the size of the array."""
+        at = ids.select(F.explode(self.places(F.col("id"), self.bits)).alias("at"))
+        words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("set")).toArrow()
+        self.words[words.column("word").to_numpy()] |= words.column("set").to_numpy().view(np.uint64)
+        return self
+
     def has(self, ids: np.ndarray) -> np.ndarray:
         out = np.ones(len(ids), bool)
         for i in range(PLACES):
@@ -147,119 +181,96 @@ class Bits:
         return out
 
 
-def filters(reached: DataFrame, n: int, since: int) -> tuple[Bits, Bits]:
-    """What has reached the threshold, and what has since scan ``since``. Input: id, at (scan), ``n`` rows.
+def array_size(n: int, each: int = 16) -> int:
+    return min(FILTER_BITS, max(1 << 12, 1 << (each * n).bit_length()))
 
-    Places are set as 64-bit words, so what comes to the driver is bounded by the size of the arrays.
-    """
-    bits = min(FILTER_BITS, max(1 << 12, 1 << (BITS_EACH * n - 1).bit_length()))
-    both = Bits(bits), Bits(bits)
-    at = reached.select((F.col("at") >= since).alias("late"), F.explode(Bits.places(F.col("id"), bits)).alias("at"))
-    words = at.groupBy("late", F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("set")).toArrow()
-    late, word, found = (words.column(c).to_numpy() for c in ("late", "word", "set"))
-    for known, rows in zip(both, (np.ones(len(late), bool), late.astype(bool)), strict=True):
-        np.bitwise_or.at(known.words, word[rows], found[rows].view(np.uint64))
-    return both
-
-
-def _phrases(seq: np.ndarray, known: Bits, fresh: Bits, own: int):
-    """(id, head, tail, size) arrays of the phrases to count that begin in the first ``own`` places of word hashes: both subphrases are known, and
-    one of them is fresh."""
+
+def _phrases(seq: np.ndarray, now: Bits, then: Bits | None, own: int):
+    """(id, head, tail, size) arrays of the phrases to count that begin in the first ``own`` places of word hashes: those that ``now`` lets through, with all
+    their subphrases, but for those that ``then`` did too."""
     ids, at = seq, np.flatnonzero(seq)
-    old, new = known.has(ids[at]), fresh.has(ids[at])
+    before = np.full(len(at), then is not None)  # whether what begins here was let through then
     for size in range(2, LONGEST + 1):
-        # at: where a subphrase of size - 1 words begins; the next one must begin one word later
         good = np.zeros(len(seq) + 1, np.int8)
-        good[at] = old + 2 * (old & new)
-        pair = at[(good[at] > 0) & (good[at + 1] > 0)]
+        good[at] = now.has(ids[at])
+        if then is not None:
+            old = at[before]
+            good[old] |= 2 * then.has(ids[old]).astype(np.int8)
+        pair = at[(good[at] & good[at + 1] & 1) > 0]
         if not len(pair):
             return
-        count = pair[((good[pair] > 1) | (good[pair + 1] > 1)) & (pair < own)]
+        before = (good[pair] & good[pair + 1] & 2) > 0
         joined = np.zeros(len(seq), np.uint64)
         joined[pair] = _joined(ids[pair], ids[pair + 1], size)
+        count = pair[~before & (pair < own)]
         if len(count):
             yield joined[count], ids[count], ids[count + 1], size
         ids, at = joined, pair
-        if size < LONGEST:
-            old, new = known.has(ids[at]), fresh.has(ids[at])
 
 
-def scanned(seqs: DataFrame, sent: Broadcast | None, words: bool) -> DataFrame:
-    """What to count in ``seqs``, as ``PHRASE`` rows (one thing may have several): the words, if they still are, and the phrases that the two filters in
-    ``sent`` let through."""
+def scanned(docs: DataFrame, sent: Broadcast, words: bool) -> DataFrame:
+    """What to count in these documents as (id, size, n), a thing may have several rows: the words, if they still are, and phrases by the arrays in ``sent``."""
 
     def run(batches):
-        filters = sent.value if sent else None
+        now, then = sent.value
         held, size = [], 0
 
         def summed():
             for k in range(1, LONGEST + 1):
-                parts = [x for x in held if x[3] == k]
-                if parts:
-                    found, at, n = np.unique(np.concatenate([x[0] for x in parts]), return_index=True, return_counts=True)
-                    sides = [pa.array(np.concatenate([x[i] for x in parts])[at].view(np.int64)) if k > 1 else pa.nulls(len(found), pa.int64()) for i in (1, 2)]
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *sides, pa.array(np.full(len(found), k, np.int32)), pa.array(n)], ["id", "head", "tail", "size", "n"])
-
-        for batch in batches:
-            for value in batch.column("seq"):
-                seq = np.frombuffer(value.as_buffer(), np.uint64)
-                for at in range(0, len(seq), STEP):  # a step sees the few words behind it, but counts nothing that begins there
-                    step = seq[at : at + STEP + LONGEST - 1]
-                    found = [(own[own > 0], None, None, 1)] if words and len(own := step[:STEP]) else []
-                    for x in [*found, *(_phrases(step, *filters, STEP) if filters else ())]:
-                        held.append(x)
-                        size += len(x[0])
-                    if size >= HELD:
-                        yield from summed()
-                        held, size = [], 0
+                if parts := [ids for ids, n in held if n == k]:
+                    found, n = np.unique(np.concatenate(parts), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), k, np.int32)), pa.array(n)], ["id", "size", "n"])
+
+        for _, seq, _ in sequences(batches):
+            for at in range(0, len(seq), STEP):  # a step sees the few words behind it, but counts nothing that begins there
+                step = seq[at : at + STEP + LONGEST - 1]
+                if words:
+                    held.append((step[:STEP][step[:STEP] > 0], 1))
+                    size += len(held[-1][0])
+                if now is not None:
+                    for ids, _, _, k in _phrases(step, now, then, STEP):
+                        held.append((ids, k))
+                        size += len(ids)
+                if size >= HELD:
+                    yield from summed()
+                    held, size = [], 0
         yield from summed()
         give_back()
 
-    return seqs.select("seq").mapInArrow(run, PHRASE)
+    return docs.mapInArrow(run, "id long, size int, n long")
 
 
-def counted(docs: DataFrame, shards: int = SHARDS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """All words and phrases that are there ``least`` times or more as (id, head, tail, size, n), and the words of each language (lang, total).
+def counted(docs: DataFrame, words: int, shards: int = SHARDS, least: int = LEAST) -> DataFrame:
+    """(id, size, n): all words and phrases that are there ``least`` times or more. ``words``: how many words the table has.
 
-    After each scan one table is written: what is still counted, and what ends with it. What isn't frequent yet goes with the next one.
+    After each scan one table is written, of what its cycle isn't surely over for and of what ends with it. What isn't frequent yet goes with the next one.
     """
-    every = sharded(docs, shards)
-    tables, news = [], []  # news: how many reached the threshold in each scan
+    context, slim = docs.sparkSession.sparkContext, _slim(docs)
+    bits = array_size(words // WORDS_A_BIT, 1)
+    arrays = [None]  # what had reached the threshold before each scan
+    tables, news = [], []
     step = 0
     while step < shards or any(news[-shards:]):
-        here, sent = every.where(F.col("shard") == step % shards), None
-        when = reduce(DataFrame.union, [_reached(df).select("id", F.lit(at).alias("at")) for at, df in enumerate(tables)]) if tables else None
-        if any(news[-shards:]):
-            sent = docs.sparkSession.sparkContext.broadcast(filters(when, sum(news), step - shards))
-        found = scanned(here, sent, step < shards).groupBy("id", "head", "tail", "size").agg(F.sum("n").alias("n"))
-        rows = [found.where("size = 1").withColumn("start", F.lit(0))] if step < shards else []
-        if sent:
-            longer = found.where("size > 1")
-            for side, name in (("head", "x"), ("tail", "y")):
-                longer = longer.join(when.select(F.col("id").alias(side), F.col("at").alias(name)), side)
-            start = F.greatest("x", "y") + 1
-            rows.append(longer.select("id", "head", "tail", "size", "n", start.alias("start")).where(start + shards > step))
-        rows = [x.withColumn("over", F.lit(False)) for x in rows]
+        sent = context.broadcast((arrays[step], arrays[step - shards] if step >= shards else None))
+        found = scanned(slim.where(F.pmod("lot", F.lit(shards)) == step % shards), sent, step < shards)
+        rows = found.groupBy("id", "size").agg(F.sum("n").alias("n")).select("id", "size", "n", F.lit(step).alias("first"), F.lit(False).alias("over"))
         if tables:
-            open_ = tables[-1].where(F.col("start") + shards > step)
-            rows.append(open_.select("id", "head", "tail", "size", "n", "start", F.col("often").alias("over")))
-        summed = reduce(DataFrame.union, rows).groupBy("id", "head", "tail", "size", "start").agg(F.sum("n").alias("n"), F.bool_or("over").alias("over"))
-        tables.append(written(summed.withColumn("often", F.col("n") >= least), "open", "often"))
-        if sent:
-            sent.destroy()
+            rows = rows.union(tables[-1].where(F.col("first") + (shards - 1) >= step).select("id", "size", "n", "first", F.col("often").alias("over")))
+        summed = rows.groupBy("id", "size").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.bool_or("over").alias("over")) if tables else rows
+        tables.append(written(summed.withColumn("often", F.col("n") >= least), "counts", "often"))
+        sent.destroy()
         if step:
             deleted(docs.sparkSession, f"{tables[-2].written_at}/often=false")
-        news.append(_reached(tables[-1]).count())
+        fresh = tables[-1].where(F.col("often") & ~F.col("over") & (F.col("size") < LONGEST))
+        news.append(fresh.limit(1).count())
+        after = Bits(bits, arrays[-1])
+        arrays.append(after.fill(fresh) if news[-1] else after if arrays[-1] is not None else None)
+        if step >= shards:
+            arrays[step - shards] = None
         step += 1
-    done = [df.where(F.col("often") & (F.col("start") + (shards - 1) == at)).select("id", "head", "tail", "size", "n") for at, df in enumerate(tables)]
-    total = written(every.where("shard = -1").groupBy("lang").agg(F.sum("n").alias("total")), "totals")
-    removed(every)
-    return reduce(DataFrame.union, done), total
-
-
-def _reached(table: DataFrame) -> DataFrame:
-    """What reached the threshold in the scan whose table this is, and can be part of a longer phrase."""
-    return table.where(F.col("often") & ~F.col("over") & (F.col("size") < LONGEST))
+    last = len(tables) - 1
+    ended = [F.col("first") + (shards - 1) == at if at < last else F.col("first") + (shards - 1) >= at for at in range(len(tables))]
+    return reduce(DataFrame.union, [df.where(F.col("often") & test).select("id", "size", "n") for df, test in zip(tables, ended, strict=True)])
 
 
 def _scores(size: int) -> Column:
@@ -274,15 +285,15 @@ def _scores(size: int) -> Column:
 
 def collocations(docs: DataFrame, shards: int = SHARDS, least: int = LEAST, top: int = TOP) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases that no longer one takes up."""
-    found, total = counted(docs, shards, least)
-    found = written(found, "frequent")
-    single = found.where("size = 1")
-    one = single.join(spelled(docs, single), "id").select("id", "n", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("n").alias("pre"), F.array("n").alias("suf"))
+    total = totals(docs)
+    found = written(counted(docs, total.agg(F.sum("total")).first()[0] or 0, shards, least), "frequent")
+    found = spelled(docs, found)
+    one = found.where("size = 1").select("id", "n", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("n").alias("pre"), F.array("n").alias("suf"))
     below, levels = written(one, "words"), []
     for size in range(2, LONGEST + 1):
         head = below.select(F.col("id").alias("head"), "lang", F.col("phrase").alias("x"), F.col("pre").alias("p"))
         tail = below.select(F.col("id").alias("tail"), F.col("last"), F.col("suf").alias("s"))
-        here = found.where(F.col("size") == size).join(head, "head").join(tail, "tail")
+        here = found.where(F.col("size") == size).drop("lang", "word").join(head, "head").join(tail, "tail")
         here = here.select("id", "head", "tail", "n", "lang", F.concat_ws(" ", "x", "last").alias("phrase"), "last", F.concat("p", F.array("n")).alias("pre"), F.concat("s", F.array("n")).alias("suf"))
         below = written(here, "phrases")
         levels.append(below.withColumn("best", _scores(size)).select("id", "lang", "phrase", "n", "best"))

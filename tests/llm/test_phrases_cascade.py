@@ -50,10 +50,10 @@ def babble(seed, n):
     return [(r.choice(["en", "de", None, "und", ""]), r.choice([None, "", text(), text(), text()])) for _ in range(n)]
 
 
-@pytest.mark.parametrize(("shards", "least"), [(1, 3), (3, 8)])
+@pytest.mark.parametrize(("shards", "least"), [(1, 3), (2, 4), (3, 8)])
 def test_phrases(spark, shards, least, monkeypatch):
     """Full and tiny filters, several steps and sums, many copies of one row."""
-    monkeypatch.setattr(phrases, "FILTER_BITS", 64 if shards == 3 else 1 << 27)
+    monkeypatch.setattr(phrases, "FILTER_BITS", 128 if shards == 3 else 1 << 27)
     monkeypatch.setattr(phrases, "STEP", 7)
     monkeypatch.setattr(phrases, "HELD", 50)
     rows = babble(shards, 60)
