@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkframe import sinks
 from linkframe.functions import calc
 from linkframe.operators import closure, diff, history, selections, text
-from linkframe.operators.cond import aggregate, all_of, field, none_linking, none_of, outer, select, some_linking, some_of, some_row
+from linkframe.operators.cond import aggregate, all_of, any_of, field, none_linking, none_of, outer, select, some_linking, some_of, some_row
 from linkframe.operators.model import Model
 from linkframe.plans import rules
 from linkframe.plans.retail import Retail
@@ -125,6 +125,30 @@ def v01(spark, sf_dir):
     return _flat(rules.run_rule(rule, Retail(spark, sf_dir).slim))
 
 
+@query("v02_alternatives", "cus ord", """SELECT 'r' AS rule, id AS entity, "at" FROM (SELECT c.id, 'orders '||o.id AS "at" FROM cus c JOIN ord o ON o.customer=c.id WHERE o.total>400000 AND o.status='O'
+UNION ALL SELECT c.id, 'balance' FROM cus c WHERE c.balance<0 AND c.id NOT IN (SELECT customer FROM ord WHERE total>400000 AND status='O'))""")
+def v02_alternatives(spark, sf_dir):
+    """Alternatives: the first that holds says where, so each large open order of a customer, or else its balance."""
+    either = any_of(some_linking("orders", field("total").greater_than(400000), field("status").equals("O")), all_of(field("name").exists(), field("balance").less_than(0)))
+    return rules.place(rules.Rule("r", "error", "m", ("Customer",), either), Retail(spark, sf_dir).slim).select("rule", "entity", "at")
+
+
+@query("v02_elsewhere", "cus sup ord", 'SELECT \'r\' AS rule, id AS entity, id AS "at" FROM cus WHERE balance>9000 AND id IN (SELECT customer FROM ord WHERE total>200000) AND EXISTS (SELECT 1 FROM sup WHERE sup.nation=cus.nation)')
+def v02_elsewhere(spark, sf_dir):
+    """The last sub-query is over unrelated entities: the place is the entity itself, once, whatever the sub-query before it matched."""
+    where = all_of(field("balance").greater_than(9000), some_linking("orders", field("total").greater_than(200000)), some_of(["Supplier"], field("nation").equals(value_of=outer("nation"))))
+    return rules.place(rules.Rule("r", "error", "m", ("Customer",), where), Retail(spark, sf_dir).slim).select("rule", "entity", "at")
+
+
+@query("x08_deep_items", "", "SELECT user_id, event_id, depth, label FROM (SELECT p_partkey AS user_id, d AS event_id, d AS depth, '1'||CASE WHEN d>1 THEN '(a)' ELSE '' END||CASE WHEN d>2 THEN '(i)' ELSE '' END||repeat('('||(p_partkey%5+1)||')', greatest(d-3, 0)) AS label FROM part, range(1, 9) AS s(d))")
+def x08_deep(spark, sf_dir):
+    """An item in an item, eight levels deep, for every part; below the third level lists begin with a number of their own."""
+    p = Retail(spark, sf_dir).read("part").select(F.col("p_partkey").alias("page"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("depth"))
+    start = F.when(F.col("depth") > 3, (F.col("page") % 5 + 1).cast("int")).otherwise(1)
+    rows = p.select("page", F.col("depth").cast("string").alias("item"), F.when(F.col("depth") > 1, (F.col("depth") - 1).cast("string")).alias("parent"), F.concat(F.lit("L"), "depth").alias("list"), F.col("depth").alias("pos"), start.alias("start"), "depth")
+    return text.number_items(rows).select(F.col("page").alias("user_id"), F.col("pos").cast("long").alias("event_id"), F.col("depth").cast("long").alias("depth"), "label")
+
+
 # -- comparison, history, text ------------------------------------------------------------------------------------------
 
 

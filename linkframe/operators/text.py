@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .closure import saved
+
 FENCE = r"^\s{0,3}(```|~~~)"
 HEADING = r"^\s{0,3}(#{1,6})(\s|$)"
 ITEM = r"^\s*([-*+]|\d+[.)])\s"
@@ -180,18 +182,24 @@ def roman(n: Column) -> Column:
 
 
 def number_items(items: DataFrame) -> DataFrame:
-    """Add label: decimal, then (a), then (i) under their parents, from each list's start value.
+    """Add label: decimal, then (a), then (i) under their parents, from each list's start value. Deeper lists are decimal again, to any depth.
 
-    Input: page, item, parent (an item, or null), list, pos, start, depth (1 to 3, of ordered lists). Deeper lists are decimal.
+    Input: page, item, parent (an item, or null), list, pos, start, depth (of ordered lists). Labels grow by twice as many levels each round, so rounds
+    follow the logarithm of the depth. An item whose parent isn't there has no label.
     """
     n = F.row_number().over(Window.partitionBy("page", "list").orderBy("pos")) + F.col("start") - 1
     out = items.withColumn("n", n)
     own = F.when((F.col("depth") == 2) & (F.col("n") > 0), letters(F.col("n"))).when((F.col("depth") == 3) & (F.col("n") > 0) & (F.col("n") < 4000), roman(F.col("n"))).otherwise(F.col("n").cast("string"))
-    out = out.withColumn("own", own).withColumn("label", F.when(F.col("depth") == 1, F.col("own")))
-    for depth in range(2, 5):
-        up = out.where(F.col("depth") == depth - 1).select("page", F.col("item").alias("parent"), F.col("label").alias("up"))
-        out = out.join(up, ["page", "parent"], "left").withColumn("label", F.when(F.col("depth") == depth, F.concat("up", F.lit("("), "own", F.lit(")"))).otherwise(F.col("label"))).drop("up")
-    return out.drop("own")
+    label = F.when(F.col("depth") == 1, own).otherwise(F.concat(F.lit("("), own, F.lit(")")))
+    out = out.withColumn("label", label).withColumn("__up", F.when(F.col("depth") > 1, F.col("parent")))
+    deepest = items.agg(F.max("depth")).first()[0] or 1
+    for _ in range((deepest - 1).bit_length()):
+        out = saved(out)
+        above = out.select(F.col("page").alias("__page"), F.col("item").alias("__item"), F.col("label").alias("__label"), F.col("__up").alias("__next"))
+        open_ = (F.col("depth") > 1) & (F.col("__up").isNotNull() | F.col("parent").isNull())
+        out = out.join(above, (F.col("page") == F.col("__page")) & (F.col("__up") == F.col("__item")), "left")
+        out = out.withColumn("label", F.when(open_, F.concat("__label", "label")).otherwise(F.col("label"))).withColumn("__up", F.col("__next")).drop("__page", "__item", "__label", "__next")
+    return out.drop("__up")
 
 
 def ref_text(kind: Column, number: Column, title: Column, mode: Column) -> Column:

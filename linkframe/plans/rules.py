@@ -66,29 +66,32 @@ def run_rule(rule: Rule, model: Model) -> DataFrame:
 
 
 def place(rule: Rule, model: Model) -> DataFrame:
-    """Violations with the place they point to (column at): each matched row or linked entity of a sub-query, else the field of the last test;
-    an any-of at its first alternative that holds. One violation per place."""
-    parts = parts_of(rule.where)
-    found = cond.select(model, list(rule.types), rule.where)
-    last = parts[-1]
-    subs = [c for c in parts if isinstance(c, cond.Sub) and not c.negate and not c.agg and c.how != "of"]
-    if subs:
-        items = cond.match_items(model, list(rule.types), subs[-1]).withColumnRenamed("item", "at")
-        got = found.select("id").join(items, "id")
-        if subs[-1].how != "row":
-            got = got.withColumn("at", F.concat(F.lit(f"{subs[-1].name} "), "at"))
-    elif isinstance(last, cond.Group):
-        tries = []
-        for i, alternative in enumerate(last.parts):
-            first = parts_of(alternative)[-1]
-            name = getattr(first, "name", "")
-            tries.append(cond.select(model, list(rule.types), alternative).select("id", F.lit(i).alias("i"), F.lit(str(name)).alias("name")))
-        first = reduce(lambda a, b: a.union(b), tries).groupBy("id").agg(F.min_by("name", "i").alias("at"))
-        got = found.select("id").join(first, "id")
-    else:
-        got = found.select("id", F.lit(str(getattr(last, "name", ""))).alias("at"))
+    """Violations with the place they point to (column at), one per place.
+
+    The last sub-query of a rule decides: each row or linked entity that it matched; for one over unrelated entities, and where nothing else
+    is said, the entity itself. Without a sub-query the last test does: its field, or the entity where the field is missing; of alternatives the first
+    that holds, by the same rules, so one place per row or link inside it.
+    """
+    found = cond.select(model, list(rule.types), rule.where).select("id")
     rest = (F.lit(rule.id).alias("rule"), F.lit(rule.severity).alias("severity"), F.lit(rule.message).alias("message"))
-    return got.dropDuplicates(["id", "at"]).select(*rest, F.col("id").alias("entity"), "at")
+    return found.join(_places(rule.where, rule.types, model), "id").dropDuplicates(["id", "at"]).select(*rest, F.col("id").alias("entity"), "at")
+
+
+def _places(where: cond.Cond, types: tuple[str, ...], model: Model) -> DataFrame:
+    """(id, at) for the entities on which the condition holds; others may be there too."""
+    parts = parts_of(where)
+    subs = [c for c in parts if isinstance(c, cond.Sub) and not c.negate and not c.agg]
+    last = parts[-1]
+    if subs and subs[-1].how != "of":
+        items = cond.match_items(model, list(types), subs[-1])
+        return items.select("id", (F.col("item") if subs[-1].how == "row" else F.concat(F.lit(f"{subs[-1].name} "), "item")).alias("at"))
+    if not subs and isinstance(last, cond.Group) and not last.every:
+        holds = [cond.select(model, list(types), c).select("id", F.lit(i).alias("i")) for i, c in enumerate(last.parts)]
+        first = reduce(lambda a, b: a.union(b), holds).groupBy("id").agg(F.min("i").alias("i"))
+        there = [_places(c, types, model).select("id", "at", F.lit(i).alias("i")) for i, c in enumerate(last.parts)]
+        return first.join(reduce(lambda a, b: a.union(b), there), ["id", "i"]).select("id", "at")
+    name = "" if subs or isinstance(last, cond.Test) and last.op == "missing" else str(getattr(last, "name", ""))
+    return cond.select(model, list(types), where).select("id", (F.lit(name) if name else F.col("id")).alias("at"))
 
 
 #: The names and severities of the built-in checks are fixed values: reports are compared by them.
@@ -96,14 +99,34 @@ def place(rule: Rule, model: Model) -> DataFrame:
 # -- built-in checks ------------------------------------------------------------------------------------------------
 
 
+#: A message names so many paths, and how many more there are.
+NAMED = 10
+
+
 def duplicate_ids(rows: DataFrame) -> DataFrame:
-    """Every copy of an id, naming the paths of the others, its own too where it is there twice. Only ids that recur are gathered. Input: id, path."""
-    twice = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    again = rows.join(twice, "id", "left_semi")
-    paths = again.groupBy("id").agg(F.array_sort(F.collect_list("path")).alias("paths"))
-    at = F.array_position("paths", F.col("path")).cast("int")
-    other = F.array_join(F.when(at > 0, F.concat(F.slice("paths", F.lit(1), at - 1), F.slice("paths", at + 1, F.size("paths")))).otherwise(F.col("paths")), ", ")
-    return violations(again.join(paths, "id"), "content/duplicate-id", F.concat(F.lit("id "), "id", F.lit(" is also in "), other))
+    """Every copy of an id, naming the paths of the others, its own too where it is there twice: the first ``NAMED`` of them, and how many more. Input: id, path.
+
+    Of a hot id no more than that is ever gathered; ``duplicate_paths`` has all of them as rows.
+    """
+    places = duplicate_paths(rows)
+    few = places.where(F.col("nth") <= NAMED + 1).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("path", "n"))).alias("few"), F.max("copies").alias("copies"))
+    again = rows.join(few, "id")
+    # without this copy's own path, once
+    spread = F.flatten(F.transform("few", lambda x: F.array_repeat(x["path"], F.least(x["n"], F.lit(NAMED + 1)).cast("int"))))
+    again = again.withColumn("paths", spread).withColumn("at", F.coalesce(F.array_position("paths", F.col("path")), F.lit(0)).cast("int"))
+    others = F.when(F.col("at") > 0, F.concat(F.slice("paths", F.lit(1), F.col("at") - 1), F.slice("paths", F.col("at") + 1, F.size("paths")))).otherwise(F.slice("paths", 1, NAMED + 1))
+    again = again.withColumn("others", F.slice(others, 1, NAMED)).withColumn("more", F.col("copies") - F.when(F.col("path").isNotNull(), 1).otherwise(0) - F.size("others"))
+    listed = F.concat(F.array_join("others", ", "), F.when(F.col("more") > 0, F.concat(F.lit(" and "), F.col("more").cast("string"), F.lit(" more"))).otherwise(F.lit("")))
+    return violations(again, "content/duplicate-id", F.concat(F.lit("id "), "id", F.lit(" is also in "), listed))
+
+
+def duplicate_paths(rows: DataFrame) -> DataFrame:
+    """(id, path, n, nth, copies) of ids that are there more than once: how many copies each path has, its place by path, and the copies of the id that have a path."""
+    per = rows.groupBy("id", "path").agg(F.count("*").alias("n"))
+    twice = per.groupBy("id").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("path").isNotNull(), F.col("n"))).alias("copies")).where("all > 1").select("id", F.coalesce("copies", F.lit(0)).alias("copies"))
+    found = per.where("path is not null").join(twice, "id")
+    # Spark keeps the first few of each task before they meet, where only these are asked for
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("path"))).select("id", "path", "n", "nth", "copies")
 
 
 def unresolved(edges: DataFrame, entities: DataFrame) -> DataFrame:

@@ -83,6 +83,29 @@ def test_item_labels(spark):
     assert got[1] == ("a", "i") and got[26][0] == "z" and got[27][0] == "aa" and got[702][0] == "zz" and got[703][0] == "aaa" and got[494][1] == "cdxciv" and got[799][1] == "dccxcix"
 
 
+def test_deep_items(spark):
+    """Lists eight levels deep, several items a level; one item's parent isn't there."""
+    r = random.Random(5)
+    rows, want = [], {}
+
+    def style(depth, n):
+        return {2: chr(96 + n), 3: ["", "i", "ii", "iii", "iv", "v", "vi"][n]}.get(depth, str(n))
+
+    def grow(parent, label, depth):
+        start, name = r.randrange(1, 4), f"L{len(rows)}"
+        for k in range(r.randrange(1, 3)):
+            item = f"I{len(rows)}"
+            want[item] = label + (style(depth, start + k) if depth == 1 else f"({style(depth, start + k)})")
+            rows.append(("p", item, parent, name, len(rows), start, depth))
+            if depth < 8:
+                grow(item, want[item], depth + 1)
+
+    grow(None, "", 1)
+    rows.append(("p", "lost", "nobody", "L", 10**6, 1, 2))
+    got = {x["item"]: x["label"] for x in t.number_items(spark.createDataFrame(rows, "page string, item string, parent string, list string, pos int, start int, depth int")).collect()}
+    assert got == {**want, "lost": None} and any(x.count("(") == 7 for x in want.values())
+
+
 def test_captions_citations_shift(spark):
     cap = spark.createDataFrame([("p", 1, "Figure", "x"), ("p", 2, "Table", ""), ("p", 3, "Figure", "x")], "page string, pos int, kind string, cid string")
     assert [(r["number"], r["first"]) for r in t.number_captions(cap).orderBy("pos").collect()] == [(1, True), (1, True), (2, False)]

@@ -196,6 +196,17 @@ def test_duplicate_ids(spark):
     assert messages(rules.duplicate_ids(df)) == [("content/duplicate-id", "a", "id a is also in p")] * 2 + [("content/duplicate-id", "b", "id b is also in p"), ("content/duplicate-id", "b", "id b is also in p, q"), ("content/duplicate-id", "b", "id b is also in q")]
 
 
+def test_duplicate_of_a_hot_id(spark):
+    """A message of bounded length, however many copies there are."""
+    rows = spark.range(3000).selectExpr("'hot' AS id", "concat('p', lpad(id % 1500, 4, '0')) AS path").union(spark.createDataFrame([("one", "p")], "id string, path string"))
+    got = rules.duplicate_ids(rows)
+    assert got.count() == 3000 and got.selectExpr("max(length(message))").first()[0] < 120
+    texts = {r["message"] for r in got.collect()}
+    ten = lambda skip: ", ".join([f"p{i // 2:04d}" for i in range(20) if i != skip][:10])
+    assert texts == {f"id hot is also in {ten(k)} and 2989 more" for k in (0, 2, 4, 6, 8, 10)} | {f"id hot is also in {ten(None)} and 2989 more"}
+    assert rules.duplicate_paths(rows).where("n = 2 AND copies = 3000").count() == 1500
+
+
 def test_unused(spark):
     """Types that link out, or are linked to, or have subtypes with entities, are used; named enums and records are if some field has them."""
     row = (Field("n", "number"),)
