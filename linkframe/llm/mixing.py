@@ -94,20 +94,20 @@ def flow(supplies: list[tuple[tuple[int, ...], int]], quotas: list[int], cap: in
             room[e ^ 1] += words_
 
 
-def mix(docs: DataFrame, members: Column, size: Column, weights, share: float = 1.5, cap: int = 2, seed: int = 0, key: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, members: Column, size: Column, weights, share: float = 1.5, cap: int = 2, seed: int = 0, key: str = "doc_id", tie: Column | None = None) -> DataFrame:
     """Add size, source_size, target, copies, taken and dealt to every document.
 
     ``members``: array of a document's sources (null is a source of its own; an empty or null array belongs to none
     and is not taken). ``weights``: from the number of sources, in code point order, null last, to their weights.
     ``share``: words to take, as a part of all words. No document is taken more than ``cap`` times. source_size and
-    target are those of the document's first source; dealt has of each copy the source whose quota it fills, and that source's target. Equal ids
-    draw equal lots and follow by size; identical rows are told apart by none of their results but copies. Columns that already have the
+    target are those of the document's first source; dealt has of each copy the source whose quota it fills, and that source's target. Rows with equal
+    id and ``tie`` (a hash of the text, say, so that rows without an id don't draw one lot) draw equal lots and follow by size; identical rows are told apart by none of their results but copies. Columns that already have the
     added names give way, all others keep theirs. A table without words takes nothing.
     """
     added = ("size", "source_size", "target", "copies", "taken", "dealt")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
     members = F.array_sort(F.array_distinct(F.coalesce(members.cast("array<string>"), F.array().cast("array<string>"))))
-    docs = docs.select(row.alias("row"), F.col(key).alias("id"), members.alias("members"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
+    docs = docs.select(row.alias("row"), F.col(key).alias("id"), (F.lit(0) if tie is None else tie).alias("tie"), members.alias("members"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
     docs = docs.withColumn("pattern", F.to_json("members", {"ignoreNullFields": "false"})).drop("members")
     found = docs.groupBy("pattern").agg(F.sum("size").alias("z")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
@@ -128,11 +128,11 @@ def mix(docs: DataFrame, members: Column, size: Column, weights, share: float =
     # to_json writes no blanks between items, json.dumps does: patterns meet as arrays
     plan = plan.withColumn("pattern", F.to_json(F.from_json("p", "array<string>"), {"ignoreNullFields": "false"})).drop("p")
     docs = docs.join(F.broadcast(plan), "pattern")  # MAX_PATTERNS rows at most
-    docs = docs.withColumn("lot", F.xxhash64(F.lit(seed), "id")).withColumn("bucket", F.shiftrightunsigned("lot", 64 - BUCKETS.bit_length() + 1).cast("int"))
+    docs = docs.withColumn("lot", F.xxhash64(F.lit(seed), "id", "tie")).withColumn("bucket", F.shiftrightunsigned("lot", 64 - BUCKETS.bit_length() + 1).cast("int"))
     sums = docs.groupBy("pattern", "bucket").agg(F.sum("size").alias("s"))
     before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("pattern", "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("pattern", "bucket").orderBy("lot", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("pattern", "bucket").orderBy("lot", "id", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.join(sums, ["pattern", "bucket"]).withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     middle = F.col("at") + F.col("size") / 2
     copies = sum(((middle + F.col("z") * c < F.col("w")).cast("int") for c in range(cap)), F.lit(0))
@@ -162,5 +162,5 @@ def by_turns(*weights: float):
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix of documents by ``source``: weights 3, 1, 2 in turn, 150 % of all words, twice at most. Only ids and sizes shuffle."""
-    slim = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("n"))
-    return mix(slim, F.array("source"), F.col("n"), by_turns(3, 1, 2)).select("doc_id", "size", "source_size", "target", "taken")
+    slim = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("n"), F.xxhash64("text").alias("text"))
+    return mix(slim, F.array("source"), F.col("n"), by_turns(3, 1, 2), tie=F.col("text")).select("doc_id", "size", "source_size", "target", "taken")

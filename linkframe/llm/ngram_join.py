@@ -385,11 +385,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def first_rows(docs: DataFrame) -> DataFrame:
-    """(rid): by row_hash(), the first row of each component, by doc_id (null last), then a hash of the text. Rows without shingles are in none."""
+    """(doc_id, rid): with its row_hash(), the first row of each component, by doc_id (null last), then a hash of the text. Rows without shingles are in none."""
     one, comp = labelled(docs)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     first = one.where("n_shingles > 0").groupBy("class").agg(F.min(place).alias("first"))
-    return first.join(comp, "class").groupBy("comp").agg(F.min("first").alias("first")).select("first.rid")
+    return first.join(comp, "class").groupBy("comp").agg(F.min("first").alias("first")).select("first.doc_id", "first.rid")
 
 
 def joined(docs: DataFrame) -> DataFrame:
