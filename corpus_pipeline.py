@@ -26,7 +26,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the row with the smallest doc_id (null last), then one by its text; blank texts are in no group and stay."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", ngram_join.row_hash().alias("rid"), (F.size(words(F.col("text"))) == 0).alias("blank"))
-    kept = rows.where("not blank").join(ngram_join.first_rows(docs), "rid", "left_semi").dropDuplicates(["doc_id", "rid"])
+    first = ngram_join.first_rows(docs).alias("first")
+    kept = rows.where("not blank").alias("rows").join(first, (F.col("rows.rid") == F.col("first.rid")) & F.col("rows.doc_id").cast("long").eqNullSafe(F.col("first.doc_id")), "left_semi").dropDuplicates(["doc_id", "rid"])
     return kept.select("row.*").union(rows.where("blank").select("row.*"))
 
 
@@ -38,7 +39,7 @@ def drop_repeated_sentences(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all (all those without words), once or twice. A null source is one of its own."""
     whole = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("n"), F.struct(*docs.columns).alias("row"))
-    taken = mixing.mix(whole, F.array("source"), F.col("n"), mixing.by_turns(3, 1, 2)).where("copies > 0")
+    taken = mixing.mix(whole, F.array("source"), F.col("n"), mixing.by_turns(3, 1, 2), tie=F.xxhash64("row.text")).where("copies > 0")
     return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
 
 
