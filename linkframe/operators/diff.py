@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import alignment
+from .closure import saved
 from .model import as_text
 from .text import blocks
 
@@ -105,11 +106,39 @@ def changed_fields(old: DataFrame, new: DataFrame, derived: tuple[str, ...] = ()
     return got.withColumn("derived", F.col("field").isin(*derived) if derived else F.lit(False))
 
 
+#: Ids are dealt into so many buckets to tell what hardly differs; those that differ are sent to every task, half a megabyte at most.
+BUCKETS = 1 << 16
+
+
+def differing(old: DataFrame, new: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Both sides without the buckets of ids in which all rows are the same: only what is left needs to meet.
+
+    A bucket's digest is made of its rows' (a count, and two 64-bit hashes of the rows, whatever their order), which combine before they shuffle. So what is shuffled is a row for each
+    bucket and task, and then what follows the changes. Columns that only one side has are null on the other.
+    """
+    names = sorted({*old.columns, *new.columns} - {key})
+
+    def digests(t: DataFrame, name: str) -> DataFrame:
+        cells = [F.col(n) if n in t.columns else F.lit(None) for n in (key, *names)]
+        row = [F.bit_xor(F.xxhash64(F.lit(seed), *cells)) for seed in (1, 2)]
+        return t.groupBy(_bucket(key).alias("__bucket")).agg(F.struct(F.count("*").alias("n"), *[h.alias(f"h{i}") for i, h in enumerate(row)]).alias(name))
+
+    wrong = digests(old, "a").join(digests(new, "b"), "__bucket", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("__bucket")
+    wrong = F.broadcast(saved(wrong))
+    return tuple(t.withColumn("__bucket", _bucket(key)).join(wrong, "__bucket", "left_semi").drop("__bucket") for t in (old, new))
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
 def diff(old: DataFrame, new: DataFrame, derived: tuple[str, ...] = (), scope: DataFrame | None = None) -> DataFrame:
     """(id, op, derived): added, removed, retyped or changed entities. derived: only calculated or selected values changed.
 
-    Both sides have ``id`` and ``type``. Where an entity's text is found doesn't matter. ``scope``: ids to look at.
+    Both sides have ``id`` and ``type``. Where an entity's text is found doesn't matter. ``scope``: ids to look at. Buckets of ids that are the same on
+    both sides never meet (``differing``).
     """
+    old, new = differing(old, new)
     ids = old.select("id", F.col("type").alias("a")).join(new.select("id", F.col("type").alias("b")), "id", "full")
     moved = ids.where(~F.col("a").eqNullSafe(F.col("b"))).select("id", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("retyped").alias("op"), F.lit(False).alias("derived"))
     same = ids.where("a = b").select("id")
@@ -134,7 +163,8 @@ def diff_files(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, op): other files by path. Text compares with CRLF as LF, other content by its hash. Input: path, content (binary)."""
     text = F.decode("content", "UTF-8")
     key = F.when(F.expr("is_valid_utf8(content)"), F.sha2(F.regexp_replace(text, "\r\n", "\n"), 256)).otherwise(F.sha2("content", 256))
-    side = lambda t, n: t.select("path", key.alias(n))
+    old, new = differing(*[t.select("path", key.alias("key")) for t in (old, new)], key="path")
+    side = lambda t, n: t.select("path", F.col("key").alias(n))
     got = side(old, "a").join(side(new, "b"), "path", "full").where(~F.col("a").eqNullSafe(F.col("b")))
     return got.select("path", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed").alias("op"))
 

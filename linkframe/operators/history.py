@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .closure import reachable
+from .diff import differing
 
 
 def row_text(fields: list[str]) -> Column:
@@ -56,7 +57,8 @@ def latest(found: DataFrame, key: str, value: str = "commit", by: str = "seq") -
 def dirty(snapshot: DataFrame, working: DataFrame) -> DataFrame:
     """(path, id, type, op): files that differ from the snapshot (line ends aside), with the entities in them. Input: path, id, type, text."""
     key = F.sha2(F.regexp_replace("text", "\r\n", "\n"), 256)
-    side = lambda t, n: t.select("path", "id", F.col("type").alias(f"{n}_type"), key.alias(n))
+    snapshot, working = differing(*[t.select("path", "id", "type", key.alias("key")) for t in (snapshot, working)], key="path")
+    side = lambda t, n: t.select("path", "id", F.col("type").alias(f"{n}_type"), F.col("key").alias(n))
     got = side(snapshot, "a").join(side(working, "b"), ["path", "id"], "full").where(~F.col("a").eqNullSafe(F.col("b")))
     op = F.when(F.col("a").isNull(), "untracked").when(F.col("b").isNull(), "deleted").otherwise("changed")
     return got.select("path", "id", F.coalesce("b_type", "a_type").alias("type"), op.alias("op"))

@@ -5,6 +5,9 @@ All functions take a DataFrame with ``id`` and ``text``. Windows are partitioned
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,30 +26,46 @@ IMAGE = r"!\[[^\]]*\]\(([^()\s]+)[^()]*\)"
 MODES = ("full", "number", "title", "long")
 
 
+LINE = "array<struct<s:string,edge:string,lang:string,fenced:boolean>>"
+#: White space as the patterns above mean it.
+BLANKS = " \t\n\x0b\f\r"
+MARK = re.compile(rf"[{BLANKS}]{{0,3}}(?:(```)`*|(~~~)~*)[{BLANKS}]*([^{BLANKS}`]*)")
+
+
+def _with_fences(text: str) -> list[tuple[str, str | None, str | None, bool]]:
+    """(s, edge, lang, fenced) of each line, in one pass."""
+    out, inside = [], ""
+    for s in text.split("\n"):
+        found = MARK.match(s)
+        mark = (found[1] or found[2]) if found else ""
+        if mark and not inside:
+            inside = mark
+            out.append((s, "open", found[3], True))
+        elif mark and mark == inside:
+            inside = ""
+            out.append((s, "close", "", True))
+        else:
+            out.append((s, None, None, bool(inside)))
+    return out
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """id, line (from 1), s, and whether the line is inside a fence (its markers too).
 
-    A fence closes at a line that starts with the marker that opened it; the other marker inside it is text.
+    A fence closes at a line that starts with the marker that opened it; the other marker inside it is text. A text is split where it is
+    read: nothing is shuffled, and only texts with a marker leave the JVM.
     """
-    found = docs.select("id", F.posexplode(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n", "\n"), "\n")).alias("pos", "s"))
-    mark = F.regexp_extract("s", FENCE, 1)
-    # which fence is open after each line: a fold over the text's fence lines alone
-    fences = found.where(mark != "").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", mark.alias("m"), F.regexp_extract("s", r"^\s{0,3}(?:```+|~~~+)\s*([^\s`]*)", 1).alias("lang")))).alias("f"))
-    start = F.struct(F.lit("").alias("open"), F.array().cast("array<struct<pos:int,m:string,lang:string>>").alias("out"))
-    fold = F.aggregate(
-        "f",
-        start,
-        lambda a, x: F.when(a["open"] == "", F.struct(x["m"].alias("open"), F.concat(a["out"], F.array(F.struct(x["pos"].alias("pos"), F.lit("open").alias("m"), x["lang"].alias("lang")))).alias("out")))
-        .when(a["open"] == x["m"], F.struct(F.lit("").alias("open"), F.concat(a["out"], F.array(F.struct(x["pos"].alias("pos"), F.lit("close").alias("m"), F.lit("").alias("lang")))).alias("out")))
-        .otherwise(a),
-        lambda a: a["out"],
-    )
-    edges = fences.select("id", F.explode(fold).alias("e")).select("id", F.col("e.pos").alias("pos"), F.col("e.m").alias("edge"), F.col("e.lang").alias("lang"))
-    wide = found.join(edges, ["id", "pos"], "left")
-    w = Window.partitionBy("id").orderBy("pos")
-    opened = F.sum(F.when(F.col("edge") == "open", 1).otherwise(0)).over(w)
-    closed = F.sum(F.when(F.col("edge") == "close", 1).otherwise(0)).over(w)
-    return wide.select("id", (F.col("pos") + 1).alias("line"), "s", "edge", "lang", ((opened > closed) | (F.coalesce("edge", F.lit("")) == "close")).alias("fenced"))
+
+    @F.pandas_udf(LINE)
+    def fenced(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [dict(zip(("s", "edge", "lang", "fenced"), x, strict=True)) for x in _with_fences(t)])
+
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n", "\n")
+    marked = text.contains("```") | text.contains("~~~")
+    none = F.lit(None).cast("string")
+    plain = F.transform(F.split(text, "\n"), lambda s: F.struct(s.alias("s"), none.alias("edge"), none.alias("lang"), F.lit(False).alias("fenced")))
+    every = F.when(marked, fenced(F.when(marked, text))).otherwise(plain)
+    return docs.select("id", F.posexplode(every).alias("pos", "x")).select("id", (F.col("pos") + 1).alias("line"), "x.*")
 
 
 def code_blocks(docs: DataFrame) -> DataFrame:

@@ -209,6 +209,16 @@ def test_entity_diff(spark):
     assert rows == [(0, "check", "see", "look"), (1, "action", None, "more")]
 
 
+def test_same_buckets_never_meet(spark):
+    """Of 100,000 entities with few changes some dozens meet; what differs is found all the same."""
+    old = spark.range(100_000).selectExpr("concat('E', id) AS id", "'T' AS type", "id * 2 AS n", "array(id, id) AS l")
+    new = old.where("id <> 'E7'").selectExpr("id", "type", "CASE WHEN id = 'E99' THEN NULL ELSE n END AS n", "l").union(spark.createDataFrame([("new", "T", 1, [2])], "id string, type string, n long, l array<bigint>"))
+    a, b = d.differing(old, new)
+    assert 2 <= a.count() < 30 and 2 <= b.count() < 30
+    assert {(r["id"], r["op"]) for r in d.diff(old, new).collect()} == {("E7", "removed"), ("E99", "changed"), ("new", "added")}
+    assert d.diff(old, old).isEmpty() and d.differing(old, old)[0].isEmpty()
+
+
 def test_files(spark):
     side = lambda *x: spark.createDataFrame([(p, c) for p, c in x], "path string, content binary")
     got = d.diff_files(side(("a", b"x\r\ny"), ("b", b"\xff\r\n"), ("c", b"1")), side(("a", b"x\ny"), ("b", b"\xff\n"), ("d", b"1")))
