@@ -80,7 +80,7 @@ def _sums(count: np.ndarray, terms) -> np.ndarray:
         if b == a + 1 and n[0] > LANES:  # one long row
             for i in range(0, int(n[0]), LANES):
                 k = np.arange(i, min(i + LANES, int(n[0])))
-                out[a] += terms(np.full(len(k), a), k).sum(dtype=np.uint64)
+                out[a : a + 1] += terms(np.full(len(k), a), k).sum(dtype=np.uint64)
         else:
             row = np.repeat(np.arange(a, b), n)
             first = np.cumsum(n) - n
