@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,9 +106,15 @@ def resolve(edges: DataFrame, entities: DataFrame) -> DataFrame:
     return edges.join(entities.select(F.col("id").alias("dst"), F.col("type").alias("target_type")), "dst", "left")
 
 
-def collect_facet(facet: DataFrame) -> DataFrame:
-    """(id, sources): a facet as one sorted array per entity, for display."""
-    return facet.groupBy("id").agg(F.array_sort(F.collect_set("src")).alias("sources"))
+def collect_facet(facet: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, sources, n): a facet as one sorted array per entity, for display, and how many sources there are. With ``most`` no more than so many are
+    gathered, the first by id, however many link to a hot entity; the facet itself has all as rows."""
+    if most is None:
+        return facet.groupBy("id").agg(F.array_sort(F.collect_set("src")).alias("sources"), F.count_distinct("src").alias("n"))
+    facet = facet.distinct()
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("src"))  # Spark keeps the first few of each task before they meet
+    few = facet.withColumn("nth", nth).where(F.col("nth") <= most).groupBy("id").agg(F.array_sort(F.collect_list("src")).alias("sources"))
+    return few.join(facet.groupBy("id").agg(F.count("*").alias("n")), "id")
 
 
 def rows(table: DataFrame, within: str) -> DataFrame:

@@ -32,11 +32,11 @@ def write_summary(violations: DataFrame, path: str) -> None:
     summarise(violations).write.mode("overwrite").parquet(path)
 
 
-def type_listing(model: Model, etype: str, facets: tuple[str, ...] = ()) -> DataFrame:
-    """All entities of a type: one column per field, and one per facet with the linking entities in order of id."""
+def type_listing(model: Model, etype: str, facets: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """All entities of a type: one column per field, and one per facet with the linking entities in order of id: all of them, or the first ``most``."""
     out = model.table(etype)
     for f in facets:
-        got = collect_facet(model.facet(f)).withColumnRenamed("sources", f)
+        got = collect_facet(model.facet(f), most).select("id", F.col("sources").alias(f))
         out = out.join(got, "id", "left").withColumn(f, F.coalesce(f, F.array().cast("array<string>")))
     return out
 

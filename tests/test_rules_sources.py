@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from linkframe import sinks
 from linkframe.operators import history, selections
 from linkframe.operators.cond import all_of, any_of, field, some_linked, some_of, some_row
-from linkframe.operators.model import Model
+from linkframe.operators.model import Model, collect_facet
 from linkframe.plans import rules
 from linkframe.registry import EntityType, Field, Registry
 from linkframe.sources import delimited as s
@@ -307,3 +307,10 @@ def test_registry():
         Field("x", "money")
     assert WIDGET.concrete("Base") == ["Widget"] and WIDGET.prefix("Widget") == "WID"
     assert json.loads(WIDGET.struct("Widget").json())["fields"][0]["name"] == "id"
+
+
+def test_facet_of_a_hot_entity(spark):
+    facet = spark.range(5000).selectExpr("'hot' AS id", "concat('S', lpad(id % 4000, 4, '0')) AS src").union(spark.createDataFrame([("cold", "S1"), ("cold", "S1")], "id string, src string"))
+    got = {r["id"]: (r["sources"], r["n"]) for r in collect_facet(facet, 3).collect()}
+    assert got == {"hot": (["S0000", "S0001", "S0002"], 4000), "cold": (["S1"], 1)}
+    assert {r["id"]: (len(r["sources"]), r["n"]) for r in collect_facet(facet).collect()} == {"hot": (4000, 4000), "cold": (1, 1)}
