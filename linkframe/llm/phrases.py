@@ -36,7 +36,7 @@ SCALE = 2_000_000
 #: An array has a bit for so many words of the table, but never more than ``FILTER_BITS``; a phrase has ``PLACES`` places in it.
 WORDS_A_BIT, FILTER_BITS, PLACES = 8, 1 << 28, 2
 #: Words that a task looks at at once, and finds that it holds before it adds them up.
-STEP, HELD = 1 << 17, 1 << 18
+STEP, HELD = 1 << 17, 1 << 20
 #: What is frequent is first looked for in one document in so many; only what isn't there in all others.
 FIRST_LOOK = 8
 BREAK = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
@@ -96,9 +96,9 @@ def totals(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for part in pieces(batches):
-            *_, text, _, langs = word_ids(part)
+            *_, text = words_in(part.column("text"))
             total: dict[str, int] = {}
-            for lang, n in zip(langs, np.bincount(text, minlength=part.num_rows).tolist(), strict=True):
+            for lang, n in zip(part.column("lang").to_pylist(), np.bincount(text, minlength=part.num_rows).tolist(), strict=True):
                 total[lang] = total.get(lang, 0) + n
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["lang", "n"])
 
