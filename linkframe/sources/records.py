@@ -125,6 +125,8 @@ def cells(text: Column, delimiter: str) -> Column:
 
     @F.pandas_udf("array<string>")
     def parsed(texts: pd.Series) -> pd.Series:
+        csv.field_size_limit(1 << 31)  # a cell may be as long as its record
+
         def one(t):
             if t is None:
                 return None
@@ -146,7 +148,6 @@ def records(spark: SparkSession, path: str, delimiter: str = ",") -> tuple[DataF
 
     A line ends at a line feed; a carriage return before it goes, at a record's end. A byte order mark goes.
     """
-    csv.field_size_limit(1 << 30)
     lines = _lines(spark, path)
     blocks = saved(_blocks(lines))
     upto = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

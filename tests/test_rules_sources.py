@@ -173,9 +173,9 @@ def test_records_across_blocks(spark, tmp_path):
 
 def test_lines_of_problems(spark, tmp_path):
     reg = Registry(EntityType("Item", (Field("title"),)))
-    (tmp_path / "a.csv").write_text('id,title\nA,"x\ny"\nB\n,none\nC,"a"b\nD,d\nE,"never\nends\n')
+    (tmp_path / "a.csv").write_text('id,title\nA,"x\ny"\nB\n,none\nC,"a"b\nD,"' + "long, " * 50_000 + '"\nE,"never\nends\n')
     rows, problems = s.read_entities(spark, str(tmp_path), reg, "Item")
-    assert sorted((r["id"], r["title"], r["line"]) for r in rows.collect()) == [("A", "x\ny", 2), ("D", "d", 7)]
+    assert sorted((r["id"], r["title"], r["line"]) for r in rows.collect()) == [("A", "x\ny", 2), ("D", "long, " * 50_000, 7)]
     assert sorted((r["line"], r["message"]) for r in problems.collect()) == [(4, "the row has the wrong number of cells"), (5, "the row has no id"), (6, "a quote is out of place"), (8, "a quoted cell doesn't end")]
 
 
