@@ -15,11 +15,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, words
+from .common import SHINGLE, removed, words, written
 
 K = 256
 #: Bytes of text in a range of documents.
 RANGE_BYTES = 8 << 20
+#: Ranges at most; beyond 8 TB of text they grow instead (to some 100 MB at 100 TB).
+MOST_RANGES = 1 << 20
 
 
 def with_sketch(df: DataFrame, text: str, out: str, k: int = K, width: int = SHINGLE) -> DataFrame:
@@ -65,7 +67,7 @@ def merged(df: DataFrame, key: str, sketch: str, k: int = K, fan: int = 32) -> D
 
     Null keys form one group; null sketches count as empty.
     """
-    step = df.select(F.col(key).alias("key"), F.coalesce(F.col(sketch), F.array().cast("array<bigint>")).alias("sketch")).distinct().checkpoint()
+    step = written(df.select(F.col(key).alias("key"), F.coalesce(F.col(sketch), F.array().cast("array<bigint>")).alias("sketch")).distinct(), "sketches")
     rows, keys = step.count(), step.select("key").distinct().count()
     salts = 1
     while rows > keys * salts * fan:
@@ -73,10 +75,10 @@ def merged(df: DataFrame, key: str, sketch: str, k: int = K, fan: int = 32) -> D
     while True:
         group = F.pmod(F.xxhash64("sketch"), F.lit(salts)) if salts > 1 else F.lit(0)
         ordered = Window.partitionBy("key", "salt").orderBy(F.size("sketch").desc())
-        step = step.withColumn("salt", group)
-        step = step.withColumn("block", F.floor((F.row_number().over(ordered) - 1) / fan))
+        dealt = step.withColumn("salt", group).withColumn("block", F.floor((F.row_number().over(ordered) - 1) / fan))
         flat = F.flatten(F.collect_list("sketch"))
-        step = step.groupBy("key", "salt", "block").agg(F.slice(F.sort_array(F.array_distinct(flat)), 1, k).alias("sketch")).drop("salt", "block").checkpoint()
+        before, step = step, written(dealt.groupBy("key", "salt", "block").agg(F.slice(F.sort_array(F.array_distinct(flat)), 1, k).alias("sketch")).drop("salt", "block"), "sketches")
+        removed(before)
         if step.count() == keys:
             return step.select(F.col("key").alias(key), F.col("sketch").alias(sketch))
         salts = max(1, salts // fan)
@@ -99,28 +101,39 @@ def in_ranges(df: DataFrame, order: str, carry: str, parts: int) -> DataFrame:
     Each range also gets a guest: the first row of the range after it (of the last one, the first of all). Equal values
     of ``order`` follow by a hash of ``carry``; null comes last. A value that many rows have is dealt on by that hash, and of its equal
     rows, which follow each other, one stands for all: __copies says how many more there are.
+
+    At most MOST_RANGES ranges, cut in two steps: the root of their number in the plan, then as many in each of these, in a table. So what
+    is broadcast (cuts, frequent values, first rows) is bounded by a few times MOST_RANGES numbers, and the driver sees the first cuts alone.
     """
+    parts = max(1, min(parts, MOST_RANGES))
     columns = df.columns
     df = df.withColumn("__at", F.coalesce(F.col(order).cast("long"), F.lit(-(2**63)))).withColumn("__copies", F.lit(0).cast("long"))
     most = max(1000, df.count() // parts)
-    many = {r["__at"]: r["n"] for r in df.groupBy("__at").agg(F.count("*").alias("n")).where(F.col("n") > most).collect()}  # fewer than ``parts``
-    if many:
-        hot = F.col("__at").isin(*many)
-        one = df.where(hot).groupBy(*columns, "__at").agg((F.count("*") - 1).alias("__copies"))
-        df = df.where(~hot).unionByName(one)
-    cuts = df.agg(F.percentile_approx("__at", [i / parts for i in range(1, parts)], 100_000)).first()[0] or []
-    df = df.withColumn("__h", F.xxhash64(carry))
-    fine = F.lit(0)
-    for v, n in many.items():  # as many equal ranges of the hash; lower ones come first, so they have higher numbers
-        m = min(1 << 20, 1 + n // most)
-        fine = F.when(F.col("__at") == v, m - 1 - F.least(F.lit(m - 1), F.floor((F.col("__h").cast("double") + 2.0**63) * m / 2.0**64).cast("int"))).otherwise(fine)
-    alone = {x for v in many for x in (v - 1, v) if x >= -(2**63)}
-    df = df.withColumn("__part", below(sorted({*cuts, *alone}), F.col("__at")).cast("long") * (1 << 20) + fine)
-    tops = [(r["__part"], *r["top"]) for r in df.groupBy("__part").agg(F.max(F.struct("__at", F.bitwise_not("__h").alias("x"))).alias("top")).collect()]
-    tops.sort()
-    hosts = [(at, x, tops[(i + 1) % len(tops)][0]) for i, (_, at, x) in enumerate(tops)]
-    hosts = df.sparkSession.createDataFrame(hosts, "__at long, __x long, __host long")  # one row per range
-    df = df.withColumn("__x", F.bitwise_not("__h")).join(F.broadcast(hosts), ["__at", "__x"], "left")
+    hot = written(df.groupBy("__at").agg(F.count("*").alias("__n")).where(F.col("__n") > most), "hot")  # fewer than ``parts`` rows
+    if hot.isEmpty():
+        df = df.withColumn("__n", F.lit(None).cast("long"))
+    else:
+        df = df.join(F.broadcast(hot), "__at", "left")
+        one = df.where("__n is not null").groupBy(*columns, "__at", "__n").agg((F.count("*") - 1).alias("__copies"))
+        df = df.where("__n is null").unionByName(one)
+    wide = math.isqrt(parts - 1) + 1
+    evenly = [i / wide for i in range(1, wide)]
+    coarse = df.agg(F.percentile_approx("__at", evenly, 10_000)).first()[0] if evenly else None
+    df = df.withColumn("__coarse", below(sorted({*(coarse or [])}), F.col("__at")).cast("long"))
+    inner = F.percentile_approx("__at", evenly, 10_000) if evenly else F.array().cast("array<bigint>")
+    fine = df.groupBy("__coarse").agg(inner.alias("cuts"), F.collect_set(F.when(F.col("__n").isNotNull(), F.col("__at"))).alias("alone"))
+    lower = F.transform(F.filter("alone", lambda v: v > -(2**63)), lambda v: v - 1)
+    fine = written(fine.select("__coarse", F.sort_array(F.array_distinct(F.concat("cuts", "alone", lower))).alias("__cuts")), "cuts")
+    df = df.join(F.broadcast(fine), "__coarse").withColumn("__h", F.xxhash64(carry))
+    # as many equal ranges of the hash as a frequent value needs; lower ones come first, so they have higher numbers
+    m = F.least(F.lit(1 << 20), 1 + F.floor(F.col("__n") / most))
+    dealt = F.when(F.col("__n").isNull(), 0).otherwise(m - 1 - F.least(m - 1, F.floor((F.col("__h").cast("double") + 2.0**63) * m / 2.0**64)))
+    place = F.size(F.filter("__cuts", lambda c: c < F.col("__at"))).cast("long")
+    df = df.withColumn("__part", (F.col("__coarse") * (1 << 22) + place) * (1 << 20) + dealt).withColumn("__x", F.bitwise_not("__h"))
+    tops = df.groupBy("__part").agg(F.max(F.struct("__at", "__x")).alias("top")).agg(F.sort_array(F.collect_list(F.struct("__part", "top"))).alias("t"))
+    after = F.concat(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", 1, 1))
+    hosts = tops.select(F.inline(F.arrays_zip(F.col("t").alias("this"), after.alias("host")))).select("this.top.*", F.col("host.__part").alias("__host"))
+    df = df.join(F.broadcast(hosts), ["__at", "__x"], "left")  # one row per range
     home = F.struct(F.col("__part").alias("part"), F.lit(0).alias("guest"))
     guest = F.struct(F.col("__host").alias("part"), F.lit(1).alias("guest"))
     df = df.withColumn("__home", F.explode(F.when(F.col("__host").isNull(), F.array(home)).otherwise(F.array(home, guest))))
