@@ -17,6 +17,8 @@ from .common import longer, pieces
 
 #: Documents that the scorer is trained on: about so many, drawn by a hash of doc_id and text, equal rows once. Everything else covers all rows.
 TRAIN_ROWS = 6000
+#: Features that these texts may have together, counted as a text's bytes or DIMS, whichever is less; beyond it the last drawn are left out of the training.
+TRAIN_FEATURES = 32 << 20
 DIMS = 1 << 15
 SCALE = 30.0
 GOOD, BAD, NONE = "1", "0", "-"
@@ -145,9 +147,9 @@ def train(rows: list, posterior: dict[str, float], rounds: int = 80, rate: float
     if not rows:
         return w
     places = [np.concatenate([np.frombuffer(r["at"], np.int32), vote_features(r["v"]), [len(w) - 1]]) for r in rows]
-    values = np.concatenate([np.concatenate([np.frombuffer(r["n"], np.float32), np.full(LABELLERS, 0.5), [1.0]]) for r in rows])
+    values = np.concatenate([np.concatenate([np.frombuffer(r["n"], np.float32), np.full(LABELLERS, 0.5, np.float32), np.ones(1, np.float32)]) for r in rows])
     size = np.array([len(p) for p in places])
-    at, row = np.concatenate(places).astype(np.int64), np.repeat(np.arange(len(rows)), size)
+    at, row = np.concatenate(places).astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), size)
     goal = np.array([posterior[r["v"]] for r in rows])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, values * w[at], len(rows)), -30, 30)))
@@ -157,19 +159,34 @@ def train(rows: list, posterior: dict[str, float], rounds: int = 80, rate: float
     return w
 
 
-def scored(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def drawn(docs: DataFrame, share: float, most: int) -> DataFrame:
+    """(text) of a share of the documents, drawn by a hash of doc_id and text, equal rows once; in the order of that hash as many as have ``most`` features together, one at least.
+
+    The driver sees a hash and a size of each drawn row.
+    """
+    lots = docs.select("text", F.xxhash64("doc_id", "text").alias("lot")).where((F.col("lot").cast("double") + 2.0**63) <= share * 2.0**64)
+    size = F.least(F.lit(DIMS), F.octet_length(F.coalesce("text", F.lit(""))))
+    last, left = None, most
+    for lot, n in sorted((r["lot"], r["n"]) for r in lots.groupBy("lot").agg(F.max(size).alias("n")).collect()):
+        left -= n
+        if left < 0 and last is not None:
+            lots = lots.where(F.col("lot") <= last)
+            break
+        last = lot
+    return lots.groupBy("lot").agg(F.first("text").alias("text")).select("text")  # rows of one lot are equal
+
+
+def scored(docs: DataFrame, train_rows: int = TRAIN_ROWS, train_features: int = TRAIN_FEATURES) -> DataFrame:
     """Add votes, posterior and score (0 to 1) to every document.
 
     Null text counts as empty; repeated rows get equal results; columns that already have these names
-    give way. An empty table stays empty. What reaches the driver is bounded: vote patterns and ``train_rows`` feature lists.
+    give way. An empty table stays empty. What reaches the driver is bounded: vote patterns and about ``train_rows`` feature lists, at most ``train_features`` long together.
     """
     docs = docs.drop("votes", "posterior", "score")
     patterns = {r["votes"]: r["n"] for r in voted(docs).groupBy("votes").agg(F.count("*").alias("n")).collect()}
     posterior, _, _ = expectation(patterns)
     share = min(1.0, train_rows / max(1, sum(patterns.values())))
-    lots = docs.select("text", F.xxhash64("doc_id", "text").alias("lot")).where((F.col("lot").cast("double") + 2.0**63) <= share * 2.0**64)
-    drawn = lots.groupBy("lot").agg(F.first("text").alias("text")).select("text")  # rows of one lot are equal
-    w = train(sample_features(drawn).collect(), posterior)
+    w = train(sample_features(drawn(docs, share, train_features)).collect(), posterior)
     trained, extra = w[:DIMS].astype(np.float32), w[DIMS:]
     schema = longer(docs.schema, "votes string, posterior double, score double")
 

@@ -398,6 +398,22 @@ def test_plain_scorer(spark):
         assert got[i]["posterior"] == pytest.approx(posterior[v]) and got[i]["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=2e-3), i
 
 
+def test_sample_of_long_texts(spark):
+    """The sample of training texts is bounded in features too: the first by hash stay, one at least; a null text has none, equal rows count once."""
+    rows = [(i, "ab cd " * (50 + i)) for i in range(40)] + [(7, "ab cd " * 57)] * 3 + [(100, None), (None, "x" * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = {r["h"]: r["text"] for r in df.select("text", F.xxhash64("doc_id", "text").alias("h")).collect()}
+    for most in (0, 1000, 5000, 60_000, 10**6):
+        want, left = [], most
+        for _, t in sorted(order.items()):
+            left -= min(quality.DIMS, len(t or ""))
+            if left < 0 and want:
+                break
+            want.append(t or "")
+        assert sorted(r["text"] or "" for r in quality.drawn(df, 1.0, most).collect()) == sorted(want), most
+    assert quality.drawn(df.limit(0), 1.0, 10).isEmpty()
+
+
 def test_expectation():
     """Labels drawn from known accuracies: posteriors find the classes again."""
     r = random.Random(8)
