@@ -103,7 +103,7 @@ def in_ranges(df: DataFrame, order: str, carry: str, parts: int) -> DataFrame:
     rows, which follow each other, one stands for all: __copies says how many more there are.
 
     At most MOST_RANGES ranges, cut in two steps: the root of their number in the plan, then as many in each of these, in a table. So what
-    is broadcast (cuts, frequent values, first rows) is bounded by a few times MOST_RANGES numbers, and the driver sees the first cuts alone.
+    is broadcast, by way of the driver (cuts, frequent values, first rows), is bounded by a few times MOST_RANGES numbers; Python holds the first cuts alone.
     """
     parts = max(1, min(parts, MOST_RANGES))
     columns = df.columns
