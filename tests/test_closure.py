@@ -87,3 +87,27 @@ def test_rounds_follow_the_logarithm(spark, monkeypatch):
     ring = spark.range(10 * n).selectExpr("id AS src", f"(id * 1 + 1) % {10 * n} AS dst")
     found = c.cycles(ring)
     assert found.count() == 10 * n and [r[0] for r in found.select("cycle").distinct().collect()] == [0] and len(made) < 60
+
+
+def test_saved_tables_have_their_own_size(spark, capsys):
+    """Joins in rounds don't multiply what Spark takes a table's size for."""
+    now = spark.range(10).selectExpr("id", "id AS to")
+    for _ in range(8):
+        now = c.saved(now.join(now.selectExpr("id AS to", "to AS further"), "to").selectExpr("id", "further AS to"))
+    now.explain("cost")
+    assert "E+" not in capsys.readouterr().out
+
+
+def test_short_rings_and_trees_take_few_rounds(spark, monkeypatch, capsys):
+    """Rings of two and a tree of halves: rounds follow neither the number of rings nor the levels of the tree, and no table goes by way of the driver."""
+    made, real = [], c.saved
+    monkeypatch.setattr(c, "saved", lambda df: made.append(df.explain()) or real(df))
+    rings = spark.range(4000).selectExpr("id", "id + 1 - 2 * (id % 2) AS to")
+    got = c.jumped(rings).collect()
+    assert all(r["to"] is None and r["low"] == r["id"] // 2 * 2 for r in got) and len(got) == 4000 and len(made) < 5
+    made.clear()
+    tree = spark.range(1, 4000).selectExpr("id AS src", "id DIV 2 AS dst")
+    assert sorted(r["node"] for r in c.reachable(tree, spark.createDataFrame([(3999,)], "id long")).collect()) == sorted(3999 >> k for k in range(13)) and len(made) < 12
+    made.clear()
+    assert c.on_cycle(tree).isEmpty() and len(made) < 40
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
