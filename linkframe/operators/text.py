@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .closure import saved
+from .closure import meet, saved
 
 FENCE = r"^\s{0,3}(```|~~~)"
 HEADING = r"^\s{0,3}(#{1,6})(\s|$)"
@@ -216,7 +216,7 @@ def number_items(items: DataFrame) -> DataFrame:
         out = saved(out)
         above = out.select(F.col("page").alias("__page"), F.col("item").alias("__item"), F.col("label").alias("__label"), F.col("__up").alias("__next"))
         open_ = (F.col("depth") > 1) & (F.col("__up").isNotNull() | F.col("parent").isNull())
-        out = out.join(above, (F.col("page") == F.col("__page")) & (F.col("__up") == F.col("__item")), "left")
+        out = meet(out, above, (F.col("page") == F.col("__page")) & (F.col("__up") == F.col("__item")), "left")
         out = out.withColumn("label", F.when(open_, F.concat("__label", "label")).otherwise(F.col("label"))).withColumn("__up", F.col("__next")).drop("__page", "__item", "__label", "__next")
     return out.drop("__up")
 
