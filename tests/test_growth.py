@@ -27,3 +27,14 @@ def test_derivations_meet_without_broadcast(spark, monkeypatch, capsys):
     queries.QUERIES["q03_derive"](spark, DIR)
     plans = [p for p in capsys.readouterr().out.split("== Physical Plan ==") if "parent" in p or "p_partkey" in p]
     assert plans and not [p for p in plans if "Inner BuildRight" in p or "Inner, BuildRight" in p or "Inner, BuildLeft" in p]
+
+
+def test_counts_of_selections_need_no_pairs(spark, monkeypatch):
+    """What the selections give, counted, for each order test; with equal values, null ones, targets and specs that are there twice."""
+    monkeypatch.setattr(selections, "RANGES", 4)
+    holders = spark.createDataFrame([(f"h{i}", f"s{i}") for i in range(9)] + [("h9", "none")], "holder string, spec string")
+    specs = spark.createDataFrame([(f"s{i}", float(i * 3 % 10)) for i in range(8)] + [("s1", 8.0), ("s8", None)], "spec string, p0 double")
+    targets = spark.createDataFrame([(f"t{i % 17}", float(i % 10)) for i in range(20)] + [("t99", None)], "id string, v double")
+    for op in selections.ORDERED:
+        want = selections.materialise_shape(holders, specs, targets, selections.Shape(tests=(("v", op),))).groupBy("holder").agg(F.count("*").alias("n"), F.min("result").alias("first"))
+        assert sorted(map(tuple, selections.summarise_shape(holders, specs, targets, ("v", op)).collect())) == sorted(map(tuple, want.collect()))
