@@ -1,9 +1,11 @@
 """Tables that grow don't go by way of the driver, and files keep one header each."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from linkframe import cases, queries  # noqa: F401
-from linkframe.operators import selections
+from linkframe.operators import alignment, selections
 from linkframe.plans.retail import Retail
 
 DIR = "/root/testdata/sf0.001"
@@ -38,3 +40,23 @@ def test_counts_of_selections_need_no_pairs(spark, monkeypatch):
     for op in selections.ORDERED:
         want = selections.materialise_shape(holders, specs, targets, selections.Shape(tests=(("v", op),))).groupBy("holder").agg(F.count("*").alias("n"), F.min("result").alias("first"))
         assert sorted(map(tuple, selections.summarise_shape(holders, specs, targets, ("v", op)).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_long_runs_that_are_all_alike(monkeypatch):
+    """Every block is like every other: the chain is found without looking at all pairs, and in any case is a longest one."""
+    r, real, calls = random.Random(1), alignment.alike, []
+    for rare in (0, 2, 5, 100):
+        monkeypatch.setattr(alignment, "RARE", rare)
+        for _ in range(40):
+            block = lambda: " ".join(r.choices("abcdefgh", k=r.randrange(6))) if r.random() < 0.9 else "```x" + r.choice("ab")
+            old, new = [[block() for _ in range(r.randrange(1, 12))] for _ in range(2)]
+            pairs = [(i, j) for i, x in enumerate(old) for j, y in enumerate(new) if real(x, y)]
+            masks = alignment._masks(old, new)
+            assert [(i, j) for i in range(len(old)) for j in range(len(new)) if masks[i] >> j & 1] == pairs
+            chain = alignment.longest(masks, len(new))
+            assert set(chain) <= set(pairs) and len(chain) == len(alignment.rising(pairs)) and all(a < b and x < y for (a, x), (b, y) in zip(chain, chain[1:], strict=False))
+    monkeypatch.setattr(alignment, "RARE", 16)
+    monkeypatch.setattr(alignment, "alike", lambda a, b: calls.append(1) or real(a, b))
+    old = [f"Customer CUS-{i} called Customer#{i:09d} lived here" for i in range(1500)]
+    got = alignment.compared(old, ["Nothing like what was there", *[x.replace("lived", "lives") for x in old]])
+    assert [x[0] for x in got].count("changed") == 1500 and len(calls) < 20_000
