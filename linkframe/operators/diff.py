@@ -51,13 +51,20 @@ def diff_fields(old: DataFrame, new: DataFrame, fields: list[str] | None = None)
     return both.select("id", F.explode(_differing(cells)).alias("x")).select("id", "x.*")
 
 
+def sliced(batches, rows: int = 128):
+    """Batches in pieces of a few rows, so that what Python holds of them doesn't follow a batch's 10,000 texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _multisets(pairs: DataFrame) -> DataFrame:
     """Of each row's arrays of texts a and b: what both have, a alone and b alone, as multisets in order (null last), in place of a and b."""
     keep = [f for f in pairs.schema.fields if f.name not in ("a", "b")]
     kind = pa.list_(pa.string())
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             parts = ([], [], [])
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
                 x, y = Counter(a), Counter(b)

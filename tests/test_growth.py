@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from linkframe import cases, queries  # noqa: F401
-from linkframe.operators import alignment, selections
+from linkframe.operators import alignment, diff, selections
 from linkframe.plans.retail import Retail
 
 DIR = "/root/testdata/sf0.001"
@@ -60,3 +61,12 @@ def test_long_runs_that_are_all_alike(monkeypatch):
     old = [f"Customer CUS-{i} called Customer#{i:09d} lived here" for i in range(1500)]
     got = alignment.compared(old, ["Nothing like what was there", *[x.replace("lived", "lives") for x in old]])
     assert [x[0] for x in got].count("changed") == 1500 and len(calls) < 20_000
+
+
+def test_words_are_counted_in_small_pieces(spark):
+    """A task that gets many texts at once never has them all as Python objects."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], ["x"])
+    got = list(diff.sliced([batch]))
+    assert max(b.num_rows for b in got) <= 128 and pa.Table.from_batches(got)["x"].to_pylist() == list(range(1000))
+    pair = spark.range(1000).selectExpr("CAST(id AS string) AS id", "'a b c' AS old", "'c b d d' AS new").coalesce(1)
+    assert {(tuple(r["kept"]), tuple(r["removed"]), tuple(r["added"])) for r in diff.diff_words(pair).collect()} == {(("b", "c"), ("a",), ("d", "d"))}
