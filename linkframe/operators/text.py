@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +27,8 @@ MODES = ("full", "number", "title", "long")
 
 
 LINE = "array<struct<s:string,edge:string,lang:string,fenced:boolean>>"
+#: Texts whose lines are Python objects at one time.
+PIECE = 128
 #: White space as the patterns above mean it.
 BLANKS = " \t\n\x0b\f\r"
 MARK = re.compile(rf"[{BLANKS}]{{0,3}}(?:(```)`*|(~~~)~*)[{BLANKS}]*([^{BLANKS}`]*)")
@@ -56,9 +58,13 @@ def lines(docs: DataFrame) -> DataFrame:
     read: nothing is shuffled, and only texts with a marker leave the JVM.
     """
 
-    @F.pandas_udf(LINE)
-    def fenced(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else [dict(zip(("s", "edge", "lang", "fenced"), x, strict=True)) for x in _with_fences(t)])
+    @F.arrow_udf(LINE)
+    def fenced(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("s", pa.string()), ("edge", pa.string()), ("lang", pa.string()), ("fenced", pa.bool_())]))
+        marked = lambda t: None if t is None else [dict(zip(("s", "edge", "lang", "fenced"), x, strict=True)) for x in _with_fences(t)]
+        # the lines of a few texts at a time are Python objects, all others are Arrow's
+        pieces = [pa.array([marked(t) for t in texts.slice(at, PIECE).to_pylist()], kind) for at in range(0, len(texts), PIECE)]
+        return pa.concat_arrays(pieces) if pieces else pa.array([], kind)
 
     text = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n", "\n")
     marked = text.contains("```") | text.contains("~~~")

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from linkframe import cases, queries  # noqa: F401
-from linkframe.operators import alignment, diff, selections
+from linkframe.operators import alignment, diff, selections, text
 from linkframe.plans.retail import Retail
 
 DIR = "/root/testdata/sf0.001"
@@ -70,3 +70,10 @@ def test_words_are_counted_in_small_pieces(spark):
     assert max(b.num_rows for b in got) <= 128 and pa.Table.from_batches(got)["x"].to_pylist() == list(range(1000))
     pair = spark.range(1000).selectExpr("CAST(id AS string) AS id", "'a b c' AS old", "'c b d d' AS new").coalesce(1)
     assert {(tuple(r["kept"]), tuple(r["removed"]), tuple(r["added"])) for r in diff.diff_words(pair).collect()} == {(("b", "c"), ("a",), ("d", "d"))}
+
+
+def test_texts_are_split_in_small_pieces(spark, monkeypatch):
+    monkeypatch.setattr(text, "PIECE", 3)
+    docs = spark.range(20).selectExpr("id", "CASE WHEN id % 4 > 0 THEN concat('a\n```x', id, '\nb\n```') END AS text").coalesce(1)
+    got = sorted((r["id"], r["line"], r["s"], r["edge"], r["lang"], r["fenced"]) for r in text.lines(docs).where("s <> ''").collect())
+    assert got == sorted(x for i in range(20) if i % 4 for x in ((i, 1, "a", None, None, False), (i, 2, f"```x{i}", "open", f"x{i}", True), (i, 3, "b", None, None, True), (i, 4, "```", "close", "", True)))
