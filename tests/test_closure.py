@@ -37,6 +37,17 @@ def test_first_parent(spark):
     assert got == [(f"c{40 - i}", i) for i in range(41)]
 
 
+def test_first_parent_meets_few_rows(spark, monkeypatch):
+    """A long chain among others, with branches, a parent that isn't there and a head in the middle: what is written is a few times the table, whatever its logarithm."""
+    n, rows, real = 4000, [], c.saved
+    monkeypatch.setattr(c, "CHAIN_ROWS", 1000, raising=False)
+    monkeypatch.setattr(c, "saved", lambda df: (out := real(df), rows.append(out.count()))[0])
+    commits = spark.range(2 * n).selectExpr("concat('c', id) AS commit", "CASE WHEN id % 7 = 6 AND id % 2 = 1 THEN concat('c', id - 1) WHEN id = 0 THEN 'gone' WHEN id = 1 THEN NULL ELSE concat('c', id - 2) END AS parent")
+    got = [(r["commit"], r["hops"]) for r in c.first_parent(commits, f"c{2 * n - 4}").collect()]
+    assert got == [(f"c{k}", i) for i, k in enumerate(range(2 * n - 4, -1, -2))] + [("gone", n - 1)]
+    assert sum(rows) < 5 * 2 * n
+
+
 def test_merge_base_and_history(spark):
     parents = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "b"), ("e", "c"), ("f", "d"), ("f", "c")], "src string, dst string")
     base = lambda x, y: [r[0] for r in c.merge_base(parents, x, y).collect()]
