@@ -83,6 +83,30 @@ def test_cycles_and_searches(spark, seed):
     assert sorted(seen) == sorted({(a, b) for a, b in paths if a in roots} | {(t, t) for t in roots})
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_ways_that_never_part(spark, monkeypatch, capsys, seed):
+    """One way on for each node, with tails, rings, loops and ways to nowhere: each pair once, and without rings none is compared with those known."""
+    monkeypatch.setattr(c, "FOLLOWED", 1, raising=False)
+    r, real = random.Random(seed), c.saved
+    ways = {i: r.choice([i // 2, i // 2, 200 + i]) for i in range(1, 60)} | {60: 60, 90: 60} | {i: i - 1 for i in range(100, 120)}
+    rings = {70: 71, 71: 72, 72: 70, 73: 70, 80: 81, 81: 80} | {i: 80 for i in range(82, 86)}
+
+    def found(ways, roots):
+        got = [tuple(x) for x in c.reachable(spark.createDataFrame([*ways.items(), *ways.items()], "src int, dst int"), spark.createDataFrame([(x,) for x in roots], "id int")).collect()]
+        want = set()
+        for x in roots:
+            y = x
+            while y is not None and (x, y) not in want:
+                want.add((x, y))
+                y = ways.get(y)
+        assert sorted(got) == sorted(want)
+
+    monkeypatch.setattr(c, "saved", lambda df: (df.explain(), real(df))[1])
+    found(ways, [*ways, 999])
+    assert "LeftAnti" not in capsys.readouterr().out
+    found(ways | rings, [*range(1, 60, 7), 119, *rings, 90, 999])
+
+
 def test_rounds_follow_the_logarithm(spark, monkeypatch):
     """A chain of 10,000 and a ring of 100,000: a few dozen checkpoints, not thousands, and no table of pairs."""
     n, made, real = 10_000, [], c.saved
