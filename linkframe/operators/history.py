@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .closure import reachable
+from .closure import meet, reachable
 from .diff import differing
 
 
@@ -118,8 +118,11 @@ def dependencies(roots: DataFrame, full: DataFrame, shallow: DataFrame) -> DataF
     """(root, node, how): what a rendered root depends on: by ``full`` edges (embeds, results shown whole) at any depth,
     then one step of ``shallow`` edges (entities that are only cited or read)."""
     whole = reachable(full, roots)
-    near = whole.join(shallow, whole["node"] == shallow["src"]).select("root", F.col("dst").alias("node"))
-    return whole.withColumn("how", F.lit("full")).union(near.join(whole, ["root", "node"], "left_anti").distinct().withColumn("how", F.lit("read")))
+    near = meet(whole.select("root", F.col("node").alias("src")), shallow.select("src", "dst"), "src").select("root", F.col("dst").alias("node")).distinct()
+    named = full.select(F.col("dst").alias("node")).union(roots.select("id")).distinct()
+    if not meet(shallow.select(F.col("dst").alias("node")).distinct(), named, "node", "left_semi").isEmpty():  # else none is there whole, and pairs needn't meet
+        near = meet(near, whole, ["root", "node"], "left_anti")
+    return whole.withColumn("how", F.lit("full")).union(near.withColumn("how", F.lit("read")))
 
 
 def formula_inputs(roots: DataFrame, path_edges: list[DataFrame]) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from linkframe.operators import closure as c
+from linkframe.operators import history
 
 
 def plain(edges):
@@ -107,6 +108,18 @@ def test_ways_that_never_part(spark, monkeypatch, capsys, seed):
     found(ways | rings, [*range(1, 60, 7), 119, *rings, 90, 999])
 
 
+def test_dependencies_meet_those_whole_only_if_they_can_be_there(spark, capsys):
+    full = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "b")], "src string, dst string")
+    roots = spark.createDataFrame([("a",), ("d",)], "id string")
+    whole = {(x, y, "full") for x, y in ("aa", "ab", "ac", "dd", "db", "dc")}
+    shown = lambda shallow: history.dependencies(roots, full, spark.createDataFrame(shallow, "src string, dst string"))
+    got = shown([("a", "x"), ("b", "x"), ("c", None)])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([*whole, ("a", "x", "read"), ("d", "x", "read"), ("a", None, "read"), ("d", None, "read")], key=str)
+    got.explain()
+    assert "LeftAnti" not in capsys.readouterr().out
+    assert sorted(map(tuple, shown([("a", "b"), ("b", "d"), ("c", "x")]).collect())) == sorted([*whole, ("a", "d", "read"), ("a", "x", "read"), ("d", "x", "read")])
+
+
 def test_rounds_follow_the_logarithm(spark, monkeypatch):
     """A chain of 10,000 and a ring of 100,000: a few dozen checkpoints, not thousands, and no table of pairs."""
     n, made, real = 10_000, [], c.saved
