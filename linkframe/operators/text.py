@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from .closure import meet, saved
 
-FENCE = r"^\s{0,3}(```|~~~)"
-HEADING = r"^\s{0,3}(#{1,6})(\s|$)"
-ITEM = r"^\s*([-*+]|\d+[.)])\s"
-ORDERED = r"^\s*(\d+)[.)]\s"
-ROW = r"^\s*\|"
+#: White space of the format, without the vertical tab that Java's and Python's classes have too.
+BLANKS = " \t\n\f\r"
+FENCE = rf"^[{BLANKS}]{{0,3}}(```|~~~)"
+HEADING = rf"^[{BLANKS}]{{0,3}}(#{{1,6}})([{BLANKS}]|$)"
+ITEM = rf"^[{BLANKS}]*([-*+]|\d+[.)])[{BLANKS}]"
+ORDERED = rf"^[{BLANKS}]*(\d+)[.)][{BLANKS}]"
+ROW = rf"^[{BLANKS}]*\|"
 LINK = r"(!?)\[\[([^\[\]\n]*)\]\]"
 #: A tag at the end of a line, and what its name may be. They define the format.
 TAG = r"[ \t]*\{#([^{}\s]*)\}[ \t]*$"
@@ -29,8 +31,6 @@ MODES = ("full", "number", "title", "long")
 LINE = "array<struct<s:string,edge:string,lang:string,fenced:boolean>>"
 #: Texts whose lines are Python objects at one time.
 PIECE = 128
-#: White space as the patterns above mean it.
-BLANKS = " \t\n\x0b\f\r"
 MARK = re.compile(rf"[{BLANKS}]{{0,3}}(?:(```)`*|(~~~)~*)[{BLANKS}]*([^{BLANKS}`]*)")
 
 
@@ -134,7 +134,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     A fence is whole, a heading or a table row alone, a list item has its continuation lines, else paragraphs.
     The key has white-space runs as one blank, but for fences, which stay as written.
     """
-    blank = F.trim(F.regexp_replace("s", r"\s", " ")) == ""
+    blank = ~F.col("s").rlike(f"[^{BLANKS}]")
     kind = (
         F.when(F.col("fenced"), "code").when(blank, "blank").when(F.col("s").rlike(HEADING), "heading").when(F.col("s").rlike(ROW), "row").when(F.col("s").rlike(ITEM), "item").otherwise("text")
     )

@@ -3,6 +3,7 @@
 import os
 import re
 
+import duckdb
 import pytest
 
 from linkframe import queries
@@ -68,3 +69,14 @@ def test_h09_all(spark):
     nation = {r["c_custkey"]: r["c_nationkey"] for r in spark.read.parquet(f"{DIR}/customer.parquet").collect()}
     want = {f"ORD-{r['o_orderkey']}": 1 + (nation.get(r["o_custkey"]) is not None) for r in spark.read.parquet(f"{DIR}/orders.parquet").collect()}
     assert {r["root"]: r["n"] for r in queries.QUERIES["h09_all_inputs"](spark, DIR).collect()} == want
+
+
+def test_d09_odd_texts(spark, tmp_path):
+    """Texts without words, vertical tabs and rows that share an id, against the query's SQL."""
+    texts = ["", "", " ", "\n", "\t\r\n ", None, "\x0b", "a\n\x0b\nb", "\x0b# a", "\x0b```\na", "a\n\x0b- b", "a\n\n b", "- a", "a\n 1) b", "a\nb", "\na\n", "a\rb", "\xa0"] * 4
+    rows = [(i, t) for i, t in enumerate(texts)] + [(11, "a"), (11, "b"), (11, "b"), (15, ""), (15, ""), (22, "x ```")]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    assert sorted(map(tuple, queries.QUERIES["d09_blocks"](spark, str(tmp_path)).collect())) == sorted(con.execute(queries.SQL["d09_blocks"]).fetchall())
