@@ -176,6 +176,10 @@ def diff_files(old: DataFrame, new: DataFrame) -> DataFrame:
     return got.select("path", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed").alias("op"))
 
 
+#: Rows of a text's comparison that leave Python at one time.
+OUT_ROWS = 10_000
+
+
 def _words(c: str) -> Column:
     return F.array_remove(F.split(c, r"\s+"), "")
 
@@ -195,10 +199,12 @@ def diff_text(old: DataFrame, new: DataFrame) -> DataFrame:
     schema = pa.schema([("id", pa.string()), ("pos", pa.int32()), ("op", pa.string()), ("old", pa.string()), ("new", pa.string())])
 
     def compare(batches):
-        for batch in batches:
-            for i, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                found = alignment.compared(a, b)
-                columns = [[i] * len(found), list(range(len(found))), *(list(x) for x in zip(*found, strict=True))]
+        for batch in sliced(batches, 1):  # the blocks of one text at a time are Python objects
+            i, a, b = (batch.column(k)[0].as_py() for k in range(3))
+            found = alignment.compared(a, b)
+            for at in range(0, len(found), OUT_ROWS):
+                part = found[at : at + OUT_ROWS]
+                columns = [[i] * len(part), list(range(at, at + len(part))), *(list(x) for x in zip(*part, strict=True))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return same.union(got.where("a <> b").mapInArrow(compare, "id string, pos int, op string, old string, new string"))

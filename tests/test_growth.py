@@ -1,6 +1,8 @@
 """Tables that grow don't go by way of the driver, and files keep one header each."""
 
 import random
+import tracemalloc
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -77,3 +79,35 @@ def test_texts_are_split_in_small_pieces(spark, monkeypatch):
     docs = spark.range(20).selectExpr("id", "CASE WHEN id % 4 > 0 THEN concat('a\n```x', id, '\nb\n```') END AS text").coalesce(1)
     got = sorted((r["id"], r["line"], r["s"], r["edge"], r["lang"], r["fenced"]) for r in text.lines(docs).where("s <> ''").collect())
     assert got == sorted(x for i in range(20) if i % 4 for x in ((i, 1, "a", None, None, False), (i, 2, f"```x{i}", "open", f"x{i}", True), (i, 3, "b", None, None, True), (i, 4, "```", "close", "", True)))
+
+
+def test_pairs_of_runs_are_as_many_as_can_be(monkeypatch):
+    """Runs compared in rows of bits, with alike blocks at their ends, and with no rows of bits kept: the pairs are alike, rise, and are as many as those of all pairs."""
+    r = random.Random(2)
+    monkeypatch.setattr(alignment, "MOST_PAIRS", 0)
+    for rare, kept in ((0, 0), (2, 1 << 20), (5, 0), (100, 0)):
+        monkeypatch.setattr(alignment, "RARE", rare)
+        monkeypatch.setattr(alignment, "KEPT_BYTES", kept, raising=False)
+        for _ in range(60):
+            block = lambda: " ".join(r.choices("abcdefgh", k=r.randrange(6))) if r.random() < 0.9 else "```x" + r.choice("ab")
+            old, new = [[block() for _ in range(r.randrange(1, 12))] for _ in range(2)]
+            got = alignment.paired(old, new)
+            assert all(alignment.alike(old[i], new[j]) for i, j in got) and all(a < b and x < y for (a, x), (b, y) in zip(got, got[1:], strict=False))
+            assert len(got) == len(alignment.rising([(i, j) for i, x in enumerate(old) for j, y in enumerate(new) if alignment.alike(x, y)]))
+
+
+def test_long_runs_need_memory_for_their_words_alone():
+    """Four times the blocks take about four times the memory, whether frequent words make blocks alike or rare ones."""
+
+    def peak(n: int, words: str) -> int:
+        old, new = (["first thing", *[words.format(i, w) for i in range(n)], last] for w, last in (("lived", "a b c d"), ("lives", "e f g h i")))
+        new[0] = "Nothing like what was there"
+        tracemalloc.start()
+        try:
+            assert Counter(x[0] for x in alignment.compared(old, new))["changed"] == n
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    for words in ("Customer CUS-{0} called Customer#{0} {1} here", "k{0} m{0} {1}"):
+        assert peak(16_000, words) < 5 * peak(4000, words)
